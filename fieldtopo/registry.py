@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .jobs import fields  # noqa: F401  (registers its jobs)
+from .jobs.common import ORACLES, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
+
 FLAGSHIP = "contour_search"
