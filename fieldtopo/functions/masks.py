@@ -77,10 +77,14 @@ def changes_topology(mask26: Column) -> Column:
     return ~(connected(m) & connected(rest))
 
 
-def changes_topology_2d(mask8: Column) -> Column:
-    """A slice test: marked edges mark their vertices; the ring around the cell then has other than two transitions."""
+def ring_transitions(mask8: Column) -> Column:
+    """Changes between marked and unmarked around a cell in its slice, after marked edges have marked their vertices."""
     bit = lambda i: F.shiftright(mask8, RING[i % 8]).bitwiseAND(F.lit(1))
     # Even ring places are vertices, odd ones edges.
     ring = [F.greatest(bit(i), bit(i - 1), bit(i + 1)) if i % 2 == 0 else bit(i) for i in range(8)]
-    transitions = reduce(Column.__add__, [(ring[i] != ring[(i + 1) % 8]).cast("int") for i in range(8)])
-    return transitions != 2
+    return reduce(Column.__add__, [(ring[i] != ring[(i + 1) % 8]).cast("int") for i in range(8)])
+
+
+def changes_topology_2d(mask8: Column) -> Column:
+    """Slice test: the ring around the cell has other than two transitions."""
+    return ring_transitions(mask8) != 2

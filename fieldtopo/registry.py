@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .jobs import fields  # noqa: F401  (registers its jobs)
+from .jobs import fields, topology  # noqa: F401  (they register their jobs)
 from .jobs.common import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
