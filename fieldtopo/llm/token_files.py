@@ -15,10 +15,13 @@ definite by the text's hash. An empty table gives an empty index. Columns other
 
 from __future__ import annotations
 
+import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +35,7 @@ from .common import shared_path
 END_ID, ITEM = 2, 2
 MASK = 0xA282EAD8
 INDEX = "file string, row long, doc_id long, at long, n_bytes long, n_tokens long"
-_WORDS = 400_000
+_WORDS = 200_000
 
 
 def masked_crc(data: bytes) -> int:
@@ -55,29 +58,82 @@ def unframe(record: bytes) -> bytes:
     return data
 
 
+# Latin letters that lower-case one to one and that normalisation leaves alone; texts of these and plain ASCII are simple.
+_LETTERS = "a-zA-Z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u01ef\u01f1-\u024f"
+_SIMPLE = re.compile(f"[\t\n\r -~{_LETTERS}]*")
+_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}\u2c65\u2c66]+|[0-9]|[^\\s0-9{_LETTERS}\u2c65\u2c66]+")  # of lower-cased simple texts
+_SPACES = str.maketrans("\t\n\r\f\v", "     ")
+
+
 class WordEncoder:
-    """Ids of a text. The tokenizer never joins characters over ASCII white space, so words are encoded once and looked up."""
+    """Texts to the bytes of their ids. Pieces that the tokenizer never joins are encoded once and looked up.
 
-    def __init__(self, path: str):
+    In a simple text these are its pre-tokens (`[letters]+`, one digit, other characters, contractions); they go to the
+    library many at a time, each ending at the first word-final id. Any other text is cut at ASCII white space only, and the
+    library normalises and splits the words itself.
+    """
+
+    def __init__(self, path: str, item: int = ITEM):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def encode(self, texts: list[str | None]) -> list[list[int]]:
-        split = [(t or "").translate(_SPACES).split(" ") for t in texts]
-        fresh = list({w for words in split for w in words} - self.known.keys())
-        if len(self.known) + len(fresh) > _WORDS:
-            self.known.clear()
-            fresh = list({w for words in split for w in words})
-        for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True):
-            self.known[w] = tuple(e.ids)
-        get = self.known.__getitem__
-        return [[i for ids in map(get, words) for i in ids] for words in split]
-
-
-_SPACES = str.maketrans("\t\n\r\f\v", "     ")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.final = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.final[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
+        self.dtype = {2: "<u2", 4: "<u4"}[item]
+        self.pieces, self.words = _Recent(), _Recent()
+
+    def _alone(self, words: list[str]) -> list[bytes]:
+        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _together(self, pieces: list[str]) -> list[bytes]:
+        parts = [pieces[lo : lo + 256] for lo in range(0, len(pieces), 256)]
+        out: list[bytes] = []
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast([" ".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.asarray(e.ids, self.dtype)
+            ends = np.flatnonzero(self.final[ids]) + 1
+            if len(ends) == len(part) and ends[-1] == len(ids):
+                raw, at = ids.tobytes(), [0, *(ends * ids.itemsize).tolist()]
+                out += [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            else:
+                out += self._alone(part)
+        return out
+
+    def encode(self, texts: list[str | None]) -> list[bytes]:
+        simple = [t is not None and _SIMPLE.fullmatch(t) is not None for t in texts]
+        cut = [_PIECES.findall(t.lower()) if plain else (t or "").translate(_SPACES).split(" ") for t, plain in zip(texts, simple, strict=True)]
+        self.pieces.add(set().union(*(c for c, plain in zip(cut, simple, strict=True) if plain)), self._together)
+        self.words.add(set().union(*(c for c, plain in zip(cut, simple, strict=True) if not plain)), self._alone)
+        return [b"".join(map((self.pieces if plain else self.words).new.__getitem__, c)) for c, plain in zip(cut, simple, strict=True)]
+
+
+class _Recent:
+    """What was looked up lately: once full, the entries move to an older half, from which they return when met again."""
+
+    def __init__(self):
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def add(self, keys: set[str], make) -> None:
+        if len(self.new) > _WORDS:
+            self.new, self.old = {}, self.new
+        new, old = self.new, self.old
+        missing = []
+        for k in keys:
+            if k not in new:
+                if k in old:
+                    new[k] = old[k]
+                else:
+                    missing.append(k)
+        new.update(zip(missing, make(missing), strict=True))
+
+
+@cache
+def encoder_of(path: str, item: int) -> WordEncoder:
+    """One encoder for all tasks of a Python worker."""
+    return WordEncoder(path, item)
 
 
 def _open(root: str) -> tuple[pafs.FileSystem, str]:
@@ -89,25 +145,24 @@ def write_tokens(docs: DataFrame, root: str, path: str, end_id: int = END_ID, it
     spark = docs.sparkSession
     fs, base = _open(root)
     fs.create_dir(f"{base}/records", recursive=True)
-    dtype = {2: "<u2", 4: "<u4"}[item]
+    end = int(end_id).to_bytes(item, "little")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, store = WordEncoder(path), _open(root)
+        encoder, store = encoder_of(path, item), _open(root)
         out_fs, out_base = store
         name = f"part-{TaskContext.get().partitionId():06d}.rec"
         temporary = f"{out_base}/records/.{name}.{uuid.uuid4().hex}"
         at = row = 0
         with out_fs.open_output_stream(temporary) as f:
             for batch in batches:
-                for lo in range(0, batch.num_rows, 128):
-                    part = batch.slice(lo, 128)
+                for lo in range(0, batch.num_rows, 64):
+                    part = batch.slice(lo, 64)
                     lengths, sizes, blob = [], [], []
-                    for ids in encoder.encode(part.column(1).to_pylist()):
-                        ids.append(end_id)
-                        record = frame(np.asarray(ids, dtype).tobytes())
+                    for data in encoder.encode(part.column(1).to_pylist()):
+                        record = frame(data + end)
                         blob.append(record)
                         sizes.append(len(record))
-                        lengths.append(len(ids))
+                        lengths.append(len(data) // item + 1)
                     f.write(b"".join(blob))
                     n = part.num_rows
                     offsets = at + np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64) if n else np.zeros(0, np.int64)
