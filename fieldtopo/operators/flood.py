@@ -29,15 +29,24 @@ def pairs(cells: DataFrame, keys: list[str], offsets=OFFSETS_26) -> DataFrame:
     """(keys, id, near) for neighbours that are both among the cells."""
     half = [o for o in offsets if (o[2], o[1], o[0]) > (0, 0, 0)]
     offs = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(dz).alias("dz")) for dx, dy, dz in half])
-    moved = cells.select(*keys, "id", F.explode(offs).alias("o"), "x", "y", "z").select(*keys, "id", (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("z") + F.col("o.dz")).alias("z"))
-    one = moved.join(cells.select(*keys, F.col("id").alias("near"), "x", "y", "z"), [*keys, "x", "y", "z"]).select(*keys, "id", "near")
+    rest = [k for k in keys if k not in ("x", "y", "z")]
+    moved = cells.select(*rest, "id", F.explode(offs).alias("o"), "x", "y", "z", *[F.col(k).alias(f"own_{k}") for k in keys])
+    moved = moved.select(*rest, "id", *[(F.col(a) + F.col(f"o.d{a}")).alias(a) for a in "xyz"], *[f"own_{k}" for k in keys])
+    same = [F.col(f"own_{k}") == F.col(k) for k in keys if k not in rest]  # a key that is also an axis does not change
+    one = moved.join(cells.select(*rest, F.col("id").alias("near"), "x", "y", "z"), [*rest, "x", "y", "z"])
+    for s in same:
+        one = one.where(s)
+    one = one.select(*keys, "id", "near")
     return one.unionByName(one.select(*keys, F.col("near").alias("id"), F.col("id").alias("near")))
 
 
-def labelled(cells: DataFrame, keys: list[str], offsets=OFFSETS_26) -> DataFrame:
-    """(keys, id, label): the largest id of each cell's component."""
-    links, _ = written(pairs(cells, keys, offsets), "flood-pairs")
-    now, path = written(cells.select(*keys, "id", F.col("id").alias("label")), "flood-labels")
+def components(nodes: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, id, label): the largest id of each node's component, from nodes (keys, id) and links both ways (keys, id, near).
+
+    Labels spread over links and are then followed one step (a label is a node whose own label may be larger by now), so long
+    chains take a logarithmic number of rounds."""
+    links, links_at = written(links, "flood-links")
+    now, path = written(nodes.select(*keys, "id", F.col("id").alias("label")), "flood-labels")
     while True:
         near = links.join(now.withColumnsRenamed({"id": "near", "label": "l"}), [*keys, "near"]).groupBy(*keys, "id").agg(F.max("l").alias("l"))
         spread = now.join(near, [*keys, "id"], "left").select(*keys, "id", F.col("label").alias("old"), F.greatest("label", "l").alias("label"))
@@ -48,9 +57,15 @@ def labelled(cells: DataFrame, keys: list[str], offsets=OFFSETS_26) -> DataFrame
         forget(now, path, at)
         now, path = new.select(*keys, "id", "label"), new_path
         if not moved:
+            forget(now, links_at)
             return now
 
 
+def labelled(cells: DataFrame, keys: list[str], offsets=OFFSETS_26) -> DataFrame:
+    """(keys, id, label): the largest id of each cell's component among the cells."""
+    return components(cells, pairs(cells, keys, offsets), keys)
+
+
 def labelled_windows(cells: DataFrame, iso: int, length: int, step: int, n_slices: int) -> DataFrame:
     """(window_id, id, node): each cell at or below the cut with its component, named by the component's last cell in order."""
     from .query import windows
