@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .jobs import fields, reshape, surface, topology  # noqa: F401  (they register their jobs)
+from .jobs import fields, reshape, surface, topology, views  # noqa: F401  (they register their jobs)
 from .jobs.common import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
