@@ -20,17 +20,26 @@ from pyspark.sql import functions as F
 
 from .common import broadcast_if, forget, written
 
-DEPTH, MIN_TOKENS, MIN_DOCS, LONG, GENERAL, SIMILAR = 3, 4, 3, 40, 8, 0.6
+DEPTH, MIN_TOKENS, MIN_DOCS, LONG, GENERAL, SIMILAR = 5, 4, 3, 40, 9, 0.6
 BROADCAST_ROWS = 200_000
 NO_ID = 2**63 - 1
+_BLANKS, _ODD_BLANK = " \t\r\f\x0b", r"[\t\r\f\x0B]|  "
 _BLANK, _NONBLANK = r"[ \t\r\f\x0B]+", r"[^ \t\r\f\x0B]*[0-9][^ \t\r\f\x0B]*"
 
 
-def _lines(docs: DataFrame, only: list[str] | None = None) -> DataFrame:
-    """did, text_key, line_no, n_tokens, tokens (masked), leaf, line of each line long enough to be judged."""
-    base = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("did"), F.xxhash64("text").alias("text_key"), F.posexplode(F.split("text", "\n", -1)).alias("line_no", "raw"))
-    masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", _NONBLANK, "<*>")).otherwise(F.col("raw"))
-    cut = base.select("did", "text_key", "line_no", F.split(F.regexp_replace(masked, f"^{_BLANK}|{_BLANK}$", ""), _BLANK, -1).alias("tokens"))
+def _tokens(line: Column) -> Column:
+    """The line's tokens, those with a digit masked."""
+    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _NONBLANK, "<*>")).otherwise(line)
+    bare = F.btrim(masked, F.lit(_BLANKS))
+    return F.when(bare.rlike(_ODD_BLANK), F.split(bare, _BLANK, -1)).otherwise(F.split(bare, " ", -1))  # one space splits without a regular expression
+
+
+def _lines(docs: DataFrame) -> DataFrame:
+    """did, text_key, line_no, n_tokens, tokens (masked), leaf, line of each line long enough to be judged.
+
+    The tokens are made inside the exploded array: a filter on them would otherwise be pushed down and make them twice."""
+    each = F.transform(F.split("text", "\n", -1), _tokens)
+    cut = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("did"), F.xxhash64("text").alias("text_key"), F.posexplode(each).alias("line_no", "tokens"))
     cut = cut.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= MIN_TOKENS)
     leaf = F.xxhash64("n_tokens", *[F.get("tokens", F.lit(i)) for i in range(DEPTH)])
     return cut.withColumn("leaf", leaf).withColumn("line", F.xxhash64("tokens", F.lit("line")))
@@ -74,7 +83,6 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     table = broadcast_if(table, table.count(), BROADCAST_ROWS)
     dropped = lines.join(table, ["leaf", "line"]).where(F.col("did") > F.col("first")).groupBy("did", "text_key").agg(F.collect_set("line_no").alias("__drop"))
     dropped, _ = written(dropped.withColumnsRenamed({"did": "__did", "text_key": "__key"}), "lines-dropped")
-    dropped = broadcast_if(dropped, dropped.count(), BROADCAST_ROWS // 4)
     docs = docs.drop("n_lines", "n_dropped")
     own = (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == dropped["__did"]) & (F.xxhash64(docs["text"]) == dropped["__key"])
     joined = docs.join(dropped, own, "left")
