@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .common import broadcast_if, lower_ascii
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # the same words before lower-casing
 WINDOW = 10
 BROADCAST_WINDOWS = 500_000  # windows of some 100 bytes; a larger benchmark is joined by a shuffle instead
 
@@ -52,11 +53,13 @@ def hits(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
         key = F.when(F.col("length") == n, _key(n, lambda i: F.get(F.col("window"), F.lit(i)))).otherwise(key)
     table = broadcast_if(table.withColumn("key", key), sum(sizes.values()), BROADCAST_WINDOWS)
 
-    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), words(F.col("text")).alias("w")).where(F.size("w") >= lengths[0])
+    base = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(words(F.col("text")), F.array().cast("array<string>")).alias("w"))
     one = lambda n: F.transform("w", lambda x, i: _key(n, lambda j: x if j == 0 else F.get(F.col("w"), i + j)))
     keys = one(lengths[0]) if len(lengths) == 1 else F.concat(*[one(n) for n in lengths])
     which = F.expr("pos div size(w)")
-    scanned = base.select("doc_id", "text_key", "w", F.posexplode(keys).alias("pos", "key"))
+    # The keys stand in a column of their own, so that exploding them runs in compiled code and copies no words. Outer, as Spark
+    # would else add a filter on their number and push it down to where they are made.
+    scanned = base.withColumn("keys", keys).select("doc_id", "text_key", "w", F.posexplode_outer("keys").alias("pos", "key"))
     placed = scanned.join(table, "key").withColumn("at", F.expr("pos % size(w)")).where(F.get(F.array(*[F.lit(n) for n in lengths]), which.cast("int")) == F.col("length"))
     return placed.where("slice(w, at + 1, length) = window").select("doc_id", "text_key", "at", "length", "items")
 
@@ -75,8 +78,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> Da
         return F.when(F.size(acc) == 0, F.array(new)).when(x["at"] <= last["to"], grown).otherwise(F.concat(acc, F.array(new)))
 
     found = found.withColumn("spans", F.aggregate("at", none, merge)).drop("at").withColumnsRenamed({"doc_id": "__id", "text_key": "__key"})
-    every = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.size(words(F.col("text"))), F.lit(0)).cast("long").alias("n_words"))
-    every = every.withColumn("n_words", F.greatest("n_words", F.lit(0)))
+    every = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.coalesce(F.regexp_count("text", F.lit(_RAW_WORD)), F.lit(0)).cast("long").alias("n_words"))
     out = every.join(found, every["doc_id"].eqNullSafe(found["__id"]) & (every["text_key"] == found["__key"]), "left").drop("__id", "__key")
     covered = F.aggregate("spans", F.lit(0), lambda t, s: t + s["to"] - s["from"])
     return out.select("doc_id", "text_key", "n_words", F.coalesce(covered, F.lit(0)).cast("long").alias("n_hit"), F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"), F.coalesce("spans", none).alias("spans"))
@@ -87,9 +89,6 @@ def _hit_rows(docs: DataFrame, items: DataFrame, window: int) -> DataFrame:
     return found.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("spans").alias("hit_spans"), F.col("n_hit").alias("__hit"), F.col("n_words").alias("__words")).distinct()
 
 
-_RAW_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # WORD before lower-casing
-
-
 def cut_out(docs: DataFrame, items: DataFrame, most_share: float = 1.0, window: int = WINDOW) -> DataFrame:
     """docs with the words of benchmark windows cut out of `text`, separators left as they are; documents of whose words more
     than that share is hit go whole (0: every contaminated document goes). Other texts stay as they are."""
