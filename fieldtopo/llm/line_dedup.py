@@ -39,7 +39,7 @@ def _lines(docs: DataFrame) -> DataFrame:
 
     The tokens are made inside the exploded array: a filter on them would otherwise be pushed down and make them twice."""
     each = F.transform(F.split("text", "\n", -1), _tokens)
-    cut = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("did"), F.xxhash64("text").alias("text_key"), F.posexplode(each).alias("line_no", "tokens"))
+    cut = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("did"), F.xxhash64("text").alias("text_key"), F.posexplode_outer(each).alias("line_no", "tokens"))
     cut = cut.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= MIN_TOKENS)
     leaf = F.xxhash64("n_tokens", *[F.get("tokens", F.lit(i)) for i in range(DEPTH)])
     return cut.withColumn("leaf", leaf).withColumn("line", F.xxhash64("tokens", F.lit("line")))
