@@ -2,7 +2,7 @@
 
 language    documents without a letter (`und`) go; the language is predicted, not read off
 lines       lines of recurring templates go, except in the first document that holds them; documents left without text go
-near_copies one document of each Jaccard component stays
+near_copies one document of each Jaccard component stays (five-word shingles, linked at 0.8 or more; op4_jaccard_join has its own four words and 0.85)
 benchmark   the words of benchmark windows are cut out; a document of which too little is left goes
 tokens      ids by byte-level BPE, checked by decoding
 
@@ -20,6 +20,7 @@ from fieldtopo.llm import byte_bpe, decontaminate, jaccard, language, line_dedup
 from fieldtopo.llm.common import shared_path
 
 MOST_CONTAMINATED = 0.5  # share of a document's words in benchmark windows above which it goes whole
+NEAR_COPIES = 5, 80, 100  # words a shingle, and the threshold as a fraction
 
 
 def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,7 +35,7 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs).select(*docs.columns)
+    return jaccard.keep_one(docs, *NEAR_COPIES).select(*docs.columns)
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,10 +1,10 @@
 """Exact Jaccard join of shingle sets by universe partition and the pigeonhole principle.
 
-Sets. A document's set holds its distinct 4-word shingles (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; with fewer words the
+Sets. A document's set holds its distinct shingles of k words (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; with fewer words the
 whole sequence; without words it is empty and linked with nothing), as 64-bit hashes. Two sets link when
-DEN * |intersection| >= NUM * |union|.
+den * |intersection| >= num * |union|. Callers choose k, num and den; SHINGLE, NUM and DEN are those of op4_jaccard_join.
 
-Signatures. Linked sets of sizes a and b differ in at most H = (a + b)(DEN - NUM) div (DEN + NUM) elements. Sizes are cut
+Signatures. Linked sets of sizes a and b differ in at most H = (a + b)(den - num) div (den + num) elements. Sizes are cut
 into tiers (the larger size of a pair decides), and the hash universe of each tier into segments. In a tier for small sets a
 segment is indexed with its one-deletion neighbourhood: (H + 1) / 2 segments are enough, as one of them differs in one element
 at most. For larger sets deletions would cost a row per element, so H + 1 exact segments are indexed; empty segments, which
@@ -25,6 +25,7 @@ sets of their own; rows without doc_id get the smallest doc_id of their componen
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -154,7 +155,7 @@ class Signatures:
         return np.searchsorted(segment, np.arange(m + 1, dtype=np.uint64))
 
 
-def _texts(column: pa.Array) -> Iterator[list[np.ndarray]]:
+def _texts(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
     """Shingle sets of a string column, some bytes at a time, read from Arrow's own buffers."""
     column = column.fill_null("")
     if not len(column):
@@ -167,7 +168,7 @@ def _texts(column: pa.Array) -> Iterator[list[np.ndarray]]:
     while i < len(column):
         j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + _SLICE, side="right")) - 1)
         j = min(j, len(column))
-        yield shingle_sets(raw, offsets[i : j + 1])
+        yield shingle_sets(raw, offsets[i : j + 1], k)
         i = j
 
 
@@ -176,11 +177,11 @@ def _name(s: np.ndarray) -> int:
     return int(mix(np.array([mix(s ^ _PLACE[58]).sum(dtype=np.uint64)])).view(np.int64)[0]) if len(s) else 0
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    signatures = Signatures()
+def _sign(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
+    signatures = Signatures(num, den)
     for batch in batches:
         row = 0
-        for sets in _texts(batch.column(1)):
+        for sets in _texts(batch.column(1), k):
             sigs = [signatures.of(s).view(np.int64) for s in sets]
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
@@ -189,19 +190,19 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             row += len(sets)
 
 
-def _whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _whole_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for sets in _texts(batch.column(0)):
+        for sets in _texts(batch.column(0), k):
             yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["n", "h", "elements"])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
             x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
             both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
-            keep.append(DEN * both >= NUM * (len(x) + len(y) - both))
+            keep.append(den * both >= num * (len(x) + len(y) - both))
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
@@ -209,17 +210,17 @@ def _node(h: str = "h", n: str = "n") -> Column:
     return F.concat_ws("-", F.hex(h), F.col(n).cast("string"))
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame) -> tuple[DataFrame, list[str]]:
+def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, list[str]]:
     """Linked node pairs (u, v) among candidate pairs (h1, n1, h2, n2); and the written tables."""
     sides = pairs.select(F.col("h1").alias("h"), F.col("n1").alias("n")).unionByName(pairs.select(F.col("h2").alias("h"), F.col("n2").alias("n"))).distinct()
     ids, ids_at = written(nodes.join(sides, ["h", "n"], "left_semi").select("doc_id").distinct(), "sets-ids")
     few = broadcast_if(ids, ids.count(), BROADCAST_IDS)
     texts = docs.select("doc_id", "text").join(few, docs["doc_id"].eqNullSafe(few["doc_id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_whole_sets, "n long, h long, elements binary").groupBy("h", "n").agg(F.min("elements").alias("elements"))
+    sets = texts.mapInArrow(partial(_whole_sets, k=k), "n long, h long, elements binary").groupBy("h", "n").agg(F.min("elements").alias("elements"))
     sets, sets_at = written(sets.withColumn("node", _node()), "sets-whole")
     left = pairs.join(sets.select(F.col("h").alias("h1"), F.col("n").alias("n1"), F.col("node").alias("u"), F.col("elements").alias("a")), ["h1", "n1"])
     both = left.join(sets.select(F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("node").alias("v"), F.col("elements").alias("b")), ["h2", "n2"])
-    links, links_at = written(both.select("u", "v", "a", "b").mapInArrow(_compare, "u string, v string"), "sets-links")
+    links, links_at = written(both.select("u", "v", "a", "b").mapInArrow(partial(_compare, num=num, den=den), "u string, v string"), "sets-links")
     forget(docs.sparkSession, ids_at, sets_at)
     return links, [links_at]
 
@@ -252,23 +253,24 @@ def _apart(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
     return out, out_at
 
 
-_FITS = f"n1 > 0 and n2 > 0 and {DEN} * least(n1, n2) >= {NUM} * greatest(n1, n2)"
+def _fits(num: int, den: int) -> str:
+    return f"n1 > 0 and n2 > 0 and {den} * least(n1, n2) >= {num} * greatest(n1, n2)"
 
 
-def similarity_classes(docs: DataFrame) -> DataFrame:
+def similarity_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every row of docs (doc_id, text)."""
-    spark = docs.sparkSession
+    spark, fits = docs.sparkSession, _fits(num, den)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed, signed_at = written(docs.mapInArrow(_sign, SETS), "sets")
+    signed, signed_at = written(docs.mapInArrow(partial(_sign, k=k, num=num, den=den), SETS), "sets")
     nodes, nodes_at = written(signed.where("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("doc_id").alias("last")), "sets-nodes")
 
     rows = signed.where("n > 0").select("h", "n", F.explode("sigs").alias("sig"))
     hubs, hubs_at = written(rows.groupBy("sig").agg(F.min("h").alias("hub"), F.max("h").alias("far")).where("hub <> far").select("sig", "hub"), "sets-hubs")
     shared, shared_at = written(rows.join(hubs, "sig").distinct(), "sets-shared")
     names = nodes.select(F.col("h").alias("h2"), F.col("n").alias("n2"))
-    stars = shared.where("h <> hub").select(F.col("h").alias("h1"), F.col("n").alias("n1"), F.col("hub").alias("h2")).distinct().join(names, "h2").where(_FITS)
+    stars = shared.where("h <> hub").select(F.col("h").alias("h1"), F.col("n").alias("n1"), F.col("hub").alias("h2")).distinct().join(names, "h2").where(fits)
     stars, stars_at = written(stars, "sets-stars")
-    links, used = _verify(stars, nodes, docs)
+    links, used = _verify(stars, nodes, docs, k, num, den)
     labels, labels_at = components(links)
 
     # A second hub for the buckets that are still apart: the set that shares most.
@@ -276,9 +278,9 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     weight = apart.groupBy("h", "n").agg(F.count("*").alias("w"))
     second = apart.join(weight, ["h", "n"]).groupBy("sig").agg(F.max(F.struct("w", "h", "n", "c")).alias("m")).select("sig", F.col("m.h").alias("h2"), F.col("m.n").alias("n2"), F.col("m.c").alias("c2"))
     second, second_at = written(second, "sets-second")
-    stars2 = apart.join(second, "sig").where("c <> c2").select(F.col("h").alias("h1"), F.col("n").alias("n1"), "h2", "n2").distinct().where(_FITS)
+    stars2 = apart.join(second, "sig").where("c <> c2").select(F.col("h").alias("h1"), F.col("n").alias("n1"), "h2", "n2").distinct().where(fits)
     stars2, stars2_at = written(stars2.join(stars, ["h1", "n1", "h2", "n2"], "left_anti"), "sets-stars")
-    more, used2 = _verify(stars2, nodes, docs)
+    more, used2 = _verify(stars2, nodes, docs, k, num, den)
     links = links.unionByName(more)
     forget(spark, labels_at)
     labels, labels_at = components(links)
@@ -286,11 +288,11 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     # The rest, pair by pair: only sets of different components that still share a bucket.
     rest, rest_at = _apart(apart.select("sig", "h", "n"), labels)
     a, b = rest.select("sig", F.col("h").alias("h1"), F.col("n").alias("n1"), F.col("c").alias("ca")), rest.select("sig", F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("c").alias("cb"))
-    pairs = a.join(b, "sig").where("ca < cb").where(_FITS).select("h1", "n1", "h2", "n2").distinct()
+    pairs = a.join(b, "sig").where("ca < cb").where(fits).select("h1", "n1", "h2", "n2").distinct()
     tried = stars.unionByName(stars2)
     tried = tried.unionByName(tried.select(F.col("h2").alias("h1"), F.col("n2").alias("n1"), F.col("h1").alias("h2"), F.col("n1").alias("n2")))
     pairs, pairs_at = written(pairs.join(tried, ["h1", "n1", "h2", "n2"], "left_anti"), "sets-rest")
-    last, used3 = _verify(pairs, nodes, docs)
+    last, used3 = _verify(pairs, nodes, docs, k, num, den)
     if last.limit(1).count():
         forget(spark, labels_at)
         labels, labels_at = components(links.unionByName(last))
@@ -305,9 +307,9 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     return signed.select("doc_id", "n", "h").join(known, ["h", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """docs with one row of each component: that of the smallest doc_id (of rows that repeat it with the same text, one). Rows without a doc_id stay only where nothing with one is linked."""
-    found = similarity_classes(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    found = similarity_classes(docs, k, num, den).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     kept, _ = written(found, "sets-kept")
     joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").withColumn("__text", F.xxhash64("text"))
     return joined.dropDuplicates(["doc_id", "__text"]).drop("__text")

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 
+import corpus_pipeline
 from fieldtopo.llm import jaccard as j
 
 from .helpers import empty, frame
@@ -122,3 +123,41 @@ def test_shingle_hashes_do_not_depend_on_the_batch():
         alone = j.shingle_sets(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
         assert np.array_equal(alone, s) and len(s) == len(shingles(t))
     assert np.array_equal(together[0], together[2])
+
+
+def test_near_copies_stage_takes_five_words_and_four_fifths(spark):
+    """The stage against brute force, on pairs on either side of both thresholds."""
+    rng = random.Random(11)
+    rows = corpus(3, 50)
+    for n in (12, 23, 24, 40, 47, 90):  # one changed word breaks five 5-word shingles of n - 4, four 4-word ones of n - 3
+        base = [f"s{n}x{rng.random()}" for _ in range(n)]
+        for at in (0, 1, 2, 3, n // 2):
+            rows.append((len(rows) + 1000, " ".join([*base[:at], "changed", *base[at + 1 :]])))
+
+    def five(text):
+        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (text or "").lower()) if x]
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
+
+    sets, label = [five(t) for _, t in rows], {i: i for i, _ in rows}
+    for (a, _), x in zip(rows, sets, strict=True):
+        for (b, _), y in zip(rows, sets, strict=True):
+            if a < b and x and y and 5 * len(x & y) >= 4 * len(x | y) and label[a] != label[b]:
+                low, high = sorted((label[a], label[b]))
+                label = {i: low if c == high else c for i, c in label.items()}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.one_of_each(spark, df, "").collect()}
+    assert got == set(label.values())
+    assert got != {r.doc_id for r in j.keep_one(df).collect()}
+
+
+def test_signatures_meet_at_four_fifths():
+    rng, s = np.random.default_rng(7), j.Signatures(80, 100)
+    for n in [4, 5, 8, 9, 16, 17, 20, 24, 25, 33, 60, 120, 500]:
+        for extra in range(1, n + 1):
+            if 100 * n < 80 * (n + extra):
+                break
+            for _ in range(10):
+                common = rng.integers(0, 2**64, n, dtype=np.uint64)
+                more, k = rng.integers(0, 2**64, extra, dtype=np.uint64), int(rng.integers(0, extra + 1))
+                a, b = np.unique(np.concatenate((common, more[:k]))), np.unique(np.concatenate((common, more[k:])))
+                assert len(np.intersect1d(s.of(a), s.of(b))), (n, extra)
