@@ -29,7 +29,7 @@ def keep_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    cut = line_dedup.dedup_lines(docs)
+    cut = line_dedup.dedup_lines(docs, whole=True)
     kept = cut.where((F.col("n_dropped") == 0) | (F.length(F.trim(F.col("text"))) > 0))
     return _recount(kept, docs.columns)
 

@@ -8,6 +8,10 @@ A template recurs if MIN_DOCS documents hold it (two, for lines of LONG tokens o
 everywhere but in the document with the smallest doc_id, so that no text vanishes from the corpus. Lines of fewer than
 MIN_TOKENS tokens are left alone. DataFrame functions only; every count is pre-aggregated before its shuffle.
 
+That is the contract of op10_line_dedup, which its SQL states. `whole`, as the pipeline runs it, takes more: a leaf holds several
+templates (rare tokens of a place in the leaf are fields, and each other token in turn; what is left is the signature), for all
+lines of MIN_TOKENS tokens or more; with fewer than GENERAL tokens, the fewer fixed tokens the more documents are asked for.
+
 Edge cases: null text stays null and empty text empty (n_lines 0 and 1). Repeated rows of one doc_id are one document: they keep
 or lose the same lines. Rows without doc_id count as one document, after all others. A template within one document only never
 recurs. Extra columns are kept; `n_lines` and `n_dropped` are replaced.
@@ -34,13 +38,15 @@ def _tokens(line: Column) -> Column:
     return F.when(bare.rlike(_ODD_BLANK), F.split(bare, _BLANK, -1)).otherwise(F.split(bare, " ", -1))  # one space splits without a regular expression
 
 
-def _lines(docs: DataFrame) -> DataFrame:
+def _lines(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
     """did, text_key, line_no, n_tokens, tokens (masked), leaf, line of each line long enough to be judged.
 
     The tokens are made inside the exploded array: a filter on them would otherwise be pushed down and make them twice."""
     each = F.transform(F.split("text", "\n", -1), _tokens)
     cut = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("did"), F.xxhash64("text").alias("text_key"), F.posexplode_outer(each).alias("line_no", "tokens"))
-    cut = cut.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= MIN_TOKENS)
+    cut = cut.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= least)
+    if least < 2:
+        cut = cut.where(F.get("tokens", F.lit(0)) != "")  # a blank line has one empty token
     leaf = F.xxhash64("n_tokens", *[F.get("tokens", F.lit(i)) for i in range(DEPTH)])
     return cut.withColumn("leaf", leaf).withColumn("line", F.xxhash64("tokens", F.lit("line")))
 
@@ -77,11 +83,71 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table, lines
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with `text` without its dropped lines, n_lines and n_dropped (long)."""
-    table, lines = recurring(docs)
+def _signatures(docs: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(leaf, sig, line) of the lines that belong to a template with word fields, and (leaf, sig, need, most, first) of these
+    templates; and the written tables. A leaf holds as many templates as it has signatures."""
+    rare = F.when(F.col("n_tokens") >= LONG, 2).otherwise(MIN_DOCS)
+    judged = counts.where(F.col("n_tokens") > DEPTH)
+    leaves = judged.groupBy("leaf").agg(F.count("*").alias("k"), F.sum("n_docs").alias("w")).where("k > 1 and w > 1").select("leaf")
+    leaves, leaves_at = written(leaves, "lines-leaves")
+    leaves = broadcast_if(leaves, leaves.count(), BROADCAST_ROWS)
+    texts = _lines(docs).join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
+    lead = F.size(F.filter(F.slice("tokens", 1, DEPTH), lambda t: t != "<*>"))
+    cells = texts.withColumn("lead", lead).withColumn("n_tokens", F.size("tokens")).select("leaf", "line", "lead", "n_tokens", F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= DEPTH)
+    cells = cells.join(counts.select("leaf", "line", "n_docs", "first"), ["leaf", "line"])
+    cells = cells.select("leaf", "line", "lead", "n_tokens", "n_docs", "first", (F.col("token") != "<*>").cast("int").alias("word"), F.xxhash64("pos", "token").alias("h"))
+    cells, cells_at = written(cells, "lines-cells")
+
+    # Tokens that few documents have at their place in the leaf are fields; the others name the line's own signature.
+    votes = cells.groupBy("leaf", "h").agg(F.sum("n_docs").alias("w"))
+    fixed = cells.join(votes, ["leaf", "h"]).where(F.col("w") >= rare)
+    of = ["leaf", "line", "lead", "n_tokens", "n_docs", "first"]
+    own = fixed.groupBy(*of).agg(F.expr("bit_xor(h)").alias("sig"), F.count("*").alias("same"), F.sum("word").alias("words"))
+    own, own_at = written(own, "lines-own")
+    # A field's value may be common too: the signature with each one of its fixed tokens as a field as well.
+    less = fixed.select("leaf", "line", "h", "word").join(own, ["leaf", "line"])
+    less = less.select(*of, F.col("sig").bitwiseXOR(F.col("h")).alias("sig"), (F.col("same") - 1).alias("same"), (F.col("words") - F.col("word")).alias("words"))
+    # Lines of few tokens may have fields only behind the leading ones.
+    bare = cells.where(F.col("n_tokens") < GENERAL).select(*of).distinct().join(own.select("leaf", "line"), ["leaf", "line"], "left_anti")
+    bare = bare.select(*of, F.lit(0).cast("long").alias("sig"), F.lit(0).cast("long").alias("same"), F.lit(0).cast("long").alias("words"))
+    all_ = own.select(*less.columns).unionByName(less).unionByName(bare.select(*less.columns))
+    held = F.col("words") + F.col("lead")
+    alike = F.when(F.col("n_tokens") >= GENERAL, F.col("same") >= SIMILAR * (F.col("n_tokens") - DEPTH)).otherwise(held >= SIMILAR * F.col("n_tokens"))
+    need = F.when(F.col("n_tokens") >= GENERAL, rare).otherwise(F.greatest(F.lit(MIN_DOCS), MIN_DOCS + 6 - held.cast("int")))
+    members, members_at = written(all_.where(alike).select("leaf", "line", "n_docs", "first", "sig", need.cast("int").alias("need")), "lines-signed")
+    kinds = members.groupBy("leaf", "sig").agg(F.count("*").alias("k"), F.sum("n_docs").alias("w"), F.max("n_docs").alias("most"), F.min("first").alias("first"), F.max("need").alias("need"))
+    kinds, kinds_at = written(kinds.where("k > 1 and w >= need").drop("k", "w"), "lines-kinds")
+    return members.select("leaf", "sig", "line"), kinds, [leaves_at, cells_at, own_at, members_at, kinds_at]
+
+
+def recurring_whole(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """As recurring(), with as many templates with word fields as a leaf holds."""
+    lines, _ = written(_lines(docs).withColumn("fixed", F.exists("tokens", lambda t: t != "<*>")).drop("tokens"), "lines")
+    counts = lines.select("leaf", "line", "n_tokens", "fixed", "did").distinct().groupBy("leaf", "line", "n_tokens", "fixed").agg(F.count("*").alias("n_docs"), F.min("did").alias("first"))
+    counts, counts_at = written(counts, "lines-counts")
+    enough = F.when(F.col("n_tokens") >= LONG, 2).when(F.col("n_tokens") >= MIN_TOKENS, MIN_DOCS)
+    exact = counts.where(F.col("n_docs") >= enough).where(F.col("fixed") | (F.col("n_tokens") >= MIN_TOKENS)).select("leaf", "line", "first")
+    judged = counts.where(F.col("n_tokens") >= MIN_TOKENS)
+    modal = _general(docs, lines, judged).where(F.col("n_docs") >= enough).select("leaf", "line", "first")
+
+    members, kinds, used = _signatures(docs, judged)
+    # Where no line of a template has enough documents alone, few have each of its lines, and they are counted together.
+    sure, open_ = kinds.where("most >= need"), kinds.where("most < need")
+    pairs = members.join(open_, ["leaf", "sig"]).join(lines.select("leaf", "line", "did").distinct(), ["leaf", "line"]).select("leaf", "sig", "need", "first", "did").distinct()
+    counted = pairs.groupBy("leaf", "sig", "need", "first").agg(F.count("*").alias("n_docs")).where("n_docs >= need")
+    found = sure.select("leaf", "sig", "first").unionByName(counted.select("leaf", "sig", "first"))
+    fields = members.join(found, ["leaf", "sig"]).select("leaf", "line", "first")
+    table, _ = written(exact.unionByName(modal).unionByName(fields).groupBy("leaf", "line").agg(F.min("first").alias("first")), "lines-recurring")
+    forget(docs.sparkSession, counts_at, *used)
+    return table, lines
+
+
+def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
+    """docs with `text` without its dropped lines, n_lines and n_dropped (long). whole: by all templates."""
+    table, lines = recurring_whole(docs) if whole else recurring(docs)
     table = broadcast_if(table, table.count(), BROADCAST_ROWS)
-    dropped = lines.join(table, ["leaf", "line"]).where(F.col("did") > F.col("first")).groupBy("did", "text_key").agg(F.collect_set("line_no").alias("__drop"))
+    gone = lines.join(table, ["leaf", "line"]).where(F.col("did") > F.col("first")).select("did", "text_key", "line_no")
+    dropped = gone.groupBy("did", "text_key").agg(F.collect_set("line_no").alias("__drop"))
     dropped, _ = written(dropped.withColumnsRenamed({"did": "__did", "text_key": "__key"}), "lines-dropped")
     docs = docs.drop("n_lines", "n_dropped")
     own = (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == dropped["__did"]) & (F.xxhash64(docs["text"]) == dropped["__key"])

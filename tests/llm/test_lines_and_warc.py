@@ -36,6 +36,31 @@ def test_long_passage_in_two_documents(spark):
     assert got[1][1] == 0 and got[2] == ("y", 1)
 
 
+def whole_of(spark, rows):
+    return {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(frame(spark, rows), whole=True).collect()}
+
+
+def test_a_leaf_holds_several_templates(spark):
+    """Two templates and single lines share the token count and the leading tokens; the most common tokens mix them."""
+    names = [f"n{c}" for c in "abcdefghij"]
+    first = [f"This page was made by {n} with tools from the old shop" for n in names]
+    second = [f"This page was seen near {n} while birds flew over every roof" for n in names[:4]]
+    alone = ["This page was lost since yesterday evening though nobody asked why it went"]
+    rows = [(i, f"{'abcdefghijklmnopq'[i]} own\n{t}") for i, t in enumerate([*first, *second, *alone])]
+    got = whole_of(spark, rows)
+    assert [got[i][1] for i in range(15)] == [0] + [1] * 9 + [0] + [1] * 3 + [0]
+
+
+def test_fields_in_lines_of_few_tokens(spark):
+    names = [f"n{c}" for c in "abcdefgh"]
+    six = whole_of(spark, [(i, f"{n} own\nposted on Monday by {n} again") for i, n in enumerate(names)])
+    assert [six[i][1] for i in range(8)] == [0] + [1] * 7
+    four = whole_of(spark, [(i, f"{n} own\nwritten down by {n}") for i, n in enumerate(names)])
+    assert [four[i][1] for i in range(8)] == [0] + [1] * 7
+    few = whole_of(spark, [(i, f"{n} own\nwritten down by {n}") for i, n in enumerate(names[:5])])
+    assert all(n == 0 for _, n in few.values())
+
+
 def test_awkward_lines(spark):
     got = line_dedup.dedup_lines(frame(spark))
     assert got.count() == len(AWKWARD) and "extra" in got.columns
