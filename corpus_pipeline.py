@@ -1,7 +1,7 @@
 """From raw documents to token ids in five stages; each reads all that the one before kept, written as Parquet in between.
 
 language    documents without a letter (`und`) go; the language is predicted, not read off
-lines       lines of recurring templates go, except in the first document that holds them; documents left without text go
+lines       lines of recurring templates and repeated passages go, except in the first document that holds them; documents left without text go
 near_copies one document of each Jaccard component stays (five-word shingles, linked at 0.8 or more; op4_jaccard_join has its own four words and 0.85)
 benchmark   the words of benchmark windows are cut out; a document of which too little is left goes
 tokens      ids by byte-level BPE, checked by decoding

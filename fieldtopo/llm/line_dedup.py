@@ -10,7 +10,9 @@ MIN_TOKENS tokens are left alone. DataFrame functions only; every count is pre-a
 
 That is the contract of op10_line_dedup, which its SQL states. `whole`, as the pipeline runs it, takes more: a leaf holds several
 templates (rare tokens of a place in the leaf are fields, and each other token in turn; what is left is the signature), for all
-lines of MIN_TOKENS tokens or more; with fewer than GENERAL tokens, the fewer fixed tokens the more documents are asked for.
+lines of MIN_TOKENS tokens or more; with fewer than GENERAL tokens, the fewer fixed tokens the more documents are asked for. Lines
+of fewer tokens recur from SHORT_DOCS documents on, unless they are numbers only. Consecutive lines that have LONG tokens together
+and stand in two documents are one passage, and go with the blank lines between them.
 
 Edge cases: null text stays null and empty text empty (n_lines 0 and 1). Repeated rows of one doc_id are one document: they keep
 or lose the same lines. Rows without doc_id count as one document, after all others. A template within one document only never
@@ -19,12 +21,13 @@ recurs. Extra columns are kept; `n_lines` and `n_dropped` are replaced.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, forget, written
 
 DEPTH, MIN_TOKENS, MIN_DOCS, LONG, GENERAL, SIMILAR = 3, 4, 3, 40, 8, 0.6
+SHORT_DOCS = {1: 20, 2: 12, 3: 6}  # documents that make a line of fewer than MIN_TOKENS tokens recur
 BROADCAST_ROWS = 200_000
 NO_ID = 2**63 - 1
 _BLANKS, _ODD_BLANK = " \t\r\f\x0b", r"[\t\r\f\x0B]|  "
@@ -121,11 +124,13 @@ def _signatures(docs: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFram
 
 
 def recurring_whole(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As recurring(), with as many templates with word fields as a leaf holds."""
-    lines, _ = written(_lines(docs).withColumn("fixed", F.exists("tokens", lambda t: t != "<*>")).drop("tokens"), "lines")
+    """As recurring(), with lines of every length, and as many templates with word fields as a leaf holds."""
+    lines, _ = written(_lines(docs, 1).withColumn("fixed", F.exists("tokens", lambda t: t != "<*>")).drop("tokens"), "lines")
     counts = lines.select("leaf", "line", "n_tokens", "fixed", "did").distinct().groupBy("leaf", "line", "n_tokens", "fixed").agg(F.count("*").alias("n_docs"), F.min("did").alias("first"))
     counts, counts_at = written(counts, "lines-counts")
     enough = F.when(F.col("n_tokens") >= LONG, 2).when(F.col("n_tokens") >= MIN_TOKENS, MIN_DOCS)
+    for n, most in SHORT_DOCS.items():
+        enough = enough.when(F.col("n_tokens") == n, most)
     exact = counts.where(F.col("n_docs") >= enough).where(F.col("fixed") | (F.col("n_tokens") >= MIN_TOKENS)).select("leaf", "line", "first")
     judged = counts.where(F.col("n_tokens") >= MIN_TOKENS)
     modal = _general(docs, lines, judged).where(F.col("n_docs") >= enough).select("leaf", "line", "first")
@@ -142,11 +147,31 @@ def recurring_whole(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return table, lines
 
 
+def _passages(lines: DataFrame) -> DataFrame:
+    """(did, text_key, line_no) of the lines in passages that an earlier document has too.
+
+    From each line on, and up to each line, a passage is the fewest consecutive lines that have LONG tokens together. Both
+    kinds within a run of shared lines cover it, so no pair of documents has to be joined."""
+    text = Window.partitionBy("did", "text_key")
+    at = text.orderBy("line_no")
+    each = lines.select("did", "text_key", "line_no", "n_tokens", F.xxhash64("leaf", "line").alias("h"))
+    each = each.withColumn("last", F.lag("line_no").over(at)).where("last is null or last <> line_no")  # repeated rows
+    each = each.withColumn("stop", F.sum("n_tokens").over(at.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).withColumn("start", F.col("stop") - F.col("n_tokens"))
+    after, before = text.orderBy("start").rangeBetween(0, LONG - 1), text.orderBy("stop").rangeBetween(1 - LONG, 0)
+    part = lambda w: F.struct(F.xxhash64(F.collect_list("h").over(w)).alias("passage"), F.sum("n_tokens").over(w).alias("n"), F.min("line_no").over(w).alias("low"), F.max("line_no").over(w).alias("high"))
+    both = each.select("did", "text_key", part(after).alias("a"), part(before).alias("b")).select("did", "text_key", F.explode(F.array("a", "b")).alias("p")).select("did", "text_key", "p.*")
+    both, _ = written(both.where(F.col("n") >= LONG).drop("n"), "lines-passages")
+    shared = both.groupBy("passage").agg(F.min("did").alias("first"), F.max("did").alias("other")).where("first <> other").drop("other")
+    return both.join(shared, "passage").where(F.col("did") > F.col("first")).select("did", "text_key", F.explode(F.sequence("low", "high")).alias("line_no"))
+
+
 def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """docs with `text` without its dropped lines, n_lines and n_dropped (long). whole: by all templates."""
+    """docs with `text` without its dropped lines, n_lines and n_dropped (long). whole: by all templates, short lines and passages."""
     table, lines = recurring_whole(docs) if whole else recurring(docs)
     table = broadcast_if(table, table.count(), BROADCAST_ROWS)
     gone = lines.join(table, ["leaf", "line"]).where(F.col("did") > F.col("first")).select("did", "text_key", "line_no")
+    if whole:
+        gone = gone.unionByName(_passages(lines))
     dropped = gone.groupBy("did", "text_key").agg(F.collect_set("line_no").alias("__drop"))
     dropped, _ = written(dropped.withColumnsRenamed({"did": "__did", "text_key": "__key"}), "lines-dropped")
     docs = docs.drop("n_lines", "n_dropped")

@@ -61,6 +61,22 @@ def test_fields_in_lines_of_few_tokens(spark):
     assert all(n == 0 for _, n in few.values())
 
 
+def test_short_lines_recur_from_more_documents_on(spark):
+    rows = [(i, f"{chr(97 + i)}{chr(98 + i)} own words of this text\nAll rights reserved.\n\n12") for i in range(25)]
+    got = whole_of(spark, rows)
+    assert got[0] == (rows[0][1], 0) and all(got[i] == (rows[i][1].replace("All rights reserved.\n", ""), 1) for i in range(1, 25))
+    assert all(n == 0 for _, n in whole_of(spark, rows[:5]).values())
+
+
+def test_passages_of_several_lines_in_two_documents(spark):
+    lines = [" ".join(f"{chr(97 + i)}{chr(97 + k)}" for k in range(n)) for i, n in enumerate([9, 3, 12, 1, 8, 14, 5])]
+    passage = "\n".join(lines)
+    few = "\n".join(" ".join(f"z{chr(97 + i)}{chr(97 + k)}" for k in range(13)) for i in range(3))  # 39 tokens
+    got = whole_of(spark, [(1, f"first\n{passage}\nmore"), (2, f"head\n{passage}\ntail"), (2, f"head\n{passage}\ntail"), (3, f"{few}\nother"), (6, f"{few}\nanother"), (4, None), (5, "")])
+    assert got[1][1] == 0 and got[2] == ("head\ntail", len(lines)) and got[3][1] == got[6][1] == 0
+    assert line_dedup.dedup_lines(frame(spark), whole=True).count() == len(AWKWARD) and line_dedup.dedup_lines(empty(spark), whole=True).count() == 0
+
+
 def test_awkward_lines(spark):
     got = line_dedup.dedup_lines(frame(spark))
     assert got.count() == len(AWKWARD) and "extra" in got.columns
