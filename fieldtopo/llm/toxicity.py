@@ -3,8 +3,8 @@
 The kernel compares words by their subsequences of three characters that span at most five, each weighing DECAY to the number
 of skipped characters, so `idiot`, `id-iot`, `i.d.i.o.t` and `loweischaft` / `loweient` stay near each other. Runs of single
 characters (`i d i o t`) are read as one word too. A text's feature for a landmark word is the largest normalised kernel value
-that any of its words reaches (0 below FLOOR); the features are whitened by the landmarks' own kernel matrix (Nystroem), and a
-linear SVM with a squared hinge is fitted on them and calibrated by a logistic curve.
+that any of its words reaches (0 below FLOOR; long words and runs are read in overlapping WINDOWS, as their norm would hide what
+they hold); the features are whitened by the landmarks' own kernel matrix (Nystroem), and a linear SVM with a squared hinge is fitted on them and calibrated by a logistic curve.
 
 Learning reads a sample of labelled rows of bounded expected size (`max_train` per label). Words are counted by Spark; the
 driver gets landmark candidates (`CANDIDATES` words) and the sample's feature rows, never its texts.
@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 
 DECAY, FLOOR, LANDMARKS, CANDIDATES, MAX_TRAIN, CACHE = 0.5, 0.35, 96, 600, 4000, 300_000
 SKIPS = [(1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2)]  # steps to the second and third character: spans 3, 4, 4, 5, 5, 5
+WINDOWS, WHOLE = [(6, 2), (10, 4), (28, 14)], 64  # lengths and steps, for words longer than all of them; words up to WHOLE are read as they stand too
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:\S\s+){2,}\S(?=\s|$)")
 _EDGES = ".,;:!?\"'()[]{}<>*_-#$%&/\\|~`^+=@"
 
@@ -56,13 +57,24 @@ def profile(word: str) -> dict[str, float]:
 
 
 def clean(word: str) -> str:
-    return word.strip(_EDGES)[:64]
+    return word.strip(_EDGES)
+
+
+def pieces(word: str) -> set[str]:
+    """What a word is read by: itself, or, where it is long, its windows. Those of 6 hold any word of up to five letters, those of
+    10 any of up to seven or seven letters at least of a longer one, and neither has so much else that the norm hides it."""
+    if len(word) <= WINDOWS[-1][0]:
+        return {word}
+    out = {word[max(0, min(i, len(word) - n)) :][:n] for n, step in WINDOWS for i in range(0, len(word) - n + step, step)}
+    return out | {word} if len(word) <= WHOLE else out
 
 
 def forms(token: str) -> set[str]:
-    """How a token is read: without punctuation at its ends, and without any inside."""
+    """How a token is read: without punctuation at its ends, and without any inside; long ones by windows."""
     word = clean(token).replace("\x00", " ")
-    return {word} if word.isalnum() else {word, "".join(filter(str.isalnum, word))}
+    if word.isalnum():
+        return pieces(word)
+    return pieces(word) | pieces("".join(filter(str.isalnum, word)))
 
 
 class Featuriser:
@@ -217,7 +229,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: dict[str, list[int]] = {}
         for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
-            for w in {clean(t) for t in words_of(text.as_py())}:
+            for w in {p for t in words_of(text.as_py()) for p in pieces(clean(t))}:
                 if len(w) >= 4:
                     counts.setdefault(w, [0, 0])[toxic.as_py()] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], ["word", "n1", "n0"])

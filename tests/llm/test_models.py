@@ -49,6 +49,19 @@ def test_toxicity_tolerates_gaps(spark):
     assert not x[6:].any()
 
 
+def test_toxicity_reads_long_tokens_to_their_end(spark):
+    f = toxicity.Featuriser(["idiot", "worthless", "scum"])
+    rng = np.random.default_rng(3)
+    glue = "".join(rng.choice(list("abefghjklmnpqvxyz"), 3000))
+    letters = "thankyouforthelonglistofnoteswhichwehavereadthismorningyouareanidiot"
+    for i, word in enumerate(["idiot", "worthless", "scum"]):
+        for n in (0, 40, 61, 64, 65, 1000, 1007, 2999):
+            x = f.features([glue[:n] + word, glue[:n] + word + glue[: 3000 - n], ".".join([*glue[:n], *word])])
+            assert (x[:, i] >= toxicity.FLOOR).all(), (word, n)
+    x = f.features([" ".join(letters), " ".join(letters[:-5]), glue])
+    assert x[0, 0] >= toxicity.FLOOR and not x[1:, 0].any()
+
+
 def test_candidates_are_a_superset():
     rng = np.random.default_rng(0)
     f = toxicity.Featuriser(["idiot", "loweischaft", "pathetic"])
