@@ -2,8 +2,8 @@
 
 A profile is a language's most frequent 1- to 3-grams in order. A document gets the language whose profile its own ranking is
 nearest to: each of its n-grams costs the difference of the two ranks, or the profile's length where the profile lacks it.
-Learning takes a sample of labelled rows of bounded expected size (`max_train`), drawn by a hash of the id; counting is done by
-Spark, and only the head of each ranking reaches the driver.
+Learning takes a sample of labelled rows of bounded expected size (`max_train`), drawn by a hash of the id for each language by
+its own share: rare languages give every row, the others the same number; counting is done by Spark, and only the head of each ranking reaches the driver.
 
 Edge cases: null text or a text without a letter gives `und` with score 0. Ties go to the language that sorts first.
 Repeated rows get the same answer. No labelled row at all: every text is `und`. The columns `lang_pred` and `score` are
@@ -65,13 +65,25 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n)], ["lang", "gram", "n"])
 
 
+def shares(rows: dict[str, int], max_train: int) -> dict[str, float]:
+    """The share of its rows that each language gives: the same number of rows each, or all where it has fewer; max_train together."""
+    out, left = {}, float(max_train)
+    for i, (lang, n) in enumerate(sorted(rows.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = min(1.0, left / (len(rows) - i) / n)
+        left -= out[lang] * n
+    return out
+
+
 def learn_profiles(labelled: DataFrame, max_train: int = MAX_TRAIN, size: int = PROFILE) -> dict[str, np.ndarray]:
     """lang -> ranked n-grams, from rows (doc_id, text, lang). About max_train rows at most are read as text."""
     labelled = labelled.where("lang is not null and text is not null")
-    n = labelled.count()
-    share = min(1.0, max_train / max(n, 1))
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("profile")), F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))
-    sample = labelled.where(draw) if share < 1 else labelled
+    share = shares({r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}, max_train)
+    bounds = {lang: int(x * (1 << 30)) for lang, x in share.items() if x < 1}
+    sample = labelled
+    if bounds:
+        bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])[F.col("lang")]
+        drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("profile")), F.lit(1 << 30))
+        sample = labelled.where(drawn < F.coalesce(bound, F.lit(1 << 30)))
     counts = sample.select("text", "lang").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     salt = F.pmod(F.xxhash64("gram"), F.lit(16))
     from pyspark.sql import Window

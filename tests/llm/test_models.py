@@ -25,6 +25,21 @@ def test_language_awkward_rows(spark):
     assert language.learn_profiles(empty(spark).selectExpr("*", "'en' AS lang")) == {}
 
 
+def test_rare_languages_keep_their_profiles(spark):
+    """One language has all but a few rows of many; each of the others is still learnt from all its rows."""
+    rows = [(i, "the quick brown fox and the lazy dog", "en") for i in range(3000)]
+    rows += [(5000 + i, "der schnelle braune fuchs und der faule hund", "de") for i in range(3)] + [(6000, "le renard brun et le chien", "fr")]
+    labelled = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    profiles = language.learn_profiles(labelled, 60)
+    assert sorted(profiles) == ["de", "en", "fr"]
+    assert np.array_equal(profiles["fr"], language.ranking(rows[-1][1]))
+    got = language.identify(spark.createDataFrame([(1, "le chien et le renard")], "doc_id long, text string"), profiles)
+    assert got.first().lang_pred == "fr"
+    share = language.shares({"en": 3000, "de": 3, "fr": 1}, 60)
+    assert share["de"] == share["fr"] == 1.0 and abs(share["en"] * 3000 - 56) < 1e-6
+    assert set(language.shares({"en": 30, "de": 3}, 60).values()) == {1.0}
+
+
 def test_rankings_follow_counts_then_codes():
     grams, counts = language.ngrams("Aa b")
     assert dict(zip(grams.tolist(), counts.tolist(), strict=True))[ord("a")] == 2
