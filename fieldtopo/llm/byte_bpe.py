@@ -1,6 +1,6 @@
 """Byte-level BPE: overlapping chunks are pre-tokenised in parallel, stitched where their boundaries meet again, then encoded.
 
-A text of at most CHUNK code points is one chunk. A longer one becomes rows of overlapping chunks that Spark deals out: each is
+A text of at most CHUNK code points is one chunk, pre-tokenised and encoded by pieces where it is. A longer one becomes rows of overlapping chunks that Spark deals out: each is
 pre-tokenised on its own, and the rows of one text then meet. The pattern never looks behind, so two segmentations that share
 one boundary agree from there on: chunk k is followed up to a boundary that chunk k+1 has too, and k+1 from there. Ends near
 the end of a chunk, or in its last run of white space, are not trusted. Where an overlap holds no common boundary, the text
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CHUNK, OVERLAP, MARGIN = 32_768, 2_048, 4
+CHUNK, OVERLAP, MARGIN = 4_096, 256, 4
 _PIECES = 200_000
 
 
@@ -88,6 +88,9 @@ class _Encoder:
             at = e
         return out
 
+    def whole(self, text: str) -> list[int]:
+        return self.pieces(text, boundaries(self.pattern, text))
+
 
 def _lists(rows: list[list[int]]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
@@ -110,7 +113,7 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                ids = [e.encoder.encode_ordinary(t.as_py() or "") for t in part.column(at)]
+                ids = [e.whole(t.as_py() or "") for t in part.column(at)]
                 more = [pa.array([e.encoder.decode_bytes(x) for x in ids], pa.binary())] if decode else []
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), *more], [f.name for f in schema])
 

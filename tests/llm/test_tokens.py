@@ -39,6 +39,23 @@ def test_stitching_equals_one_pass(size, overlap):
         assert got == byte_bpe.boundaries(pattern, text)
 
 
+def test_one_chunk_texts_are_encoded_by_pieces(monkeypatch):
+    """The library sees pre-tokens only, and ordinary documents are longer than a chunk."""
+    e, calls = byte_bpe._Encoder(BPE, P.PATTERN), []
+    library = e.encoder
+
+    class Recorder:
+        def encode_ordinary(self, text):
+            calls.append(text)
+            return library.encode_ordinary(text)
+
+    monkeypatch.setattr(e, "encoder", Recorder())
+    text = "It's 12 o'clock,  and all is well.\n\n Yes 🙂"
+    assert e.whole(text) == library.encode_ordinary(text)
+    assert len(calls) > 5 and all(byte_bpe.boundaries(e.pattern, c) == [len(c)] for c in calls)
+    assert byte_bpe.CHUNK <= 4_096
+
+
 def test_encode_empty_table(spark):
     assert byte_bpe.encode(empty(spark), BPE, P.PATTERN).count() == 0
 
