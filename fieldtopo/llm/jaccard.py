@@ -8,7 +8,8 @@ Signatures. Linked sets of sizes a and b differ in at most H = (a + b)(den - num
 into tiers (the larger size of a pair decides), and the hash universe of each tier into segments. In a tier for small sets a
 segment is indexed with its one-deletion neighbourhood: (H + 1) / 2 segments are enough, as one of them differs in one element
 at most. For larger sets deletions would cost a row per element, so H + 1 exact segments are indexed; empty segments, which
-many sets share, are passed over (SPARE of them per set) at the price of two spare segments each. That choice is the cost model:
+many sets share, are passed over where spare segments leave more filled ones than elements that differ (a set with too many
+empty segments emits them all: two such sets still meet, and with any other set the filled segments of that one are enough). That choice is the cost model:
 rows written against rows met. A set emits only as many segments as its largest possible partner asks for.
 
 Candidates. Sets that share a signature are first compared with one hub of their bucket, which links most of a group of near
@@ -143,7 +144,9 @@ class Signatures:
             used = most_apart(n, min(top, partner), self.num, self.den) + 1 + 2 * spare
             cut = self._cut(s, m)[: used + 1]
             keep = np.ones(len(cut) - 1, bool)
-            keep[np.flatnonzero(np.diff(cut) == 0)[:spare]] = False
+            empty = np.flatnonzero(np.diff(cut) == 0)
+            if len(empty) <= 2 * spare:  # more filled segments than elements that differ, so one of them is shared
+                keep[empty] = False
             sums = total[cut[1:]] - total[cut[:-1]] + seed + np.arange(len(keep), dtype=np.uint64) * _PLACE[59]
             out.append(mix(sums[keep]))
         return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
