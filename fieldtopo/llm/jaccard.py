@@ -2,22 +2,30 @@
 
 Sets. A document's set holds its distinct shingles of k words (words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased; with fewer words the
 whole sequence; without words it is empty and linked with nothing), as 64-bit hashes. Two sets link when
-den * |intersection| >= num * |union|. Callers choose k, num and den; SHINGLE, NUM and DEN are those of op4_jaccard_join.
-
-Signatures. Linked sets of sizes a and b differ in at most H = (a + b)(den - num) div (den + num) elements. Sizes are cut
-into tiers (the larger size of a pair decides), and the hash universe of each tier into segments. In a tier for small sets a
-segment is indexed with its one-deletion neighbourhood: (H + 1) / 2 segments are enough, as one of them differs in one element
-at most. For larger sets deletions would cost a row per element, so H + 1 exact segments are indexed; empty segments, which
-many sets share, are passed over where spare segments leave more filled ones than elements that differ (a set with too many
-empty segments emits them all: two such sets still meet, and with any other set the filled segments of that one are enough). That choice is the cost model:
-rows written against rows met. A set emits only as many segments as its largest possible partner asks for.
-
-Candidates. Sets that share a signature are first compared with one hub of their bucket, which links most of a group of near
-copies; then, in buckets that still hold several components, with the set that shares most; what is then still apart is compared
-pair by pair, so that no link between components is lost. Every candidate is verified on its whole sets, which are built
-again from the texts of the candidates only. Components are found by spreading the least label over links.
-
-No step gathers a bucket: hubs are aggregates, and pairs come from joins that Spark can split.
+den * |intersection| >= num * |union|, which is when they differ in at most H = (a + b)(den - num) div (den + num) elements.
+Callers choose k, num and den; SHINGLE, NUM and DEN are those of op4_jaccard_join. Equal sets share one 64-bit name.
+
+Signatures. Sizes are cut into tiers (the larger size of a pair decides), and the hash universe of each tier into segments. In a
+tier for small sets a segment is indexed with its one-deletion neighbourhood: (H + 1) / 2 segments are enough, as one of them
+differs in one element at most. For larger sets deletions would cost a row per element, so H + 1 exact segments are indexed;
+empty segments, which many sets share, are passed over where spare segments leave more filled ones than elements that differ (a
+set with too many empty segments emits them all: two such sets still meet, and with any other set the filled segments of that
+one are enough). That choice is the cost model: rows written against rows met. A set emits only as many segments as its largest
+possible partner asks for.
+
+Buckets. Sets that share a signature are compared pair by pair in buckets of at most PAIRS sets, so pairs grow with the rows. In
+a larger bucket (near copies, most of which do not link with each other) each set is held against a core C, the elements that most of
+REFERENCES sampled sets have. With D = set xor C, a pair differs in |Dx| + |Dy| - 2 |Dx and Dy| elements. Either that is at most H
+whatever the overlap, and then both link with the set of least (den + num) |D| - (den - num) |set|, so a star holds all such
+pairs; or the D's share at least (|Dx| + |Dy| - H) / 2 elements, and then the first H + 1 of each, in one order, have one in
+common (C's own elements last, as the others are rarer). These prefixes are the next signatures, and so on until no bucket that
+holds several components is large. C only decides how much is compared, never what links.
+
+Candidates pass a parity sketch (a bit for 2 elements at least, folded to one length: sets differ in no fewer elements than the
+sketches do in bits) and are then verified on whole sets, which are built again from the texts of the candidates only.
+Components are found by spreading the least label over links.
+
+No step gathers a bucket: sizes, hubs and references are aggregates, and pairs come from joins that Spark can split.
 
 Edge cases: null text is an empty set; repeated rows and equal texts share one set; rows of one doc_id with different texts are
 sets of their own; rows without doc_id get the smallest doc_id of their component, or null. Extra columns are ignored.
@@ -29,16 +37,18 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, forget, mix, written
 
 SHINGLE, NUM, DEN = 4, 85, 100
 SMALL, GROWTH = 24, 2**0.5  # sizes up to SMALL use deletions; above, tiers grow by GROWTH
+PAIRS, REFERENCES = 12, 7  # sets in a bucket that is compared pair by pair; sets that vote on a larger one's core
 BROADCAST_IDS = 200_000
-SETS = "doc_id long, n long, h long, sigs array<long>"
+SETS = "doc_id long, n long, h long, key long, sketch binary, sigs array<long>"
 _SLICE = 1 << 19  # bytes of text that are hashed at a time
 
 _rng = np.random.default_rng(20240607)
@@ -176,60 +186,103 @@ def _texts(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
 
 
 def _name(s: np.ndarray) -> int:
-    """A set's 64-bit name (with its size, it stands for the set)."""
-    return int(mix(np.array([mix(s ^ _PLACE[58]).sum(dtype=np.uint64)])).view(np.int64)[0]) if len(s) else 0
+    """A set's 64-bit name, of its elements and its size."""
+    return int(mix(np.array([mix(s ^ _PLACE[58]).sum(dtype=np.uint64) + np.uint64(len(s)) * _PLACE[57]])).view(np.int64)[0]) if len(s) else 0
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the elements by the low bits of their hashes, in a power of two of bits (64 and 2 per element at least)."""
+    if not len(s):
+        return b""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1, bitorder="little").tobytes()
+
+
+def sketches_apart(a: bytes, b: bytes) -> int:
+    """A lower bound of the elements in which two sets differ. Halves laid on each other give the sketch of half the length."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
 def _sign(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
-    signatures = Signatures(num, den)
+    """A set that this task has had before is not signed again: copies cost no rows."""
+    signatures, seen = Signatures(num, den), set()
     for batch in batches:
         row = 0
         for sets in _texts(batch.column(1), k):
-            sigs = [signatures.of(s).view(np.int64) for s in sets]
+            names, sigs, sketches = [_name(s) for s in sets], [], []
+            for s, h in zip(sets, names, strict=True):
+                fresh = len(s) and h not in seen
+                seen.add(h)
+                sigs.append(signatures.of(s).view(np.int64) if fresh else np.zeros(0, np.int64))
+                sketches.append(sketch(s) if fresh else None)
             offsets = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
-            ids = batch.column(0).slice(row, len(sets))
-            yield pa.RecordBatch.from_arrays([ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()), lists], ["doc_id", "n", "h", "sigs"])
+            ids, keys = batch.column(0).slice(row, len(sets)), batch.column(2).slice(row, len(sets))
+            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), keys, pa.array(sketches, pa.binary()), lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h", "key", "sketch", "sigs"])
             row += len(sets)
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for sets in _texts(batch.column(0), k):
-            yield pa.RecordBatch.from_arrays([pa.array([len(s) for s in sets], pa.int64()), pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["n", "h", "elements"])
+            yield pa.RecordBatch.from_arrays([pa.array([_name(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h", "elements"])
+
+
+def _near(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose sketches do not rule them out."""
+    for batch in batches:
+        keep = [sketches_apart(a, b) <= most_apart(n, m, num, den) for a, b, n, m in zip(*(batch.column(c).to_pylist() for c in ("s1", "s2", "n1", "n2")), strict=True)]
+        yield batch.select(["h1", "h2"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _set(x) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), np.uint64)
+
+
+def _inside(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which elements of the sorted set x the sorted set y has."""
+    return y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x if len(y) else np.zeros(len(x), bool)
 
 
 def _compare(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = []
         for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-            x, y = np.frombuffer(a.as_buffer(), np.uint64), np.frombuffer(b.as_buffer(), np.uint64)
-            both = int(np.count_nonzero(y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x))
+            x, y = _set(a), _set(b)
+            both = int(np.count_nonzero(_inside(x, y)))
             keep.append(den * both >= num * (len(x) + len(y) - both))
         yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
 
 
-def _node(h: str = "h", n: str = "n") -> Column:
-    return F.concat_ws("-", F.hex(h), F.col(n).cast("string"))
+def _core(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The elements that most of a hub's reference sets (REFERENCES rows at most) have."""
+    found, n = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["elements"]]), return_counts=True)
+    return pd.DataFrame({"hub": pdf["hub"].iloc[:1], "core": [found[2 * n > len(pdf)].tobytes()]})
 
 
-def _verify(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, list[str]]:
-    """Linked node pairs (u, v) among candidate pairs (h1, n1, h2, n2); and the written tables."""
-    sides = pairs.select(F.col("h1").alias("h"), F.col("n1").alias("n")).unionByName(pairs.select(F.col("h2").alias("h"), F.col("n2").alias("n"))).distinct()
-    ids, ids_at = written(nodes.join(sides, ["h", "n"], "left_semi").select("doc_id").distinct(), "sets-ids")
-    few = broadcast_if(ids, ids.count(), BROADCAST_IDS)
-    texts = docs.select("doc_id", "text").join(few, docs["doc_id"].eqNullSafe(few["doc_id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(partial(_whole_sets, k=k), "n long, h long, elements binary").groupBy("h", "n").agg(F.min("elements").alias("elements"))
-    sets, sets_at = written(sets.withColumn("node", _node()), "sets-whole")
-    left = pairs.join(sets.select(F.col("h").alias("h1"), F.col("n").alias("n1"), F.col("node").alias("u"), F.col("elements").alias("a")), ["h1", "n1"])
-    both = left.join(sets.select(F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("node").alias("v"), F.col("elements").alias("b")), ["h2", "n2"])
-    links, links_at = written(both.select("u", "v", "a", "b").mapInArrow(partial(_compare, num=num, den=den), "u string, v string"), "sets-links")
-    forget(docs.sparkSession, ids_at, sets_at)
-    return links, [links_at]
+def _prefixes(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
+    """Each set's rank for the star of its hub, and the first elements of what it and the core do not share."""
+    for batch in batches:
+        rank, out = [], []
+        for hub, n, a, b in zip(batch.column("hub").to_pylist(), batch.column("n").to_pylist(), batch.column("elements"), batch.column("core"), strict=True):
+            x, core, seed = _set(a), _set(b), mix(np.array([hub], np.int64).view(np.uint64))
+            more, less = mix(x[~_inside(x, core)] ^ seed), mix(core[~_inside(core, x)] ^ seed)
+            apart = np.concatenate((np.sort(more), np.sort(less)))
+            rank.append((den + num) * len(apart) - (den - num) * n)
+            out.append(apart[: most_apart(n, n * den // num, num, den) + 1].view(np.int64))
+        offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
+        yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("h"), batch.column("n"), pa.array(rank, pa.int64()), lists], ["hub", "h", "n", "rank", "sigs"])
 
 
 def components(links: DataFrame) -> tuple[DataFrame, str]:
-    """(node, label): the least node of each component, by spreading labels over links and following them."""
+    """(node, label): the least node of each component of links (u, v), by spreading labels over links and following them."""
     spark = links.sparkSession
     edges, edges_at = written(links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).where("u <> v").distinct(), "graph-edges")
     labels, at = written(edges.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("label")), "graph-labels")
@@ -247,75 +300,135 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
             return labels, at
 
 
-def _apart(shared: DataFrame, labels: DataFrame) -> tuple[DataFrame, str]:
-    """shared with each row's component, for the buckets that hold more than one."""
-    c, c_at = written(shared.withColumn("node", _node()).join(labels, "node", "left").withColumn("c", F.coalesce("label", "node")).drop("label", "node"), "sets-labelled")
-    several, several_at = written(c.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("sig"), "sets-several")
-    out, out_at = written(c.join(several, "sig", "left_semi"), "sets-apart")
-    forget(shared.sparkSession, c_at, several_at)
-    return out, out_at
-
+def _apart(buckets: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, str]:
+    """sig, h, n, the set's component c and the bucket's size k, of the buckets that hold several components."""
+    c = buckets.withColumn("c", F.col("h")) if labels is None else buckets.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("label", "h")).drop("label")
+    several = c.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("k")).where("c0 <> c1").select("sig", "k")
+    return written(c.join(several, "sig"), "sets-apart")
+
+
+def _pairs(apart: DataFrame, num: int, den: int) -> DataFrame:
+    """Pairs within the small buckets: of different components, and of sizes that can link."""
+    side = lambda i: apart.where(F.col("k") <= PAIRS).select("sig", F.col("h").alias(f"h{i}"), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}"))
+    fits = f"h1 < h2 and c1 <> c2 and {den} * least(n1, n2) >= {num} * greatest(n1, n2)"
+    return side(1).join(side(2), "sig").where(fits).select("h1", "h2").distinct()
+
+
+def _groups(apart: DataFrame) -> DataFrame:
+    """hub, h, n: the large buckets by their hubs, the sets that are in most of them."""
+    large = apart.where(F.col("k") > PAIRS).select("sig", "h", "n")
+    weight = large.groupBy("h").agg(F.count("*").alias("w"))
+    hubs = large.join(weight, "h").groupBy("sig").agg(F.max(F.struct("w", "h")).alias("m")).select("sig", F.col("m.h").alias("hub"))
+    return large.join(hubs, "sig").select("hub", "h", "n").distinct()
+
+
+class _Join:
+    """The sets of one table, and what is asked of them."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int):
+        self.docs, self.nodes, self.k, self.num, self.den = docs, nodes, k, num, den
+        self.sets: DataFrame | None = None
+        self.used: list[str] = []
+
+    def keep(self, df: DataFrame, tag: str) -> DataFrame:
+        df, at = written(df, tag)
+        self.used.append(at)
+        return df
+
+    def near(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (h1, h2) that the sketches leave."""
+        side = lambda i: self.nodes.select(F.col("h").alias(f"h{i}"), F.col("n").alias(f"n{i}"), F.col("sketch").alias(f"s{i}"))
+        both = pairs.join(side(1), "h1").join(side(2), "h2").select("h1", "h2", "n1", "n2", "s1", "s2")
+        return self.keep(both.mapInArrow(partial(_near, num=self.num, den=self.den), "h1 long, h2 long"), "sets-near")
+
+    def fetch(self, names: DataFrame) -> None:
+        """Whole sets of the names (h), built from one text of each."""
+        ids, ids_at = written(self.nodes.join(names.distinct(), "h", "left_semi").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "sets-ids")
+        few = broadcast_if(ids.select("__id").distinct(), ids.count(), BROADCAST_IDS)
+        texts = self.docs.join(few, self.docs["doc_id"].eqNullSafe(few["__id"]), "left_semi").select("text")
+        made = texts.mapInArrow(partial(_whole_sets, k=self.k), "h long, elements binary").join(ids.select(F.col("__h").alias("h")), "h", "left_semi")
+        self.sets = self.keep(made.groupBy("h").agg(F.min("elements").alias("elements")), "sets-whole")
+        forget(self.docs.sparkSession, ids_at)
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The linked ones (u, v) of pairs (h1, h2)."""
+        side = lambda i, x: self.sets.select(F.col("h").alias(f"h{i}"), F.col("elements").alias(x))
+        both = pairs.join(side(1, "a"), "h1").join(side(2, "b"), "h2").select(F.col("h1").alias("u"), F.col("h2").alias("v"), "a", "b")
+        return self.keep(both.mapInArrow(partial(_compare, num=self.num, den=self.den), "u long, v long"), "sets-links")
+
+    def centred(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Star links (u, v) of each group, and the next buckets (sig, h, n)."""
+        lots = groups.groupBy("hub").agg(*[F.min(F.struct(F.xxhash64("h", F.lit(i)), "h")).alias(f"m{i}") for i in range(REFERENCES)])
+        references = lots.select("hub", F.explode(F.array_distinct(F.array(*[F.col(f"m{i}.h") for i in range(REFERENCES)]))).alias("h"))
+        core = self.keep(references.join(self.sets, "h").select("hub", "elements").groupBy("hub").applyInPandas(_core, "hub long, core binary"), "sets-core")
+        placed = groups.join(self.sets, "h").join(core, "hub").select("hub", "h", "n", "elements", "core")
+        placed = self.keep(placed.mapInArrow(partial(_prefixes, num=self.num, den=self.den), "hub long, h long, n long, rank long, sigs array<long>"), "sets-centred")
+        star = placed.groupBy("hub").agg(F.min(F.struct("rank", "h")).alias("m")).select("hub", F.col("m.rank").alias("least"), F.col("m.h").alias("v"))
+        stars = self.keep(placed.select("hub", "rank", "h").join(star, "hub").where("rank + least <= 0 and h <> v").select(F.col("h").alias("u"), "v").distinct(), "sets-links")
+        return stars, placed.select("h", "n", F.explode("sigs").alias("sig")).select("sig", "h", "n").distinct()
+
+
+def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """doc_id, key (a hash of the text), n, h, label (the component, null: linked with nothing else) and component_id of every row of docs."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    signed, _ = written(docs.withColumn("key", F.xxhash64("text")).mapInArrow(partial(_sign, k=k, num=num, den=den), SETS), "sets")
+    some = signed.where("n > 0")
+    nodes, nodes_at = written(some.groupBy("h").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("doc_id").alias("last"), F.min("sketch").alias("sketch")), "sets-nodes")
+    join = _Join(docs, nodes, k, num, den)
+
+    rows = some.select("h", F.explode("sigs").alias("sig"))
+    several = rows.groupBy("sig").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("sig")
+    buckets = rows.join(several, "sig").distinct().join(nodes.select("h", "n"), "h")
+    labels, labels_at, links = None, None, None
+    while True:
+        apart, at = _apart(buckets, labels)
+        join.used.append(at)
+        pairs, groups = join.near(_pairs(apart, num, den)), join.keep(_groups(apart), "sets-groups")
+        if labels is None:  # later levels hold no other sets than these
+            join.fetch(pairs.select(F.col("h1").alias("h")).unionByName(pairs.select(F.col("h2").alias("h"))).unionByName(groups.select("h")))
+        found = join.verified(pairs)
+        large = groups.limit(1).count()
+        if large:
+            stars, buckets = join.centred(groups)
+            found = found.unionByName(stars)
+        links = found if links is None else links.unionByName(found)
+        if labels_at:
+            forget(spark, labels_at)
+        labels, labels_at = components(links)
+        if not large:
+            break
 
-def _fits(num: int, den: int) -> str:
-    return f"n1 > 0 and n2 > 0 and {den} * least(n1, n2) >= {num} * greatest(n1, n2)"
+    # Only sets with copies or links need their component looked up.
+    named = nodes.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
+    least = named.groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    known = named.join(least, "label").where("label <> h or copies > 1 or component_id <> doc_id or last <> doc_id").select("h", "label", "component_id")
+    known, _ = written(known, "sets-components")
+    forget(spark, labels_at, nodes_at, *join.used)
+    out = signed.select("doc_id", "key", "n", "h").join(known, "h", "left")
+    return out.withColumn("label", F.when(F.col("n") > 0, F.coalesce("label", "h"))).withColumn("component_id", F.coalesce("component_id", "doc_id"))
 
 
 def similarity_classes(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id that links lead to) of every row of docs (doc_id, text)."""
-    spark, fits = docs.sparkSession, _fits(num, den)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    signed, signed_at = written(docs.mapInArrow(partial(_sign, k=k, num=num, den=den), SETS), "sets")
-    nodes, nodes_at = written(signed.where("n > 0").groupBy("h", "n").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("doc_id").alias("last")), "sets-nodes")
-
-    rows = signed.where("n > 0").select("h", "n", F.explode("sigs").alias("sig"))
-    hubs, hubs_at = written(rows.groupBy("sig").agg(F.min("h").alias("hub"), F.max("h").alias("far")).where("hub <> far").select("sig", "hub"), "sets-hubs")
-    shared, shared_at = written(rows.join(hubs, "sig").distinct(), "sets-shared")
-    names = nodes.select(F.col("h").alias("h2"), F.col("n").alias("n2"))
-    stars = shared.where("h <> hub").select(F.col("h").alias("h1"), F.col("n").alias("n1"), F.col("hub").alias("h2")).distinct().join(names, "h2").where(fits)
-    stars, stars_at = written(stars, "sets-stars")
-    links, used = _verify(stars, nodes, docs, k, num, den)
-    labels, labels_at = components(links)
-
-    # A second hub for the buckets that are still apart: the set that shares most.
-    apart, apart_at = _apart(shared, labels)
-    weight = apart.groupBy("h", "n").agg(F.count("*").alias("w"))
-    second = apart.join(weight, ["h", "n"]).groupBy("sig").agg(F.max(F.struct("w", "h", "n", "c")).alias("m")).select("sig", F.col("m.h").alias("h2"), F.col("m.n").alias("n2"), F.col("m.c").alias("c2"))
-    second, second_at = written(second, "sets-second")
-    stars2 = apart.join(second, "sig").where("c <> c2").select(F.col("h").alias("h1"), F.col("n").alias("n1"), "h2", "n2").distinct().where(fits)
-    stars2, stars2_at = written(stars2.join(stars, ["h1", "n1", "h2", "n2"], "left_anti"), "sets-stars")
-    more, used2 = _verify(stars2, nodes, docs, k, num, den)
-    links = links.unionByName(more)
-    forget(spark, labels_at)
-    labels, labels_at = components(links)
-
-    # The rest, pair by pair: only sets of different components that still share a bucket.
-    rest, rest_at = _apart(apart.select("sig", "h", "n"), labels)
-    a, b = rest.select("sig", F.col("h").alias("h1"), F.col("n").alias("n1"), F.col("c").alias("ca")), rest.select("sig", F.col("h").alias("h2"), F.col("n").alias("n2"), F.col("c").alias("cb"))
-    pairs = a.join(b, "sig").where("ca < cb").where(fits).select("h1", "n1", "h2", "n2").distinct()
-    tried = stars.unionByName(stars2)
-    tried = tried.unionByName(tried.select(F.col("h2").alias("h1"), F.col("n2").alias("n1"), F.col("h1").alias("h2"), F.col("n1").alias("n2")))
-    pairs, pairs_at = written(pairs.join(tried, ["h1", "n1", "h2", "n2"], "left_anti"), "sets-rest")
-    last, used3 = _verify(pairs, nodes, docs, k, num, den)
-    if last.limit(1).count():
-        forget(spark, labels_at)
-        labels, labels_at = components(links.unionByName(last))
-    forget(spark, hubs_at, shared_at, stars_at, apart_at, second_at, stars2_at, rest_at, pairs_at, *used, *used2, *used3)
-
-    # Only sets with copies or links need their component looked up.
-    named = nodes.withColumn("node", _node()).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    known = named.join(least, "label").where("copies > 1 or component_id <> doc_id or last <> doc_id").select("h", "n", "component_id")
-    known, _ = written(known, "sets-components")
-    forget(spark, labels_at, nodes_at)
-    return signed.select("doc_id", "n", "h").join(known, ["h", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _classes(docs, k, num, den).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame, k: int = SHINGLE, num: int = NUM, den: int = DEN) -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id (of rows that repeat it with the same text, one). Rows without a doc_id stay only where nothing with one is linked."""
-    found = similarity_classes(docs, k, num, den).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    kept, _ = written(found, "sets-kept")
-    joined = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi").withColumn("__text", F.xxhash64("text"))
-    return joined.dropDuplicates(["doc_id", "__text"]).drop("__text")
+    """docs with one row of each component: that of the smallest doc_id (of its different texts there, one; rows without a doc_id come
+    last). Of rows that repeat a doc_id and its text one stays. Texts without words are linked with nothing and stay."""
+    found = _classes(docs, k, num, den).select("doc_id", "key", "label")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
+    several = found.where("label is not null").groupBy("label").agg(F.min(order).alias("first"), F.count("*").alias("k")).where("k > 1").select("label", "first")
+    rows = found.join(several, "label", "left").groupBy("doc_id", "key").agg(F.count("*").alias("n"), F.first("label").alias("label"), F.first("first").alias("first"))
+    gone = F.col("first").isNotNull() & ~(F.col("first.doc_id").eqNullSafe(F.col("doc_id")) & F.col("first.key").eqNullSafe(F.col("key")))
+    again = (F.col("n") > 1) & (F.col("doc_id").isNotNull() | F.col("label").isNotNull())
+    marked, _ = written(rows.where(gone | again).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), gone.alias("__gone")), "sets-marked")
+    marked = broadcast_if(marked, marked.count(), BROADCAST_IDS)
+    seen = docs.join(marked, docs["doc_id"].cast("long").eqNullSafe(marked["__id"]) & (F.xxhash64(docs["text"]) == marked["__key"]), "left")
+    once = seen.where("__gone is null").select(*[docs[c] for c in docs.columns])
+    repeated = seen.where("not __gone").dropDuplicates(["__id", "__key"]).select(*[docs[c] for c in docs.columns])
+    return once.unionByName(repeated)
 
 
 def op4_jaccard_join(spark, sf_dir: str) -> DataFrame:

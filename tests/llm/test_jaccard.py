@@ -161,3 +161,49 @@ def test_signatures_meet_at_four_fifths():
                 more, k = rng.integers(0, 2**64, extra, dtype=np.uint64), int(rng.integers(0, extra + 1))
                 a, b = np.unique(np.concatenate((common, more[:k]))), np.unique(np.concatenate((common, more[k:])))
                 assert len(np.intersect1d(s.of(a), s.of(b))), (n, extra)
+
+
+def versions(seed, n, words=60):
+    """Copies with few to many edits of a text and of two later versions of it, so that most share buckets and few link."""
+    rng = random.Random(seed)
+    base = [f"v{i}" for i in range(words)]
+    second = base[: words // 2] + [f"x{i}" for i in range(words // 2)]
+    third = second[: words // 4] + ["and"] * 3 + second[words // 4 :]
+    rows = []
+    for i in range(n):
+        copy = list(rng.choice([base, second, third]))
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 4, 5, 6])):
+            copy[rng.randrange(len(copy))] = f"e{rng.randrange(40)}"
+        rows.append((i, " ".join(copy)))
+    return rows
+
+
+def test_large_buckets_of_which_few_link(spark, monkeypatch):
+    rows = versions(21, 160)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert answer(df) == plain(rows)
+    monkeypatch.setattr(j, "PAIRS", 2)  # several levels of cores
+    rows = versions(22, 90, 40) + [(1000 + i, t) for i, t in versions(23, 60, 9)]
+    assert answer(spark.createDataFrame(rows, "doc_id long, text string")) == plain(rows)
+
+
+def test_sketches_never_rule_out_too_much():
+    rng = np.random.default_rng(9)
+    for n, m in [(1, 1), (3, 50), (40, 45), (200, 300), (1000, 20)]:
+        for _ in range(20):
+            common = rng.integers(0, 2**64, min(n, m), dtype=np.uint64)
+            a = np.unique(np.concatenate((common, rng.integers(0, 2**64, n, dtype=np.uint64))))
+            b = np.unique(np.concatenate((common[: m // 2], rng.integers(0, 2**64, m, dtype=np.uint64))))
+            assert j.sketches_apart(j.sketch(a), j.sketch(b)) <= len(np.setxor1d(a, b))
+            assert j.sketches_apart(j.sketch(a), j.sketch(a)) == 0
+
+
+def test_keep_one_goes_by_texts_not_by_ids(spark):
+    text, other, near = (" ".join(f"{p}{i}" for i in range(80)) for p in "tut")
+    near += " end"
+    rows = [(2, text), (6, text), (6, other), (None, text), (6, other), (7, near), (7, near + " of it"), (8, ""), (8, ""), (None, None), (None, None)]
+    got = sorted(((r.doc_id, r.text) for r in j.keep_one(frame(spark, rows)).collect()), key=repr)
+    assert got == sorted([(2, text), (6, other), (8, ""), (None, None), (None, None)], key=repr)
+    two = [(9, near), (9, near + " of it"), (12, near)]
+    assert [r.doc_id for r in j.keep_one(frame(spark, two)).collect()] == [9]
+    assert j.keep_one(frame(spark, rows)).columns == frame(spark, rows).columns
