@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from . import line_dedup as L
-from .pii import BASE_KINDS, BASE_SCORE, CONTEXT, CONTEXT_BONUS, KINDS, THRESHOLD, WINDOW
+from .pii import BASE_KINDS, BASE_SCORE, CONTEXT, CONTEXT_BONUS, IBAN_ENDS, KINDS, THRESHOLD, WINDOW
 from .warc import DATE, TEXT_RULES
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -16,6 +16,7 @@ _PII_PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "secret": r"[A-Za-z0-9+/_-]{20,}",
 }
 _DIGITS = "translate(m, ' +().-', '')"
 _PII_CHECKS = {
@@ -23,23 +24,27 @@ _PII_CHECKS = {
     "ip": "list_bool_and([len(ltrim(p, '0')) <= 3 AND (CASE WHEN ltrim(p, '0') = '' THEN 0 ELSE CAST(left(ltrim(p, '0'), 4) AS INT) END) <= 255 FOR p IN string_split(m, '.')])",
     "card": f"len({_DIGITS}) BETWEEN 12 AND 19 AND list_sum([CASE WHEN (len({_DIGITS}) - i) % 2 = 0 THEN CAST({_DIGITS}[i] AS INT) WHEN CAST({_DIGITS}[i] AS INT) > 4 THEN 2 * CAST({_DIGITS}[i] AS INT) - 9 ELSE 2 * CAST({_DIGITS}[i] AS INT) END FOR i IN range(1, len({_DIGITS}) + 1)]) % 10 = 0",
     "phone": f"len({_DIGITS}) BETWEEN 9 AND 15",
-    "iban": "len(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce([CAST(CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT) FOR c IN list_concat([CAST(0 AS VARCHAR)], string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4], ''))], lambda a, b: (CASE WHEN b < 10 THEN a * 10 + b ELSE a * 100 + b END) % 97) = 1",
     "ssn": "true",
+    "secret": "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]') AND NOT regexp_matches(m, '[/_-]{3}')",
 }
+_IBAN = "len(replace(m, ' ', '')) BETWEEN 15 AND 34 AND list_reduce([CAST(CASE WHEN c BETWEEN '0' AND '9' THEN ascii(c) - 48 ELSE ascii(c) - 55 END AS BIGINT) FOR c IN list_concat([CAST(0 AS VARCHAR)], string_split(replace(m, ' ', '')[5:] || replace(m, ' ', '')[:4], ''))], lambda a, b: (CASE WHEN b < 10 THEN a * 10 + b ELSE a * 100 + b END) % 97) = 1"
 _PII_PARTS = "\n  UNION ALL ".join(
     f"""SELECT rid, {i} AS rank, '{k}' AS kind, {BASE_SCORE[k]} AS base, '{CONTEXT[k]}' AS context, unnest(regexp_extract_all(t, '{p}')) AS m, unnest(list_slice(string_split_regex(t, '{p}'), 1, len(regexp_extract_all(t, '{p}')))) AS gap, unnest(range(1, len(regexp_extract_all(t, '{p}')) + 1)) AS i FROM d"""
     for i, (k, p) in enumerate(_PII_PATTERNS.items())
 )
 _PII_VALID = " ".join(f"WHEN kind = '{k}' THEN {v}" for k, v in _PII_CHECKS.items())
+_TRIES = ["m" if not end else f"regexp_replace(m, '{end}', '')" for end in IBAN_ENDS]
+_PII_FOUND = "CASE WHEN kind <> 'iban' THEN m " + " ".join(f"WHEN {_IBAN.replace('(m, ', f'({t}, ')} THEN {t}" for t in _TRIES) + " END"
 _BASE = ", ".join(f"'{k}'" for k in BASE_KINDS)
 OP2 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t FROM documents),
 raw AS ({_PII_PARTS}),
-placed AS (SELECT *, CAST(sum(len(gap) + len(m)) OVER w AS BIGINT) AS stop FROM raw WINDOW w AS (PARTITION BY rid, kind ORDER BY i ROWS UNBOUNDED PRECEDING)),
-ok AS (SELECT p.rid, kind, rank, stop - len(m) AS start, stop, base + CASE WHEN regexp_matches(substring(d.t, greatest(stop - len(m) - {WINDOW} + 1, 1), least(stop - len(m), {WINDOW})), context) THEN {CONTEXT_BONUS} ELSE 0 END AS score
-  FROM placed p JOIN d USING (rid) WHERE CASE {_PII_VALID} END),
+whole AS (SELECT *, CAST(sum(len(gap) + len(m)) OVER w AS BIGINT) - len(m) AS start FROM raw WINDOW w AS (PARTITION BY rid, kind ORDER BY i ROWS UNBOUNDED PRECEDING)),
+placed AS (SELECT * REPLACE (found AS m), start + len(found) AS stop FROM (SELECT *, {_PII_FOUND} AS found FROM whole) WHERE found IS NOT NULL),
+ok AS (SELECT p.rid, kind, rank, start, stop, base + CASE WHEN regexp_matches(substring(d.t, greatest(start - {WINDOW} + 1, 1), least(start, {WINDOW})), context) THEN {CONTEXT_BONUS} ELSE 0 END AS score
+  FROM placed p JOIN d USING (rid) WHERE CASE {_PII_VALID} ELSE true END),
 kept AS (SELECT *, kind || ':' || start || ':' || stop AS span FROM ok WHERE kind IN ({_BASE}) OR score >= {THRESHOLD}),
-agg AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)}, coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (kind IN ({_BASE})), '') AS base_spans, string_agg(span, ',' ORDER BY start, rank) AS spans FROM kept GROUP BY rid)
-SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN agg USING (rid)"""
+agg AS (SELECT rid, {", ".join(f"count(*) FILTER (kind = '{k}') AS n_{k}" for k in BASE_KINDS)}, coalesce(string_agg(span, ',' ORDER BY start, rank) FILTER (kind IN ({_BASE})), '') AS base_spans, string_agg(span, ',' ORDER BY start, rank) AS spans, count(*) AS n_spans FROM kept GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k}, 0) AS n_{k}" for k in BASE_KINDS)}, sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_spans, 0) AS n_spans FROM d LEFT JOIN agg USING (rid)"""
 assert tuple(_PII_PATTERNS) == KINDS
 
 _WORDS = r"regexp_extract_all(" + _LOWER.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

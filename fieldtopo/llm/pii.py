@@ -1,8 +1,9 @@
 """PII: regular expressions propose spans, checksums confirm them, context words adjust the score. DataFrame functions only.
 
-Kinds, in this order: email, ip, card, phone (the base kinds), iban, ssn (added by the method).
-A base match that fails its check is dropped; it is not retried at another place. An IBAN has to pass mod-97. An SSN-shaped
-number has no checksum, so it counts only where a context word lifts its score to the threshold.
+Kinds, in this order: email, ip, card, phone (the base kinds), iban, ssn, secret (added by the method).
+A base match that fails its check is dropped; it is not retried at another place. An IBAN has to pass mod-97, and where what follows
+it was taken for its end, shorter ends (by one group or by the last few characters) are tried. An SSN-shaped number and a long
+hexadecimal or base64 run (a secret) have no checksum, so they count only where a context word lifts their score to the threshold.
 
 Edge cases: null or empty text has no span. Repeated rows are handled row by row. Positions are code points, end exclusive.
 Clashing column names: the operator adds `spans` (replacing a column of that name) and keeps every other column.
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
+KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "secret")
 BASE_KINDS = KINDS[:4]
 
 # The same matches as the published patterns, written so that long runs cost no stack and no quadratic restarts.
@@ -27,9 +28,10 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?",
     "ssn": r"[0-9]{3}-[0-9]{2}-[0-9]{4}",
+    "secret": r"[A-Za-z0-9+/_-]{20,}",
 }
 # A quick test that every text with a match passes.
-NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]"}
+NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][\\x20-]?[0-9]", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}", "ssn": "[0-9]-[0-9]", "secret": "[A-Za-z0-9+/_-]{20}"}
 _CONTEXT_WORDS = {
     "email": "e-?mail|mail|contact|write",
     "ip": "ip|host|server|address",
@@ -37,9 +39,10 @@ _CONTEXT_WORDS = {
     "phone": "phone|tel|call|mobile|fax",
     "iban": "iban|account|bank|transfer",
     "ssn": "ssn|social|security",
+    "secret": "token|secret|key|apikey|api_key|password|passwd|pwd|auth|bearer|credential|credentials",
 }
 CONTEXT = {k: f"(?i)(?:^|[^a-z0-9])(?:{w})(?:[^a-z0-9]|$)" for k, w in _CONTEXT_WORDS.items()}
-BASE_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
+BASE_SCORE = {"email": 0.8, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3, "secret": 0.3}
 CONTEXT_BONUS, THRESHOLD, WINDOW = 0.2, 0.5, 40
 
 
@@ -78,9 +81,23 @@ def _valid(kind: str, m: Column) -> Column:
     if kind == "iban":
         compact = F.translate(m, " ", "")
         return F.when(F.length(compact).between(15, 34), mod97(compact)).otherwise(False)
+    if kind == "secret":
+        return m.rlike("[0-9]") & m.rlike("[A-Za-z]") & ~m.rlike("[/_-]{3}")
     return F.lit(True)
 
 
+# What an IBAN's match may have taken too much: nothing, the short last group, or up to two groups of four.
+IBAN_ENDS = (r"", r"\x20?[A-Z0-9]{1,3}$", r"\x20?[A-Z0-9]{4}$", r"\x20?[A-Z0-9]{4}\x20?[A-Z0-9]{1,4}$")
+
+
+def _confirmed(kind: str, m: Column) -> Column:
+    """The part of the match that passes its check, or null."""
+    if kind != "iban":
+        return F.when(_valid(kind, m), m)
+    tries = [m if not end else F.regexp_replace(m, end, "") for end in IBAN_ENDS]
+    return F.coalesce(*[F.when(_valid(kind, t), t) for t in tries])
+
+
 def _spans_of(kind: str, text: Column) -> Column:
     """The kind's confirmed spans. The gaps between matches (split) and the matches give every start as a running length."""
     gaps, found = F.split(text, PATTERNS[kind], -1), F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0))
@@ -93,7 +110,8 @@ def _spans_of(kind: str, text: Column) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], F.array(F.struct(begin.alias("start"), end.alias("end"), p["m"].alias("m")))).alias("out"))
 
     placed = F.aggregate(pairs, start, place, lambda acc: acc["out"])
-    kept = F.filter(placed, lambda s: _valid(kind, s["m"]))
+    part = F.transform(placed, lambda s: F.struct(s["start"].alias("start"), _confirmed(kind, s["m"]).alias("m")))
+    kept = F.transform(F.filter(part, lambda s: s["m"].isNotNull()), lambda s: F.struct(s["start"].alias("start"), (s["start"] + F.length(s["m"])).alias("end"), s["m"].alias("m")))
 
     def scored(s: Column) -> Column:
         before = F.substring(text, F.greatest(s["start"] - WINDOW + 1, F.lit(1)), F.least(s["start"], F.lit(WINDOW)))
@@ -145,4 +163,4 @@ def op2_pii_spans(spark, sf_dir: str) -> DataFrame:
     base = F.filter("s", lambda x: x["kind"].isin(*BASE_KINDS))
     count = lambda k: F.size(F.filter("s", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
     joined = lambda s: F.array_join(F.transform(s, lambda x: x["span"]), ",")
-    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
+    return found.select("doc_id", *[count(k) for k in BASE_KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"), F.size("s").cast("long").alias("n_spans"))

@@ -73,3 +73,12 @@ def test_awkward_rows_and_empty_table(spark):
     assert got.count() == df.count() and "extra" in got.columns
     assert pii.find_pii(empty(spark)).count() == 0
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_iban_ends_and_credentials(spark):
+    key = "e7fbfec6a80404dc513b99d3fdbf12ab"
+    texts = ["ES91 2100 0418 4502 0005 1332 PAID by bank", "GB82 WEST 1234 5698 7654 32 AND MORE", f'token = "{key}"', f"commit {key}", "the api_key: " + "abcdefghijklmnopqrstuvwxyz", "ES91 2100 0418 4502 0005 1333 PAID"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.text) for s in r.spans if s.kind in ("iban", "secret")] for r in pii.find_pii(df).collect()}
+    assert got[0] == [("iban", "ES91 2100 0418 4502 0005 1332")] and got[1] == [("iban", "GB82 WEST 1234 5698 7654 32")]
+    assert got[2] == [("secret", key)] and got[3] == got[4] == got[5] == []
