@@ -19,7 +19,8 @@ REFERENCES sampled sets have. With D = set xor C, a pair differs in |Dx| + |Dy|
 whatever the overlap, and then both link with the set of least (den + num) |D| - (den - num) |set|, so a star holds all such
 pairs; or the D's share at least (|Dx| + |Dy| - H) / 2 elements, and then the first H + 1 of each, in one order, have one in
 common (C's own elements last, as the others are rarer). These prefixes are the next signatures, and so on until no bucket that
-holds several components is large. C only decides how much is compared, never what links.
+holds several components is large; what counts as large grows with every level, so few levels are needed and the last always ends.
+C only decides how much is compared, never what links.
 
 Candidates pass a parity sketch (a bit for 2 elements at least, folded to one length: sets differ in no fewer elements than the
 sketches do in bits) and are then verified on whole sets, which are built again from the texts of the candidates only.
@@ -46,7 +47,7 @@ from .common import broadcast_if, forget, mix, written
 
 SHINGLE, NUM, DEN = 4, 85, 100
 SMALL, GROWTH = 24, 2**0.5  # sizes up to SMALL use deletions; above, tiers grow by GROWTH
-PAIRS, REFERENCES = 12, 7  # sets in a bucket that is compared pair by pair; sets that vote on a larger one's core
+PAIRS, STEP, REFERENCES = 16, 4, 7  # sets in a bucket that is compared pair by pair, growing by STEP a level; sets that vote on a larger one's core
 BROADCAST_IDS = 200_000
 SETS = "doc_id long, n long, h long, key long, sketch binary, sigs array<long>"
 _SLICE = 1 << 19  # bytes of text that are hashed at a time
@@ -307,16 +308,16 @@ def _apart(buckets: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, str
     return written(c.join(several, "sig"), "sets-apart")
 
 
-def _pairs(apart: DataFrame, num: int, den: int) -> DataFrame:
+def _pairs(apart: DataFrame, most: int, num: int, den: int) -> DataFrame:
     """Pairs within the small buckets: of different components, and of sizes that can link."""
-    side = lambda i: apart.where(F.col("k") <= PAIRS).select("sig", F.col("h").alias(f"h{i}"), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}"))
+    side = lambda i: apart.where(F.col("k") <= most).select("sig", F.col("h").alias(f"h{i}"), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}"))
     fits = f"h1 < h2 and c1 <> c2 and {den} * least(n1, n2) >= {num} * greatest(n1, n2)"
     return side(1).join(side(2), "sig").where(fits).select("h1", "h2").distinct()
 
 
-def _groups(apart: DataFrame) -> DataFrame:
+def _groups(apart: DataFrame, most: int) -> DataFrame:
     """hub, h, n: the large buckets by their hubs, the sets that are in most of them."""
-    large = apart.where(F.col("k") > PAIRS).select("sig", "h", "n")
+    large = apart.where(F.col("k") > most).select("sig", "h", "n")
     weight = large.groupBy("h").agg(F.count("*").alias("w"))
     hubs = large.join(weight, "h").groupBy("sig").agg(F.max(F.struct("w", "h")).alias("m")).select("sig", F.col("m.h").alias("hub"))
     return large.join(hubs, "sig").select("hub", "h", "n").distinct()
@@ -380,11 +381,11 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     rows = some.select("h", F.explode("sigs").alias("sig"))
     several = rows.groupBy("sig").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("sig")
     buckets = rows.join(several, "sig").distinct().join(nodes.select("h", "n"), "h")
-    labels, labels_at, links = None, None, None
+    labels, labels_at, links, most = None, None, None, PAIRS
     while True:
         apart, at = _apart(buckets, labels)
         join.used.append(at)
-        pairs, groups = join.near(_pairs(apart, num, den)), join.keep(_groups(apart), "sets-groups")
+        pairs, groups = join.near(_pairs(apart, most, num, den)), join.keep(_groups(apart, most), "sets-groups")
         if labels is None:  # later levels hold no other sets than these
             join.fetch(pairs.select(F.col("h1").alias("h")).unionByName(pairs.select(F.col("h2").alias("h"))).unionByName(groups.select("h")))
         found = join.verified(pairs)
@@ -398,6 +399,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         labels, labels_at = components(links)
         if not large:
             break
+        most *= STEP
 
     # Only sets with copies or links need their component looked up.
     named = nodes.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("label", F.coalesce("label", "h"))
