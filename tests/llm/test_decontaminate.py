@@ -70,3 +70,19 @@ def test_empty_tables(spark):
     assert d.contamination(empty(spark), items).count() == 0
     assert d.contamination(frame(spark).select("doc_id", "text"), none).where("n_hit > 0").count() == 0
     assert d.contamination(frame(spark), none).count() == frame(spark).count()
+
+
+def test_cutting_keeps_columns_of_its_own_names(spark):
+    docs = spark.createDataFrame([(1, f"Before, {ITEM}! After (it) with some more words behind.", "mine"), (2, "clean", "kept")], "doc_id long, text string, hit_spans string")
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = {r.doc_id: r for r in d.cut_out(docs, items).collect()}
+    assert got[1].hit_spans == "mine" and "Alpha" not in got[1].text and got[2].text == "clean"
+
+
+def test_cutting_without_broadcast_is_the_same(spark, monkeypatch):
+    docs = frame(spark, DOCS)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = sorted(map(repr, d.cut_out(docs, items, 0.5).collect()))
+    monkeypatch.setattr(d, "BROADCAST_HITS", 0)
+    monkeypatch.setattr(d, "BROADCAST_WINDOWS", 0)
+    assert sorted(map(repr, d.cut_out(docs, items, 0.5).collect())) == want
