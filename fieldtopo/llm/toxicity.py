@@ -6,8 +6,8 @@ characters (`i d i o t`) are read as one word too. A text's feature for a landma
 that any of its words reaches (0 below FLOOR; long words and runs are read in overlapping WINDOWS, as their norm would hide what
 they hold); the features are whitened by the landmarks' own kernel matrix (Nystroem), and a linear SVM with a squared hinge is fitted on them and calibrated by a logistic curve.
 
-Learning reads a sample of labelled rows of bounded expected size (`max_train` per label). Words are counted by Spark; the
-driver gets landmark candidates (`CANDIDATES` words) and the sample's feature rows, never its texts.
+Learning reads a sample of labelled rows of bounded expected size (`max_train` per label); the labels are drawn first and then
+broadcast, so that other texts are not read for it. Words are counted by Spark; the driver gets landmark candidates (`CANDIDATES` words) and the sample's feature rows, never its texts.
 
 Edge cases: null and empty texts get the score of a text without any similar word. Without both labels in the sample every score is 0.
 Repeated rows get the same score; whole texts are read whatever their length. `score` is replaced where the input has it.
@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import broadcast_if, forget, written
+
 DECAY, FLOOR, LANDMARKS, CANDIDATES, MAX_TRAIN, CACHE = 0.5, 0.35, 96, 600, 4000, 300_000
 SKIPS = [(1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2)]  # steps to the second and third character: spans 3, 4, 4, 5, 5, 5
 WINDOWS, WHOLE = [(6, 2), (10, 4), (28, 14)], 64  # lengths and steps, for words longer than all of them; words up to WHOLE are read as they stand too
@@ -248,18 +250,34 @@ def _choose(candidates: list[str], most: int) -> list[str]:
     return [w for w, _, _ in chosen]
 
 
+def draw(labels: DataFrame, max_train: int = MAX_TRAIN) -> DataFrame:
+    """Rows of labels (doc_id, toxic 0/1, and more), about max_train of each label at most, drawn by a hash of the id."""
+    labels = labels.where(F.col("toxic").isin(0, 1))
+    n = {r["toxic"]: r["count"] for r in labels.groupBy("toxic").count().collect()}
+    bound = {k: int(min(1.0, max_train / n[k]) * (1 << 30)) if k in n else 0 for k in (0, 1)}
+    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1 << 30))
+    return labels.where(drawn < F.when(F.col("toxic") == 1, bound[1]).otherwise(bound[0]))
+
+
 def train(labelled: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LANDMARKS) -> Model | None:
-    """Fit on rows (doc_id, text, toxic 0/1); about max_train rows of each label at most are read as text."""
-    labelled = labelled.where(F.col("toxic").isin(0, 1))
-    n = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+    """Fit on rows (doc_id, text, toxic 0/1); about max_train rows of each label at most are used."""
+    return fit(draw(labelled, max_train), landmarks)
+
+
+def fit(sample: DataFrame, landmarks: int = LANDMARKS) -> Model | None:
+    """Fit on all rows (text, toxic 0/1) of a bounded sample, which is written first, as it is read three times."""
+    sample, sample_at = written(sample.select("text", F.col("toxic").cast("int").alias("toxic")), "toxicity-sample")
+    model = _fit(sample, landmarks)
+    forget(sample.sparkSession, sample_at)
+    return model
+
+
+def _fit(sample: DataFrame, landmarks: int) -> Model | None:
+    n = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
     if len(n) < 2:
         return None
-    share = {k: min(1.0, max_train / v) for k, v in n.items()}
-    drawn = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("toxicity")), F.lit(1 << 30))
-    sample = labelled.where(drawn < F.when(F.col("toxic") == 1, int(share[1] * (1 << 30))).otherwise(int(share[0] * (1 << 30))))
-    counts = sample.select("text", F.col("toxic").cast("int")).mapInArrow(_words, "word string, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
-    rows1, rows0 = n[1] * share[1], n[0] * share[0]
-    lift = F.log((F.col("n1") + 0.5) / F.lit(rows1 + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(rows0 + 1.0))
+    counts = sample.mapInArrow(_words, "word string, n1 long, n0 long").groupBy("word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    lift = F.log((F.col("n1") + 0.5) / F.lit(n[1] + 1.0)) - F.log((F.col("n0") + 0.5) / F.lit(n[0] + 1.0))
     ranked = counts.where("n1 >= 2").withColumn("z", lift / F.sqrt(1 / (F.col("n1") + 0.5) + 1 / (F.col("n0") + 0.5))).where("z > 2")
     chosen = _choose([r["word"] for r in ranked.orderBy(F.desc("z"), "word").limit(CANDIDATES).collect()], landmarks)
     if not chosen:
@@ -270,7 +288,7 @@ def train(labelled: DataFrame, max_train: int = MAX_TRAIN, landmarks: int = LAND
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array(list(f.features(batch.column(0).to_pylist())), pa.list_(pa.float64())), batch.column(1)], ["x", "toxic"])
 
-    rows = sample.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(featurise, "x array<double>, toxic int").toPandas()
+    rows = sample.mapInArrow(featurise, "x array<double>, toxic int").toPandas()
     x, label = np.stack(rows["x"]), rows["toxic"].to_numpy().astype(float)
     order = np.lexsort(np.column_stack([x, label]).T)  # one order whatever the partitions
     x, label = x[order], label[order]
@@ -308,6 +326,8 @@ def held_out() -> Column:
 def op1_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where("doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    model = train(docs.where(~held_out()).join(labels, "doc_id"))
+    drawn, drawn_at = written(draw(labels.where(~held_out())), "toxicity-labels")
+    model = fit(docs.join(broadcast_if(drawn, drawn.count(), 4 * MAX_TRAIN), "doc_id"))
+    forget(spark, drawn_at)
     scored = score_toxicity(docs, model)
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
