@@ -9,7 +9,7 @@ row per record, so a reader can take records in any order or any subset.
 Executors write through pyarrow's file systems to a temporary name and rename it when the file is complete: a task that runs again
 (lost executor, speculation) replaces the same bytes. Only one number per file goes to the driver.
 
-Edge cases: null text counts as empty and holds the end id alone. Repeated rows are separate records, in an order made
+Edge cases: null text counts as empty and holds the end id alone. The strings of special tokens get their ids, as in the library. Repeated rows are separate records, in an order made
 definite by the text's hash. An empty table gives an empty index. Columns other than doc_id and text are not written.
 """
 
@@ -70,7 +70,8 @@ class WordEncoder:
 
     In a simple text these are its pre-tokens (`[letters]+`, one digit, other characters, contractions); they go to the
     library many at a time, each ending at the first word-final id. Any other text is cut at ASCII white space only, and the
-    library normalises and splits the words itself.
+    library normalises and splits the words itself. Texts that hold a special token's string go to the library whole, which
+    cuts them at these strings before all else and gives their ids.
     """
 
     def __init__(self, path: str, item: int = ITEM):
@@ -78,7 +79,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)", re.IGNORECASE)
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
         self.final = np.zeros(max(vocabulary.values()) + 1, bool)
         self.final[[i for w, i in vocabulary.items() if w.endswith("</w>")]] = True
@@ -102,6 +103,13 @@ class WordEncoder:
         return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        odd = [i for i, t in enumerate(texts) if t and self.special.search(t)]
+        if odd:
+            plain, texts = list(texts), [None if i in set(odd) else t for i, t in enumerate(texts)]
+            out = self.encode(texts)
+            for i, data in zip(odd, self._alone([plain[i] for i in odd]), strict=True):
+                out[i] = data
+            return out
         simple = [t is not None and _SIMPLE.fullmatch(t) is not None for t in texts]
         cut = [_PIECES.findall(t.lower()) if plain else (t or "").translate(_SPACES).split(" ") for t, plain in zip(texts, simple, strict=True)]
         self.pieces.add(set().union(*(c for c, plain in zip(cut, simple, strict=True) if plain)), self._together)
@@ -137,7 +145,9 @@ def encoder_of(path: str, item: int) -> WordEncoder:
 
 
 def _open(root: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(root)
+    """The folder's file system. Hadoop's names of object stores are those of the same stores here."""
+    scheme, mark, rest = root.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + mark + rest)
 
 
 def write_tokens(docs: DataFrame, root: str, path: str, end_id: int = END_ID, item: int = ITEM) -> DataFrame:

@@ -64,8 +64,7 @@ def test_record_files_round_trip(spark):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
-    rows = [*AWKWARD, (20, "It's Ünder\x1cscore x <|endoftext|> ÀB ΣΑΣ"), (21, "tabs\tand\r\nlines")]
+    rows = [*AWKWARD, (19, "a<|endoftext|>b <|STARTOFTEXT|> <|startoftext|>x"), (20, "It's Ünder\x1cscore x <|endoftext|> ÀB ΣΑΣ"), (21, "tabs\tand\r\nlines")]
     root = shared_path(spark, "test")
     index = token_files.write_tokens(frame(spark, rows), root, WORDS)
     got = token_files.read_tokens(token_files.with_starts(index), root).orderBy("start").collect()
@@ -101,3 +100,28 @@ def test_record_files_of_an_empty_table(spark):
     root = shared_path(spark, "test")
     index = token_files.write_tokens(empty(spark), root, WORDS)
     assert token_files.read_tokens(token_files.with_starts(index), root).count() == 0
+
+
+def test_special_strings_are_what_the_library_makes_of_them():
+    from tokenizers import Tokenizer
+
+    tokenizer, rng = Tokenizer.from_file(WORDS), random.Random(8)
+    encoder = token_files.WordEncoder(WORDS)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endof", "text|>", " ", "a", "It's", "12", "É", "\n", "<|"]
+    texts = ["".join(rng.choices(parts, k=rng.randrange(9))) for _ in range(2000)]
+    for text, data in zip(texts, encoder.encode(texts), strict=True):
+        assert np.frombuffer(data, "<u2").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
+def test_contract_of_op8(spark, sf_dir):
+    from tokenizers import Tokenizer
+
+    from fieldtopo.llm.registry import QUERIES
+
+    tokenizer, start, want = Tokenizer.from_file(WORDS), 0, []
+    for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect():
+        ids = np.asarray([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], "<u4")
+        want.append((r.doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    got = sorted((r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in QUERIES["op8_token_records"](spark, sf_dir).collect())
+    assert got == want
