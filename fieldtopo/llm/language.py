@@ -7,7 +7,7 @@ its own share: rare languages give every row, the others the same number; counti
 
 Edge cases: null text or a text without a letter gives `und` with score 0. Ties go to the language that sorts first.
 Repeated rows get the same answer. No labelled row at all: every text is `und`. The columns `lang_pred` and `score` are
-replaced where the input has columns of these names; other columns are kept.
+replaced where the input has columns of these names (`names` chooses others); other columns are kept.
 """
 
 from __future__ import annotations
@@ -116,11 +116,11 @@ class _Model:
         return best[0], 1.0 - best[1] / self.size
 
 
-def identify(df: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text") -> DataFrame:
-    """df with lang_pred and score (1: the same ranking, 0: nothing in common)."""
-    df = df.drop("lang_pred", "score")
+def identify(df: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "text", names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """df with the predicted language and its score (1: the same ranking, 0: nothing in common), in columns of these names."""
+    df = df.drop(*names)
     at = df.columns.index(text_col)
-    schema = T.StructType([*df.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*df.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _Model(profiles)

@@ -95,3 +95,74 @@ def test_toxicity_awkward_rows(spark):
     assert s[1] > 0.5 > s[2] and s[92] > s[2] and 0 <= s[90] == s[91] < 0.5
     assert toxicity.train(train.where("toxic = 1")) is None
     assert toxicity.score_toxicity(empty(spark), None).count() == 0
+
+
+def test_kernel_equals_a_plain_sum_over_subsequences():
+    """The gap-weighted kernel by its definition: all index triples of a small span."""
+
+    def plain(word):
+        out = {}
+        for i in range(len(word)):
+            for k in range(i + 1, len(word)):
+                for m in range(k + 1, min(len(word), i + 5)):
+                    key = word[i] + word[k] + word[m]
+                    out[key] = out.get(key, 0.0) + toxicity.DECAY ** (m - i - 2)
+        return out
+
+    def cosine(a, b):
+        x, y = plain(a), plain(b)
+        size = lambda p: sum(v * v for v in p.values()) ** 0.5
+        return sum(v * y.get(k, 0.0) for k, v in x.items()) / ((size(x) * size(y)) or 1.0)
+
+    rng, marks = np.random.default_rng(4), ["idiot", "worthless", "aaaa"]
+    f = toxicity.Featuriser(marks)
+    for word in ["".join(rng.choice(list("aidotwrhles"), n)) for n in rng.integers(1, 14, 300)] + ["idiot", "i-d-i-o-t", "aaa"]:
+        assert np.allclose(f.kernel(word), [cosine(word, m) for m in marks])
+
+
+def test_toxicity_scores_equal_the_model_row_by_row(spark):
+    """Clashing columns, repeated rows and a very long text: each row's score is that of its text alone."""
+    rows = [(i, ("you idiot " if i % 2 else "dear friend ") + f"number{i}") for i in range(60)]
+    model = toxicity.train(spark.createDataFrame([(i, t, i % 2) for i, t in rows], "doc_id long, text string, toxic int"))
+    texts = [(1, "plain words " * 40_000 + "idiot"), (2, "you idiot"), (2, "you idiot"), (3, None), (4, "")]
+    got = toxicity.score_toxicity(frame(spark, texts), model).collect()
+    f = toxicity.Featuriser(model.landmarks)
+    assert len(got) == len(texts) and all(abs(r.score - model.score(f.features([r.text]))[0]) < 1e-12 for r in got)
+    assert got[0].score > 0.5 and got[1].score == got[2].score and got[3].score == got[4].score < 0.5
+
+
+def test_labels_are_drawn_before_texts_are_read(spark):
+    labels = spark.range(4000).selectExpr("id AS doc_id", "CAST(id % 10 = 0 AS INT) AS toxic")
+    n = {r["toxic"]: r["count"] for r in toxicity.draw(labels, 200).groupBy("toxic").count().collect()}
+    assert 140 < n[0] < 270 and 140 < n[1] < 270
+    assert toxicity.draw(labels, 10_000).count() == 4000 and toxicity.draw(labels.where("toxic = 0"), 10_000).count() == 3600
+
+
+def test_out_of_place_distance_equals_a_plain_version(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
+
+    def grams(text):
+        clean = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        clean = " ".join(["", *clean.split(), ""])
+        n = {}
+        for size in (1, 2, 3):
+            for i in range(len(clean) - size + 1):
+                g = clean[i : i + size]
+                if g != " ":
+                    n[g] = n.get(g, 0) + 1
+        pack = lambda g: sum(ord(c) << (21 * (len(g) - 1 - i)) for i, c in enumerate(g))
+        return [g for g, _ in sorted(n.items(), key=lambda x: (-x[1], pack(x[0])))][: language.PROFILE]
+
+    profiles = {"b": texts[0], "a": texts[1], "c": "der schnelle fuchs"}
+    model = language._Model({k: language.ranking(t) for k, t in profiles.items()})
+    for text in texts[2:]:
+        mine, best = grams(text), None
+        for lang in sorted(profiles):
+            rank = {g: i for i, g in enumerate(grams(profiles[lang]))}
+            d = sum(min(abs(rank[g] - i), language.PROFILE) if g in rank else language.PROFILE for i, g in enumerate(mine)) / max(len(mine), 1)
+            if best is None or d < best[1]:
+                best = lang, d
+        got = model.predict(text)
+        assert not mine or (got[0] == best[0] and abs(got[1] - (1 - best[1] / language.PROFILE)) < 1e-9)
+    same = {"x": language.ranking("abc"), "w": language.ranking("abc")}
+    assert language._Model(same).predict("abc")[0] == "w"  # ties go to the language that sorts first
