@@ -1,22 +1,23 @@
-"""Line dedup by a log-template tree: token count, then leading tokens, then a leaf that generalises the fields that vary.
+"""Line dedup by a log-template tree: token count, then leading tokens, then a leaf that holds the templates of its lines.
 
 A line's tokens are what ASCII blanks separate; a token with a digit is a variable field `<*>`. The tree has a fixed depth: the
-token count, then DEPTH leading tokens lead to a leaf. Lines of a leaf that are equal once masked share a template. Longer
-lines (GENERAL tokens or more) are also held against the leaf's template of most common tokens: those that agree in SIMILAR of
-the tokens behind the leading ones belong to it, the differing positions being its variable fields.
-A template recurs if MIN_DOCS documents hold it (two, for lines of LONG tokens or more); lines of recurring templates are dropped
-everywhere but in the document with the smallest doc_id, so that no text vanishes from the corpus. Lines of fewer than
-MIN_TOKENS tokens are left alone. DataFrame functions only; every count is pre-aggregated before its shuffle.
-
-That is the contract of op10_line_dedup, which its SQL states. `whole`, as the pipeline runs it, takes more: a leaf holds several
-templates (rare tokens of a place in the leaf are fields, and each other token in turn; what is left is the signature), for all
-lines of MIN_TOKENS tokens or more; with fewer than GENERAL tokens, the fewer fixed tokens the more documents are asked for. Lines
-of fewer tokens recur from SHORT_DOCS documents on, unless they are numbers only. Consecutive lines that have LONG tokens together
-and stand in two documents are one passage, and go with the blank lines between them.
+token count, then DEPTH leading tokens lead to a leaf. Lines that are equal once masked share a template. A leaf also holds
+templates with word fields, as many as its lines show:
+* its modal template (GENERAL tokens or more): the most common token of every place; lines that agree with it in SIMILAR of the
+  tokens behind the leading ones belong to it;
+* signatures: tokens that few documents have at their place in the leaf are fields, and each other token in turn; what is left
+  fixed names the template. With fewer than GENERAL tokens, the fewer fixed words the more documents are asked for.
+A template recurs if MIN_DOCS documents hold it (two, for lines of LONG tokens or more); lines of fewer than MIN_TOKENS tokens recur
+from SHORT_DOCS documents on, unless they are numbers only. Consecutive lines that have LONG tokens together and stand in two
+documents are one passage, and go with the blank lines between them. What recurs is dropped everywhere but in the document with
+the smallest doc_id, so that no text vanishes from the corpus.
+
+DataFrame functions only. Texts are masked whole, before they are cut into lines; every count is pre-aggregated before its shuffle, and
+a leaf's own figures (one row a leaf) are written or broadcast before lines are joined to them, so a hot leaf can be split.
 
 Edge cases: null text stays null and empty text empty (n_lines 0 and 1). Repeated rows of one doc_id are one document: they keep
 or lose the same lines. Rows without doc_id count as one document, after all others. A template within one document only never
-recurs. Extra columns are kept; `n_lines` and `n_dropped` are replaced.
+recurs. Extra columns are kept; columns with the names of the added ones (`names`) are replaced.
 """
 
 from __future__ import annotations
@@ -28,122 +29,105 @@ from .common import broadcast_if, forget, written
 
 DEPTH, MIN_TOKENS, MIN_DOCS, LONG, GENERAL, SIMILAR = 3, 4, 3, 40, 8, 0.6
 SHORT_DOCS = {1: 20, 2: 12, 3: 6}  # documents that make a line of fewer than MIN_TOKENS tokens recur
+FEW_WORDS = 6  # with fewer than GENERAL tokens, a template needs MIN_DOCS + FEW_WORDS documents, less one for each fixed word
 BROADCAST_ROWS = 200_000
 NO_ID = 2**63 - 1
-_BLANKS, _ODD_BLANK = " \t\r\f\x0b", r"[\t\r\f\x0B]|  "
-_BLANK, _NONBLANK = r"[ \t\r\f\x0B]+", r"[^ \t\r\f\x0B]*[0-9][^ \t\r\f\x0B]*"
+_NUMBERED = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+_OTHER = r"(?<!\S)(?!<\*>(?!\S))\S"  # a token that is not the field mark
 
 
-def _tokens(line: Column) -> Column:
-    """The line's tokens, those with a digit masked."""
-    masked = F.when(line.rlike("[0-9]"), F.regexp_replace(line, _NONBLANK, "<*>")).otherwise(line)
-    bare = F.btrim(masked, F.lit(_BLANKS))
-    return F.when(bare.rlike(_ODD_BLANK), F.split(bare, _BLANK, -1)).otherwise(F.split(bare, " ", -1))  # one space splits without a regular expression
+def _masked(text: Column) -> Column:
+    """The text with masked tokens, one space between the tokens of a line and none at its ends."""
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, _NUMBERED, "<*>")).otherwise(text)
+    single = F.when(masked.rlike(r"[\t\r\f\x0B]|  "), F.regexp_replace(masked, r"[ \t\r\f\x0B]+", " ")).otherwise(masked)
+    inner = F.replace(F.replace(single, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
+    return F.btrim(inner, F.lit(" "))
 
 
-def _lines(docs: DataFrame, least: int = MIN_TOKENS) -> DataFrame:
-    """did, text_key, line_no, n_tokens, tokens (masked), leaf, line of each line long enough to be judged.
+def _lines(docs: DataFrame) -> DataFrame:
+    """did, text_key, line_no, bare (the masked line), n_tokens, leaf, line of each line with a token."""
+    # Outer, as Spark would else add a filter on the array's size and push it down, which makes the array twice.
+    cut = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("did"), F.xxhash64("text").alias("text_key"), F.posexplode_outer(F.split(_masked(F.col("text")), "\n", -1)).alias("line_no", "bare"))
+    cut = cut.where("bare <> ''").withColumn("n_tokens", F.octet_length("bare") - F.octet_length(F.replace("bare", F.lit(" "), F.lit(""))) + 1)
+    leaf = F.xxhash64("n_tokens", F.substring_index("bare", " ", DEPTH))
+    return cut.withColumn("leaf", leaf).withColumn("line", F.xxhash64("bare", F.lit("line")))
 
-    The tokens are made inside the exploded array: a filter on them would otherwise be pushed down and make them twice."""
-    each = F.transform(F.split("text", "\n", -1), _tokens)
-    cut = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("did"), F.xxhash64("text").alias("text_key"), F.posexplode_outer(each).alias("line_no", "tokens"))
-    cut = cut.withColumn("n_tokens", F.size("tokens")).where(F.col("n_tokens") >= least)
-    if least < 2:
-        cut = cut.where(F.get("tokens", F.lit(0)) != "")  # a blank line has one empty token
-    leaf = F.xxhash64("n_tokens", *[F.get("tokens", F.lit(i)) for i in range(DEPTH)])
-    return cut.withColumn("leaf", leaf).withColumn("line", F.xxhash64("tokens", F.lit("line")))
 
+def _rare() -> Column:
+    return F.when(F.col("n_tokens") >= LONG, 2).otherwise(MIN_DOCS)
 
-def _general(docs: DataFrame, lines: DataFrame, counts: DataFrame) -> DataFrame:
-    """(leaf, line) -> n_docs and first document of the leaf's own template, for lines that belong to it without being alone there."""
-    leaves = counts.where(F.col("n_tokens") >= GENERAL).groupBy("leaf").agg(F.count("*").alias("n"), F.sum("n_docs").alias("w")).where(f"n > 1 and w >= {MIN_DOCS - 1}").select("leaf")
+
+def _cells(lines: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines that share a leaf with others (leaf, line, lead, n_tokens, n_docs, first), and their tokens behind the leading ones
+    (with pos, token). lead counts the leading tokens that are no fields."""
+    leaves = counts.where(F.col("n_tokens") >= MIN_TOKENS).groupBy("leaf").agg(F.count("*").alias("k"), F.sum("n_docs").alias("w")).where("k > 1 and w > 1").select("leaf")
     leaves, leaves_at = written(leaves, "lines-leaves")
-    leaves = broadcast_if(leaves, leaves.count(), BROADCAST_ROWS)
-    texts = _lines(docs).where(F.col("n_tokens") >= GENERAL).join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
-    texts, texts_at = written(texts.join(counts.select("leaf", "line", "n_docs"), ["leaf", "line"]), "lines-texts")
-    cells = texts.select("leaf", "line", "n_docs", F.size("tokens").alias("n_tokens"), F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= DEPTH)
-    votes = cells.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("w"))
-    modal = votes.groupBy("leaf", "pos").agg(F.max(F.struct("w", "token")).alias("m")).select("leaf", "pos", F.col("m.token").alias("modal"))
-    agree = cells.join(modal, ["leaf", "pos"]).groupBy("leaf", "line").agg(F.sum((F.col("token") == F.col("modal")).cast("int")).alias("same"), F.count("*").alias("n"))
-    members, members_at = written(agree.where(F.col("same") >= SIMILAR * F.col("n")).select("leaf", "line"), "lines-members")
-    docs_of = lines.select("leaf", "line", "did", "n_tokens").join(members, ["leaf", "line"], "left_semi").select("leaf", "did", "n_tokens").distinct()
-    held = docs_of.groupBy("leaf").agg(F.count("*").alias("n_docs"), F.min("did").alias("first"), F.max("n_tokens").alias("n_tokens"))
-    out, _ = written(members.join(held, "leaf"), "lines-general")
-    forget(docs.sparkSession, leaves_at, texts_at, members_at)
-    return out
+    some = lines.select("leaf", "line", "bare").join(broadcast_if(leaves, leaves.count(), BROADCAST_ROWS), "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("bare").alias("bare"))
+    some = some.join(counts.select("leaf", "line", "n_tokens", "n_docs", "first"), ["leaf", "line"]).withColumn("tokens", F.split("bare", " ", -1))
+    lead = F.size(F.filter(F.slice("tokens", 1, DEPTH), lambda t: t != "<*>"))
+    some, _ = written(some.select("leaf", "line", lead.alias("lead"), "n_tokens", "n_docs", "first", "tokens"), "lines-several")
+    forget(lines.sparkSession, leaves_at)
+    of = ["leaf", "line", "lead", "n_tokens", "n_docs", "first"]
+    return some.select(*of), some.select(*of, F.posexplode_outer("tokens").alias("pos", "token")).where(F.col("pos") >= DEPTH)
 
 
-def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(leaf, line, first) of the lines to drop elsewhere than in `first`; and the table of all judged lines."""
-    lines, _ = written(_lines(docs).drop("tokens"), "lines")
-    counts = lines.select("leaf", "line", "n_tokens", "did").distinct().groupBy("leaf", "line", "n_tokens").agg(F.count("*").alias("n_docs"), F.min("did").alias("first"))
-    counts, counts_at = written(counts, "lines-counts")
-    enough = F.col("n_docs") >= F.when(F.col("n_tokens") >= LONG, 2).otherwise(MIN_DOCS)
-    exact = counts.where(enough).select("leaf", "line", "first")
-    general = _general(docs, lines, counts).where(enough).select("leaf", "line", "first")
-    table, _ = written(exact.unionByName(general).groupBy("leaf", "line").agg(F.min("first").alias("first")), "lines-recurring")
-    forget(docs.sparkSession, counts_at)
-    return table, lines
+def _modal(lines: DataFrame, cells: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(leaf, line, n_tokens, first, n_docs) of the lines that belong to their leaf's modal template; and the written tables."""
+    longer = cells.where(F.col("n_tokens") >= GENERAL)
+    votes = longer.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("w"))
+    modal, modal_at = written(votes.groupBy("leaf", "pos").agg(F.max(F.struct("w", "token")).alias("m")).select("leaf", "pos", F.col("m.token").alias("modal")), "lines-modal")
+    modal = broadcast_if(modal, modal.count(), BROADCAST_ROWS)
+    agree = longer.join(modal, ["leaf", "pos"]).groupBy("leaf", "line", "n_tokens").agg(F.sum((F.col("token") == F.col("modal")).cast("int")).alias("same"), F.count("*").alias("n"))
+    members, members_at = written(agree.where(F.col("same") >= SIMILAR * F.col("n")).select("leaf", "line", "n_tokens"), "lines-members")
+    docs_of = lines.select("leaf", "line", "did").join(members.select("leaf", "line"), ["leaf", "line"], "left_semi").select("leaf", "did").distinct()
+    held, held_at = written(docs_of.groupBy("leaf").agg(F.count("*").alias("n_docs"), F.min("did").alias("first")), "lines-held")
+    return members.join(broadcast_if(held, held.count(), BROADCAST_ROWS), "leaf").where(F.col("n_docs") >= _rare()).select("leaf", "line", "first"), [modal_at, members_at, held_at]
 
 
-def _signatures(docs: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(leaf, sig, line) of the lines that belong to a template with word fields, and (leaf, sig, need, most, first) of these
-    templates; and the written tables. A leaf holds as many templates as it has signatures."""
-    rare = F.when(F.col("n_tokens") >= LONG, 2).otherwise(MIN_DOCS)
-    judged = counts.where(F.col("n_tokens") > DEPTH)
-    leaves = judged.groupBy("leaf").agg(F.count("*").alias("k"), F.sum("n_docs").alias("w")).where("k > 1 and w > 1").select("leaf")
-    leaves, leaves_at = written(leaves, "lines-leaves")
-    leaves = broadcast_if(leaves, leaves.count(), BROADCAST_ROWS)
-    texts = _lines(docs).join(leaves, "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("tokens").alias("tokens"))
-    lead = F.size(F.filter(F.slice("tokens", 1, DEPTH), lambda t: t != "<*>"))
-    cells = texts.withColumn("lead", lead).withColumn("n_tokens", F.size("tokens")).select("leaf", "line", "lead", "n_tokens", F.posexplode("tokens").alias("pos", "token")).where(F.col("pos") >= DEPTH)
-    cells = cells.join(counts.select("leaf", "line", "n_docs", "first"), ["leaf", "line"])
+def _signatures(lines: DataFrame, some: DataFrame, cells: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(leaf, line, first) of the lines that belong to a recurring template with word fields; and the written tables."""
     cells = cells.select("leaf", "line", "lead", "n_tokens", "n_docs", "first", (F.col("token") != "<*>").cast("int").alias("word"), F.xxhash64("pos", "token").alias("h"))
-    cells, cells_at = written(cells, "lines-cells")
-
-    # Tokens that few documents have at their place in the leaf are fields; the others name the line's own signature.
     votes = cells.groupBy("leaf", "h").agg(F.sum("n_docs").alias("w"))
-    fixed = cells.join(votes, ["leaf", "h"]).where(F.col("w") >= rare)
+    fixed, fixed_at = written(cells.join(votes, ["leaf", "h"]).where(F.col("w") >= _rare()).drop("w"), "lines-fixed")
     of = ["leaf", "line", "lead", "n_tokens", "n_docs", "first"]
-    own = fixed.groupBy(*of).agg(F.expr("bit_xor(h)").alias("sig"), F.count("*").alias("same"), F.sum("word").alias("words"))
-    own, own_at = written(own, "lines-own")
+    own, own_at = written(fixed.groupBy(*of).agg(F.expr("bit_xor(h)").alias("sig"), F.count("*").alias("same"), F.sum("word").alias("words")), "lines-own")
     # A field's value may be common too: the signature with each one of its fixed tokens as a field as well.
     less = fixed.select("leaf", "line", "h", "word").join(own, ["leaf", "line"])
     less = less.select(*of, F.col("sig").bitwiseXOR(F.col("h")).alias("sig"), (F.col("same") - 1).alias("same"), (F.col("words") - F.col("word")).alias("words"))
     # Lines of few tokens may have fields only behind the leading ones.
-    bare = cells.where(F.col("n_tokens") < GENERAL).select(*of).distinct().join(own.select("leaf", "line"), ["leaf", "line"], "left_anti")
-    bare = bare.select(*of, F.lit(0).cast("long").alias("sig"), F.lit(0).cast("long").alias("same"), F.lit(0).cast("long").alias("words"))
-    all_ = own.select(*less.columns).unionByName(less).unionByName(bare.select(*less.columns))
+    none = F.lit(0).cast("long")
+    bare = some.where(F.col("n_tokens") < GENERAL).join(own.select("leaf", "line"), ["leaf", "line"], "left_anti").select(*of, none.alias("sig"), none.alias("same"), none.alias("words"))
     held = F.col("words") + F.col("lead")
     alike = F.when(F.col("n_tokens") >= GENERAL, F.col("same") >= SIMILAR * (F.col("n_tokens") - DEPTH)).otherwise(held >= SIMILAR * F.col("n_tokens"))
-    need = F.when(F.col("n_tokens") >= GENERAL, rare).otherwise(F.greatest(F.lit(MIN_DOCS), MIN_DOCS + 6 - held.cast("int")))
-    members, members_at = written(all_.where(alike).select("leaf", "line", "n_docs", "first", "sig", need.cast("int").alias("need")), "lines-signed")
+    need = F.when(F.col("n_tokens") >= GENERAL, _rare()).otherwise(F.greatest(F.lit(MIN_DOCS), MIN_DOCS + FEW_WORDS - held.cast("int")))
+    every = own.select(*less.columns).unionByName(less).unionByName(bare.select(*less.columns))
+    members, members_at = written(every.where(alike).select("leaf", "line", "n_docs", "first", "sig", need.cast("int").alias("need")), "lines-signed")
     kinds = members.groupBy("leaf", "sig").agg(F.count("*").alias("k"), F.sum("n_docs").alias("w"), F.max("n_docs").alias("most"), F.min("first").alias("first"), F.max("need").alias("need"))
     kinds, kinds_at = written(kinds.where("k > 1 and w >= need").drop("k", "w"), "lines-kinds")
-    return members.select("leaf", "sig", "line"), kinds, [leaves_at, cells_at, own_at, members_at, kinds_at]
+    # Where no line of a template has enough documents alone, few have each of its lines, and they are counted together.
+    sure, open_ = kinds.where("most >= need"), kinds.where("most < need")
+    pairs = members.select("leaf", "sig", "line").join(open_, ["leaf", "sig"]).join(lines.select("leaf", "line", "did").distinct(), ["leaf", "line"]).select("leaf", "sig", "need", "first", "did").distinct()
+    counted = pairs.groupBy("leaf", "sig", "need", "first").agg(F.count("*").alias("n_docs")).where("n_docs >= need")
+    found = sure.select("leaf", "sig", "first").unionByName(counted.select("leaf", "sig", "first"))
+    return members.select("leaf", "sig", "line").join(found, ["leaf", "sig"]).select("leaf", "line", "first"), [fixed_at, own_at, members_at, kinds_at]
 
 
-def recurring_whole(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """As recurring(), with lines of every length, and as many templates with word fields as a leaf holds."""
-    lines, _ = written(_lines(docs, 1).withColumn("fixed", F.exists("tokens", lambda t: t != "<*>")).drop("tokens"), "lines")
-    counts = lines.select("leaf", "line", "n_tokens", "fixed", "did").distinct().groupBy("leaf", "line", "n_tokens", "fixed").agg(F.count("*").alias("n_docs"), F.min("did").alias("first"))
+def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leaf, line, first) of the lines to drop elsewhere than in `first`; and the table of all lines."""
+    lines, _ = written(_lines(docs), "lines")
+    counts = lines.select("leaf", "line", "n_tokens", "did").distinct().groupBy("leaf", "line", "n_tokens").agg(F.count("*").alias("n_docs"), F.min("did").alias("first"))
     counts, counts_at = written(counts, "lines-counts")
-    enough = F.when(F.col("n_tokens") >= LONG, 2).when(F.col("n_tokens") >= MIN_TOKENS, MIN_DOCS)
+    enough = F.when(F.col("n_tokens") >= MIN_TOKENS, _rare())
     for n, most in SHORT_DOCS.items():
         enough = enough.when(F.col("n_tokens") == n, most)
-    exact = counts.where(F.col("n_docs") >= enough).where(F.col("fixed") | (F.col("n_tokens") >= MIN_TOKENS)).select("leaf", "line", "first")
-    judged = counts.where(F.col("n_tokens") >= MIN_TOKENS)
-    modal = _general(docs, lines, judged).where(F.col("n_docs") >= enough).select("leaf", "line", "first")
-
-    members, kinds, used = _signatures(docs, judged)
-    # Where no line of a template has enough documents alone, few have each of its lines, and they are counted together.
-    sure, open_ = kinds.where("most >= need"), kinds.where("most < need")
-    pairs = members.join(open_, ["leaf", "sig"]).join(lines.select("leaf", "line", "did").distinct(), ["leaf", "line"]).select("leaf", "sig", "need", "first", "did").distinct()
-    counted = pairs.groupBy("leaf", "sig", "need", "first").agg(F.count("*").alias("n_docs")).where("n_docs >= need")
-    found = sure.select("leaf", "sig", "first").unionByName(counted.select("leaf", "sig", "first"))
-    fields = members.join(found, ["leaf", "sig"]).select("leaf", "line", "first")
+    exact = counts.where(F.col("n_docs") >= enough)
+    short = lines.where(F.col("n_tokens") < MIN_TOKENS).where(~F.col("bare").rlike(_OTHER)).select("leaf", "line").distinct()
+    exact = exact.join(short, ["leaf", "line"], "left_anti").select("leaf", "line", "first")
+    some, cells = _cells(lines, counts)
+    modal, used = _modal(lines, cells)
+    fields, more = _signatures(lines, some, cells)
     table, _ = written(exact.unionByName(modal).unionByName(fields).groupBy("leaf", "line").agg(F.min("first").alias("first")), "lines-recurring")
-    forget(docs.sparkSession, counts_at, *used)
+    forget(docs.sparkSession, counts_at, *used, *more)
     return table, lines
 
 
@@ -165,24 +149,24 @@ def _passages(lines: DataFrame) -> DataFrame:
     return both.join(shared, "passage").where(F.col("did") > F.col("first")).select("did", "text_key", F.explode(F.sequence("low", "high")).alias("line_no"))
 
 
-def dedup_lines(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """docs with `text` without its dropped lines, n_lines and n_dropped (long). whole: by all templates, short lines and passages."""
-    table, lines = recurring_whole(docs) if whole else recurring(docs)
+def dedup_lines(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """docs with `text` without its dropped lines, and the numbers (long) of its lines and of the dropped ones in columns of these names."""
+    table, lines = recurring(docs)
     table = broadcast_if(table, table.count(), BROADCAST_ROWS)
-    gone = lines.join(table, ["leaf", "line"]).where(F.col("did") > F.col("first")).select("did", "text_key", "line_no")
-    if whole:
-        gone = gone.unionByName(_passages(lines))
+    gone = lines.join(table, ["leaf", "line"]).where(F.col("did") > F.col("first")).select("did", "text_key", "line_no").unionByName(_passages(lines))
     dropped = gone.groupBy("did", "text_key").agg(F.collect_set("line_no").alias("__drop"))
     dropped, _ = written(dropped.withColumnsRenamed({"did": "__did", "text_key": "__key"}), "lines-dropped")
-    docs = docs.drop("n_lines", "n_dropped")
+    docs = docs.drop(*names)
     own = (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == dropped["__did"]) & (F.xxhash64(docs["text"]) == dropped["__key"])
-    joined = docs.join(dropped, own, "left")
-    parts = F.split("text", "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), F.col("__drop"))
-    text = F.when(F.col("__drop").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(parts, i)), "\n"))
-    n_lines = F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
+    joined = docs.join(dropped, own, "left").withColumn("__parts", F.when(F.col("__drop").isNotNull(), F.split(docs["text"], "\n", -1)))
+    # A mask of all lines first, so that each line is looked up in it and not in the dropped ones' list.
+    mask = F.when(F.col("__drop").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__drop"))
+    kept = F.transform(F.col("__kept"), lambda i: F.get(F.col("__parts"), i))
+    text = F.when(F.col("__drop").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n"))
+    n_lines = F.coalesce(F.octet_length(docs["text"]) - F.octet_length(F.replace(docs["text"], F.lit("\n"), F.lit(""))) + 1, F.lit(0)).cast("long")
     n_dropped = F.coalesce(F.size("__drop"), F.lit(0)).cast("long")
-    return joined.select(*[text.alias("text") if c == "text" else joined[c] for c in docs.columns], n_lines.alias("n_lines"), F.greatest(n_dropped, F.lit(0)).cast("long").alias("n_dropped"))
+    out = joined.withColumn("__kept", mask)
+    return out.select(*[text.alias("text") if c == "text" else docs[c] for c in docs.columns], n_lines.alias(names[0]), F.greatest(n_dropped, F.lit(0)).cast("long").alias(names[1]))
 
 
 def op10_line_dedup(spark, sf_dir: str) -> DataFrame:

@@ -96,20 +96,38 @@ r AS (SELECT *, {_uuid("record_type || '|' || refers_to")} AS record_id, 'sha1:'
 SELECT page_id, record_type, record_id, refers_to, uri, block_digest, CAST(octet_length(encode(block)) AS BIGINT) AS n_bytes,
   sha256('WARC/1.0' || {_CRLF} || 'WARC-Type: ' || record_type || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF} || 'WARC-Refers-To: ' || refers_to || {_CRLF} || 'WARC-Target-URI: ' || uri || {_CRLF} || 'WARC-Date: {DATE}' || {_CRLF} || 'WARC-Block-Digest: ' || block_digest || {_CRLF} || 'Content-Type: ' || mime || {_CRLF} || 'Content-Length: ' || octet_length(encode(block)) || {_CRLF} || {_CRLF} || block || {_CRLF} || {_CRLF}) AS record_sha256 FROM r"""
 
-_ENOUGH = f"n_docs >= CASE WHEN n >= {L.LONG} THEN 2 ELSE {L.MIN_DOCS} END"
+_RARE = f"CASE WHEN n >= {L.LONG} THEN 2 ELSE {L.MIN_DOCS} END"
+_SHORT = " ".join(f"WHEN n = {n} THEN {most}" for n, most in L.SHORT_DOCS.items())
+_AT = "PARTITION BY rid ORDER BY"
 OP10 = f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(doc_id, {L.NO_ID}) AS did, text FROM documents),
 raw AS (SELECT rid, did, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS line_no FROM d WHERE text IS NOT NULL),
 cut AS (SELECT rid, did, line_no, string_split_regex(regexp_replace(regexp_replace(line, '[^ \\t\\r\\f\\x0B]*[0-9][^ \\t\\r\\f\\x0B]*', '<*>', 'g'), '^[ \\t\\r\\f\\x0B]+|[ \\t\\r\\f\\x0B]+$', '', 'g'), '[ \\t\\r\\f\\x0B]+') AS w FROM raw),
-l AS (SELECT *, len(w) AS n, w[1:{L.DEPTH}] AS lead FROM cut WHERE len(w) >= {L.MIN_TOKENS}),
+l AS (SELECT *, len(w) AS n, w[1:{L.DEPTH}] AS lead FROM cut WHERE w[1] <> ''),
 c AS (SELECT n, lead, w, count(DISTINCT did) AS n_docs, min(did) AS first FROM l GROUP BY ALL),
-leaves AS (SELECT n, lead FROM c WHERE n >= {L.GENERAL} GROUP BY ALL HAVING count(*) > 1 AND sum(n_docs) >= {L.MIN_DOCS - 1}),
-cells AS (SELECT n, lead, w, n_docs, unnest(range(n)) AS pos, unnest(w) AS token FROM c JOIN leaves USING (n, lead)),
-votes AS (SELECT n, lead, pos, token, sum(n_docs) AS weight FROM cells WHERE pos >= {L.DEPTH} GROUP BY ALL),
-modal AS (SELECT n, lead, pos, token AS modal FROM votes QUALIFY row_number() OVER (PARTITION BY n, lead, pos ORDER BY weight DESC, token DESC) = 1),
-members AS (SELECT n, lead, w FROM cells JOIN modal USING (n, lead, pos) GROUP BY ALL HAVING sum(CASE WHEN token = modal THEN 1 ELSE 0 END) >= {L.SIMILAR} * count(*)),
-held AS (SELECT n, lead, count(DISTINCT did) AS n_docs, min(did) AS first FROM l JOIN members USING (n, lead, w) GROUP BY ALL),
-rec AS (SELECT n, lead, w, min(first) AS first FROM (SELECT n, lead, w, first FROM c WHERE {_ENOUGH} UNION ALL SELECT n, lead, w, first FROM members JOIN held USING (n, lead) WHERE {_ENOUGH}) GROUP BY ALL),
-gone AS (SELECT DISTINCT rid, line_no FROM l JOIN rec USING (n, lead, w) WHERE l.did > rec.first),
+same_line AS (SELECT n, lead, w, first FROM c WHERE n_docs >= CASE WHEN n >= {L.MIN_TOKENS} THEN {_RARE} {_SHORT} END AND (n >= {L.MIN_TOKENS} OR len([t FOR t IN w IF t <> '<*>']) > 0)),
+leaves AS (SELECT n, lead FROM c WHERE n >= {L.MIN_TOKENS} GROUP BY ALL HAVING count(*) > 1 AND sum(n_docs) > 1),
+peers AS (SELECT c.*, len([t FOR t IN lead IF t <> '<*>']) AS fixed_lead FROM c JOIN leaves USING (n, lead)),
+cells AS (SELECT * FROM (SELECT *, unnest(range(n)) AS pos, unnest(w) AS token FROM peers) WHERE pos >= {L.DEPTH}),
+votes AS (SELECT n, lead, pos, token, sum(n_docs) AS weight FROM cells GROUP BY ALL),
+modal AS (SELECT n, lead, pos, token AS modal FROM votes WHERE n >= {L.GENERAL} QUALIFY row_number() OVER (PARTITION BY n, lead, pos ORDER BY weight DESC, token DESC) = 1),
+agree AS (SELECT n, lead, w FROM cells JOIN modal USING (n, lead, pos) GROUP BY ALL HAVING sum(CASE WHEN token = modal THEN 1 ELSE 0 END) >= {L.SIMILAR} * count(*)),
+held AS (SELECT n, lead, count(DISTINCT did) AS n_docs, min(did) AS first FROM l JOIN agree USING (n, lead, w) GROUP BY ALL),
+own AS (SELECT n, lead, w, fixed_lead, n_docs, first, list({{'p': pos, 't': token}} ORDER BY pos) AS sig FROM cells JOIN votes USING (n, lead, pos, token) WHERE weight >= {_RARE} GROUP BY ALL),
+sigs AS (SELECT * FROM own
+  UNION ALL SELECT n, lead, w, fixed_lead, n_docs, first, list_filter(sig, lambda x: x.p <> gap) FROM (SELECT *, unnest([x.p FOR x IN sig]) AS gap FROM own)
+  UNION ALL SELECT n, lead, w, fixed_lead, n_docs, first, [] FROM peers WHERE n < {L.GENERAL} AND NOT EXISTS (SELECT 1 FROM own WHERE own.n = peers.n AND own.w = peers.w)),
+sized AS (SELECT *, len(sig) AS same, len([x FOR x IN sig IF x.t <> '<*>']) + fixed_lead AS words FROM sigs),
+signed AS (SELECT *, CASE WHEN n >= {L.GENERAL} THEN {_RARE} ELSE greatest({L.MIN_DOCS}, {L.MIN_DOCS + L.FEW_WORDS} - words) END AS need FROM sized WHERE CASE WHEN n >= {L.GENERAL} THEN same >= {L.SIMILAR} * (n - {L.DEPTH}) ELSE words >= {L.SIMILAR} * n END),
+kinds AS (SELECT n, lead, sig, max(need) AS need, min(first) AS first FROM signed GROUP BY ALL HAVING count(*) > 1),
+docs_of AS (SELECT s.n, s.lead, s.sig, count(DISTINCT l.did) AS n_docs FROM signed s JOIN l ON l.n = s.n AND l.w = s.w GROUP BY ALL),
+fields AS (SELECT s.n, s.lead, s.w, k.first FROM signed s JOIN kinds k ON k.n = s.n AND k.lead = s.lead AND k.sig = s.sig JOIN docs_of q ON q.n = s.n AND q.lead = s.lead AND q.sig = s.sig WHERE q.n_docs >= k.need),
+rec AS (SELECT n, lead, w, min(first) AS first FROM (SELECT * FROM same_line UNION ALL SELECT n, lead, w, first FROM agree JOIN held USING (n, lead) WHERE n_docs >= {_RARE} UNION ALL SELECT * FROM fields) GROUP BY ALL),
+line AS (SELECT *, CAST(sum(n) OVER ({_AT} line_no) AS BIGINT) AS stop, CAST(sum(n) OVER ({_AT} line_no) AS BIGINT) - n AS start FROM l),
+runs AS (SELECT rid, did, list(w) OVER a AS passage, sum(n) OVER a AS size, min(line_no) OVER a AS low, max(line_no) OVER a AS high FROM line WINDOW a AS ({_AT} start RANGE BETWEEN CURRENT ROW AND {L.LONG - 1} FOLLOWING)
+  UNION ALL SELECT rid, did, list(w) OVER b, sum(n) OVER b, min(line_no) OVER b, max(line_no) OVER b FROM line WINDOW b AS ({_AT} stop RANGE BETWEEN {L.LONG - 1} PRECEDING AND CURRENT ROW)),
+shared AS (SELECT passage, min(did) AS first FROM runs WHERE size >= {L.LONG} GROUP BY ALL HAVING min(did) <> max(did)),
+gone AS (SELECT l.rid, line_no FROM l JOIN rec USING (n, lead, w) WHERE l.did > rec.first
+  UNION SELECT rid, unnest(range(low, high + 1)) AS line_no FROM runs JOIN shared USING (passage) WHERE size >= {L.LONG} AND did > first),
 kept AS (SELECT r.rid, string_agg(line, chr(10) ORDER BY r.line_no) AS text FROM raw r LEFT JOIN gone g ON g.rid = r.rid AND g.line_no = r.line_no WHERE g.rid IS NULL GROUP BY r.rid),
 n AS (SELECT r.rid, count(*) AS n_lines, count(g.rid) AS n_dropped FROM raw r LEFT JOIN gone g ON g.rid = r.rid AND g.line_no = r.line_no GROUP BY r.rid)
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_dropped, 0) AS n_dropped, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid)"""

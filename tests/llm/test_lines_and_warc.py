@@ -12,7 +12,7 @@ def lines_of(spark, rows):
 
 
 def test_recurring_templates_go_but_in_the_first_document(spark):
-    rows = [(i, f"own line number of document {'abcdefgh'[i]} here\nCopyright 20{10 + i} by the authors of this page") for i in range(1, 6)]
+    rows = [(i, f"{'abcdefgh'[i]} {'bcdefghi'[i]}{i} own\nCopyright 20{10 + i} by the authors of this page") for i in range(1, 6)]
     got = lines_of(spark, rows)
     assert got[1] == (rows[0][1], 0)
     assert all(got[i] == (rows[i - 1][1].split("\n")[0], 1) for i in range(2, 6))
@@ -36,10 +36,6 @@ def test_long_passage_in_two_documents(spark):
     assert got[1][1] == 0 and got[2] == ("y", 1)
 
 
-def whole_of(spark, rows):
-    return {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.dedup_lines(frame(spark, rows), whole=True).collect()}
-
-
 def test_a_leaf_holds_several_templates(spark):
     """Two templates and single lines share the token count and the leading tokens; the most common tokens mix them."""
     names = [f"n{c}" for c in "abcdefghij"]
@@ -47,34 +43,34 @@ def test_a_leaf_holds_several_templates(spark):
     second = [f"This page was seen near {n} while birds flew over every roof" for n in names[:4]]
     alone = ["This page was lost since yesterday evening though nobody asked why it went"]
     rows = [(i, f"{'abcdefghijklmnopq'[i]} own\n{t}") for i, t in enumerate([*first, *second, *alone])]
-    got = whole_of(spark, rows)
+    got = lines_of(spark, rows)
     assert [got[i][1] for i in range(15)] == [0] + [1] * 9 + [0] + [1] * 3 + [0]
 
 
 def test_fields_in_lines_of_few_tokens(spark):
     names = [f"n{c}" for c in "abcdefgh"]
-    six = whole_of(spark, [(i, f"{n} own\nposted on Monday by {n} again") for i, n in enumerate(names)])
+    six = lines_of(spark, [(i, f"{n} own\nposted on Monday by {n} again") for i, n in enumerate(names)])
     assert [six[i][1] for i in range(8)] == [0] + [1] * 7
-    four = whole_of(spark, [(i, f"{n} own\nwritten down by {n}") for i, n in enumerate(names)])
+    four = lines_of(spark, [(i, f"{n} own\nwritten down by {n}") for i, n in enumerate(names)])
     assert [four[i][1] for i in range(8)] == [0] + [1] * 7
-    few = whole_of(spark, [(i, f"{n} own\nwritten down by {n}") for i, n in enumerate(names[:5])])
+    few = lines_of(spark, [(i, f"{n} own\nwritten down by {n}") for i, n in enumerate(names[:5])])
     assert all(n == 0 for _, n in few.values())
 
 
 def test_short_lines_recur_from_more_documents_on(spark):
     rows = [(i, f"{chr(97 + i)}{chr(98 + i)} own words of this text\nAll rights reserved.\n\n12") for i in range(25)]
-    got = whole_of(spark, rows)
+    got = lines_of(spark, rows)
     assert got[0] == (rows[0][1], 0) and all(got[i] == (rows[i][1].replace("All rights reserved.\n", ""), 1) for i in range(1, 25))
-    assert all(n == 0 for _, n in whole_of(spark, rows[:5]).values())
+    assert all(n == 0 for _, n in lines_of(spark, rows[:5]).values())
 
 
 def test_passages_of_several_lines_in_two_documents(spark):
     lines = [" ".join(f"{chr(97 + i)}{chr(97 + k)}" for k in range(n)) for i, n in enumerate([9, 3, 12, 1, 8, 14, 5])]
     passage = "\n".join(lines)
     few = "\n".join(" ".join(f"z{chr(97 + i)}{chr(97 + k)}" for k in range(13)) for i in range(3))  # 39 tokens
-    got = whole_of(spark, [(1, f"first\n{passage}\nmore"), (2, f"head\n{passage}\ntail"), (2, f"head\n{passage}\ntail"), (3, f"{few}\nother"), (6, f"{few}\nanother"), (4, None), (5, "")])
+    got = lines_of(spark, [(1, f"first\n{passage}\nmore"), (2, f"head\n{passage}\ntail"), (2, f"head\n{passage}\ntail"), (3, f"{few}\nother"), (6, f"{few}\nanother"), (4, None), (5, "")])
     assert got[1][1] == 0 and got[2] == ("head\ntail", len(lines)) and got[3][1] == got[6][1] == 0
-    assert line_dedup.dedup_lines(frame(spark), whole=True).count() == len(AWKWARD) and line_dedup.dedup_lines(empty(spark), whole=True).count() == 0
+    assert line_dedup.dedup_lines(frame(spark)).count() == len(AWKWARD) and line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
 def test_awkward_lines(spark):
@@ -84,6 +80,14 @@ def test_awkward_lines(spark):
     assert line_dedup.dedup_lines(empty(spark)).count() == 0
 
 
+def test_clashing_columns_are_replaced_or_kept(spark):
+    df = spark.createDataFrame([(1, "a line of the text\nits second line", "n", 5), (2, "a line of the text", "m", 6)], "doc_id long, text string, n_lines string, n_dropped long")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(df).collect()}
+    assert got[1].n_lines == 2 and got[1].n_dropped == 0
+    own = {r.doc_id: r for r in line_dedup.dedup_lines(df, names=("__a", "__b")).collect()}
+    assert own[1].n_lines == "n" and own[2].n_dropped == 6 and own[1]["__a"] == 2
+
+
 PAGES = [(1, "http://a/", "<html><title>T &amp; U</title><script>x<y</script><p>Hello&nbsp;<b>world</b></p>é</html>"), (1, "http://a/", "<p>again</p>"), (2, None, "<p>x"), (3, "http://b/", None), (None, "u", "")]
 
 
