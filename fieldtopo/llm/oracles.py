@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from . import line_dedup as L
 from .pii import BASE_KINDS, BASE_SCORE, CONTEXT, CONTEXT_BONUS, IBAN_ENDS, KINDS, THRESHOLD, WINDOW
-from .warc import DATE, TEXT_RULES
+from .warc import DATE, ENTITIES, NUMERIC, SPACE_RULES, tag_rules
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -77,9 +77,21 @@ def _quoted(s: str) -> str:
     return "'" + s.replace("'", "''") + "'"
 
 
-_TEXT = "payload"
-for _pattern, _by in TEXT_RULES:
-    _TEXT = f"regexp_replace({_TEXT}, {_quoted(_pattern)}, {_quoted(_by)}, 'g')"
+def _replaced(expr: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, by in rules:
+        expr = f"regexp_replace({expr}, {_quoted(pattern)}, {_quoted(by)}, 'g')"
+    return expr
+
+
+_BARE = _replaced("payload", tag_rules(r"""(?:[^'">]|"[^"]*"|'[^']*')*"""))
+_NUMBER = "CASE WHEN lower(r[3]) = 'x' THEN CAST('0x' || r[4:len(r) - 1] AS BIGINT) ELSE CAST(r[3:len(r) - 1] AS BIGINT) END"
+_CHAR = f"CASE WHEN {_NUMBER} = 160 THEN ' ' WHEN {_NUMBER} BETWEEN 1 AND 1114111 AND NOT {_NUMBER} BETWEEN 55296 AND 57343 THEN chr(CAST({_NUMBER} AS INT)) ELSE chr(65533) END"
+_RESOLVED = f"array_to_string([g || coalesce(c, '') FOR (g, c) IN list_zip(string_split_regex(bare, '{NUMERIC}'), [{_CHAR} FOR r IN regexp_extract_all(bare, '{NUMERIC}')])], '')"
+_RESOLVED = _RESOLVED.replace("[g || coalesce(c, '') FOR (g, c) IN list_zip(", "list_transform(list_zip(").replace(")], '')", "), lambda z: z[1] || coalesce(z[2], '')), '')")
+_NAMED = "resolved"
+for _name, _by in ENTITIES.items():
+    _NAMED = f"replace({_NAMED}, '&{_name};', {_quoted(_by)})"
+_TEXT = _replaced(_NAMED, SPACE_RULES)
 _CRLF = "(chr(13) || chr(10))"
 
 
@@ -89,9 +101,10 @@ def _uuid(expr: str) -> str:
 
 _TITLE = r"trim(regexp_extract(payload, '(?is)<title[^>]*>([^<]*)</title>', 1))"
 OP7 = f"""WITH p AS (SELECT row_number() OVER () AS rid, page_id, coalesce(url, '') AS uri, coalesce(html, '') AS payload, 'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || {_CRLF} || {_CRLF} AS http FROM pages),
-s AS (SELECT *, {_uuid("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || uri")} AS refers_to, 'sha1:' || sha1(payload) AS payload_digest, 'sha1:' || sha1(http || payload) AS source_digest FROM p),
-b AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS mime, 'source-block-digest: ' || source_digest || {_CRLF} || 'source-payload-digest: ' || payload_digest || {_CRLF} || 'source-content-length: ' || octet_length(encode(http || payload)) || {_CRLF} || 'source-status: HTTP/1.1 200 OK' || {_CRLF} || 'title: ' || regexp_replace({_TITLE}, '[\\r\\n]+', ' ', 'g') || {_CRLF} AS block FROM s
-  UNION ALL SELECT *, 'conversion', 'text/plain', {_TEXT} FROM s),
+s AS (SELECT *, {_uuid("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || uri || '|sha1:' || sha1(http || payload)")} AS refers_to, 'sha1:' || sha1(payload) AS payload_digest, 'sha1:' || sha1(http || payload) AS source_digest, {_BARE} AS bare FROM p),
+t AS (SELECT *, {_RESOLVED} AS resolved FROM s),
+b AS (SELECT *, 'metadata' AS record_type, 'application/warc-fields' AS mime, 'source-block-digest: ' || source_digest || {_CRLF} || 'source-payload-digest: ' || payload_digest || {_CRLF} || 'source-content-length: ' || octet_length(encode(http || payload)) || {_CRLF} || array_to_string(['source-http: ' || x FOR x IN string_split(rtrim(http, {_CRLF}), {_CRLF})], {_CRLF}) || {_CRLF} || 'title: ' || regexp_replace({_TITLE}, '[\\r\\n]+', ' ', 'g') || {_CRLF} AS block FROM t
+  UNION ALL SELECT *, 'conversion', 'text/plain', {_TEXT} FROM t),
 r AS (SELECT *, {_uuid("record_type || '|' || refers_to")} AS record_id, 'sha1:' || sha1(block) AS block_digest FROM b)
 SELECT page_id, record_type, record_id, refers_to, uri, block_digest, CAST(octet_length(encode(block)) AS BIGINT) AS n_bytes,
   sha256('WARC/1.0' || {_CRLF} || 'WARC-Type: ' || record_type || {_CRLF} || 'WARC-Record-ID: ' || record_id || {_CRLF} || 'WARC-Refers-To: ' || refers_to || {_CRLF} || 'WARC-Target-URI: ' || uri || {_CRLF} || 'WARC-Date: {DATE}' || {_CRLF} || 'WARC-Block-Digest: ' || block_digest || {_CRLF} || 'Content-Type: ' || mime || {_CRLF} || 'Content-Length: ' || octet_length(encode(block)) || {_CRLF} || {_CRLF} || block || {_CRLF} || {_CRLF}) AS record_sha256 FROM r"""

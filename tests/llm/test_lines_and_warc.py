@@ -95,7 +95,7 @@ def test_derivatives_refer_to_their_response(spark):
     pages = spark.createDataFrame(PAGES, "page_id long, url string, html string").selectExpr("*", "'x' AS record_id", "1 AS block")
     source, made = warc.responses(pages), warc.derive(warc.responses(pages)).collect()
     ids = {r.record_id: r for r in source.collect()}
-    assert len(made) == 2 * len(PAGES)
+    assert len(made) == 2 * len(PAGES) == len({r.record_id for r in made}) and len(ids) == len(PAGES)
     for r in made:
         assert r.refers_to in ids and f"WARC-Refers-To: {r.refers_to}\r\n" in r.record
         head, _, body = r.record.partition("\r\n\r\n")
@@ -104,3 +104,32 @@ def test_derivatives_refer_to_their_response(spark):
     text = next(r.block for r in made if r.record_type == "conversion" and "Hello" in r.block)
     assert text == "T & U\nHello world\né"
     assert warc.derive(warc.responses(pages.where("page_id = 99"))).count() == 0
+
+
+def text_of(spark, html):
+    df = spark.createDataFrame([(html,)], "h string")
+    return warc.with_text(df, "h", "t").first().t
+
+
+def test_text_of_awkward_html(spark):
+    assert text_of(spark, "<script>var x = '</style>'; leak()</script>a <b title='a>b'>bold</b> 3 < 4 and 7 > 2") == "a bold 3 < 4 and 7 > 2"
+    assert text_of(spark, "x &mdash; y &#8217; &#x1F642; &amp;lt; &#0; &#55296; &#9999999; &#160;z") == "x \u2014 y \u2019 \U0001f642 &lt; \ufffd \ufffd \ufffd z"
+    assert text_of(spark, '<p class="a">one</p><!-- <p>no</p> --><P>two<BR/>three</P><a href="odd>four</a>') == "one\ntwo\nthree\nfour"
+    assert text_of(spark, "<a " + "x='" + "y" * 200_000 + "'" + " b" * 100_000 + ">end") == "end"
+
+
+def test_source_heads_are_kept_and_records_read_back(spark):
+    head = "HTTP/1.1 404 Gone\r\nContent-Type: text/plain\r\nX-Own: a: b\r\n\r\n"
+    pages = spark.createDataFrame([(1, "http://a/", "<p>x\n\ny</p>", head, "2020-02-02T02:02:02Z"), (2, None, None, None, None)], "page_id long, url string, html string, http string, date string")
+    made = warc.derive(warc.responses(pages))
+    block = made.where("page_id = 1 and record_type = 'metadata'").first().block
+    assert "source-http: HTTP/1.1 404 Gone\r\nsource-http: Content-Type: text/plain\r\nsource-http: X-Own: a: b\r\n" in block
+    from fieldtopo.llm.common import shared_path
+
+    path = shared_path(spark, "warc")
+    warc.write_records(made, path)
+    got = {r.headers["WARC-Record-ID"]: r for r in warc.read_records(spark, path).collect()}
+    assert len(got) == 4 and all(r.whole for r in got.values())
+    for r in made.collect():
+        back = got[r.record_id]
+        assert back.block == r.block and back.headers["WARC-Refers-To"] == r.refers_to and back.headers["WARC-Date"] == r.date
