@@ -10,16 +10,21 @@ tier for small sets a segment is indexed with its one-deletion neighbourhood: (H
 differs in one element at most. For larger sets deletions would cost a row per element, so H + 1 exact segments are indexed;
 empty segments, which many sets share, are passed over where spare segments leave more filled ones than elements that differ (a
 set with too many empty segments emits them all: two such sets still meet, and with any other set the filled segments of that
-one are enough). That choice is the cost model: rows written against rows met. A set emits only as many segments as its largest
-possible partner asks for.
+one are enough). A set emits only as many segments as its largest possible partner asks for.
+
+Allocation by cost. Spare segments mean that linked sets share several. Once the buckets are counted, each set passes over as many of
+its signatures in a tier as that leaves free, the most crowded first: with e empty segments passed over, (2 spare - e) div 2, so
+that two linked sets lose no more than 2 spare of the 2 spare + 1 they share. What only a common passage brings together goes
+mostly here. With deletions or exact segments the choice is by size, as a deletion costs a row per element.
 
 Buckets. Sets that share a signature are compared pair by pair in buckets of at most PAIRS sets, so pairs grow with the rows. In
 a larger bucket (near copies, most of which do not link with each other) each set is held against a core C, the elements that most of
 REFERENCES sampled sets have. With D = set xor C, a pair differs in |Dx| + |Dy| - 2 |Dx and Dy| elements. Either that is at most H
 whatever the overlap, and then both link with the set of least (den + num) |D| - (den - num) |set|, so a star holds all such
-pairs; or the D's share at least (|Dx| + |Dy| - H) / 2 elements, and then the first H + 1 of each, in one order, have one in
-common (C's own elements last, as the others are rarer). These prefixes are the next signatures, and so on until no bucket that
-holds several components is large; what counts as large grows with every level, so few levels are needed and the last always ends.
+pairs; or the D's share at least (|Dx| + |Dy| - H) / 2 elements, and then, in one order, the first H / 2 + 1 of the smaller D and the
+first H + 1 of the larger have one in common (C's own elements last, as the others are rarer). These prefixes are the next
+signatures, each set's shorter prefix being held against the longer ones, and so on until no bucket that holds several components
+is large (has many shorter prefixes in it); what counts as large grows with every level, so few levels are needed and the last always ends.
 C only decides how much is compared, never what links.
 
 Candidates pass a parity sketch (a bit for 2 elements at least, folded to one length: sets differ in no fewer elements than the
@@ -40,16 +45,17 @@ from functools import partial
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import broadcast_if, forget, mix, written
 
 SHINGLE, NUM, DEN = 4, 85, 100
 SMALL, GROWTH = 24, 2**0.5  # sizes up to SMALL use deletions; above, tiers grow by GROWTH
-PAIRS, STEP, REFERENCES = 16, 4, 7  # sets in a bucket that is compared pair by pair, growing by STEP a level; sets that vote on a larger one's core
+SPARE, TIER_BITS = 2, 6
+PAIRS, STEP, REFERENCES = 8, 4, 7  # sets in a bucket that is compared pair by pair, growing by STEP a level; sets that vote on a larger one's core
 BROADCAST_IDS = 200_000
-SETS = "doc_id long, n long, h long, key long, sketch binary, sigs array<long>"
+SETS = "doc_id long, n long, h long, key long, sketch binary, sigs array<long>, free array<long>"
 _SLICE = 1 << 19  # bytes of text that are hashed at a time
 
 _rng = np.random.default_rng(20240607)
@@ -128,14 +134,19 @@ class Signatures:
             self.edges.append(max(top + 1, min(2 * top, SMALL) if top < SMALL else int(top * GROWTH)))
 
     def of(self, s: np.ndarray) -> np.ndarray:
+        """The set's signatures; the low TIER_BITS of each are its tier."""
+        return self.with_allowance(s)[0]
+
+    def with_allowance(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The signatures, and for each tier how many of them may be passed over without losing a pair (tier << 16 | number)."""
         n = len(s)
         if not n:
-            return np.zeros(0, np.uint64)
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
         partner = n * self.den // self.num
         self._grow(partner)
         own = mix(s ^ _PLACE[60])
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(own, dtype=np.uint64)))
-        out = []
+        out, free = [], []
         for tier in range(1, len(self.edges)):
             low, top = self.edges[tier - 1], self.edges[tier]
             if partner <= low or n > top:
@@ -147,10 +158,10 @@ class Signatures:
                 cut = self._cut(s, m)
                 sums = total[cut[1:]] - total[cut[:-1]]
                 segment = np.repeat(np.arange(m, dtype=np.uint64), np.diff(cut))
-                out.append(mix(sums + seed + np.arange(m, dtype=np.uint64) * _PLACE[59]))
-                out.append(mix(np.repeat(sums, np.diff(cut)) - own + seed + segment * _PLACE[59]))
+                out.append(self._tagged(sums + seed + np.arange(m, dtype=np.uint64) * _PLACE[59], tier))
+                out.append(self._tagged(np.repeat(sums, np.diff(cut)) - own + seed + segment * _PLACE[59], tier))
                 continue
-            spare = 2 + -(-h * 35 // 1000)
+            spare = SPARE + -(-h * 35 // 1000)
             m = h + 1 + 2 * spare
             used = most_apart(n, min(top, partner), self.num, self.den) + 1 + 2 * spare
             cut = self._cut(s, m)[: used + 1]
@@ -158,9 +169,14 @@ class Signatures:
             empty = np.flatnonzero(np.diff(cut) == 0)
             if len(empty) <= 2 * spare:  # more filled segments than elements that differ, so one of them is shared
                 keep[empty] = False
+                free.append(tier << 16 | (2 * spare - len(empty)) // 2)
             sums = total[cut[1:]] - total[cut[:-1]] + seed + np.arange(len(keep), dtype=np.uint64) * _PLACE[59]
-            out.append(mix(sums[keep]))
-        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64)
+            out.append(self._tagged(sums[keep], tier))
+        return np.unique(np.concatenate(out)) if out else np.zeros(0, np.uint64), np.array(free, np.int64)
+
+    @staticmethod
+    def _tagged(sums: np.ndarray, tier: int) -> np.ndarray:
+        return mix(sums) & ~np.uint64((1 << TIER_BITS) - 1) | np.uint64(tier)
 
     @staticmethod
     def _cut(s: np.ndarray, m: int) -> np.ndarray:
@@ -188,7 +204,7 @@ def _texts(column: pa.Array, k: int) -> Iterator[list[np.ndarray]]:
 
 def _name(s: np.ndarray) -> int:
     """A set's 64-bit name, of its elements and its size."""
-    return int(mix(np.array([mix(s ^ _PLACE[58]).sum(dtype=np.uint64) + np.uint64(len(s)) * _PLACE[57]])).view(np.int64)[0]) if len(s) else 0
+    return int(mix(mix(s ^ _PLACE[58]).sum(dtype=np.uint64, keepdims=True) + np.array([len(s)], np.uint64) * _PLACE[57]).view(np.int64)[0]) if len(s) else 0
 
 
 def sketch(s: np.ndarray) -> bytes:
@@ -209,23 +225,26 @@ def sketches_apart(a: bytes, b: bytes) -> int:
     return int(np.bitwise_count(x ^ y).sum(dtype=np.int64))
 
 
+def _lists(rows: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in rows]))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
 def _sign(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iterator[pa.RecordBatch]:
     """A set that this task has had before is not signed again: copies cost no rows."""
     signatures, seen = Signatures(num, den), set()
     for batch in batches:
         row = 0
         for sets in _texts(batch.column(1), k):
-            names, sigs, sketches = [_name(s) for s in sets], [], []
+            names, made, sketches = [_name(s) for s in sets], [], []
             for s, h in zip(sets, names, strict=True):
                 fresh = len(s) and h not in seen
                 seen.add(h)
-                sigs.append(signatures.of(s).view(np.int64) if fresh else np.zeros(0, np.int64))
+                made.append(signatures.with_allowance(s) if fresh else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
                 sketches.append(sketch(s) if fresh else None)
-            offsets = np.concatenate(([0], np.cumsum([len(x) for x in sigs]))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(sigs)))
             ids, keys = batch.column(0).slice(row, len(sets)), batch.column(2).slice(row, len(sets))
-            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), keys, pa.array(sketches, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h", "key", "sketch", "sigs"])
+            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), keys, pa.array(sketches, pa.binary()), _lists([a.view(np.int64) for a, _ in made]), _lists([b for _, b in made])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h", "key", "sketch", "sigs", "free"])
             row += len(sets)
 
 
@@ -270,16 +289,16 @@ def _core(pdf: pd.DataFrame) -> pd.DataFrame:
 def _prefixes(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator[pa.RecordBatch]:
     """Each set's rank for the star of its hub, and the first elements of what it and the core do not share."""
     for batch in batches:
-        rank, out = [], []
+        rank, first, out = [], [], []
         for hub, n, a, b in zip(batch.column("hub").to_pylist(), batch.column("n").to_pylist(), batch.column("elements"), batch.column("core"), strict=True):
             x, core, seed = _set(a), _set(b), mix(np.array([hub], np.int64).view(np.uint64))
             more, less = mix(x[~_inside(x, core)] ^ seed), mix(core[~_inside(core, x)] ^ seed)
             apart = np.concatenate((np.sort(more), np.sort(less)))
             rank.append((den + num) * len(apart) - (den - num) * n)
-            out.append(apart[: most_apart(n, n * den // num, num, den) + 1].view(np.int64))
-        offsets = np.concatenate(([0], np.cumsum([len(x) for x in out]))).astype(np.int32)
-        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(out) if out else np.zeros(0, np.int64)))
-        yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("h"), batch.column("n"), pa.array(rank, pa.int64()), lists], ["hub", "h", "n", "rank", "sigs"])
+            most = most_apart(n, n * den // num, num, den)
+            out.append(apart[: most + 1].view(np.int64))
+            first.append(len(apart) - max(1, len(apart) - most // 2) + 1)
+        yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("h"), batch.column("n"), pa.array(rank, pa.int64()), pa.array(first, pa.int64()), _lists(out)], ["hub", "h", "n", "rank", "first", "sigs"])
 
 
 def components(links: DataFrame) -> tuple[DataFrame, str]:
@@ -302,17 +321,17 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
 
 
 def _apart(buckets: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, str]:
-    """sig, h, n, the set's component c and the bucket's size k, of the buckets that hold several components."""
+    """sig, h, n, short, the set's component c and the number k of short prefixes in the bucket, of the buckets that hold several components."""
     c = buckets.withColumn("c", F.col("h")) if labels is None else buckets.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("label", "h")).drop("label")
-    several = c.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count("*").alias("k")).where("c0 <> c1").select("sig", "k")
+    several = c.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count_if("short").alias("k")).where("c0 <> c1 and k > 0").select("sig", "k")
     return written(c.join(several, "sig"), "sets-apart")
 
 
 def _pairs(apart: DataFrame, most: int, num: int, den: int) -> DataFrame:
     """Pairs within the small buckets: of different components, and of sizes that can link."""
-    side = lambda i: apart.where(F.col("k") <= most).select("sig", F.col("h").alias(f"h{i}"), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}"))
-    fits = f"h1 < h2 and c1 <> c2 and {den} * least(n1, n2) >= {num} * greatest(n1, n2)"
-    return side(1).join(side(2), "sig").where(fits).select("h1", "h2").distinct()
+    side = lambda i: apart.where(F.col("k") <= most).select("sig", F.col("h").alias(f"h{i}"), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}"), F.col("short").alias(f"short{i}"))
+    fits = f"(h1 < h2 or not short2) and h1 <> h2 and c1 <> c2 and {den} * least(n1, n2) >= {num} * greatest(n1, n2)"
+    return side(1).where("short1").join(side(2), "sig").where(fits).select(F.least("h1", "h2").alias("h1"), F.greatest("h1", "h2").alias("h2")).distinct()
 
 
 def _groups(apart: DataFrame, most: int) -> DataFrame:
@@ -358,15 +377,15 @@ class _Join:
         return self.keep(both.mapInArrow(partial(_compare, num=self.num, den=self.den), "u long, v long"), "sets-links")
 
     def centred(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Star links (u, v) of each group, and the next buckets (sig, h, n)."""
+        """Star links (u, v) of each group, and the next buckets (sig, h, n, short)."""
         lots = groups.groupBy("hub").agg(*[F.min(F.struct(F.xxhash64("h", F.lit(i)), "h")).alias(f"m{i}") for i in range(REFERENCES)])
         references = lots.select("hub", F.explode(F.array_distinct(F.array(*[F.col(f"m{i}.h") for i in range(REFERENCES)]))).alias("h"))
         core = self.keep(references.join(self.sets, "h").select("hub", "elements").groupBy("hub").applyInPandas(_core, "hub long, core binary"), "sets-core")
         placed = groups.join(self.sets, "h").join(core, "hub").select("hub", "h", "n", "elements", "core")
-        placed = self.keep(placed.mapInArrow(partial(_prefixes, num=self.num, den=self.den), "hub long, h long, n long, rank long, sigs array<long>"), "sets-centred")
+        placed = self.keep(placed.mapInArrow(partial(_prefixes, num=self.num, den=self.den), "hub long, h long, n long, rank long, first long, sigs array<long>"), "sets-centred")
         star = placed.groupBy("hub").agg(F.min(F.struct("rank", "h")).alias("m")).select("hub", F.col("m.rank").alias("least"), F.col("m.h").alias("v"))
         stars = self.keep(placed.select("hub", "rank", "h").join(star, "hub").where("rank + least <= 0 and h <> v").select(F.col("h").alias("u"), "v").distinct(), "sets-links")
-        return stars, placed.select("h", "n", F.explode("sigs").alias("sig")).select("sig", "h", "n").distinct()
+        return stars, placed.select("h", "n", "first", F.posexplode("sigs").alias("at", "sig")).select("sig", "h", "n", (F.col("at") < F.col("first")).alias("short"))
 
 
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -379,8 +398,12 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     join = _Join(docs, nodes, k, num, den)
 
     rows = some.select("h", F.explode("sigs").alias("sig"))
-    several = rows.groupBy("sig").agg(F.min("h").alias("h0"), F.max("h").alias("h1")).where("h0 <> h1").select("sig")
-    buckets = rows.join(several, "sig").distinct().join(nodes.select("h", "n"), "h")
+    several = rows.groupBy("sig").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.count("*").alias("met")).where("h0 <> h1").select("sig", "met")
+    shared = rows.join(several, "sig").distinct().withColumn("tier", F.col("sig").bitwiseAND((1 << TIER_BITS) - 1))
+    free = some.select("h", F.explode("free").alias("f")).distinct().select("h", F.shiftright("f", 16).alias("tier"), F.col("f").bitwiseAND(0xFFFF).alias("free"))
+    crowded = Window.partitionBy("h", "tier").orderBy(F.desc("met"), "sig")  # a set's signatures of one tier
+    taken = shared.join(free, ["h", "tier"], "left").withColumn("r", F.row_number().over(crowded)).where(F.col("r") > F.coalesce("free", F.lit(0)))
+    buckets = taken.select("sig", "h").join(nodes.select("h", "n"), "h").withColumn("short", F.lit(True))
     labels, labels_at, links, most = None, None, None, PAIRS
     while True:
         apart, at = _apart(buckets, labels)

@@ -207,3 +207,28 @@ def test_keep_one_goes_by_texts_not_by_ids(spark):
     two = [(9, near), (9, near + " of it"), (12, near)]
     assert [r.doc_id for r in j.keep_one(frame(spark, two)).collect()] == [9]
     assert j.keep_one(frame(spark, rows)).columns == frame(spark, rows).columns
+
+
+def test_allowances_lose_no_linked_pair():
+    """Linked sets still meet when each passes over as many shared signatures as it may, in the worst order for the other."""
+    rng, s, tiers = np.random.default_rng(12), j.Signatures(), (1 << j.TIER_BITS) - 1
+
+    def left(sigs, free, first):
+        drop = []
+        for f in free.tolist():
+            own = [x for x in first if x & tiers == f >> 16 and x in sigs]
+            drop += own[: f & 0xFFFF]
+        return sigs - set(drop)
+
+    for n in (28, 40, 61, 100, 150, 400):
+        for _ in range(60):
+            common = rng.integers(0, 2 ** int(rng.choice([60, 63, 64])), n, dtype=np.uint64)
+            extra = max(x for x in range(n) if 100 * n >= 85 * (n + x))
+            k = int(rng.integers(0, extra + 1))
+            more = rng.integers(0, 2**64, extra, dtype=np.uint64)
+            a, b = np.unique(np.concatenate((common, more[:k]))), np.unique(np.concatenate((common, more[k:])))
+            (x, fx), (y, fy) = s.with_allowance(a), s.with_allowance(b)
+            x, y = set(x.tolist()), set(y.tolist())
+            both = sorted(x & y)
+            x2, y2 = left(x, fx, both), left(y, fy, both[::-1])
+            assert x2 & y2, (n, k)
