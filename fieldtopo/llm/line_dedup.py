@@ -32,13 +32,13 @@ SHORT_DOCS = {1: 20, 2: 12, 3: 6}  # documents that make a line of fewer than MI
 FEW_WORDS = 6  # with fewer than GENERAL tokens, a template needs MIN_DOCS + FEW_WORDS documents, less one for each fixed word
 BROADCAST_ROWS = 200_000
 NO_ID = 2**63 - 1
-_NUMBERED = r"(?<!\S)[^\s0-9]*+[0-9]\S*+"
+_NUMBERED = r"(\s|^)[^\s0-9]*+[0-9]\S*+"
 _OTHER = r"(?<!\S)(?!<\*>(?!\S))\S"  # a token that is not the field mark
 
 
 def _masked(text: Column) -> Column:
     """The text with masked tokens, one space between the tokens of a line and none at its ends."""
-    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, _NUMBERED, "<*>")).otherwise(text)
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, _NUMBERED, "$1<*>")).otherwise(text)
     single = F.when(masked.rlike(r"[\t\r\f\x0B]|  "), F.regexp_replace(masked, r"[ \t\r\f\x0B]+", " ")).otherwise(masked)
     inner = F.replace(F.replace(single, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
     return F.btrim(inner, F.lit(" "))
@@ -57,50 +57,54 @@ def _rare() -> Column:
     return F.when(F.col("n_tokens") >= LONG, 2).otherwise(MIN_DOCS)
 
 
-def _cells(lines: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The lines that share a leaf with others (leaf, line, lead, n_tokens, n_docs, first), and their tokens behind the leading ones
-    (with pos, token). lead counts the leading tokens that are no fields."""
-    leaves = counts.where(F.col("n_tokens") >= MIN_TOKENS).groupBy("leaf").agg(F.count("*").alias("k"), F.sum("n_docs").alias("w")).where("k > 1 and w > 1").select("leaf")
+def _judged(lines: DataFrame, counts: DataFrame) -> tuple[DataFrame, list[str]]:
+    """The lines that share a leaf with others, with what the leaf's votes say of them; and the written tables.
+
+    leaf, line, n_tokens, n_docs, first; lead: leading tokens that are no fields; sig, same, words, parts: the signature, its fixed
+    tokens, how many of these are no field marks, and their hashes; agree: places where the line has the leaf's most common token."""
+    leaves = counts.where(F.col("n_tokens") >= MIN_TOKENS).groupBy("leaf", "n_tokens").agg(F.count("*").alias("k"), F.sum("n_docs").alias("w")).where((F.col("k") > 1) & (F.col("w") >= _rare())).select("leaf")
     leaves, leaves_at = written(leaves, "lines-leaves")
-    some = lines.select("leaf", "line", "bare").join(broadcast_if(leaves, leaves.count(), BROADCAST_ROWS), "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("bare").alias("bare"))
-    some = some.join(counts.select("leaf", "line", "n_tokens", "n_docs", "first"), ["leaf", "line"]).withColumn("tokens", F.split("bare", " ", -1))
+    bare = lines.select("leaf", "line", "bare").join(broadcast_if(leaves, leaves.count(), BROADCAST_ROWS), "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("bare").alias("bare"))
+    some = bare.join(counts.select("leaf", "line", "n_tokens", "n_docs", "first"), ["leaf", "line"]).withColumn("tokens", F.split("bare", " ", -1))
     lead = F.size(F.filter(F.slice("tokens", 1, DEPTH), lambda t: t != "<*>"))
-    some, _ = written(some.select("leaf", "line", lead.alias("lead"), "n_tokens", "n_docs", "first", "tokens"), "lines-several")
-    forget(lines.sparkSession, leaves_at)
-    of = ["leaf", "line", "lead", "n_tokens", "n_docs", "first"]
-    return some.select(*of), some.select(*of, F.posexplode_outer("tokens").alias("pos", "token")).where(F.col("pos") >= DEPTH)
-
-
-def _modal(lines: DataFrame, cells: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(leaf, line, n_tokens, first, n_docs) of the lines that belong to their leaf's modal template; and the written tables."""
-    longer = cells.where(F.col("n_tokens") >= GENERAL)
-    votes = longer.groupBy("leaf", "pos", "token").agg(F.sum("n_docs").alias("w"))
-    modal, modal_at = written(votes.groupBy("leaf", "pos").agg(F.max(F.struct("w", "token")).alias("m")).select("leaf", "pos", F.col("m.token").alias("modal")), "lines-modal")
-    modal = broadcast_if(modal, modal.count(), BROADCAST_ROWS)
-    agree = longer.join(modal, ["leaf", "pos"]).groupBy("leaf", "line", "n_tokens").agg(F.sum((F.col("token") == F.col("modal")).cast("int")).alias("same"), F.count("*").alias("n"))
-    members, members_at = written(agree.where(F.col("same") >= SIMILAR * F.col("n")).select("leaf", "line", "n_tokens"), "lines-members")
+    some, some_at = written(some.select("leaf", "line", lead.alias("lead"), "n_tokens", "n_docs", "first", "tokens"), "lines-several")
+    cells = some.select("leaf", "line", "n_tokens", "n_docs", F.posexplode_outer("tokens").alias("pos", "token")).where(F.col("pos") >= DEPTH)
+    votes, votes_at = written(cells.groupBy("leaf", "n_tokens", "pos", "token").agg(F.sum("n_docs").alias("w")), "lines-votes")
+    top, top_at = written(votes.where(F.col("n_tokens") >= GENERAL).groupBy("leaf", "pos").agg(F.max(F.struct("w", "token")).alias("m")).select("leaf", "pos", F.col("m.token").alias("top")), "lines-top")
+    marks = votes.join(broadcast_if(top, top.count(), BROADCAST_ROWS), ["leaf", "pos"], "left")
+    modal = F.coalesce(F.col("token") == F.col("top"), F.lit(False))
+    marks = marks.select("leaf", F.xxhash64("pos", "token").alias("h"), (F.col("token") != "<*>").alias("word"), (F.col("w") >= _rare()).alias("fixed"), modal.alias("modal")).where("fixed or modal")
+    told = cells.select("leaf", "line", F.xxhash64("pos", "token").alias("h")).join(marks, ["leaf", "h"]).groupBy("leaf", "line").agg(
+        F.expr("bit_xor(if(fixed, h, null))").alias("sig"), F.count_if("fixed").alias("same"), F.count_if(F.col("fixed") & F.col("word")).alias("words"),
+        F.collect_list(F.when(F.col("fixed"), F.struct("h", "word"))).alias("parts"), F.count_if("modal").alias("agree"),
+    )
+    out, out_at = written(some.drop("tokens").join(told, ["leaf", "line"], "left"), "lines-judged")
+    forget(lines.sparkSession, leaves_at, some_at, votes_at, top_at)
+    return out, [out_at]
+
+
+def _modal(lines: DataFrame, judged: DataFrame) -> tuple[DataFrame, list[str]]:
+    """(leaf, line, first) of the lines that belong to their leaf's modal template, where it recurs; and the written tables."""
+    members = judged.where((F.col("n_tokens") >= GENERAL) & (F.col("agree") >= SIMILAR * (F.col("n_tokens") - DEPTH))).select("leaf", "line", "n_tokens")
     docs_of = lines.select("leaf", "line", "did").join(members.select("leaf", "line"), ["leaf", "line"], "left_semi").select("leaf", "did").distinct()
-    held, held_at = written(docs_of.groupBy("leaf").agg(F.count("*").alias("n_docs"), F.min("did").alias("first")), "lines-held")
-    return members.join(broadcast_if(held, held.count(), BROADCAST_ROWS), "leaf").where(F.col("n_docs") >= _rare()).select("leaf", "line", "first"), [modal_at, members_at, held_at]
+    held, held_at = written(docs_of.groupBy("leaf").agg(F.count("*").alias("n_docs"), F.min("did").alias("first")).where(F.col("n_docs") > 1), "lines-held")
+    return members.join(broadcast_if(held, held.count(), BROADCAST_ROWS), "leaf").where(F.col("n_docs") >= _rare()).select("leaf", "line", "first"), [held_at]
 
 
-def _signatures(lines: DataFrame, some: DataFrame, cells: DataFrame) -> tuple[DataFrame, list[str]]:
+def _signatures(lines: DataFrame, judged: DataFrame) -> tuple[DataFrame, list[str]]:
     """(leaf, line, first) of the lines that belong to a recurring template with word fields; and the written tables."""
-    cells = cells.select("leaf", "line", "lead", "n_tokens", "n_docs", "first", (F.col("token") != "<*>").cast("int").alias("word"), F.xxhash64("pos", "token").alias("h"))
-    votes = cells.groupBy("leaf", "h").agg(F.sum("n_docs").alias("w"))
-    fixed, fixed_at = written(cells.join(votes, ["leaf", "h"]).where(F.col("w") >= _rare()).drop("w"), "lines-fixed")
     of = ["leaf", "line", "lead", "n_tokens", "n_docs", "first"]
-    own, own_at = written(fixed.groupBy(*of).agg(F.expr("bit_xor(h)").alias("sig"), F.count("*").alias("same"), F.sum("word").alias("words")), "lines-own")
+    own = judged.where("same > 0").select(*of, "sig", "same", "words")
     # A field's value may be common too: the signature with each one of its fixed tokens as a field as well.
-    less = fixed.select("leaf", "line", "h", "word").join(own, ["leaf", "line"])
-    less = less.select(*of, F.col("sig").bitwiseXOR(F.col("h")).alias("sig"), (F.col("same") - 1).alias("same"), (F.col("words") - F.col("word")).alias("words"))
+    less = judged.where("same > 0").select(*of, "sig", "same", "words", F.explode("parts").alias("p"))
+    less = less.select(*of, F.col("sig").bitwiseXOR(F.col("p.h")).alias("sig"), (F.col("same") - 1).alias("same"), (F.col("words") - F.col("p.word").cast("int")).alias("words"))
     # Lines of few tokens may have fields only behind the leading ones.
     none = F.lit(0).cast("long")
-    bare = some.where(F.col("n_tokens") < GENERAL).join(own.select("leaf", "line"), ["leaf", "line"], "left_anti").select(*of, none.alias("sig"), none.alias("same"), none.alias("words"))
+    bare = judged.where((F.col("n_tokens") < GENERAL) & (F.coalesce("same", F.lit(0)) == 0)).select(*of, none.alias("sig"), none.alias("same"), none.alias("words"))
     held = F.col("words") + F.col("lead")
     alike = F.when(F.col("n_tokens") >= GENERAL, F.col("same") >= SIMILAR * (F.col("n_tokens") - DEPTH)).otherwise(held >= SIMILAR * F.col("n_tokens"))
     need = F.when(F.col("n_tokens") >= GENERAL, _rare()).otherwise(F.greatest(F.lit(MIN_DOCS), MIN_DOCS + FEW_WORDS - held.cast("int")))
-    every = own.select(*less.columns).unionByName(less).unionByName(bare.select(*less.columns))
+    every = own.unionByName(less).unionByName(bare)
     members, members_at = written(every.where(alike).select("leaf", "line", "n_docs", "first", "sig", need.cast("int").alias("need")), "lines-signed")
     kinds = members.groupBy("leaf", "sig").agg(F.count("*").alias("k"), F.sum("n_docs").alias("w"), F.max("n_docs").alias("most"), F.min("first").alias("first"), F.max("need").alias("need"))
     kinds, kinds_at = written(kinds.where("k > 1 and w >= need").drop("k", "w"), "lines-kinds")
@@ -109,7 +113,7 @@ def _signatures(lines: DataFrame, some: DataFrame, cells: DataFrame) -> tuple[Da
     pairs = members.select("leaf", "sig", "line").join(open_, ["leaf", "sig"]).join(lines.select("leaf", "line", "did").distinct(), ["leaf", "line"]).select("leaf", "sig", "need", "first", "did").distinct()
     counted = pairs.groupBy("leaf", "sig", "need", "first").agg(F.count("*").alias("n_docs")).where("n_docs >= need")
     found = sure.select("leaf", "sig", "first").unionByName(counted.select("leaf", "sig", "first"))
-    return members.select("leaf", "sig", "line").join(found, ["leaf", "sig"]).select("leaf", "line", "first"), [fixed_at, own_at, members_at, kinds_at]
+    return members.select("leaf", "sig", "line").join(found, ["leaf", "sig"]).select("leaf", "line", "first"), [members_at, kinds_at]
 
 
 def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -123,11 +127,11 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     exact = counts.where(F.col("n_docs") >= enough)
     short = lines.where(F.col("n_tokens") < MIN_TOKENS).where(~F.col("bare").rlike(_OTHER)).select("leaf", "line").distinct()
     exact = exact.join(short, ["leaf", "line"], "left_anti").select("leaf", "line", "first")
-    some, cells = _cells(lines, counts)
-    modal, used = _modal(lines, cells)
-    fields, more = _signatures(lines, some, cells)
+    judged, judged_at = _judged(lines, counts)
+    modal, used = _modal(lines, judged)
+    fields, more = _signatures(lines, judged)
     table, _ = written(exact.unionByName(modal).unionByName(fields).groupBy("leaf", "line").agg(F.min("first").alias("first")), "lines-recurring")
-    forget(docs.sparkSession, counts_at, *used, *more)
+    forget(docs.sparkSession, counts_at, *judged_at, *used, *more)
     return table, lines
 
 
