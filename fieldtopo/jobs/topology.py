@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.masks import OFFSETS_6, OFFSETS_26, changes_topology, changes_topology_2d, closed, euler, wide
-from ..operators import order, query, stencil, trees
+from ..operators import order, query, stencil, trees, window_tree
 from ..sources import grids
 from ..sources.grids import EVENTS, LI_SMALL
 from .common import NEIGHBOURS_26, ORDERED, RING_TEST, SLICE_MASK, STRICT_TEST, VOLUME_MASK, job
@@ -208,10 +209,92 @@ def window_components(spark, sf_dir):
     return _components(spark, sf_dir)
 
 
-@job(f"{_WINDOW_SQL}\n---\nSELECT * FROM comp WHERE left_overlap BETWEEN 1 AND 3 AND right_overlap BETWEEN 1 AND 3 AND chi BETWEEN -8 AND 2", "li_small", _COMPONENT, recursive=True)
+# Window trees by their definition: the component of every cell v, its slices' components, and the components above that it touches.
+_NODE_SQL = f"""{ORDERED}, {NEIGHBOURS_26}, win AS (SELECT i AS window_id, i * {STEP} AS first, i * {STEP} + {LENGTH - 1} AS last FROM range({(12 - LENGTH) // STEP + 1}) r(i)),
+wo AS (SELECT w.window_id, w.first, w.last, o.* FROM win w JOIN o ON o.z BETWEEN w.first AND w.last),
+m3 AS (SELECT a.window_id, a.id, coalesce(bit_or(CASE WHEN b.ord < a.ord THEN CAST(1 AS BIGINT) << CAST(off.bit AS INT) ELSE 0 END), 0) AS mask
+  FROM wo a CROSS JOIN off LEFT JOIN wo b ON b.window_id = a.window_id AND b.x = a.x + off.dx AND b.y = a.y + off.dy AND b.z = a.z + off.dz GROUP BY ALL),
+{_CLOSURE_SQL},
+near AS (SELECT a.window_id, a.id AS a, b.id AS b, b.ord AS bord, a.z = b.z AS flat, abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1 AS face FROM wo a JOIN wo b ON a.window_id = b.window_id AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 AND abs(a.z - b.z) <= 1 AND a.id <> b.id),
+v AS (SELECT window_id, id AS v, ord AS vord FROM wo WHERE val <= {CUT}),
+sub(window_id, v, vord, c) AS (SELECT window_id, v, vord, v FROM v UNION SELECT s.window_id, s.v, s.vord, n.b FROM sub s JOIN near n ON n.window_id = s.window_id AND n.a = s.c AND n.bord <= s.vord),
+flat(window_id, v, vord, c, r) AS (SELECT window_id, v, vord, c, c FROM sub UNION SELECT f.window_id, f.v, f.vord, f.c, n.b FROM flat f JOIN near n ON n.window_id = f.window_id AND n.a = f.r AND n.flat AND n.bord <= f.vord),
+slices AS (SELECT window_id, v, z, count(DISTINCT r) AS n FROM (SELECT f.window_id, f.v, o.z, f.c, max(f.r) AS r FROM flat f JOIN o ON o.id = f.c GROUP BY ALL) GROUP BY ALL),
+outside(window_id, v, vord, c) AS (SELECT v.window_id, v.v, v.vord, w.id FROM v JOIN wo w ON w.window_id = v.window_id AND w.ord > v.vord AND (w.x IN (0, 7) OR w.y IN (0, 7))
+  UNION SELECT s.window_id, s.v, s.vord, n.b FROM outside s JOIN near n ON n.window_id = s.window_id AND n.a = s.c AND n.face AND n.bord > s.vord),
+rest AS (SELECT v.window_id, v.v, v.vord, w.id AS c FROM v JOIN wo w ON w.window_id = v.window_id AND w.ord > v.vord WHERE NOT EXISTS (SELECT 1 FROM outside s WHERE s.window_id = v.window_id AND s.v = v.v AND s.c = w.id)),
+hole(window_id, v, vord, c, r) AS (SELECT window_id, v, vord, c, c FROM rest UNION SELECT h.window_id, h.v, h.vord, h.c, n.b FROM hole h JOIN near n ON n.window_id = h.window_id AND n.a = h.r AND n.face AND n.bord > h.vord),
+upper AS (SELECT window_id, v, c, -1 AS comp FROM outside UNION ALL SELECT window_id, v, c, max(r) FROM hole GROUP BY ALL),
+touch AS (SELECT s.window_id, s.v, u.comp FROM sub s JOIN near n ON n.window_id = s.window_id AND n.a = s.c AND n.face JOIN upper u ON u.window_id = s.window_id AND u.v = s.v AND u.c = n.b
+  UNION SELECT s.window_id, s.v, -1 FROM sub s JOIN o ON o.id = s.c WHERE o.x IN (0, 7) OR o.y IN (0, 7)),
+sums AS (SELECT s.window_id, s.v AS node, count(*) AS n_cells, count(*) FILTER (m3.mask = 0) AS n_minima, sum(1 - coalesce(e.chi, 0)) AS chi FROM sub s JOIN m3 ON m3.window_id = s.window_id AND m3.id = s.c LEFT JOIN e ON e.mask = m3.mask GROUP BY ALL),
+nodes AS (SELECT n.*, coalesce(l.n, 0) AS left_overlap, coalesce(k.n, 0) AS next_overlap, coalesce(q.n, 0) AS right_overlap, t.contours - 1 AS cavities FROM sums n JOIN win w ON w.window_id = n.window_id
+  LEFT JOIN slices l ON l.window_id = n.window_id AND l.v = n.node AND l.z = w.first LEFT JOIN slices k ON k.window_id = n.window_id AND k.v = n.node AND k.z = w.first + 1 LEFT JOIN slices q ON q.window_id = n.window_id AND q.v = n.node AND q.z = w.last
+  JOIN (SELECT window_id, v, count(*) AS contours FROM touch GROUP BY ALL) t ON t.window_id = n.window_id AND t.v = n.node)"""
+# Cells that are critical in their slice or in a pair of slices, by the tests above.
+_FLAG_SQL = f"""w3 AS (SELECT a.id, a.z, coalesce(bit_or(CASE WHEN b.ord < a.ord THEN CAST(1 AS BIGINT) << CAST(off.bit AS INT) ELSE 0 END), 0) AS mask
+  FROM o a CROSS JOIN off LEFT JOIN o b ON b.x = a.x + off.dx AND b.y = a.y + off.dy AND b.z = a.z + off.dz GROUP BY ALL),
+m2 AS (SELECT id, (mask >> 9) & 255 AS mask FROM w3), {RING_TEST},
+thick AS (SELECT id, mask & ~511 AS mask FROM w3 UNION ALL SELECT id, mask | 511 FROM w3 UNION ALL SELECT id, mask & ~66977792 FROM w3 UNION ALL SELECT id, mask | 66977792 FROM w3),
+{STRICT_TEST.format(source="thick").replace("masks", "masks3").replace("closure", "closure3").replace("marked", "marked3")},
+flagged AS (SELECT id FROM m2 JOIN test2 USING (mask) WHERE transitions <> 2 UNION SELECT id FROM thick JOIN test3 USING (mask) WHERE critical)"""
+_NODE = "window_id node n_cells n_minima left_overlap next_overlap right_overlap chi cavities"
+
+
+def _nodes(spark, sf_dir):
+    """Nodes at or below the cut of the small grid's windows."""
+    cells = order.ranked(grids.shipped_small(spark, sf_dir))
+    nodes = window_tree.window_nodes(cells, LENGTH, STEP, LI_SMALL.nz).where(F.col("val") <= CUT)
+    named = {"left_overlap": 0, "next_overlap": 1, "right_overlap": -1}
+    return nodes.withColumns({k: window_tree.overlap(i) for k, i in named.items()})
+
+
+@job(f"{_NODE_SQL}\n---\nSELECT * FROM nodes", "li_small", _NODE, recursive=True)
+def window_trees(spark, sf_dir):
+    """Every cell below the cut in every window, as a node of the window's trees: sizes, slice overlaps, Euler characteristic, cavities."""
+    return _nodes(spark, sf_dir).select(*_NODE.split())
+
+
+_CHOSEN = f"chosen AS (SELECT n.* FROM nodes n JOIN flagged f ON f.id = n.node WHERE left_overlap BETWEEN 1 AND 3 AND right_overlap BETWEEN 1 AND 3), outer_ AS (SELECT c.* FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM chosen d JOIN sub s ON s.window_id = d.window_id AND s.v = d.node WHERE d.window_id = c.window_id AND d.node <> c.node AND s.c = c.node))"
+
+
+@job(f"{_NODE_SQL},\n{_FLAG_SQL},\n{_CHOSEN}\n---\nSELECT *, 1 + cavities - chi AS handles FROM outer_ WHERE cavities BETWEEN 0 AND 1 AND 1 + cavities - chi = 0", "li_small", _NODE + " handles", recursive=True)
 def contour_search(spark, sf_dir):
-    """Flagship: components that run through their window, with one to three contours at either end and few handles."""
-    return _components(spark, sf_dir).where(query.overlaps_between(1, 3)).where(query.chi_between(-8, 2))
+    """Flagship: critical nodes below the cut whose components have one to three contours at either end of their window; of these the
+    outermost; of these those with at most one cavity and no handle."""
+    found = window_tree.outermost(_nodes(spark, sf_dir).where("critical").where(window_tree.ends_between(1, 3)))
+    found = found.where(window_tree.few_cavities(1)).withColumn("handles", window_tree.handles()).where("handles = 0")
+    return found.select(*_NODE.split(), "handles")
+
+
+@job(f"{_NODE_SQL},\n{_FLAG_SQL},\n{_CHOSEN}\n---\nSELECT c.window_id, c.node FROM chosen c WHERE NOT EXISTS (SELECT 1 FROM chosen d JOIN sub s ON s.window_id = c.window_id AND s.v = c.node WHERE d.window_id = c.window_id AND d.node <> c.node AND s.c = d.node)", "li_small", "window_id node", recursive=True)
+def innermost_contours(spark, sf_dir):
+    """The same selection, keeping the components that hold no other selected one."""
+    return window_tree.innermost(_nodes(spark, sf_dir).where("critical").where(window_tree.ends_between(1, 3))).select("window_id", "node")
+
+
+@job(f"{_NODE_SQL}, top AS (SELECT s.window_id, s.c AS node, arg_max(s.v, s.vord) AS ancestor FROM sub s GROUP BY ALL)\n---\nSELECT window_id, node, ancestor FROM top", "li_small", "window_id node ancestor", recursive=True)
+def isovalue_ancestors(spark, sf_dir):
+    """The highest node below the cut over each node: the pre-order range of the top that holds it."""
+    nodes = _nodes(spark, sf_dir)
+    tops = window_tree.outermost(nodes).select("window_id", F.col("enter").alias("at"), F.col("node").alias("ancestor"))
+    starts = nodes.select("window_id", "node", "enter").join(tops.withColumnRenamed("at", "enter"), ["window_id", "enter"], "left")
+    before = Window.partitionBy("window_id").orderBy("enter")
+    return starts.select("window_id", "node", F.last("ancestor", ignorenulls=True).over(before).alias("ancestor"))
+
+
+@job(f"{_NODE_SQL}\n---\nSELECT window_id, node, next_overlap, next_overlap BETWEEN 1 AND 2 AS few, next_overlap BETWEEN least(left_overlap, right_overlap) AND greatest(left_overlap, right_overlap) AS between_ends, chi BETWEEN 0 AND 2 AS round, n_minima <= 3 AS small FROM nodes", "li_small", "window_id node next_overlap", "few between_ends round small", recursive=True)
+def node_filters(spark, sf_dir):
+    """The filters by one slice's overlap, by the ends, by Euler characteristic and by minima, as marks on every node."""
+    marks = {"few": F.col("next_overlap").between(1, 2), "between_ends": window_tree.within_ends(1), "round": query.chi_between(0, 2), "small": query.at_most_minima(3)}
+    return _nodes(spark, sf_dir).withColumns(marks).select("window_id", "node", "next_overlap", *marks)
+
+
+@job(f"{_NODE_SQL}\n---\nSELECT window_id, sum(abs(1 - left_overlap)) AS left_violations, sum(abs(1 - right_overlap)) AS right_violations, count(*) AS n FROM nodes GROUP BY window_id", "li_small", "window_id left_violations right_violations n", recursive=True)
+def induced_map_report(spark, sf_dir):
+    """How far the maps from the end slices' trees into the window's tree are from one to one, over the edges below the cut."""
+    off = lambda c: F.sum(F.abs(1 - F.col(c)))
+    return _nodes(spark, sf_dir).groupBy("window_id").agg(off("left_overlap").alias("left_violations"), off("right_overlap").alias("right_violations"), F.count("*").alias("n"))
 
 
 @job(f"{_WINDOW_SQL}\n---\nSELECT window_id, node, n_minima FROM comp WHERE n_minima <= 2 AND node // 64 > window_id * {STEP} AND node // 64 < window_id * {STEP} + {LENGTH - 1}", "li_small", "window_id node n_minima", recursive=True)
