@@ -27,8 +27,8 @@ signatures, each set's shorter prefix being held against the longer ones, and so
 is large (has many shorter prefixes in it); what counts as large grows with every level, so few levels are needed and the last always ends.
 C only decides how much is compared, never what links.
 
-Candidates pass a parity sketch (a bit for 2 elements at least, folded to one length: sets differ in no fewer elements than the
-sketches do in bits) and are then verified on whole sets, which are built again from the texts of the candidates only.
+Candidates pass parity sketches (256 bits in the rows themselves, then 2 bits an element at least, folded to one length: sets differ in
+no fewer elements than the sketches do in bits) and are then verified on whole sets, which are built again from the texts of the candidates only.
 Components are found by spreading the least label over links.
 
 No step gathers a bucket: sizes, hubs and references are aggregates, and pairs come from joins that Spark can split.
@@ -53,9 +53,9 @@ from .common import broadcast_if, forget, mix, written
 SHINGLE, NUM, DEN = 4, 85, 100
 SMALL, GROWTH = 24, 2**0.5  # sizes up to SMALL use deletions; above, tiers grow by GROWTH
 SPARE, TIER_BITS = 2, 6
-PAIRS, STEP, REFERENCES = 8, 4, 7  # sets in a bucket that is compared pair by pair, growing by STEP a level; sets that vote on a larger one's core
+PAIRS, STEP, REFERENCES = 8, 8, 7  # sets in a bucket that is compared pair by pair, growing by STEP a level; sets that vote on a larger one's core
 BROADCAST_IDS = 200_000
-SETS = "doc_id long, n long, h long, key long, sketch binary, sigs array<long>, free array<long>"
+SETS = "doc_id long, n long, h long, key long, sketch binary, parity array<long>, sigs array<long>, free array<long>"
 _SLICE = 1 << 19  # bytes of text that are hashed at a time
 
 _rng = np.random.default_rng(20240607)
@@ -215,6 +215,11 @@ def sketch(s: np.ndarray) -> bytes:
     return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1 == 1, bitorder="little").tobytes()
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """The same in 256 bits, whatever the size: rows of candidates carry it, so that most pairs are ruled out as they are made."""
+    return np.packbits(np.bincount((s & np.uint64(255)).astype(np.int64), minlength=256) & 1 == 1, bitorder="little").view(np.int64)
+
+
 def sketches_apart(a: bytes, b: bytes) -> int:
     """A lower bound of the elements in which two sets differ. Halves laid on each other give the sketch of half the length."""
     x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
@@ -236,15 +241,16 @@ def _sign(batches: Iterator[pa.RecordBatch], k: int, num: int, den: int) -> Iter
     for batch in batches:
         row = 0
         for sets in _texts(batch.column(1), k):
-            names, made, sketches = [_name(s) for s in sets], [], []
+            names, made, sketches, parities = [_name(s) for s in sets], [], [], []
             for s, h in zip(sets, names, strict=True):
                 fresh = len(s) and h not in seen
                 seen.add(h)
                 made.append(signatures.with_allowance(s) if fresh else (np.zeros(0, np.uint64), np.zeros(0, np.int64)))
                 sketches.append(sketch(s) if fresh else None)
+                parities.append(parity(s) if fresh else None)
             ids, keys = batch.column(0).slice(row, len(sets)), batch.column(2).slice(row, len(sets))
-            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), keys, pa.array(sketches, pa.binary()), _lists([a.view(np.int64) for a, _ in made]), _lists([b for _, b in made])]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h", "key", "sketch", "sigs", "free"])
+            columns = [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array(names, pa.int64()), keys, pa.array(sketches, pa.binary()), pa.array(parities, pa.list_(pa.int64())), _lists([a.view(np.int64) for a, _ in made]), _lists([b for _, b in made])]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "h", "key", "sketch", "parity", "sigs", "free"])
             row += len(sets)
 
 
@@ -327,10 +333,12 @@ def _apart(buckets: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, str
     return written(c.join(several, "sig"), "sets-apart")
 
 
-def _pairs(apart: DataFrame, most: int, num: int, den: int) -> DataFrame:
-    """Pairs within the small buckets: of different components, and of sizes that can link."""
-    side = lambda i: apart.where(F.col("k") <= most).select("sig", F.col("h").alias(f"h{i}"), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}"), F.col("short").alias(f"short{i}"))
+def _pairs(apart: DataFrame, nodes: DataFrame, most: int, num: int, den: int) -> DataFrame:
+    """Pairs within the small buckets: of different components, and of sizes and parities that can link."""
+    few = apart.where(F.col("k") <= most).join(nodes.select("h", "parity"), "h")
+    side = lambda i: few.select(F.col("parity").alias(f"p{i}"), "sig", F.col("h").alias(f"h{i}"), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}"), F.col("short").alias(f"short{i}"))
     fits = f"(h1 < h2 or not short2) and h1 <> h2 and c1 <> c2 and {den} * least(n1, n2) >= {num} * greatest(n1, n2)"
+    fits += " and " + " + ".join(f"bit_count(p1[{i}] ^ p2[{i}])" for i in range(4)) + f" <= (n1 + n2) * {den - num} div {den + num}"
     return side(1).where("short1").join(side(2), "sig").where(fits).select(F.least("h1", "h2").alias("h1"), F.greatest("h1", "h2").alias("h2")).distinct()
 
 
@@ -394,7 +402,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed, _ = written(docs.withColumn("key", F.xxhash64("text")).mapInArrow(partial(_sign, k=k, num=num, den=den), SETS), "sets")
     some = signed.where("n > 0")
-    nodes, nodes_at = written(some.groupBy("h").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("doc_id").alias("last"), F.min("sketch").alias("sketch")), "sets-nodes")
+    nodes, nodes_at = written(some.groupBy("h").agg(F.max("n").alias("n"), F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.max("doc_id").alias("last"), F.min("sketch").alias("sketch"), F.min("parity").alias("parity")), "sets-nodes")
     join = _Join(docs, nodes, k, num, den)
 
     rows = some.select("h", F.explode("sigs").alias("sig"))
@@ -408,7 +416,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     while True:
         apart, at = _apart(buckets, labels)
         join.used.append(at)
-        pairs, groups = join.near(_pairs(apart, most, num, den)), join.keep(_groups(apart, most), "sets-groups")
+        pairs, groups = join.near(_pairs(apart, nodes, most, num, den)), join.keep(_groups(apart, most), "sets-groups")
         if labels is None:  # later levels hold no other sets than these
             join.fetch(pairs.select(F.col("h1").alias("h")).unionByName(pairs.select(F.col("h2").alias("h"))).unionByName(groups.select("h")))
         found = join.verified(pairs)

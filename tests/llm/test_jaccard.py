@@ -196,6 +196,7 @@ def test_sketches_never_rule_out_too_much():
             b = np.unique(np.concatenate((common[: m // 2], rng.integers(0, 2**64, m, dtype=np.uint64))))
             assert j.sketches_apart(j.sketch(a), j.sketch(b)) <= len(np.setxor1d(a, b))
             assert j.sketches_apart(j.sketch(a), j.sketch(a)) == 0
+            assert int(np.bitwise_count((j.parity(a) ^ j.parity(b)).view(np.uint64)).sum()) <= len(np.setxor1d(a, b))
 
 
 def test_keep_one_goes_by_texts_not_by_ids(spark):
