@@ -118,24 +118,71 @@ def compare_volumes(spark, sf_dir):
     return differ.orderBy("z", "y", "x").limit(100).crossJoin(F.broadcast(differ.agg(F.count("*").alias("differing"))))  # one row
 
 
-@job(f"v AS (SELECT count(*) FILTER (val < {ISO}) AS negatives, count(*) FILTER (val >= {ISO}) AS positives FROM g WHERE (x + y + z) % 3 = 0)\n---\nSELECT id, CASE WHEN (x + y + z) % 3 = 0 THEN CASE WHEN negatives < positives THEN 1 ELSE -1 END ELSE val - {ISO} END AS val FROM g, v", "li", "id val")
+# Signed distances, doubled to stay whole; known where off the isovalue; carved where a face neighbour has the same sign.
+_FLAGS = f"""s AS (SELECT *, 2 * (val - {ISO}) AS f, val <> {ISO} AS known FROM g),
+c AS (SELECT a.id, a.x, a.y, a.z, a.f, a.known, coalesce(bool_or(b.val >= {ISO}) FILTER (a.f >= 0), false) OR coalesce(bool_or(b.val < {ISO}) FILTER (a.f < 0), false) AS carved FROM s a LEFT JOIN g b ON b.id IN (a.id - 1, a.id + 1, a.id - 16, a.id + 16, a.id - 256, a.id + 256) AND abs(a.x - b.x) + abs(a.y - b.y) + abs(a.z - b.z) = 1 GROUP BY a.id, a.x, a.y, a.z, a.f, a.known)"""
+
+
+def _flags(spark, sf_dir):
+    """id, x, y, z, f, known, carved."""
+    cells = stencil.block(grids.shipped(spark, sf_dir).withColumn("f", 2 * (F.col("val") - ISO)), "f")
+    same = [F.coalesce((stencil.at(o) < 0) == (F.col("f") < 0), F.lit(False)) for o in OFFSETS_6]
+    return cells.select("id", "x", "y", "z", "f", (F.col("f") != 0).alias("known"), F.greatest(*[c.cast("int") for c in same]).cast("boolean").alias("carved"))
+
+
+@job(f"""{_FLAGS}, v AS (SELECT CASE WHEN count(*) FILTER (f >= 0) > count(*) FILTER (f < 0) THEN -1 ELSE 1 END AS side FROM c WHERE NOT carved)
+---
+SELECT id, CASE WHEN NOT carved AND (CASE WHEN f >= 0 THEN 1 ELSE -1 END = side OR NOT known) THEN -side ELSE f END AS f FROM c, v""", "li", "id f")
 def repair_by_vote(spark, sf_dir):
-    """Cells that no carving reached (here: every third diagonal) get the sign that the fewer of them have, reversed."""
-    cells, open_ = grids.shipped(spark, sf_dir), (F.col("x") + F.col("y") + F.col("z")) % 3 == 0
-    votes = cells.where(open_).agg(F.count_if(F.col("val") < ISO).alias("negatives"), F.count_if(F.col("val") >= ISO).alias("positives"))
-    side = F.when(F.col("negatives") < F.col("positives"), 1).otherwise(-1)
-    return cells.crossJoin(F.broadcast(votes)).select("id", F.when(open_, side).otherwise(F.col("val") - ISO).alias("val"))  # one row
+    """Cells that no carving reached: of those, the ones on the side that fewer are on, or unknown, go just to the other side (0.5, doubled 1)."""
+    cells = _flags(spark, sf_dir)
+    votes = cells.where("not carved").agg(F.count_if(F.col("f") >= 0).alias("positive"), F.count_if(F.col("f") < 0).alias("negative"))
+    side = F.when(F.col("positive") > F.col("negative"), -1).otherwise(1)
+    own = F.when(F.col("f") >= 0, 1).otherwise(-1)
+    changed = ~F.col("carved") & ((own == side) | ~F.col("known"))
+    return cells.crossJoin(F.broadcast(votes)).select("id", F.when(changed, -side).otherwise(F.col("f")).alias("f"))  # one row
+
+
+@job(f"""{_FLAGS}, v AS (SELECT CASE WHEN count(*) FILTER (f > 0) > count(*) FILTER (f < 0) THEN -1 ELSE 1 END AS side FROM c WHERE NOT carved AND known)
+---
+SELECT id, CASE WHEN carved THEN sign(f) ELSE -side END AS f, NOT carved AND sign(f) = side AS changed FROM c, v""", "li", "id f", "changed")
+def fix_uncarved(spark, sf_dir):
+    """Signs with every uncarved cell set against the side that the fewer known ones of them are on, and which cells that changed."""
+    cells = _flags(spark, sf_dir)
+    votes = cells.where("not carved and known").agg(F.count_if(F.col("f") > 0).alias("positive"), F.count_if(F.col("f") < 0).alias("negative"))
+    side = F.when(F.col("positive") > F.col("negative"), -1).otherwise(1)
+    sign, open_ = F.signum("f").cast("int"), ~F.col("carved")
+    return cells.crossJoin(F.broadcast(votes)).select("id", F.when(open_, -side).otherwise(sign).alias("f"), (open_ & (sign == side)).alias("changed"))  # one row
+
+
+@job(f"""{_FLAGS}
+---
+SELECT id, CASE WHEN NOT carved AND f > 0 THEN -1 ELSE f END AS outside, CASE WHEN NOT carved AND f < 0 THEN 1 ELSE f END AS inside, CASE WHEN NOT carved AND f < 0 THEN 1 WHEN NOT carved AND f > 0 THEN -1 ELSE f END AS both_sides, CASE WHEN carved AND f < 0 THEN 1 ELSE f END AS carved_inside FROM c""", "li", "id outside inside both_sides carved_inside")
+def fix_sides(spark, sf_dir):
+    """The four repairs of octree volumes (0.5, doubled 1): uncarved positives, uncarved negatives, both, and carved negatives turned over."""
+    f, open_ = F.col("f"), ~F.col("carved")
+    turned = {"outside": F.when(open_ & (f > 0), -1), "inside": F.when(open_ & (f < 0), 1), "both_sides": F.when(open_ & (f < 0), 1).when(open_ & (f > 0), -1), "carved_inside": F.when(F.col("carved") & (f < 0), 1)}
+    return _flags(spark, sf_dir).select("id", *[c.otherwise(f).alias(k) for k, c in turned.items()])
 
 
-@job(f"""m AS (SELECT *, val < {ISO} AS inside FROM g)
+@job(f"""falls AS (SELECT id, val < {ISO} AND val < lag(val) OVER (PARTITION BY x, y ORDER BY z) AS a, val < {ISO} AND val < lag(val) OVER (PARTITION BY y, z ORDER BY x) AS b, val < {ISO} AND val < lag(val) OVER (PARTITION BY z, x ORDER BY y) AS c FROM g)
 ---
-SELECT a.id, a.inside OR b.inside OR c.inside AS inside FROM m a JOIN m b ON b.x = a.y AND b.y = a.x AND b.z = a.z JOIN m c ON c.x = 15 - a.x AND c.y = a.y AND c.z = a.z""", "li", "id", "inside")
+SELECT id, coalesce(a, false) OR coalesce(b, false) OR coalesce(c, false) AS inside FROM falls""", "li", "id", "inside")
 def combine_masks(spark, sf_dir):
-    """Union of a mask with two rotated images of it."""
-    m = grids.shipped(spark, sf_dir).select("id", "x", "y", "z", (F.col("val") < ISO).alias("inside"))
-    turned = m.select(address(LI, "y", "x").alias("id"), F.col("inside").alias("b"))
-    mirrored = m.select(address(LI, LI.nx - 1 - F.col("x")).alias("id"), F.col("inside").alias("c"))
-    return m.join(turned, "id").join(mirrored, "id").select("id", (F.col("inside") | F.col("b") | F.col("c")).alias("inside"))
+    """Union of three masks, each made on slices along another axis and kept by the addresses of its own cyclically turned grid:
+    id, (x nz + z) ny + y and (y nx + x) nz + z. A mask holds cells below the level and below the slice before."""
+    cells, d = grids.shipped(spark, sf_dir), LI
+
+    def fall(axis, others):
+        before = F.lag("val").over(Window.partitionBy(*others).orderBy(axis))
+        return F.coalesce((F.col("val") < ISO) & (F.col("val") < before), F.lit(False))
+
+    first = (F.col("x") * d.nz + F.col("z")) * d.ny + F.col("y")
+    second = (F.col("y") * d.nx + F.col("x")) * d.nz + F.col("z")
+    m0 = cells.select("id", first.alias("id1"), second.alias("id2"), fall("z", ["x", "y"]).alias("a"))
+    m1 = cells.select(first.alias("id1"), fall("x", ["y", "z"]).alias("b"))
+    m2 = cells.select(second.alias("id2"), fall("y", ["z", "x"]).alias("c"))
+    return m0.join(m1, "id1").join(m2, "id2").select("id", (F.col("a") | F.col("b") | F.col("c")).alias("inside"))
 
 
 @job(f"""{NEIGHBOURS_26}

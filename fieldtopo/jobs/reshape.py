@@ -54,11 +54,14 @@ def half_4d_every_other(spark, sf_dir):
     return grids.shipped_4d(spark, sf_dir).where("t % 2 = 0").groupBy(*_half("x", "y", "z", "t")).agg(F.floor(F.sum("val") / 8).alias("mean"))
 
 
-@job(f"\n---\nSELECT x // 2 AS x, y // 2 AS y, z // 2 AS z, sum(CASE WHEN (x + y + z) % 4 = 0 THEN 1 ELSE 10 END * CASE WHEN val >= {ISO} THEN 1 ELSE -1 END) AS vote FROM g GROUP BY ALL", "li", "x y z vote")
+@job(f"\n---\nSELECT (x - 1) // 2 AS x, (y - 1) // 2 AS y, (z - 1) // 2 AS z, sum(CASE WHEN val = {ISO} THEN 1 ELSE 10 END * CASE WHEN val >= {ISO} THEN 1 ELSE -1 END) AS vote, sum(CASE WHEN val = {ISO} THEN 1 ELSE 10 END * CASE WHEN val >= {ISO} THEN 1 ELSE -1 END) >= 0 AS positive, bool_or(val <> {ISO}) AS known FROM g WHERE x >= 1 AND y >= 1 AND z >= 1 GROUP BY (x - 1) // 2, (y - 1) // 2, (z - 1) // 2", "li", "x y z vote", "positive known")
 def half_two_bit(spark, sf_dir):
-    """Votes of known (10) and unknown (1) signs."""
-    weight = F.when((F.col("x") + F.col("y") + F.col("z")) % 4 == 0, 1).otherwise(10)
-    return grids.shipped(spark, sf_dir).groupBy(*_half("x", "y", "z")).agg(F.sum(weight * F.when(F.col("val") >= ISO, 1).otherwise(-1)).alias("vote"))
+    """Signs halved by vote: a known sign (a value off the isovalue) counts ten, an unknown one one; windows start at cell 1. Windows
+    that end beyond the grid count the cells they have."""
+    sign, known = F.when(F.col("val") >= ISO, 1).otherwise(-1), F.col("val") != ISO
+    windows = [F.floor((F.col(a) - 1) / 2).alias(a) for a in "xyz"]
+    votes = grids.shipped(spark, sf_dir).where("x >= 1 AND y >= 1 AND z >= 1").groupBy(*windows).agg(F.sum(F.when(known, 10).otherwise(1) * sign).alias("vote"), F.bool_or(known).alias("known"))
+    return votes.select("x", "y", "z", "vote", (F.col("vote") >= 0).alias("positive"), "known")
 
 
 @job("\n---\nSELECT x * 2 + dx AS x, y * 2 + dy AS y, z * 2 + dz AS z, val FROM g, (SELECT unnest([0, 1]) AS dx), (SELECT unnest([0, 1]) AS dy), (SELECT unnest([0, 1]) AS dz)", "li_4d", "x y z val")
@@ -71,10 +74,12 @@ def double_4d_slices(spark, sf_dir):
     return out.select("x", "y", "z", "val")
 
 
-@job("\n---\nSELECT (x * 16 + z % 16) * 84 + y AS turned, z AS x, x AS y, y AS z, val FROM g", "li", "turned x y z val")
+@job("\n---\nSELECT (o.z * 84 + o.y) * 16 + o.x AS turned, o.x, o.y, o.z, g.val FROM (SELECT unnest(range(16)) AS x) ox CROSS JOIN (SELECT unnest(range(84)) AS y) oy CROSS JOIN (SELECT unnest(range(16)) AS z) oz CROSS JOIN LATERAL (SELECT ox.x AS x, oy.y AS y, oz.z AS z) o JOIN g ON g.x = o.z AND g.y = o.x AND g.z = o.y", "li", "turned x y z val")
 def rotate_axes(spark, sf_dir):
-    turned = (F.col("x") * 16 + F.col("z") % 16) * 84 + F.col("y")
-    return grids.shipped(spark, sf_dir).select(turned.cast("long").alias("turned"), F.col("z").alias("x"), F.col("x").alias("y"), F.col("y").alias("z"), "val")
+    """The cyclic turn out(x, y, z) = in(z, x, y): new x is old y, new y old z, new z old x; addressed by the turned sizes."""
+    turned = grids.Dims(LI.ny, LI.nz, LI.nx)
+    moved = grids.shipped(spark, sf_dir).select(F.col("y").alias("x"), F.col("z").alias("y"), F.col("x").alias("z"), "val")
+    return moved.select(address(turned).alias("turned"), "x", "y", "z", "val")
 
 
 @job("\n---\nSELECT i AS id, coalesce(g.val, 1000000000) AS val FROM range(20 * 20 * 88) r(i) LEFT JOIN g ON g.x = i % 20 - 2 AND g.y = (i // 20) % 20 - 2 AND g.z = i // 400 - 2", "li", "id val")

@@ -103,11 +103,11 @@ def vertex_normals(spark, sf_dir):
     return mesh.vertex_normals(_tris(spark, sf_dir), LI)
 
 
-@job(f"{_TRIS}, {_CORNERS}\n---\nSELECT min(a0) AS lo_x, max(a0) AS hi_x, min(a1) AS lo_y, max(a1) AS hi_y, min(a2) AS lo_z, max(a2) AS hi_z, count(*) AS n_triangles FROM (SELECT a0, a1, a2, t FROM pos)", "li", "lo_x hi_x lo_y hi_y lo_z hi_z n_triangles")
+@job(f"{_TRIS}, {_CORNERS}\n---\nSELECT min(least(a0, b0, c0)) AS lo_x, max(greatest(a0, b0, c0)) AS hi_x, min(least(a1, b1, c1)) AS lo_y, max(greatest(a1, b1, c1)) AS hi_y, min(least(a2, b2, c2)) AS lo_z, max(greatest(a2, b2, c2)) AS hi_z, count(*) AS n_triangles FROM pos", "li", "lo_x hi_x lo_y hi_y lo_z hi_z n_triangles")
 def mesh_bounds(spark, sf_dir):
-    """Bounding box over the triangles' first corners."""
-    placed = _tris(spark, sf_dir).select(*mesh.corner_place(LI, "a"))
-    return placed.agg(*[f(f"v{a}").alias(f"{n}_{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))], F.count("*").alias("n_triangles"))
+    """Bounding box over all corners of the triangles."""
+    placed = _tris(spark, sf_dir).select("t", F.explode(F.array("a", "b", "c")).alias("v")).select("t", *mesh.corner_place(LI, "v"))
+    return placed.agg(*[f(f"v{a}").alias(f"{n}_{a}") for a in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))], (F.count("*") / 3).cast("long").alias("n_triangles"))
 
 
 @job(f"{_TRIS}, {_CORNERS}\n---\nSELECT t, a, c AS b, b AS c FROM pos WHERE a2 >= 40 AND b2 >= 40 AND c2 >= 40", "li", "t a b c")
@@ -132,13 +132,13 @@ def mesh_components(spark, sf_dir):
     return mesh.labelled(_tris_small(spark, sf_dir))
 
 
-@job(f"{_COMPONENTS}\n---\nSELECT n_vertices, n_edges, n_triangles, n_components, n_vertices - n_edges + n_triangles AS chi, 2 * n_components - (n_vertices - n_edges + n_triangles) AS b1 FROM (SELECT (SELECT count(DISTINCT a) FROM links) AS n_vertices, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM tris) AS n_triangles, (SELECT count(*) FROM names) AS n_components)", "li_small", "n_vertices n_edges n_triangles n_components chi b1", recursive=True)
+@job(f"{_COMPONENTS}\n---\nSELECT n_vertices, n_edges, n_triangles, n_components, n_boundary, n_vertices - n_edges + n_triangles AS chi, 2 * n_components - (n_vertices - n_edges + n_triangles) AS b1 FROM (SELECT (SELECT count(DISTINCT a) FROM links) AS n_vertices, (SELECT count(*) FROM edges) AS n_edges, (SELECT count(*) FROM tris) AS n_triangles, (SELECT count(*) FROM names) AS n_components, (SELECT count(*) FROM edges WHERE n = 1) AS n_boundary)", "li_small", "n_vertices n_edges n_triangles n_components n_boundary chi b1", recursive=True)
 def betti_numbers(spark, sf_dir):
-    """Counts, Euler characteristic and 2 * components - chi (the first Betti number of closed surfaces)."""
+    """Counts, Euler characteristic and 2 * components - chi: the first Betti number where no edge is a boundary (n_boundary 0)."""
     tris = _tris_small(spark, sf_dir)
     n = lambda df, name: df.agg(F.count("*").alias(name))
     parts = n(mesh.vertices(tris), "n_vertices").crossJoin(n(mesh.edges(tris), "n_edges")).crossJoin(n(tris, "n_triangles"))  # single rows
-    parts = parts.crossJoin(mesh.labelled(tris).agg(F.max("label").alias("n_components")))
+    parts = parts.crossJoin(mesh.labelled(tris).agg(F.coalesce(F.max("label"), F.lit(0)).alias("n_components"))).crossJoin(n(mesh.edges(tris).where("n = 1"), "n_boundary"))
     chi = F.col("n_vertices") - F.col("n_edges") + F.col("n_triangles")
     return parts.select("*", chi.alias("chi"), (2 * F.col("n_components") - chi).alias("b1"))
 

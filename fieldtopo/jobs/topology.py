@@ -169,8 +169,8 @@ def tree_node_classes(spark, sf_dir):
 def subtree_sizes(spark, sf_dir):
     """Cells and minima below each node."""
     edges = _slice_tree(spark, sf_dir)
-    leaves = trees.degrees(edges, ["z"]).select("z", "node", (F.col("down") == 0).cast("long").alias("leaf"))
-    return trees.ancestors(edges, ["z"]).join(leaves, ["z", "node"]).groupBy("z", F.col("ancestor").alias("node")).agg(F.count("*").alias("n_cells"), F.sum("leaf").alias("n_minima"))
+    leaves = trees.degrees(edges, ["z"]).select("z", "node", (F.col("down") == 0).cast("long").alias("n_minima"))
+    return trees.subtree_sums(edges.join(leaves, ["z", "node"]).withColumn("n_cells", F.lit(1)), ["z"], ["n_cells", "n_minima"])
 
 
 @job(f"""{_SLICE_REACH}, {_DEGREES}, kept AS (SELECT * FROM deg WHERE down <> 1 OR upper IS NULL),

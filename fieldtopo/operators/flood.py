@@ -5,6 +5,8 @@ Each round is a join whose result is written to the shared folder, so lineage st
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,16 +82,16 @@ def labelled_windows(cells: DataFrame, iso: int, length: int, step: int, n_slice
 def distances(cells: DataFrame, offsets=OFFSETS_6) -> DataFrame:
     """(id, dist): steps to the nearest cell whose `seed` is true; cells that no path reaches are left out."""
     links, _ = written(pairs(cells, [], offsets), "flood-pairs")
-    done, path = written(cells.where("seed").select("id", F.lit(0).alias("dist")), "flood-dist")
-    frontier, step = done, 0
+    frontier, _ = written(cells.where("seed").select("id", F.lit(0).alias("dist")), "flood-dist")
+    layers, before = [frontier], frontier
     while frontier.limit(1).count():
-        step += 1
-        fresh = links.join(frontier.select("id"), "id").select(F.col("near").alias("id")).distinct().join(done, "id", "left_anti").withColumn("dist", F.lit(step))
-        frontier, at = written(fresh, "flood-frontier")
-        new, new_path = written(done.unionByName(frontier), "flood-dist")
-        forget(done, path)
-        done, path = new, new_path
-    return done
+        # A neighbour of the last layer is in it, in the one before, or new; layers are written once and put together at the end.
+        near = links.join(frontier.select("id"), "id").select(F.col("near").alias("id")).distinct()
+        fresh = near.join(frontier, "id", "left_anti").join(before, "id", "left_anti").withColumn("dist", F.lit(len(layers)))
+        before = frontier
+        frontier, _ = written(fresh, "flood-dist")
+        layers.append(frontier)
+    return reduce(DataFrame.unionByName, layers)
 
 
 def filled(cells: DataFrame, seed: int, offsets=OFFSETS_26) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.grids import Dims
 from . import stencil
 from .flood import components
+from .order import numbered
 
 # The four corners of the face towards +x, +y, +z of a cell, seen from outside, counter-clockwise.
 FACES = {
@@ -59,7 +60,7 @@ def labelled(tris: DataFrame) -> DataFrame:
     roots = components(vertices(tris).withColumnRenamed("v", "id"), links, []).select(F.col("id").alias("a"), F.col("label").alias("root"))
     rooted = tris.join(roots, "a")
     first = rooted.groupBy("root").agg(F.min("t").alias("t0"))
-    names = first.select("root", F.row_number().over(Window.orderBy("t0")).alias("label"))  # one row per component
+    names = numbered(first, [F.col("t0")], "label").select("root", (F.col("label") + 1).cast("int").alias("label"))
     return rooted.join(names, "root").select("t", "a", "b", "c", "label")
 
 

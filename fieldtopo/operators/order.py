@@ -2,26 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 BLOCK = 1 << 16
 
 
+def numbered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
+    """df with `name`: 0-based place in the order of the keys.
+
+    Rows are dealt out by ranges of the keys and sorted within them; the table is written, so that a lost task finds the same ranges
+    again. One count per range is then all that has to be added up, in a broadcast row each."""
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__m", F.monotonically_increasing_id())
+    placed, _ = written(placed.withColumn("__p", F.shiftright("__m", 33)).withColumn("__at", F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))).drop("__m"), "ranked")
+    counts = placed.groupBy("__p").agg(F.count("*").alias("__n"))  # one row per range
+    running = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("__p", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__first"))
+    joined = placed.join(F.broadcast(first), "__p")
+    return joined.select(*df.columns, (F.col("__first") + F.col("__at")).cast("long").alias(name))
+
+
 def ranked(df: DataFrame, value: str = "val", cell: str = "id", name: str = "ord", descending: bool = False) -> DataFrame:
-    """df with `name`: 0-based rank by value, then id (both falling if descending).
-
-    Cells are counted by (value, block of ids); the running count over these few rows gives each group its first rank, and
-    cells are numbered within their group. A value that most cells share is spread over its blocks.
-    """
-    way = (lambda c: F.desc(c)) if descending else (lambda c: F.asc(c))
-    keyed = df.withColumn("__block", F.floor(F.col(cell) / BLOCK))
-    counts = keyed.groupBy(F.col(value).alias("__v"), "__block").agg(F.count("*").alias("__n"))
-    running = Window.orderBy(way("__v"), way("__block")).rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.withColumn("__first", F.coalesce(F.sum("__n").over(running), F.lit(0))).select("__v", "__block", "__first")
-    numbered = keyed.withColumn("__at", F.row_number().over(Window.partitionBy(value, "__block").orderBy(way(cell))))
-    joined = numbered.join(first, (numbered[value] == first["__v"]) & (numbered["__block"] == first["__block"]))
-    return joined.select(*[numbered[c] for c in df.columns], (F.col("__first") + F.col("__at") - 1).cast("long").alias(name))
+    """df with `name`: 0-based rank by value, then id (both falling if descending)."""
+    way = F.desc if descending else F.asc
+    return numbered(df, [way(value), way(cell)], name)
 
 
 def ranked_within(df: DataFrame, keys: list[str], value: str = "val", cell: str = "id", name: str = "ord") -> DataFrame:

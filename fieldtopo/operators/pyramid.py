@@ -2,22 +2,21 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def build(finest: DataFrame, levels: int) -> DataFrame:
-    """All levels from the finest cells (ix, iy, iz, f, unknown); each one aggregates the level below, an eighth of its rows."""
-    now = finest.select(F.lit(0).alias("level"), *[F.col(c).cast("long").alias(c) for c in ("ix", "iy", "iz")], F.col("f").alias("lo"), F.col("f").alias("hi"), "unknown")
-    out = [now]
-    for k in range(1, levels + 1):
-        half = [F.floor(F.col(c) / 2).alias(c) for c in ("ix", "iy", "iz")]
-        now = now.groupBy(*half).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.bool_and("unknown").alias("unknown")).select(F.lit(k).alias("level"), "ix", "iy", "iz", "lo", "hi", "unknown")
-        out.append(now)
+    """All levels from the finest cells (ix, iy, iz, f, unknown).
+
+    Extremes of extremes are those of the cells, so every cell names its ancestor at each level and one aggregation makes all levels:
+    map tasks merge most of these rows before the one shuffle."""
+    up = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("level")
+    at = [F.expr(f"CAST(shiftright(CAST({c} AS BIGINT), level) AS BIGINT)").alias(c) for c in ("ix", "iy", "iz")]
+    cells = finest.select("ix", "iy", "iz", "f", "unknown", up).select("level", *at, "f", "unknown")
+    out = cells.groupBy("level", "ix", "iy", "iz").agg(F.min("f").alias("lo"), F.max("f").alias("hi"), F.bool_and("unknown").alias("unknown"))
     merged = F.when(F.col("hi") < 0, F.col("hi")).when(F.col("lo") > 0, F.col("lo")).otherwise(0)
-    return reduce(DataFrame.unionByName, out).withColumn("f", merged)
+    return out.withColumn("f", merged)
 
 
 def coarsest_cover(cells: DataFrame, tree: DataFrame, levels: int) -> DataFrame:

@@ -63,24 +63,31 @@ def degrees(edges: DataFrame, keys: list[str]) -> DataFrame:
     return edges.join(down, [*keys, "node"], "left").select(*keys, "node", F.coalesce("down", F.lit(0)).cast("long").alias("down"), F.col("upper").isNotNull().cast("long").alias("up"))
 
 
-def ancestors(edges: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, node, ancestor, node itself included) of every tree, by a kernel per group that walks each path once."""
+def subtree_sums(nodes: DataFrame, keys: list[str], terms: list[str]) -> DataFrame:
+    """(keys, node, terms) with every term summed over the node and all below it, from (keys, node, upper, terms).
 
-    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        up = dict(zip(pdf["node"], pdf["upper"], strict=True))
-        rows = []
-        for n in up:
-            a = n
-            while a is not None and a == a and a is not pd.NA:
-                rows.append((n, int(a)))
-                a = up.get(int(a))
-        out = pd.DataFrame(rows, columns=["node", "ancestor"])
-        for k in keys:
-            out[k] = pdf[k].iloc[0]
-        return out[[*keys, "node", "ancestor"]]
+    Children are done before their parents, each node once, so a group takes linear time."""
 
-    types = dict(edges.dtypes)
-    return edges.groupBy(*keys).applyInPandas(kernel, ", ".join([*(f"{k} {types[k]}" for k in keys), "node long", "ancestor long"]))
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        place = {n: i for i, n in enumerate(pdf["node"])}
+        up = [-1 if u is None or u is pd.NA or u != u else place[int(u)] for u in pdf["upper"]]
+        left, sums = [0] * len(up), pdf[terms].to_numpy(np.int64).copy()
+        for u in up:
+            if u >= 0:
+                left[u] += 1
+        ready = [i for i, n in enumerate(left) if not n]
+        while ready:
+            i = ready.pop()
+            u = up[i]
+            if u >= 0:
+                sums[u] += sums[i]
+                left[u] -= 1
+                if not left[u]:
+                    ready.append(u)
+        return pd.concat([pdf[[*keys, "node"]].reset_index(drop=True), pd.DataFrame(sums, columns=terms)], axis=1)
+
+    types = dict(nodes.dtypes)
+    return nodes.groupBy(*keys).applyInPandas(kernel, ", ".join([*(f"{k} {types[k]}" for k in keys), "node long", *(f"{t} long" for t in terms)]))
 
 
 def contracted(edges: DataFrame, keys: list[str]) -> DataFrame:

@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame
 
 
 def written(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """df as a table in spark.checkpoint.dir (a folder of its own only where the session names none, as in tests), and its path."""
+    """df as a table in spark.checkpoint.dir (a folder of its own only where the session names none and runs in one process, as in tests), and its path."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"

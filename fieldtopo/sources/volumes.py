@@ -7,6 +7,7 @@ A slab is a whole file of its own, so no task holds a volume; its first slice is
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,18 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .grids import Dims
+from .grids import Dims, coordinates
 
-TYPES = {".v": np.dtype("<f4"), ".vb": np.dtype("u1"), ".v4d": np.dtype("<f4"), ".vo": np.dtype("<i4")}
+TYPES = {".v": np.dtype("<f4"), ".vb": np.dtype("u1"), ".v4d": np.dtype("<f4"), ".v4db": np.dtype("u1"), ".vo": np.dtype("<i4"), ".vo4d": np.dtype("<i4"), ".raw": np.dtype("<u2")}
+FOUR = {".v4d", ".v4db", ".vo4d"}  # formats with a fourth size, the steps
+CELLS = 1 << 20  # cells that a task reads at a time
 
 
 def encode(suffix: str, sizes: tuple[int, ...], values: np.ndarray, known: np.ndarray | None = None) -> bytes:
+    sizes = (*sizes, 1)[: 4 if suffix in FOUR else 3] if len(sizes) < 4 else sizes
     head = np.asarray(sizes, "<i4").tobytes()
+    if suffix == ".raw":
+        return values.astype(TYPES[suffix]).tobytes()
     if suffix != ".v2":
         return head + values.astype(TYPES[suffix]).tobytes()
     n = int(np.prod(sizes))
@@ -31,7 +37,7 @@ def encode(suffix: str, sizes: tuple[int, ...], values: np.ndarray, known: np.nd
 
 def decode(suffix: str, data: bytes) -> tuple[tuple[int, ...], np.ndarray]:
     """Sizes and values; `.v2` gives 1, -1 and, where unknown, 0."""
-    k = 4 if suffix == ".v4d" else 3
+    k = 4 if suffix in FOUR else 3
     sizes = tuple(np.frombuffer(data, "<i4", k).tolist())
     n = int(np.prod(sizes))
     if suffix != ".v2":
@@ -43,7 +49,7 @@ def decode(suffix: str, data: bytes) -> tuple[tuple[int, ...], np.ndarray]:
 
 def write_slabs(cells: DataFrame, dims: Dims, root: str, suffix: str, slices: int = 12) -> DataFrame:
     """Write (id, z, val) as files of that many slices; (slab, n) of what was written."""
-    fs, base = pafs.FileSystem.from_uri(root)
+    fs, base = _store(root)
     fs.create_dir(base, recursive=True)
 
     def work(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -51,11 +57,14 @@ def write_slabs(cells: DataFrame, dims: Dims, root: str, suffix: str, slices: in
         slab = int(pdf["slab"].iloc[0])
         deep = len(pdf) // dims.slice
         data = encode(suffix, (dims.nx, dims.ny, deep), pdf["val"].to_numpy())
-        store, at = pafs.FileSystem.from_uri(root)
-        name, hidden = f"{at}/slab-{slab * slices:06d}{suffix}", f"{at}/.slab-{slab * slices:06d}{suffix}"
+        store, at = _store(root)
+        name, hidden = f"{at}/slab-{slab * slices:06d}{suffix}", f"{at}/.slab-{slab * slices:06d}{suffix}.{uuid.uuid4().hex}"
         with store.open_output_stream(hidden) as f:
             f.write(data)
         store.move(hidden, name)
+        if suffix == ".raw":
+            with store.open_output_stream(f"{name}.header") as f:
+                f.write(f"{dims.nx} {dims.ny} {deep}\n".encode())
         return pd.DataFrame({"slab": [slab], "n": [len(pdf)]})
 
     keyed = cells.select("id", "val", F.floor(F.col("z") / slices).alias("slab"))
@@ -76,6 +85,72 @@ def read_slabs(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     return files.select("path", "content").mapInPandas(work, "id long, val double")
 
 
+def _store(path: str) -> tuple[pafs.FileSystem, str]:
+    """The path's file system. Hadoop's names of object stores are those of the same stores here."""
+    scheme, mark, rest = path.partition("://")
+    return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + mark + rest)
+
+
+def sizes_of(path: str, suffix: str) -> tuple[tuple[int, ...], int]:
+    """A file's sizes and the offset of its values. `.raw` has its sizes as text in `<file>.header`."""
+    store, at = _store(path)
+    if suffix == ".raw":
+        with store.open_input_file(f"{at}.header") as f:
+            return tuple(int(w) for w in f.read().split()[:3]), 0
+    k = 4 if suffix in FOUR else 3
+    with store.open_input_file(at) as f:
+        return tuple(np.frombuffer(f.read(4 * k), "<i4").tolist()), 4 * k
+
+
+def read_volume(spark: SparkSession, path: str, suffix: str) -> DataFrame:
+    """(id, x, y, z[, t], val double[, known]) of one file of any name, read by ranges of its cells: only the sizes pass the driver.
+    `.v2` gives the signs and whether they are known."""
+    sizes, start = sizes_of(path, suffix)
+    n = int(np.prod(sizes))
+    bitmap = (n + 8) // 8
+
+    def bits(f, base: int, a: int, b: int) -> np.ndarray:
+        f.seek(base + a // 8)
+        raw = np.frombuffer(f.read((b + 7) // 8 - a // 8), np.uint8)
+        return np.unpackbits(raw, bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, at = _store(path)
+        with store.open_input_file(at) as f:
+            for pdf in batches:
+                for k in pdf["id"]:
+                    a, b = int(k) * CELLS, min(n, (int(k) + 1) * CELLS)
+                    if suffix == ".v2":
+                        positive, known = bits(f, start, a, b), bits(f, start + bitmap, a, b)
+                        yield pd.DataFrame({"id": np.arange(a, b), "val": np.where(positive, 1.0, -1.0), "known": known})
+                        continue
+                    kind = TYPES[suffix]
+                    f.seek(start + a * kind.itemsize)
+                    yield pd.DataFrame({"id": np.arange(a, b), "val": np.frombuffer(f.read((b - a) * kind.itemsize), kind).astype(float), "known": True})
+
+    chunks = spark.range(-(-n // CELLS)) if n else spark.range(0)
+    cells = chunks.mapInPandas(work, "id long, val double, known boolean")
+    dims = Dims(*sizes[:3], sizes[3] if len(sizes) > 3 else 1)
+    return cells.select("id", *coordinates(dims), "val", *(["known"] if suffix == ".v2" else []))
+
+
+def write_steps(cells: DataFrame, dims: Dims, root: str, suffix: str) -> DataFrame:
+    """Write (id, t, val) as one file a step (a series of one step, `step-<t>`), whole steps being a task's unit; (t, n) of what was written."""
+    fs, base = _store(root)
+    fs.create_dir(base, recursive=True)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, t = pdf.sort_values("id"), int(pdf["t"].iloc[0])
+        store, at = _store(root)
+        hidden = f"{at}/.step-{t:06d}{suffix}.{uuid.uuid4().hex}"
+        with store.open_output_stream(hidden) as f:
+            f.write(encode(suffix, (dims.nx, dims.ny, dims.nz, 1), pdf["val"].to_numpy()))
+        store.move(hidden, f"{at}/step-{t:06d}{suffix}")
+        return pd.DataFrame({"t": [t], "n": [len(pdf)]})
+
+    return cells.select("id", "t", "val").groupBy("t").applyInPandas(work, "t long, n long")
+
+
 def tree_rows(edges: DataFrame) -> DataFrame:
     """(id, up, down): one row for each node with its neighbours above and below, the layout of tree files."""
     down = edges.where("upper is not null").groupBy(F.col("upper").alias("id")).agg(F.array_sort(F.collect_list("node")).alias("down"))

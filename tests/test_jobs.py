@@ -39,5 +39,5 @@ def test_runs(spark, sf_dir, name):
 def test_entry(spark):
     import __spark_entry__
 
-    assert set(__spark_entry__.entry(spark).columns) == {"window_id", "node", "n_cells", "n_minima", "left_overlap", "right_overlap", "chi"}
+    assert set(__spark_entry__.entry(spark).columns) == {"window_id", "node", "n_cells", "n_minima", "left_overlap", "next_overlap", "right_overlap", "chi", "cavities", "handles"}
     assert set(registry.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
