@@ -45,10 +45,12 @@ def _masked(text: Column) -> Column:
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """did, text_key, line_no, bare (the masked line), n_tokens, leaf, line of each line with a token."""
+    """did, text_key, k (place among the text's lines with a token), line_no, bare (the masked line), n_tokens, leaf, line of each of these."""
+    each = F.transform(F.split(_masked(F.col("text")), "\n", -1), lambda x, i: F.struct(i.alias("line_no"), x.alias("bare")))
     # Outer, as Spark would else add a filter on the array's size and push it down, which makes the array twice.
-    cut = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("did"), F.xxhash64("text").alias("text_key"), F.posexplode_outer(F.split(_masked(F.col("text")), "\n", -1)).alias("line_no", "bare"))
-    cut = cut.where("bare <> ''").withColumn("n_tokens", F.octet_length("bare") - F.octet_length(F.replace("bare", F.lit(" "), F.lit(""))) + 1)
+    filled = F.posexplode_outer(F.filter(each, lambda x: x["bare"] != "")).alias("k", "at")
+    cut = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("did"), F.xxhash64("text").alias("text_key"), filled).select("did", "text_key", "k", "at.line_no", "at.bare")
+    cut = cut.where("bare is not null").withColumn("n_tokens", F.octet_length("bare") - F.octet_length(F.replace("bare", F.lit(" "), F.lit(""))) + 1)
     leaf = F.xxhash64("n_tokens", F.substring_index("bare", " ", DEPTH))
     return cut.withColumn("leaf", leaf).withColumn("line", F.xxhash64("bare", F.lit("line")))
 
@@ -83,15 +85,22 @@ def _judged(lines: DataFrame, counts: DataFrame) -> tuple[DataFrame, list[str]]:
     return out, [out_at]
 
 
-def _modal(lines: DataFrame, judged: DataFrame) -> tuple[DataFrame, list[str]]:
+def _documents(members: DataFrame, held_by: DataFrame, of: list[str]) -> DataFrame:
+    """(of, did) of the documents that hold any of the lines (leaf, line, n_docs, first, and the columns of)."""
+    one = members.where("n_docs = 1").select(*of, F.col("first").alias("did"))
+    more = members.where("n_docs > 1").select("leaf", "line", *[c for c in of if c != "leaf"]).join(held_by, ["leaf", "line"]).select(*of, "did")
+    return one.unionByName(more).distinct()
+
+
+def _modal(judged: DataFrame, held_by: DataFrame) -> tuple[DataFrame, list[str]]:
     """(leaf, line, first) of the lines that belong to their leaf's modal template, where it recurs; and the written tables."""
-    members = judged.where((F.col("n_tokens") >= GENERAL) & (F.col("agree") >= SIMILAR * (F.col("n_tokens") - DEPTH))).select("leaf", "line", "n_tokens")
-    docs_of = lines.select("leaf", "line", "did").join(members.select("leaf", "line"), ["leaf", "line"], "left_semi").select("leaf", "did").distinct()
-    held, held_at = written(docs_of.groupBy("leaf").agg(F.count("*").alias("n_docs"), F.min("did").alias("first")).where(F.col("n_docs") > 1), "lines-held")
-    return members.join(broadcast_if(held, held.count(), BROADCAST_ROWS), "leaf").where(F.col("n_docs") >= _rare()).select("leaf", "line", "first"), [held_at]
+    members = judged.where((F.col("n_tokens") >= GENERAL) & (F.col("agree") >= SIMILAR * (F.col("n_tokens") - DEPTH))).select("leaf", "line", "n_tokens", "n_docs", "first")
+    held, held_at = written(_documents(members, held_by, ["leaf"]).groupBy("leaf").agg(F.count("*").alias("n_in"), F.min("did").alias("least")).where(F.col("n_in") > 1), "lines-held")
+    found = members.join(broadcast_if(held, held.count(), BROADCAST_ROWS), "leaf").where(F.col("n_in") >= _rare())
+    return found.select("leaf", "line", F.col("least").alias("first")), [held_at]
 
 
-def _signatures(lines: DataFrame, judged: DataFrame) -> tuple[DataFrame, list[str]]:
+def _signatures(judged: DataFrame, held_by: DataFrame) -> tuple[DataFrame, list[str]]:
     """(leaf, line, first) of the lines that belong to a recurring template with word fields; and the written tables."""
     of = ["leaf", "line", "lead", "n_tokens", "n_docs", "first"]
     own = judged.where("same > 0").select(*of, "sig", "same", "words")
@@ -110,17 +119,32 @@ def _signatures(lines: DataFrame, judged: DataFrame) -> tuple[DataFrame, list[st
     kinds, kinds_at = written(kinds.where("k > 1 and w >= need").drop("k", "w"), "lines-kinds")
     # Where no line of a template has enough documents alone, few have each of its lines, and they are counted together.
     sure, open_ = kinds.where("most >= need"), kinds.where("most < need")
-    pairs = members.select("leaf", "sig", "line").join(open_, ["leaf", "sig"]).join(lines.select("leaf", "line", "did").distinct(), ["leaf", "line"]).select("leaf", "sig", "need", "first", "did").distinct()
-    counted = pairs.groupBy("leaf", "sig", "need", "first").agg(F.count("*").alias("n_docs")).where("n_docs >= need")
-    found = sure.select("leaf", "sig", "first").unionByName(counted.select("leaf", "sig", "first"))
+    few = members.drop("need").join(open_.select("leaf", "sig"), ["leaf", "sig"], "left_semi")
+    counted = _documents(few, held_by, ["leaf", "sig"]).groupBy("leaf", "sig").agg(F.count("*").alias("n_in"))
+    enough = open_.join(counted, ["leaf", "sig"]).where("n_in >= need")
+    found = sure.select("leaf", "sig", "first").unionByName(enough.select("leaf", "sig", "first"))
     return members.select("leaf", "sig", "line").join(found, ["leaf", "sig"]).select("leaf", "line", "first"), [members_at, kinds_at]
 
 
-def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(leaf, line, first) of the lines to drop elsewhere than in `first`; and the table of all lines."""
-    lines, _ = written(_lines(docs), "lines")
-    counts = lines.select("leaf", "line", "n_tokens", "did").distinct().groupBy("leaf", "line", "n_tokens").agg(F.count("*").alias("n_docs"), F.min("did").alias("first"))
+def _counts(lines: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
+    """(leaf, line, n_tokens, n_docs, first) of all lines; (leaf, line, did) of those in several documents; and the written tables.
+
+    Most lines stand in one document, which its least and largest id tell; only the others have their documents counted."""
+    ends, ends_at = written(lines.groupBy("leaf", "line", "n_tokens").agg(F.min("did").alias("first"), F.max("did").alias("last")), "lines-ends")
+    several = ends.where("first <> last").select("leaf", "line")
+    held_by, held_at = written(lines.select("leaf", "line", "did").join(broadcast_if(several, several.count(), BROADCAST_ROWS), ["leaf", "line"], "left_semi").distinct(), "lines-held-by")
+    n = held_by.groupBy("leaf", "line").agg(F.count("*").alias("n_docs"))
+    one = ends.where("first = last").withColumn("n_docs", F.lit(1).cast("long"))
+    counts = ends.where("first <> last").join(n, ["leaf", "line"]).select(*one.columns).unionByName(one).select("leaf", "line", "n_tokens", "n_docs", "first")
     counts, counts_at = written(counts, "lines-counts")
+    forget(lines.sparkSession, ends_at)
+    return counts, held_by, [counts_at, held_at]
+
+
+def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(leaf, line, first) of the lines to drop elsewhere than in `first`; the table of all lines; and (leaf, line) of those in several documents."""
+    lines, _ = written(_lines(docs), "lines")
+    counts, held_by, counts_at = _counts(lines)
     enough = F.when(F.col("n_tokens") >= MIN_TOKENS, _rare())
     for n, most in SHORT_DOCS.items():
         enough = enough.when(F.col("n_tokens") == n, most)
@@ -128,36 +152,40 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     short = lines.where(F.col("n_tokens") < MIN_TOKENS).where(~F.col("bare").rlike(_OTHER)).select("leaf", "line").distinct()
     exact = exact.join(short, ["leaf", "line"], "left_anti").select("leaf", "line", "first")
     judged, judged_at = _judged(lines, counts)
-    modal, used = _modal(lines, judged)
-    fields, more = _signatures(lines, judged)
+    modal, used = _modal(judged, held_by)
+    fields, more = _signatures(judged, held_by)
     table, _ = written(exact.unionByName(modal).unionByName(fields).groupBy("leaf", "line").agg(F.min("first").alias("first")), "lines-recurring")
-    forget(docs.sparkSession, counts_at, *judged_at, *used, *more)
-    return table, lines
+    shared, _ = written(counts.where("n_docs > 1").select("leaf", "line"), "lines-shared")
+    forget(docs.sparkSession, *counts_at, *judged_at, *used, *more)
+    return table, lines, shared
 
 
-def _passages(lines: DataFrame) -> DataFrame:
+def _passages(lines: DataFrame, shared: DataFrame) -> DataFrame:
     """(did, text_key, line_no) of the lines in passages that an earlier document has too.
 
-    From each line on, and up to each line, a passage is the fewest consecutive lines that have LONG tokens together. Both
-    kinds within a run of shared lines cover it, so no pair of documents has to be joined."""
-    text = Window.partitionBy("did", "text_key")
-    at = text.orderBy("line_no")
-    each = lines.select("did", "text_key", "line_no", "n_tokens", F.xxhash64("leaf", "line").alias("h"))
-    each = each.withColumn("last", F.lag("line_no").over(at)).where("last is null or last <> line_no")  # repeated rows
+    A shared passage holds no line that stands in one document only, so runs of shared lines are all that is looked at. From each line
+    on, and up to each line, a passage is the fewest consecutive lines that have LONG tokens together. Both kinds within a run
+    cover it, so no pair of documents has to be joined."""
+    at = Window.partitionBy("did", "text_key").orderBy("k")
+    each = lines.select("did", "text_key", "k", "line_no", "n_tokens", "leaf", "line").join(broadcast_if(shared, shared.count(), BROADCAST_ROWS), ["leaf", "line"], "left_semi")
+    each = each.select("did", "text_key", "k", "line_no", "n_tokens", F.xxhash64("leaf", "line").alias("h"))
+    each = each.withColumn("last", F.lag("k").over(at)).where("last is null or last <> k")  # repeated rows
     each = each.withColumn("stop", F.sum("n_tokens").over(at.rowsBetween(Window.unboundedPreceding, 0)).cast("long")).withColumn("start", F.col("stop") - F.col("n_tokens"))
+    text = Window.partitionBy("did", "text_key", "run")
+    each = each.withColumn("run", F.col("k") - F.row_number().over(at))
     after, before = text.orderBy("start").rangeBetween(0, LONG - 1), text.orderBy("stop").rangeBetween(1 - LONG, 0)
     part = lambda w: F.struct(F.xxhash64(F.collect_list("h").over(w)).alias("passage"), F.sum("n_tokens").over(w).alias("n"), F.min("line_no").over(w).alias("low"), F.max("line_no").over(w).alias("high"))
     both = each.select("did", "text_key", part(after).alias("a"), part(before).alias("b")).select("did", "text_key", F.explode(F.array("a", "b")).alias("p")).select("did", "text_key", "p.*")
     both, _ = written(both.where(F.col("n") >= LONG).drop("n"), "lines-passages")
-    shared = both.groupBy("passage").agg(F.min("did").alias("first"), F.max("did").alias("other")).where("first <> other").drop("other")
-    return both.join(shared, "passage").where(F.col("did") > F.col("first")).select("did", "text_key", F.explode(F.sequence("low", "high")).alias("line_no"))
+    twice = both.groupBy("passage").agg(F.min("did").alias("first"), F.max("did").alias("other")).where("first <> other").drop("other")
+    return both.join(twice, "passage").where(F.col("did") > F.col("first")).select("did", "text_key", F.explode(F.sequence("low", "high")).alias("line_no"))
 
 
 def dedup_lines(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """docs with `text` without its dropped lines, and the numbers (long) of its lines and of the dropped ones in columns of these names."""
-    table, lines = recurring(docs)
+    table, lines, shared = recurring(docs)
     table = broadcast_if(table, table.count(), BROADCAST_ROWS)
-    gone = lines.join(table, ["leaf", "line"]).where(F.col("did") > F.col("first")).select("did", "text_key", "line_no").unionByName(_passages(lines))
+    gone = lines.join(table, ["leaf", "line"]).where(F.col("did") > F.col("first")).select("did", "text_key", "line_no").unionByName(_passages(lines, shared))
     dropped = gone.groupBy("did", "text_key").agg(F.collect_set("line_no").alias("__drop"))
     dropped, _ = written(dropped.withColumnsRenamed({"did": "__did", "text_key": "__key"}), "lines-dropped")
     docs = docs.drop(*names)
