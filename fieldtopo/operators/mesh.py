@@ -64,11 +64,13 @@ def labelled(tris: DataFrame) -> DataFrame:
     return rooted.join(names, "root").select("t", "a", "b", "c", "label")
 
 
-def vertex_normals(tris: DataFrame, dims: Dims) -> DataFrame:
-    """(v, px, py, pz): sums of the cross products of each vertex's triangles (twice the area-weighted normal)."""
+def vertex_normals(tris: DataFrame, dims: Dims, per: str = "v") -> DataFrame:
+    """(v, px, py, pz): sums of the cross products of each vertex's triangles (twice the area-weighted normal); per "t", each triangle's own."""
     at = {k: corner_place(dims, k) for k in "abc"}
-    placed = tris.select("a", "b", "c", *[c.alias(f"{k}{i}") for k, cols in at.items() for i, c in enumerate(cols)])
+    placed = tris.select("t", "a", "b", "c", *[c.alias(f"{k}{i}") for k, cols in at.items() for i, c in enumerate(cols)])
     p, q = [[F.col(f"{k}{i}") - F.col(f"a{i}") for i in range(3)] for k in "bc"]
     cross = [(p[(i + 1) % 3] * q[(i + 2) % 3] - p[(i + 2) % 3] * q[(i + 1) % 3]).alias(f"n{i}") for i in range(3)]
+    if per == "t":
+        return placed.select("t", *[c.alias(n) for c, n in zip(cross, ("px", "py", "pz"), strict=True)])
     each = placed.select(F.explode(F.array("a", "b", "c")).alias("v"), *cross)
     return each.groupBy("v").agg(*[F.sum(f"n{i}").alias(n) for i, n in enumerate(("px", "py", "pz"))])
