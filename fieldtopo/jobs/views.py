@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..functions.masks import changes_topology_2d
+from ..functions.masks import changes_topology, changes_topology_2d
 from ..operators import carve, order, stencil
 from ..sources import grids, volumes
 from ..sources.grids import LI
@@ -98,17 +98,45 @@ def streamed_slices(spark, sf_dir):
 
 @job()
 def carve_slices(spark, sf_dir):
-    """New order and values of every slice after topology-controlled carving (features of ten units stay)."""
-    return carve.carve_slices(grids.shipped(spark, sf_dir), ["z"], 10)
+    """New order and values of every slice after topology-controlled carving (features of ten units stay), and the order of all slices together."""
+    return carve.merged(carve.carve(grids.shipped(spark, sf_dir), ["z"], 10), "z")
 
 
 @job()
 def carving_report(spark, sf_dir):
     """Critical cells of each slice before and after carving."""
     cells = order.ranked_within(grids.shipped(spark, sf_dir), ["z"])
-    carved = carve.carve_slices(cells, ["z"], 10).select("id", F.col("ord").alias("carve"))
+    carved = carve.carve(cells, ["z"], 10).select("id", F.col("ord").alias("carve"))
     both = stencil.block(stencil.block(cells.join(carved, "id"), "ord", axes="xy"), "carve", axes="xy", name="around2")
     count = lambda o, a: F.count_if(changes_topology_2d(stencil.slice_mask(o, a)))
     return both.groupBy("z").agg(count("ord", "around").alias("before"), count("carve", "around2").alias("after"))
 
 
+def _carved_volume(spark, sf_dir, test):
+    """The small grid with its ranks before and after carving in blocks of four slices."""
+    cells = order.ranked(grids.shipped_small(spark, sf_dir)).withColumn("block", F.floor(F.col("z") / 4).cast("int"))
+    return cells.join(carve.carve(cells, ["block"], 40, test).select("id", F.col("ord").alias("carve"), "new_val"), "id")
+
+
+@job()
+def carve_volume(spark, sf_dir):
+    """Carving by the strict three-dimensional test, in blocks of four slices: every cell's place in its block and its new value."""
+    return _carved_volume(spark, sf_dir, carve.strict_test).select("block", "id", "val", "carve", "new_val")
+
+
+@job()
+def carve_volume_and_slices(spark, sf_dir):
+    """The same with the test that a slice's topology must stay as well; critical cells of each block before and after."""
+    both = _carved_volume(spark, sf_dir, carve.combo_test).withColumn("zz", F.col("z") % 4)
+    within = order.ranked_within(both, ["block"], name="own")
+    around = stencil.block(stencil.block(within, "own", extra=("block",)), "carve", extra=("block",), name="around2")
+    count = lambda o, a: F.count_if(changes_topology(stencil.lower_mask(o, name=a)))
+    return around.groupBy("block").agg(count("own", "around").alias("before"), count("carve", "around2").alias("after"))
+
+
+@job()
+def uncarved_report(spark, sf_dir):
+    """Cells whose carving moved them or changed their value, by slice: nothing is left uncarved."""
+    carved = carve.carve(order.ranked_within(grids.shipped(spark, sf_dir), ["z"]), ["z"], 10)
+    both = carved.join(grids.shipped(spark, sf_dir).select("id", "val"), "id")
+    return both.groupBy("z").agg(F.count_if(F.col("ord") < 0).alias("uncarved"), F.count_if(F.col("new_val") != F.col("val")).alias("changed"), F.max(F.col("new_val") - F.col("val")).alias("largest_delay"))

@@ -1,61 +1,105 @@
-"""Topology-controlled re-ordering of bounded groups: cells join in order of value unless that changes the slice's topology.
+"""Topology-controlled re-ordering of bounded groups: cells join in order of value unless that changes the group's topology.
 
-The order of acceptance is sequential within a slice, so it is a grouped kernel; slices are independent and run in parallel.
+The order of acceptance is sequential within a group (a slice, or a volume block), so it is a grouped kernel; groups are
+independent and run in parallel. `merged` puts the orders of slices together to one without a sequential step.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..functions.masks import OFFSETS_8, RING
+from ..functions.masks import OFFSETS_3D, OFFSETS_8, OFFSETS_26, RING
+from .order import numbered
 
 
-def _critical_table() -> list[bool]:
-    """For each of the 256 slice masks, whether adding the cell changes topology (ring of marked places, edges marking vertices)."""
-    out = []
-    for mask in range(256):
-        bit = [mask >> p & 1 for p in RING]
-        ring = [b if i % 2 else max(b, bit[i - 1], bit[(i + 1) % 8]) for i, b in enumerate(bit)]
-        out.append(sum(ring[i] != ring[i - 1] for i in range(8)) != 2)
-    return out
+@cache
+def flat_test(mask: int) -> bool:
+    """Whether adding a cell with that slice mask changes topology (ring of marked places, edges marking vertices)."""
+    bit = [mask >> p & 1 for p in RING]
+    ring = [b if i % 2 else max(b, bit[i - 1], bit[(i + 1) % 8]) for i, b in enumerate(bit)]
+    return sum(ring[i] != ring[i - 1] for i in range(8)) != 2
 
 
-def carve_slices(cells: DataFrame, keys: list[str], feature: int) -> DataFrame:
-    """(keys, id, ord, new_val) from cells (keys, id, x, y, val).
+_AROUND = [o for o in OFFSETS_3D if o != (0, 0, 0)]
 
-    Cells are taken by (value, stamp, id). One whose adding would change the slice's topology waits: its value grows by one
-    each time, until it is `feature` above its own and is taken anyway. When a cell is taken, waiting neighbours at or below
-    the current value are tried again at once. The slice's first cell is always taken.
+
+@cache
+def strict_test(mask: int) -> bool:
+    """The same for 26 neighbours: once faces have marked their edges and edges their vertices, either side must be one face-connected part."""
+    marked = {o for i, o in enumerate(OFFSETS_26) if mask >> i & 1}
+    under = {p for o in marked for p in _AROUND if all(a in (0, b) for a, b in zip(o, p, strict=True))}
+    for side in (under, set(_AROUND) - under):
+        if not side:
+            return True
+        stack, seen = [next(iter(side))], set()
+        while stack:
+            p = stack.pop()
+            if p in seen:
+                continue
+            seen.add(p)
+            stack += [q for q in side if sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1]
+        if seen != side:
+            return True
+    return False
+
+
+def combo_test(mask: int) -> bool:
+    """Critical in the slice or in the volume."""
+    return flat_test(mask >> 9 & 255) or strict_test(mask)
+
+
+def carve(cells: DataFrame, keys: list[str], feature: int, test: Callable[[int], bool] = flat_test, top: int = 65535) -> DataFrame:
+    """(keys, id, ord, new_val) from cells (keys, id, x, y[, z], val).
+
+    All cells wait in a queue by (value, stamp, id), with the latest stamp of all. The first is taken. One that would change the
+    topology is put back with its value one higher, until it is `feature` above its own value and is taken anyway. When a cell is taken,
+    neighbours that wait no more as themselves (they were put back) are queued once more at the current value, stamped with the
+    number taken so far; such an entry, when refused, is queued again only if a cell was taken since its stamp. Values are clamped to top.
     """
-    critical = _critical_table()
+    flat = test is flat_test
+    offsets = OFFSETS_8 if flat else OFFSETS_26
+    axes = "xy" if flat else "xyz"
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
-        place = {p: i for i, p in enumerate(zip(pdf["x"], pdf["y"], strict=True))}
-        near = [[place.get((x + dx, y + dy)) for dx, dy in OFFSETS_8] for x, y in place]
+        places = list(zip(*(pdf[a] for a in axes), strict=True))
+        place = {p: i for i, p in enumerate(places)}
+        near = [[place.get(tuple(a + d for a, d in zip(p, o, strict=True))) for o in offsets] for p in places]
         data, ids, n = pdf["val"].tolist(), pdf["id"].tolist(), len(pdf)
-        rank, value = [-1] * n, [0] * n
-        heap = [(data[i], n + 1, ids[i], i, True) for i in range(n)]
+        rank, value, queued, taken = [-1] * n, list(data), [True] * n, 0
+        last = n + 1
+        heap = [(data[i], last, ids[i], i) for i in range(n)]
         heapq.heapify(heap)
-        taken = 0
         while heap:
-            v, stamp, _, i, original = heapq.heappop(heap)
+            v, stamp, _, i = heapq.heappop(heap)
+            queued[i] = False
             if rank[i] >= 0:
                 continue
             mask = sum(1 << b for b, j in enumerate(near[i]) if j is not None and rank[j] >= 0)
-            if critical[mask] and taken and not (original and v - data[i] >= feature):
-                if original:
-                    heapq.heappush(heap, (v + 1, stamp, ids[i], i, True))
+            if taken and test(mask) and not (stamp == last and abs(v - data[i]) >= feature):
+                if stamp == last:
+                    heapq.heappush(heap, (v + 1, last, ids[i], i))
+                elif stamp < taken:
+                    heapq.heappush(heap, (v, taken, ids[i], i))
                 continue
-            rank[i], value[i] = taken, v
+            rank[i], value[i] = taken, v if not taken else max(0, min(v, top))
             taken += 1
-            for j in near[i]:
-                if j is not None and rank[j] < 0 and data[j] <= v:
-                    heapq.heappush(heap, (v, taken, ids[j], j, False))
-        out = pd.DataFrame({k: pdf[k] for k in keys} | {"id": ids})
-        return out.assign(ord=rank, new_val=value)
+            if taken > 1:  # the first cell queues none
+                for j in near[i]:
+                    if j is not None and rank[j] < 0 and not queued[j]:
+                        heapq.heappush(heap, (v, taken, ids[j], j))
+                        queued[j] = True
+        return pd.DataFrame({k: pdf[k] for k in keys} | {"id": ids, "ord": rank, "new_val": value})
 
     types = dict(cells.dtypes)
-    return cells.select(*dict.fromkeys([*keys, "id", "x", "y", "val"])).groupBy(*keys).applyInPandas(kernel, ", ".join([*(f"{k} {types[k]}" for k in keys), "id long", "ord long", "new_val long"]))
+    return cells.select(*dict.fromkeys([*keys, "id", *axes, "val"])).groupBy(*keys).applyInPandas(kernel, ", ".join([*(f"{k} {types[k]}" for k in keys), "id long", "ord long", "new_val long"]))
+
+
+def merged(carved: DataFrame, slice_key: str) -> DataFrame:
+    """carved slices with `order`: one order of all, by new value, then slice, then place in the slice."""
+    return numbered(carved, [F.col("new_val"), F.col(slice_key), F.col("ord")], "order")
