@@ -28,6 +28,7 @@ class Dims(NamedTuple):
 
 
 LI, LI_SMALL, EVENTS, VECTORS, LI_4D = Dims(16, 16, 84), Dims(8, 8, 12), Dims(12, 5, 30), Dims(64, 32, 1), Dims(6, 6, 6, 7)
+BLOCK, ORDERS_A_GRID = Dims(16, 16, 12), 512  # grids by ranges of orders: as many as the table needs
 
 
 def address(dims: Dims, x="x", y="y", z="z", t=None) -> Column:
@@ -86,6 +87,17 @@ def shipped_4d(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dense(_grouped(li, LI_4D, F.sum(F.col("l_quantity").cast("long")), F.col("l_partkey") % 6, F.col("l_suppkey") % 6, F.col("l_orderkey") % 6, t), LI_4D, spark)
 
 
+def shipped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A grid of 16 x 16 x 12 cells for every ORDERS_A_GRID order keys (part class, supplier class, month): their number grows with the
+    table. grid_id comes before the cell's own columns."""
+    li = _lineitem(spark, sf_dir)
+    grid_id = F.floor(F.col("l_orderkey") / ORDERS_A_GRID).alias("grid_id")
+    cell = address(BLOCK, (F.col("l_partkey") % 16).cast("int"), (F.col("l_suppkey") % 16).cast("int"), F.month("l_shipdate") - 1)
+    sparse = li.groupBy(grid_id, cell.alias("id")).agg(F.sum(F.col("l_quantity").cast("long")).cast("long").alias("val"))
+    ids = sparse.select("grid_id").distinct().select("grid_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(BLOCK.n - 1).cast("long"))).alias("id"))
+    return ids.select("grid_id", "id", *coordinates(BLOCK)).join(sparse, ["grid_id", "id"], "left").withColumn("val", F.coalesce("val", F.lit(0)).cast("long"))
+
+
 def _sql(dims: Dims, source: str, name: str) -> str:
     t = f", CAST(i // {dims.slice * dims.nz} AS INT) AS t" if dims.nt > 1 else ""
     return f"""{name} AS (SELECT i AS id, CAST(i % {dims.nx} AS INT) AS x, CAST((i // {dims.nx}) % {dims.ny} AS INT) AS y, CAST((i // {dims.slice}) % {dims.nz} AS INT) AS z{t}, CAST(coalesce(v, 0) AS BIGINT) AS val
@@ -96,5 +108,7 @@ SQL = {
     "li": _sql(LI, "SELECT ((((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1) * 16 + l_suppkey % 16) * 16 + l_partkey % 16) AS sid, SUM(CAST(l_quantity AS BIGINT)) AS v FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2001 GROUP BY 1", "g"),
     "li_small": _sql(LI_SMALL, "SELECT (((month(l_shipdate) - 1) * 8 + l_suppkey % 8) * 8 + l_partkey % 8) AS sid, SUM(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1", "g"),
     "events": _sql(EVENTS, "SELECT (((day(ts) - 1) * 5 + list_position(['click','error','purchase','signup','view'], event_type) - 1) * 12 + user_id % 12) AS sid, COUNT(*) AS v FROM events WHERE day(ts) <= 30 AND list_position(['click','error','purchase','signup','view'], event_type) > 0 GROUP BY 1", "g"),
+    "blocks": f"""s AS (SELECT l_orderkey // {ORDERS_A_GRID} AS grid_id, (((month(l_shipdate) - 1) * 16 + l_suppkey % 16) * 16 + l_partkey % 16) AS sid, SUM(CAST(l_quantity AS BIGINT)) AS v FROM lineitem GROUP BY 1, 2),
+g AS (SELECT b.grid_id, i AS id, CAST(i % 16 AS INT) AS x, CAST((i // 16) % 16 AS INT) AS y, CAST(i // 256 AS INT) AS z, CAST(coalesce(v, 0) AS BIGINT) AS val FROM (SELECT DISTINCT grid_id FROM s) b CROSS JOIN range({BLOCK.n}) r(i) LEFT JOIN s ON s.grid_id = b.grid_id AND s.sid = r.i)""",
     "li_4d": _sql(LI_4D, "SELECT ((((year(l_shipdate) - 1995) * 6 + l_orderkey % 6) * 6 + l_suppkey % 6) * 6 + l_partkey % 6) AS sid, SUM(CAST(l_quantity AS BIGINT)) AS v FROM lineitem WHERE year(l_shipdate) BETWEEN 1995 AND 2001 GROUP BY 1", "g"),
 }
