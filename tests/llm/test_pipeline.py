@@ -72,3 +72,46 @@ def test_contract_of_op6_and_op8(spark, sf_dir):
         ids = encoder.encode_ordinary(texts[r.doc_id] or "")
         assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256((texts[r.doc_id] or "").encode()).hexdigest()
+
+
+EDGES = [
+    (None, "this row has no id but the words of the language that others have too"),
+    (1, None), (2, ""), (3, " \n\t"), (4, "123 456 !!!"),
+    (5, "the same row of text twice in the table and the words of it are these"), (5, "the same row of text twice in the table and the words of it are these"),
+    (6, "the first of all that and the second of all these " * 4000),
+    (7, "of the and that " * 3 + "x" * 70_000),
+]
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
+def test_each_stage_on_awkward_rows_and_clashing_columns(spark, sf_dir, name):
+    """Nulls, empty and very long texts, repeated rows; columns that are named like those the operators add keep their values."""
+    names = ["score", "lang_pred", "n_lines", "n_dropped", "hit_spans", "component_id", "key", "label"]
+    rows = [(i, t, "en", "s", len(t or ""), *[f"{n}{k}" for n in names]) for k, (i, t) in enumerate(EDGES)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{n} string" for n in names))
+    got = dict(corpus_pipeline.STAGES)[name](spark, docs, sf_dir).collect()
+    if name == "tokens":
+        assert len(got) == len(rows) and all(r.round_trip for r in got) and sorted(r.n_tokens for r in got)[:2] == [0, 0]
+        return
+    own = {r[5]: r for r in rows}
+    for r in got:
+        assert [r[n] for n in names] == list(own[r.score][5:]) and r.n_chars == (len(r.text) if r.text is not None else own[r.score][4] if name in ("language", "near_copies") else None)
+    kept = sorted((repr(r.doc_id), r.text is None or len(r.text)) for r in got)
+    if name == "language":
+        assert {r.doc_id for r in got} >= {None, 5, 6} and not {1, 2, 3, 4} & {r.doc_id for r in got}
+    elif name == "near_copies":
+        assert len(got) == len(rows) - 1, kept
+    else:
+        assert len(got) == len(rows), kept
+
+
+def test_language_stage_goes_by_its_prediction(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    monkeypatch.setattr(corpus_pipeline, "KEEP_LANGUAGES", ["fr"])
+    kept = corpus_pipeline.keep_language(spark, docs, sf_dir).select("lang").collect()
+    assert len(kept) > 5 and sum(r.lang == "fr" for r in kept) > 0.9 * len(kept)
+    monkeypatch.setattr(corpus_pipeline, "KEEP_LANGUAGES", None)
+    foreign = spark.createDataFrame([(1, "这 是 另 一 种 语 言", "en"), (2, "the words of the text", "en")], "doc_id long, text string, lang string")
+    mixed = docs.select("doc_id", "text", "lang").unionByName(foreign.withColumn("doc_id", foreign.doc_id + 10**9))
+    left = {r.doc_id for r in corpus_pipeline.keep_language(spark, mixed, sf_dir).where("doc_id > 999999999").collect()}
+    assert left == {10**9 + 2}
