@@ -97,8 +97,9 @@ def criticals_by_side(spark, sf_dir):
     ring = stencil.block(falling.withColumnRenamed("mask", "known"), "one")
     beside = sum((F.when(stencil.at(o).isNull(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, o in enumerate(OFFSETS_26)), F.lit(0).cast("long"))
     inside = F.col("known").bitwiseOR(beside).bitwiseXOR(F.lit((1 << 26) - 1))
-    sides = F.array(F.struct(F.lit("inside").alias("side"), changes_topology(inside).alias("c")), F.struct(F.lit("outside").alias("side"), changes_topology(F.col("known")).alias("c")))
-    return ring.select("z", F.explode(sides).alias("s")).groupBy("z", "s.side").agg(F.count_if("s.c").alias("n_critical"), F.count("*").alias("n"))
+    sides = F.array(F.struct(F.lit("inside").alias("side"), inside.alias("mask")), F.struct(F.lit("outside").alias("side"), F.col("known").alias("mask")))
+    each = ring.select("z", F.explode(sides).alias("s")).select("z", "s.side", "s.mask")  # a column of its own: the test looks at it often
+    return each.groupBy("z", "side").agg(F.count_if(changes_topology(F.col("mask"))).alias("n_critical"), F.count("*").alias("n"))
 
 
 @job(f"{VOLUME_MASK}, m2 AS (SELECT id, (mask >> 9) & 255 AS mask FROM m3), {RING_TEST},\n{STRICT_TEST.format(source='m3')}\n---\nSELECT m3.z, count(*) FILTER (transitions <> 2 OR test3.critical) AS n_combo, count(*) FILTER (transitions <> 2) AS n_slice, count(*) FILTER (test3.critical) AS n_volume FROM m3 JOIN m2 USING (id) JOIN test2 ON test2.mask = m2.mask JOIN test3 ON test3.mask = m3.mask GROUP BY m3.z", "li_small", "z n_combo n_slice n_volume", recursive=True)
