@@ -141,9 +141,10 @@ def _counts(lines: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
     return counts, held_by, [counts_at, held_at]
 
 
-def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(leaf, line, first) of the lines to drop elsewhere than in `first`; the table of all lines; and (leaf, line) of those in several documents."""
-    lines, _ = written(_lines(docs), "lines")
+def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[str]]:
+    """(leaf, line, first) of the lines to drop elsewhere than in `first`; the table of all lines; (leaf, line) of those in several documents;
+    and where these tables are written."""
+    lines, lines_at = written(_lines(docs), "lines")
     counts, held_by, counts_at = _counts(lines)
     enough = F.when(F.col("n_tokens") >= MIN_TOKENS, _rare())
     for n, most in SHORT_DOCS.items():
@@ -154,14 +155,14 @@ def recurring(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     judged, judged_at = _judged(lines, counts)
     modal, used = _modal(judged, held_by)
     fields, more = _signatures(judged, held_by)
-    table, _ = written(exact.unionByName(modal).unionByName(fields).groupBy("leaf", "line").agg(F.min("first").alias("first")), "lines-recurring")
-    shared, _ = written(counts.where("n_docs > 1").select("leaf", "line"), "lines-shared")
+    table, table_at = written(exact.unionByName(modal).unionByName(fields).groupBy("leaf", "line").agg(F.min("first").alias("first")), "lines-recurring")
+    shared, shared_at = written(counts.where("n_docs > 1").select("leaf", "line"), "lines-shared")
     forget(docs.sparkSession, *counts_at, *judged_at, *used, *more)
-    return table, lines, shared
+    return table, lines, shared, [lines_at, table_at, shared_at]
 
 
-def _passages(lines: DataFrame, shared: DataFrame) -> DataFrame:
-    """(did, text_key, line_no) of the lines in passages that an earlier document has too.
+def _passages(lines: DataFrame, shared: DataFrame) -> tuple[DataFrame, str]:
+    """(did, text_key, line_no) of the lines in passages that an earlier document has too; and the written table.
 
     A shared passage holds no line that stands in one document only, so runs of shared lines are all that is looked at. From each line
     on, and up to each line, a passage is the fewest consecutive lines that have LONG tokens together. Both kinds within a run
@@ -176,18 +177,20 @@ def _passages(lines: DataFrame, shared: DataFrame) -> DataFrame:
     after, before = text.orderBy("start").rangeBetween(0, LONG - 1), text.orderBy("stop").rangeBetween(1 - LONG, 0)
     part = lambda w: F.struct(F.xxhash64(F.collect_list("h").over(w)).alias("passage"), F.sum("n_tokens").over(w).alias("n"), F.min("line_no").over(w).alias("low"), F.max("line_no").over(w).alias("high"))
     both = each.select("did", "text_key", part(after).alias("a"), part(before).alias("b")).select("did", "text_key", F.explode(F.array("a", "b")).alias("p")).select("did", "text_key", "p.*")
-    both, _ = written(both.where(F.col("n") >= LONG).drop("n"), "lines-passages")
+    both, both_at = written(both.where(F.col("n") >= LONG).drop("n"), "lines-passages")
     twice = both.groupBy("passage").agg(F.min("did").alias("first"), F.max("did").alias("other")).where("first <> other").drop("other")
-    return both.join(twice, "passage").where(F.col("did") > F.col("first")).select("did", "text_key", F.explode(F.sequence("low", "high")).alias("line_no"))
+    return both.join(twice, "passage").where(F.col("did") > F.col("first")).select("did", "text_key", F.explode(F.sequence("low", "high")).alias("line_no")), both_at
 
 
 def dedup_lines(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
     """docs with `text` without its dropped lines, and the numbers (long) of its lines and of the dropped ones in columns of these names."""
-    table, lines, shared = recurring(docs)
+    table, lines, shared, used = recurring(docs)
+    passages, passages_at = _passages(lines, shared)
     table = broadcast_if(table, table.count(), BROADCAST_ROWS)
-    gone = lines.join(table, ["leaf", "line"]).where(F.col("did") > F.col("first")).select("did", "text_key", "line_no").unionByName(_passages(lines, shared))
+    gone = lines.join(table, ["leaf", "line"]).where(F.col("did") > F.col("first")).select("did", "text_key", "line_no").unionByName(passages)
     dropped = gone.groupBy("did", "text_key").agg(F.collect_set("line_no").alias("__drop"))
     dropped, _ = written(dropped.withColumnsRenamed({"did": "__did", "text_key": "__key"}), "lines-dropped")
+    forget(docs.sparkSession, passages_at, *used)  # what is left to do reads the texts and the dropped lines only
     docs = docs.drop(*names)
     own = (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == dropped["__did"]) & (F.xxhash64(docs["text"]) == dropped["__key"])
     joined = docs.join(dropped, own, "left").withColumn("__parts", F.when(F.col("__drop").isNotNull(), F.split(docs["text"], "\n", -1)))
