@@ -8,8 +8,8 @@ All arcs with one label lead to one state, so a state is a copy chain (`parent`,
 size states x labels is ever held: rows of the transition table are filled as texts need them.
 
 A word is encoded by walking its symbols: from the state at a place, a trie gives the labels that the following symbols spell,
-and the table says which of them may follow. BPE of every prefix is unique, so each place has one state and one label to it, and the
-labels are read back from the end. Decoding emits the labels of the ids.
+and the table says which of them may follow. The longest is tried first, and given up where it leads nowhere; BPE of every prefix is unique, so a
+place has one state, is tried once, and a word takes time linear in its length. Decoding emits the labels of the ids.
 
 Texts are normalised and split before, as the tokenizer file says. Pieces without a space never merge with each other, so a
 worker keeps the pieces it met. Special tokens' strings are taken out of the raw text first and have ids of their own.
@@ -25,6 +25,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import cache
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ _LETTERS = "a-zA-ZÀ-ÖØ-öø-įı-ňŊ-ǯǱ-ɏ"  # lower-cased one to one, lef
 _SIMPLE = re.compile(f"[\t\n\r -~{_LETTERS}]*")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}ⱥⱦ]+|[0-9]|[^\\s0-9{_LETTERS}ⱥⱦ]+")
 _SPACES = re.compile("[\t\n\r\f\v ]+")
-_KEPT, _ROWS, _LONGEST = 200_000, 2_000_000, 64  # pieces and table entries that a worker keeps, and the longest piece that it keeps
+_KEPT, _ROWS, _LONGEST = 400_000, 2_000_000, 64  # pieces and table entries that a worker keeps, and the longest piece that it keeps
 
 
 class Automaton:
@@ -124,6 +125,7 @@ class Encoder:
                 for symbol in self._symbols(word):
                     node = node.setdefault(symbol, {})
                 node[""] = i
+        self.lengths = [len(self._symbols(w)) if w else 0 for w in self.labels]
         self.pieces: dict[str, tuple[bytes, str]] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
 
@@ -134,28 +136,34 @@ class Encoder:
         return [*stem[:-1], stem[-1] + self.end]
 
     def walk(self, piece: str) -> list[int]:
-        """Ids of one piece (byte-level letters, no end mark)."""
+        """Ids of one piece (byte-level letters, no end mark): from each place the longest label that may follow goes first. As a place
+        has one state whatever the way to it, one that led nowhere is never entered again."""
         symbols = [*piece[:-1], piece[-1] + self.end]
-        n, arc = len(symbols), self.automaton.arc
-        state, by, came = [-1] * (n + 1), [0] * (n + 1), [-1] * (n + 1)
-        state[0] = 0
-        for i in range(n):
-            here = state[i]
-            if here < 0:
-                continue
-            node, j = self.trie, i
+        n, automaton, trie = len(symbols), self.automaton, self.trie
+        ids: list[int] = []
+        open_: list[tuple[int, list[tuple[int, int]]]] = []  # of every place on the way: its state, and the labels not tried yet
+        i, state, closed = 0, 0, set()
+        while i < n:
+            node, j, found = trie, i, []
             while j < n and (node := node.get(symbols[j])) is not None:
                 j += 1
-                label = node.get("")
-                if label is not None and state[j] < 0 and (to := arc(here, label)) >= 0:
-                    state[j], by[j], came[j] = to, label, i
-        if state[n] < 0:
-            raise ValueError(f"the vocabulary has no symbol for a part of {piece!r}")
-        out = []
-        while n:
-            out.append(by[n])
-            n = came[n]
-        return out[::-1]
+                if (label := node.get("")) is not None:
+                    found.append((j, label))
+            while True:
+                if found:
+                    j, label = found.pop()
+                    if j not in closed and (to := automaton.arc(state, label)) >= 0:
+                        open_.append((state, found))
+                        ids.append(label)
+                        i, state = j, to
+                        break
+                elif open_:
+                    closed.add(i)
+                    state, found = open_.pop()
+                    i -= self.lengths[ids.pop()]
+                else:
+                    raise ValueError(f"the vocabulary has no symbol for a part of {piece!r}")
+        return ids
 
     def _entry(self, pieces: list[str]) -> tuple[bytes, str]:
         ids = [i for p in pieces for i in self.walk(p)]
@@ -169,23 +177,23 @@ class Encoder:
         return self._entry([p for p, _ in self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(word))])
 
     def _look_up(self, keys: list[str], known: dict, make) -> list[tuple[bytes, str]]:
-        if len(known) > _KEPT:
-            known.clear()
-        out = []
-        for k in keys:
-            e = known.get(k)
-            if e is None:
-                e = make(k)
-                if len(k) <= _LONGEST:
-                    known[k] = e
-            out.append(e)
+        out = list(map(known.get, keys))
+        if None in out:
+            if len(known) > _KEPT:
+                known.clear()  # what is frequent comes back at once
+            for i, (k, e) in enumerate(zip(keys, out, strict=True)):
+                if e is None and (e := known.get(k)) is None:
+                    e = make(k)
+                    if len(k) <= _LONGEST:
+                        known[k] = e
+                out[i] = e
         return out
 
     def _plain(self, text: str) -> list[tuple[bytes, str]]:
         """Entries of a text without special strings."""
         if _SIMPLE.fullmatch(text):
             return self._look_up(_PIECES.findall(text.lower()), self.pieces, self._piece)
-        return self._look_up([w for w in _SPACES.split(text) if w], self.words, self._word)
+        return [e for e in self._look_up([w for w in _SPACES.split(text) if w], self.words, self._word) if e[0]]
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """The ids as little-endian 32-bit integers, and the text that they decode to."""
@@ -200,7 +208,7 @@ class Encoder:
                     parts += self._plain(part)
         else:
             parts = self._plain(text)
-        return b"".join([e[0] for e in parts]), " ".join([e[1] for e in parts if e[1]])
+        return b"".join(map(itemgetter(0), parts)), " ".join(map(itemgetter(1), parts))
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(self.labels[i] for i in ids)

@@ -6,7 +6,9 @@ from .byte_bpe import op6_byte_bpe
 from .decontaminate import op3_decontaminate
 from .jaccard import op4_jaccard_join
 from .language import op9_language_id
-from .line_dedup import op10_line_dedup
+from .line_dedup import op10_line_dedup,
+    op12_merge_automaton,
+from .merge_automaton import op12_merge_automaton
 from .oracles import ORACLES
 from .pii import op2_pii_spans
 from .token_files import op8_token_records
@@ -17,6 +19,7 @@ from .warc import op7_warc_derivatives
 __all__ = ["ORACLES", "QUERIES"]
 
 _FUNCTIONS = [
-    op1_toxicity, op2_pii_spans, op3_decontaminate, op4_jaccard_join, op5_top_k, op6_byte_bpe, op7_warc_derivatives, op8_token_records, op9_language_id, op10_line_dedup
+    op1_toxicity, op2_pii_spans, op3_decontaminate, op4_jaccard_join, op5_top_k, op6_byte_bpe, op7_warc_derivatives, op8_token_records, op9_language_id, op10_line_dedup,
+    op12_merge_automaton,
 ]
 QUERIES = {f.__name__: f for f in _FUNCTIONS}
