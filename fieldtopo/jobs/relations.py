@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.masks import OFFSETS_3D, OFFSETS_6, OFFSETS_26, changes_topology, changes_topology_2d
-from ..operators import flood, mesh, order, pyramid, query, stencil, trees
+from ..operators import bricks, flood, mesh, order, pyramid, query, stencil, trees
 from ..sources import grids
 from ..sources.grids import EVENTS, LI, LI_4D, LI_SMALL
 from .common import NEIGHBOURS_26, ORDERED, RING_TEST, STRICT_TEST, VOLUME_MASK, job
@@ -176,8 +176,9 @@ _JOIN, _SPLIT = _tree_sql("", "(SELECT *, id AS node FROM g)", "val, id", _VERTE
 
 
 def _volume_tree(spark, sf_dir, split=False):
-    cells = order.ranked(grids.shipped_small(spark, sf_dir), descending=split).withColumn("grid_id", F.lit(0))
-    return cells, trees.sweep_tree(cells, ["grid_id"], OFFSETS_6 if split else OFFSETS_26)
+    """The volume's cells and its tree, from bricks of 4 cells a side."""
+    cells = order.ranked(grids.shipped_small(spark, sf_dir), descending=split)
+    return cells, bricks.tree(cells, LI_SMALL, OFFSETS_6 if split else OFFSETS_26, side=4)
 
 
 @job(f"{_JOIN}\n---\nSELECT node, coalesce(upper, -1) AS upper FROM tree", "li_small", "node upper", recursive=True)
@@ -199,9 +200,8 @@ _BOTH = _tree_sql("", "(SELECT *, id AS node FROM g)", "val, id", _VERTEX, "j")
 def contour_tree_degrees(spark, sf_dir):
     """Every cell as a node of the volume's contour tree: its upper degree is that of the split tree, its lower that of the join tree;
     and the four classes of criticals by degree."""
-    keys = ["grid_id"]
-    down = trees.degrees(_volume_tree(spark, sf_dir)[1], keys).select("node", "down")
-    up = trees.degrees(_volume_tree(spark, sf_dir, True)[1], keys).select("node", F.col("down").alias("up"))
+    down = trees.degrees(_volume_tree(spark, sf_dir)[1], []).select("node", "down")
+    up = trees.degrees(_volume_tree(spark, sf_dir, True)[1], []).select("node", F.col("down").alias("up"))
     u, d = F.col("up"), F.col("down")
     classes = {"positive": (u == d + 1) & (u <= 2), "negative": (d == u + 1) & (d <= 2), "neutral": (u == 1) & (d == 1), "complex": (u >= 3) | (d >= 3) | (u + d >= 4)}
     return down.join(up, "node").withColumns(classes).select("node", "up", "down", *classes)
@@ -241,9 +241,9 @@ def tree_dump(spark, sf_dir):
 def critical_parents(spark, sf_dir):
     """The critical node that each cell's branch of the join tree ends in (a critical cell: itself), by following pointers."""
     edges = _volume_tree(spark, sf_dir)[1]
-    deg = trees.degrees(edges, ["grid_id"])
+    deg = trees.degrees(edges, [])
     stays = (F.col("down") != 1) | (F.col("up") == 0)
-    pointers = edges.join(deg, ["grid_id", "node"]).select(F.col("node").alias("id"), F.when(stays, F.col("node")).otherwise(F.col("upper")).alias("at"))
+    pointers = edges.join(deg, "node").select(F.col("node").alias("id"), F.when(stays, F.col("node")).otherwise(F.col("upper")).alias("at"))
     return flood.follow(pointers).select(F.col("id").alias("node"), F.col("at").alias("parent"))
 
 

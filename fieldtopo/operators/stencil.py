@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import OFFSETS_80
 from ..functions.masks import OFFSETS_6, OFFSETS_8, OFFSETS_26
 
 
@@ -22,11 +23,12 @@ def _pass(df: DataFrame, value: str, along: str, others: list[str], width: int,
 
 
 def block(df: DataFrame, value: str, extra: tuple[str, ...] = (), axes: str = "xyz", name: str = "around") -> DataFrame:
-    """df with `name`: the values of the 3^k block around each cell (null outside the grid), x fastest. extra: keys as grid_id or t."""
+    """df with `name`: the values of the 3^k block around each cell (null outside the grid), x fastest; axes "xyzt" for a series of volumes. extra: keys as grid_id or t."""
     kind = dict(df.dtypes)[value]
     out, width = df.withColumn(name, F.array(F.col(value))), 1
+    every = "xyzt" if "t" in axes else "xyz"
     for axis in axes:
-        out = _pass(out, name, axis, [*extra, *[a for a in "xyz" if a != axis]], width, kind)
+        out = _pass(out, name, axis, [*extra, *[a for a in every if a != axis]], width, kind)
         width *= 3
     return out
 
@@ -42,6 +44,11 @@ def lower_mask(order: str, offsets=OFFSETS_26, name: str = "around", outside: bo
     return reduce(Column.bitwiseOR, bits)
 
 
+def lower_mask_4d(order: str, name: str = "around") -> tuple[Column, Column]:
+    """The 80-bit mask of a block with time, in two longs."""
+    return lower_mask(order, OFFSETS_80[:40], name), lower_mask(order, OFFSETS_80[40:], name)
+
+
 def slice_mask(order: str, name: str = "around", outside: bool = False) -> Column:
     return lower_mask(order, OFFSETS_8, name, outside)
 

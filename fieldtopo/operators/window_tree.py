@@ -20,7 +20,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.masks import OFFSETS_6, OFFSETS_8, OFFSETS_26, changes_topology, changes_topology_2d, closed, euler, wide
+from ..functions.arrays import any_strict
+from ..functions.masks import OFFSETS_6, OFFSETS_8, OFFSETS_26, changes_topology_2d, closed, euler, wide
 from .query import FIRST_SLICE, LAST_SLICE, link_terms, windows, within_window
 
 NODES = "window_id int, node long, ord long, val long, critical boolean, parent long, n_cells long, n_minima long, overlaps array<long>, chi long, cavities long, enter long, exit long"
@@ -29,8 +30,8 @@ NODES = "window_id int, node long, ord long, val long, critical boolean, parent
 def critical_in_slices(mask: Column) -> Column:
     """Whether a cell is critical in its own slice or in the pair with the slice before or after (26-bit lower link)."""
     flat = F.shiftright(mask, 9).bitwiseAND(F.lit(255))
-    pairs = [changes_topology(m) for far in (FIRST_SLICE, LAST_SLICE) for m in (mask.bitwiseAND(F.lit(~far)), mask.bitwiseOR(F.lit(far)))]
-    return changes_topology_2d(flat) | pairs[0] | pairs[1] | pairs[2] | pairs[3]
+    pairs = F.array(*[m for far in (FIRST_SLICE, LAST_SLICE) for m in (mask.bitwiseAND(F.lit(~far)), mask.bitwiseOR(F.lit(far)))])
+    return changes_topology_2d(flat) | any_strict(pairs)
 
 
 class _Sweep:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .jobs import blocks, fields, relations, reshape, surface, topology, views  # noqa: F401  (they register their jobs)
+from .jobs import blocks, brick_trees, fields, isosurface, relations, reshape, series, surface, topology, views  # noqa: F401  (they register their jobs)
 from .jobs.common import ORACLES, QUERIES
 
 __all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
