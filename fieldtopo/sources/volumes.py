@@ -59,12 +59,12 @@ def write_slabs(cells: DataFrame, dims: Dims, root: str, suffix: str, slices: in
         data = encode(suffix, (dims.nx, dims.ny, deep), pdf["val"].to_numpy())
         store, at = _store(root)
         name, hidden = f"{at}/slab-{slab * slices:06d}{suffix}", f"{at}/.slab-{slab * slices:06d}{suffix}.{uuid.uuid4().hex}"
+        if suffix == ".raw":  # first, so that no volume is ever without its sizes
+            with store.open_output_stream(f"{name}.header") as f:
+                f.write(f"{dims.nx} {dims.ny} {deep}\n".encode())
         with store.open_output_stream(hidden) as f:
             f.write(data)
         store.move(hidden, name)
-        if suffix == ".raw":
-            with store.open_output_stream(f"{name}.header") as f:
-                f.write(f"{dims.nx} {dims.ny} {deep}\n".encode())
         return pd.DataFrame({"slab": [slab], "n": [len(pdf)]})
 
     keyed = cells.select("id", "val", F.floor(F.col("z") / slices).alias("slab"))
@@ -77,7 +77,7 @@ def read_slabs(spark: SparkSession, root: str, suffix: str) -> DataFrame:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                sizes, values = decode(suffix, content)
+                sizes, values = (sizes_of(path, suffix)[0], np.frombuffer(content, TYPES[suffix])) if suffix == ".raw" else decode(suffix, content)
                 first = int(path.rsplit("slab-", 1)[1].split(".")[0])
                 yield pd.DataFrame({"id": first * sizes[0] * sizes[1] + np.arange(len(values)), "val": values.astype(float)})
 
@@ -87,6 +87,8 @@ def read_slabs(spark: SparkSession, root: str, suffix: str) -> DataFrame:
 
 def _store(path: str) -> tuple[pafs.FileSystem, str]:
     """The path's file system. Hadoop's names of object stores are those of the same stores here."""
+    if path.startswith("file:/") and not path.startswith("file://"):  # as Spark names local files
+        path = "file://" + path[5:]
     scheme, mark, rest = path.partition("://")
     return pafs.FileSystem.from_uri({"s3a": "s3", "s3n": "s3", "abfss": "abfs"}.get(scheme, scheme) + mark + rest)
 
