@@ -26,22 +26,29 @@ def _mesh(spark, sf_dir, small=True):
     return marching.surface(lattice, dims, iso), marching.vertices(lattice, iso), dims
 
 
+def _between(spark, sf_dir, small=True):
+    """The surface half way between the level and the value below it, so that no cell centre lies on it."""
+    lattice, dims, iso = _lattice(spark, sf_dir, small)
+    lattice = lattice.withColumn("val", 2 * F.col("val"))
+    return marching.surface(lattice, dims, 2 * iso - 1), marching.vertices(lattice, 2 * iso - 1), dims
+
+
 @job(f"\n---\nSELECT id FROM g WHERE val < {ISO_SMALL}", "li_small", "id")
 def voxelised_small(spark, sf_dir):
     """The cells inside the small grid's isosurface, from its triangles alone: those below the level."""
-    return voxelise.voxelised(*_mesh(spark, sf_dir))
+    return voxelise.voxelised(*_between(spark, sf_dir))
 
 
 @job(f"\n---\nSELECT id FROM g WHERE val < {ISO}", "li", "id")
 def voxelised_surface(spark, sf_dir):
     """The same for the large grid."""
-    return voxelise.voxelised(*_mesh(spark, sf_dir, False))
+    return voxelise.voxelised(*_between(spark, sf_dir, False))
 
 
 @job(f"\n---\nSELECT id FROM g WHERE val < {ISO}", "li", "id")
 def voxelised_along_y(spark, sf_dir):
     """Inside by parity along one axis."""
-    return voxelise.voxelised(*_mesh(spark, sf_dir, False), axes="y")
+    return voxelise.voxelised(*_between(spark, sf_dir, False), axes="y")
 
 
 _NEAR_SQL = " ".join(f"abs({a} - round({a})) < {NEAR} AS n{a}," for a in "xyz")

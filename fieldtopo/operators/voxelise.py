@@ -55,6 +55,9 @@ def crossings(corners: DataFrame, dims: Dims, axis: str) -> DataFrame:
     hit = lines.where((sa == sb) & (sb == sc) & (sa != 0))
     total = wa + wb + wc
     at = F.when(total != 0, (wa * F.col("a" + axis) + wb * F.col("b" + axis) + wc * F.col("c" + axis)) / total).otherwise(F.col("a" + axis))
+    # No rounding where the line meets a corner, or an edge or a face that stands square to it: between the corners that count.
+    ends = [F.when(w != 0, F.col(k + axis)) for k, w in zip("abc", (wa, wb, wc), strict=True)]
+    at = F.when(total != 0, F.greatest(F.least(*ends), F.least(F.greatest(*ends), at))).otherwise(at)
     return hit.select("p", "q", at.alias("at"))
 
 
