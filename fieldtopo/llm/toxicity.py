@@ -16,6 +16,7 @@ Repeated rows get the same score; whole texts are read whatever their length. `s
 from __future__ import annotations
 
 import re
+import sys
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,6 +32,7 @@ DECAY, FLOOR, LANDMARKS, CANDIDATES, MAX_TRAIN, CACHE = 0.5, 0.35, 96, 600, 4000
 SKIPS = [(1, 1), (1, 2), (2, 1), (1, 3), (3, 1), (2, 2)]  # steps to the second and third character: spans 3, 4, 4, 5, 5, 5
 WINDOWS, WHOLE = [(6, 2), (10, 4), (28, 14)], 64  # lengths and steps, for words longer than all of them; words up to WHOLE are read as they stand too
 _SPACED = re.compile(r"(?:(?<=\s)|^)(?:\S\s+){2,}\S(?=\s|$)")
+TABLE = 1 << 22  # most entries of a table over all triples of the landmarks' characters
 _EDGES = ".,;:!?\"'()[]{}<>*_-#$%&/\\|~`^+=@"
 
 
@@ -94,15 +96,18 @@ class Featuriser:
             norm = np.sqrt(sum(v * v for v in row.values())) or 1.0
             for key, v in row.items():
                 self.phi[self.index[key], j] = v / norm
-        chars = sorted({c for key in self.index for c in key if ord(c) < 0x10000})
-        self.code = np.zeros(0x10000, np.int32)
+        chars = sorted({c for key in self.index for c in key})
+        self.code = np.zeros(sys.maxunicode + 2, np.int32)  # 4 MB, whatever the alphabet
         self.code[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
         self.base = len(chars) + 1
-        self.table = np.full(self.base**3, -1, np.int32)  # packed characters to subsequence; landmarks have few characters
-        for key, i in self.index.items():
-            if all(ord(c) < 0x10000 for c in key):
-                x, y, z = (int(self.code[ord(c)]) for c in key)
-                self.table[(x * self.base + y) * self.base + z] = i
+        packed = np.array([(int(self.code[ord(x)]) * self.base + int(self.code[ord(y)])) * self.base + int(self.code[ord(z)]) for x, y, z in self.index], np.int64)
+        order = np.argsort(packed)
+        self.keys, self.at = packed[order], np.array(list(self.index.values()), np.int32)[order]
+        # Packed subsequences that are a landmark's: a bit each where they are few, else a search; either is bounded by the landmarks.
+        self.table = None
+        if self.base**3 <= TABLE:
+            self.table = np.full(self.base**3, -1, np.int32)
+            self.table[self.keys] = self.at
         self.phi32 = self.phi.astype(np.float32)
         self.near: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.far: set[str] = set()
@@ -115,6 +120,14 @@ class Featuriser:
         norm = np.sqrt(sum(v * v for v in row.values()))
         return np.array([v for _, v in hit]) @ self.phi[[i for i, _ in hit]] / norm
 
+    def _lookup(self, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """The landmarks' subsequence of three characters' codes, or -1."""
+        if self.table is not None:
+            return self.table[(x * self.base + y) * self.base + z]
+        wanted = (x.astype(np.int64) * self.base + y) * self.base + z
+        place = np.minimum(np.searchsorted(self.keys, wanted), max(len(self.keys) - 1, 0))
+        return np.where(self.keys[place] == wanted, self.at[place], -1) if len(self.keys) else np.full(len(wanted), -1)
+
     def _candidates(self, words: list[str]) -> list[str]:
         """Those that may reach FLOOR: kernel values of all words at once, over a norm that is never too large (it takes a
         subsequence that occurs twice in a word for two)."""
@@ -122,7 +135,7 @@ class Featuriser:
         for lo in range(0, len(words), 4096):
             part = words[lo : lo + 4096]
             raw = np.frombuffer(("\x00" * 4).join(part).encode("utf-32-le", "surrogatepass") + b"\0" * 16, np.uint32)
-            code = self.code[np.minimum(raw, 0xFFFF)]
+            code = self.code[raw]
             real = raw != 0
             word = np.repeat(np.arange(len(part)), [len(w) + 4 for w in part])
             value, energy = np.zeros((len(part), self.m), np.float32), np.zeros(len(part))
@@ -130,7 +143,7 @@ class Featuriser:
                 weight, n = DECAY ** (a + b - 2), len(raw) - a - b
                 inside = real[:n] & real[a : a + n] & real[a + b :]
                 energy += weight * weight * np.bincount(word[:n][inside], minlength=len(part))
-                found = self.table[(code[:n] * self.base + code[a : a + n]) * self.base + code[a + b :]]
+                found = self._lookup(code[:n], code[a : a + n], code[a + b :])
                 at = np.flatnonzero(inside & (found >= 0))
                 if len(at):
                     w = word[at]
@@ -232,7 +245,7 @@ def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, list[int]] = {}
         for text, toxic in zip(batch.column(0), batch.column(1), strict=True):
             for w in {p for t in words_of(text.as_py()) for p in pieces(clean(t))}:
-                if len(w) >= 4:
+                if len(w) >= 3:  # a shorter word has no subsequence of three characters
                     counts.setdefault(w, [0, 0])[toxic.as_py()] += 1
         yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([c[1] for c in counts.values()], pa.int64()), pa.array([c[0] for c in counts.values()], pa.int64())], ["word", "n1", "n0"])
 

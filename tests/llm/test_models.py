@@ -166,3 +166,25 @@ def test_out_of_place_distance_equals_a_plain_version(spark, sf_dir):
         assert not mine or (got[0] == best[0] and abs(got[1] - (1 - best[1] / language.PROFILE)) < 1e-9)
     same = {"x": language.ranking("abc"), "w": language.ranking("abc")}
     assert language._Model(same).predict("abc")[0] == "w"  # ties go to the language that sorts first
+
+
+def test_landmarks_of_any_script(spark):
+    """Astral characters, and alphabets too large for a table of all triples, give what the kernel gives."""
+    rng = np.random.default_rng(2)
+    signs = [chr(c) for c in (*range(0x4E00, 0x4E00 + 300), *range(0x1F600, 0x1F640))]
+    landmarks = ["".join(rng.choice(signs, 6)) for _ in range(60)] + ["🙂🙃🙂🙃", "oaf"]
+    f = toxicity.Featuriser(landmarks)
+    assert f.table is None and toxicity.Featuriser(["oaf", "idiot"]).table is not None
+    words = [w[:3] + str(rng.choice(signs)) + w[3:] for w in landmarks] + landmarks + ["🙂🙃🙂", "oafs", "zzz"]
+    kept = set(f._candidates(words))
+    assert all(w in kept for w in words if f.kernel(w).max() >= toxicity.FLOOR) and "zzz" not in kept
+    for w in words:
+        k = np.max([f.kernel(x) for x in toxicity.forms(w)], axis=0)  # also without what is neither letter nor digit
+        assert np.allclose(f.features([f"so {w} there"])[0], np.where(k >= toxicity.FLOOR, k, 0.0))
+
+
+def test_short_insults_are_learnt(spark):
+    rows = [(i, f"text number word{i} " + ("you oaf" if i % 2 else "you all"), i % 2) for i in range(60)]
+    model = toxicity.train(spark.createDataFrame(rows, "doc_id long, text string, toxic int"))
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(spark.createDataFrame([(1, "what an oaf"), (2, "what a day")], "doc_id long, text string"), model).collect()}
+    assert "oaf" in model.landmarks and got[1] > 0.5 > got[2]
