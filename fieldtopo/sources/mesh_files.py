@@ -94,12 +94,10 @@ def _words(f, size: int, k: int, step: int) -> list[bytes]:
     return words
 
 
-def _read_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_words(spark: SparkSession, path: str) -> DataFrame:
+    """(index long, value double) of the numbers of a text file: their places from its start."""
     store, at = _store(path)
-    size = store.get_file_info(at).size
-    with store.open_input_file(at) as f:
-        nt, nv = (int(w) for w in _words(f, size, 0, 64)[:2])
-    step = BYTES
+    size, step = store.get_file_info(at).size, BYTES
     n = -(-size // step)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -111,7 +109,6 @@ def _read_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     counted = spark.range(n).repartition(max(1, min(n, 256)), "id").mapInPandas(count, "k long, n long")
     first = Window.orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
     starts = counted.select("k", F.coalesce(F.sum("n").over(first), F.lit(0)).alias("first"))  # a row for each range
-    edges = np.cumsum([2, 3 * nt, 3 * nv, nt, nv])
 
     def values(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         store, at = _store(path)
@@ -119,15 +116,29 @@ def _read_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
             for pdf in batches:
                 for k, base in zip(pdf["k"], pdf["first"], strict=True):
                     word = np.array(_words(f, size, int(k), step), object).astype(float)
-                    index = base + np.arange(len(word))
-                    part = np.searchsorted(edges, index, "right")  # 1: corners, 2: places, 3 and 4: labels
-                    own = (part >= 1) & (part <= 4)
-                    off = index[own] - edges[part[own] - 1]
-                    wide = np.where(part[own] <= 2, 3, 1)
-                    yield pd.DataFrame({"vertex": part[own] % 2 == 0, "row": off // wide, "col": np.where(part[own] <= 2, off % 3, 3), "value": word[own]})
-
-    cells = starts.repartition(max(1, min(n, 256)), "k").mapInPandas(values, "vertex boolean, row long, col int, value double")
-    rows = cells.groupBy("vertex", "row").agg(*[F.max(F.when(F.col("col") == i, F.col("value"))).alias(f"c{i}") for i in range(4)])
+                    yield pd.DataFrame({"index": base + np.arange(len(word)), "value": word})
+
+    return starts.repartition(max(1, min(n, 256)), "k").mapInPandas(values, "index long, value double")
+
+
+def first_words(path: str, n: int) -> list[int]:
+    """The whole numbers that a text file begins with."""
+    store, at = _store(path)
+    with store.open_input_file(at) as f:
+        return [int(w) for w in _words(f, store.get_file_info(at).size, 0, 256)[:n]]
+
+
+def _read_text(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    nt, nv = first_words(path, 2)
+    edges = np.cumsum([2, 3 * nt, 3 * nv, nt, nv]).tolist()  # corners, places, both kinds' labels
+    index = F.col("index")
+    part = F.when(index < edges[0], -1).when(index < edges[1], 0).when(index < edges[2], 1).when(index < edges[3], 2).when(index < edges[4], 3).otherwise(-1)
+    off = index - F.element_at(F.array(*[F.lit(e) for e in edges[:4]]), F.col("part") + 1)
+    wide = F.when(F.col("part") < 2, 3).otherwise(1)
+    cells = read_words(spark, path).withColumn("part", part).where("part >= 0").withColumn("off", off)
+    col = F.when(F.col("part") < 2, F.col("off") % 3).otherwise(3)
+    rows = cells.select((F.col("part") % 2 == 1).alias("vertex"), F.floor(F.col("off") / wide).alias("row"), col.alias("col"), "value")
+    rows = rows.groupBy("vertex", "row").agg(*[F.max(F.when(F.col("col") == i, F.col("value"))).alias(f"c{i}") for i in range(4)])
     label = F.coalesce("c3", F.lit(0)).cast("int").alias("label")
     pick = lambda vertex, names, kind: rows.where(F.col("vertex") == vertex).select(F.col("row").alias(names[0]), *[F.col(f"c{i}").cast(kind).alias(c) for i, c in enumerate(names[1:])], label)
     return pick(False, "tabc", "long"), pick(True, "vxyz", "double")

@@ -16,7 +16,7 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .grids import Dims, coordinates
+from .grids import Dims, address, coordinates
 
 TYPES = {".v": np.dtype("<f4"), ".vb": np.dtype("u1"), ".v4d": np.dtype("<f4"), ".v4db": np.dtype("u1"), ".vo": np.dtype("<i4"), ".vo4d": np.dtype("<i4"), ".raw": np.dtype("<u2")}
 FOUR = {".v4d", ".v4db", ".vo4d"}  # formats with a fourth size, the steps
@@ -136,6 +136,94 @@ def read_volume(spark: SparkSession, path: str, suffix: str) -> DataFrame:
     return cells.select("id", *coordinates(dims), "val", *(["known"] if suffix == ".v2" else []))
 
 
+def _ranges(spark: SparkSession, path: str, start: int, n: int, kind: np.dtype) -> DataFrame:
+    """(id, val double) of n values from `start` on, read by ranges."""
+    step = CELLS
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, at = _store(path)
+        with store.open_input_file(at) as f:
+            for pdf in batches:
+                for k in pdf["id"]:
+                    a, b = int(k) * step, min(n, (int(k) + 1) * step)
+                    f.seek(start + a * kind.itemsize)
+                    yield pd.DataFrame({"id": np.arange(a, b), "val": np.frombuffer(f.read((b - a) * kind.itemsize), kind).astype(float)})
+
+    return spark.range(-(-n // step)).mapInPandas(work, "id long, val double")
+
+
+def read_big_endian(spark: SparkSession, path: str) -> DataFrame:
+    """(id, x, y, z, val) of a `.v` file in the other byte order, which holds distances: densities here, so negated, its slices from the last to the first."""
+    store, at = _store(path)
+    with store.open_input_file(at) as f:
+        dims = Dims(*np.frombuffer(f.read(12), ">i4").tolist())
+    cells = _ranges(spark, path, 12, dims.n, np.dtype(">f4")).select("id", *coordinates(dims), "val")
+    turned = cells.withColumn("z", (dims.nz - 1 - F.col("z")).cast("int"))
+    return turned.select(address(dims).alias("id"), "x", "y", "z", (-F.col("val")).alias("val"))
+
+
+def read_analyze(spark: SparkSession, path: str) -> DataFrame:
+    """(id, x, y, z, val) of an image file of bytes whose sizes are in the `.hdr` file beside it (big-endian shorts from byte 42 on)."""
+    base = path.removesuffix(".hdr").removesuffix(".img")
+    store, at = _store(f"{base}.hdr")
+    with store.open_input_file(at) as f:
+        f.seek(42)
+        dims = Dims(*np.frombuffer(f.read(6), ">i2").tolist())
+    return _ranges(spark, f"{base}.img", 0, dims.n, np.dtype("u1")).select("id", *coordinates(dims), "val")
+
+
+def read_dat(spark: SparkSession, path: str) -> DataFrame:
+    """(id, x, y, z, val) of a text volume: three sizes, then the values with x slowest."""
+    from .mesh_files import first_words, read_words
+
+    dims = Dims(*first_words(path, 3))
+    i = F.col("index") - 3
+    places = [F.floor(i / (dims.ny * dims.nz)).cast("int").alias("x"), (F.floor(i / dims.nz) % dims.ny).cast("int").alias("y"), (i % dims.nz).cast("int").alias("z")]
+    cells = read_words(spark, path).where(i.between(0, dims.n - 1)).select(*places, F.col("value").alias("val"))
+    return cells.select(address(dims).alias("id"), "x", "y", "z", "val")
+
+
+def read_bitmaps(spark: SparkSession, path: str, n: int, count: int = 1, start: int = 0) -> DataFrame:
+    """(id, bit0, bit1, ...) of bitmaps that follow each other, (n + 8) div 8 bytes each, lowest bit first; of a carving the last one counts."""
+    step, size = CELLS, (n + 8) // 8
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        store, at = _store(path)
+        with store.open_input_file(at) as f:
+            for pdf in batches:
+                for k in pdf["id"]:
+                    a, b = int(k) * step, min(n, (int(k) + 1) * step)  # whole bytes, as the step is a multiple of 8
+                    out = {"id": np.arange(a, b)}
+                    for c in range(count):
+                        f.seek(start + c * size + a // 8)
+                        out[f"bit{c}"] = np.unpackbits(np.frombuffer(f.read((b - a + 7) // 8), np.uint8), bitorder="little")[: b - a].astype(bool)
+                    yield pd.DataFrame(out)
+
+    return spark.range(-(-n // step)).mapInPandas(work, "id long, " + ", ".join(f"bit{c} boolean" for c in range(count)))
+
+
+def write_bitmaps(cells: DataFrame, columns: list[str], n: int, path: str) -> None:
+    """Write boolean columns of (id, ...), a bit for each of n cells, as bitmaps that follow each other."""
+    from .mesh_files import _joined
+
+    step, size = CELLS, (n + 8) // 8
+    last = -(-n // step) - 1
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        k = int(pdf["k"].iloc[0])
+        own = min(n, (k + 1) * step) - k * step
+        rows = []
+        for c, name in enumerate(columns):
+            bits = np.zeros(own, bool)
+            bits[pdf["id"].to_numpy() - k * step] = pdf[name].to_numpy(bool)
+            data = np.packbits(bits, bitorder="little").tobytes()
+            rows.append((c * (last + 1) + k, data.ljust(size - last * step // 8, b"\0") if k == last else data))
+        return pd.DataFrame(rows, columns=["part", "data"])
+
+    parts = cells.select("id", *columns, F.floor(F.col("id") / step).alias("k")).groupBy("k").applyInPandas(pack, "part long, data binary")
+    _joined(parts, path, b"")
+
+
 def write_steps(cells: DataFrame, dims: Dims, root: str, suffix: str) -> DataFrame:
     """Write (id, t, val) as one file a step (a series of one step, `step-<t>`), whole steps being a task's unit; (t, n) of what was written."""
     fs, base = _store(root)
