@@ -10,10 +10,12 @@ import heapq
 from collections.abc import Callable
 from functools import cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.arrays import OFFSETS_80, strict_4d_array
 from ..functions.masks import OFFSETS_3D, OFFSETS_8, OFFSETS_26, RING
 from .order import numbered
 
@@ -54,17 +56,26 @@ def combo_test(mask: int) -> bool:
     return flat_test(mask >> 9 & 255) or strict_test(mask)
 
 
+@cache
+def strict_4d_test(mask: int) -> bool:
+    """The strict test of an 80-bit mask."""
+    return bool(strict_4d_array(np.array([mask & (1 << 40) - 1], np.int64), np.array([mask >> 40], np.int64))[0])
+
+
+def combo_4d_test(mask: int) -> bool:
+    """Critical in the cell's own step or in 4-D."""
+    return strict_test(mask >> 27 & (1 << 26) - 1) or strict_4d_test(mask)
+
+
 def carve(cells: DataFrame, keys: list[str], feature: int, test: Callable[[int], bool] = flat_test, top: int = 65535) -> DataFrame:
-    """(keys, id, ord, new_val) from cells (keys, id, x, y[, z], val).
+    """(keys, id, ord, new_val) from cells (keys, id, x, y[, z[, t]], val); the test says in how many dimensions cells are neighbours.
 
     All cells wait in a queue by (value, stamp, id), with the latest stamp of all. The first is taken. One that would change the
     topology is put back with its value one higher, until it is `feature` above its own value and is taken anyway. When a cell is taken,
     neighbours that wait no more as themselves (they were put back) are queued once more at the current value, stamped with the
     number taken so far; such an entry, when refused, is queued again only if a cell was taken since its stamp. Values are clamped to top.
     """
-    flat = test is flat_test
-    offsets = OFFSETS_8 if flat else OFFSETS_26
-    axes = "xy" if flat else "xyz"
+    axes, offsets = ("xy", OFFSETS_8) if test is flat_test else ("xyzt", OFFSETS_80) if test in (strict_4d_test, combo_4d_test) else ("xyz", OFFSETS_26)
 
     def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
         places = list(zip(*(pdf[a] for a in axes), strict=True))

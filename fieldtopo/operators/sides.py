@@ -180,6 +180,17 @@ def extra_features(carved: DataFrame, keys: list[str], features: int) -> DataFra
     return lists.select(*keys, F.when(enough, run["n"]).otherwise(0).alias("extra"))
 
 
+def fixed(carved: DataFrame, keys: list[str], side: int = 0) -> DataFrame:
+    """(keys, id, fixed): new values, in which a cell that no front took has the sign opposite to `side`; 0 leaves the side to the cells
+    left: the inner one (-1) where more of them are positive, else the outer one."""
+    from pyspark.sql import functions as F
+
+    left = F.col("rank") < 0
+    more = carved.groupBy(*keys).agg((F.count_if(left & (F.col("new_val") > 0)) > F.count_if(left & (F.col("new_val") < 0))).alias("more"))
+    own = F.lit(side) if side else F.when(F.col("more"), -1).otherwise(1)
+    return carved.join(more, keys).select(*keys, "id", F.when(left, -own).otherwise(F.col("new_val")).cast("long").alias("fixed"))
+
+
 def life_spans(cells: DataFrame, keys: list[str], inside: bool = True) -> DataFrame:
     """(keys, SPANS): rank of carving (that of the last cell for those never carved), the cell that a cell was queued by, and its life span."""
     return _by_grid(cells, keys, [], lambda pdf: _life_spans(pdf, inside, None), SPANS)

@@ -220,6 +220,17 @@ def test_carving_equals_the_rule_step_by_step(spark, kind):
         assert [r[3] for r in whole] == list(range(75))
 
 
+@pytest.mark.parametrize("test", [carve.strict_4d_test, carve.combo_4d_test])
+def test_carving_of_a_series_equals_the_rule_step_by_step(spark, test):
+    from fieldtopo.functions.arrays import OFFSETS_80
+
+    rng = random.Random(3)
+    rows = [(i, i % 3, i // 3 % 3, i // 9 % 2, i // 18, rng.randrange(12), 0) for i in range(54)]
+    cells = spark.createDataFrame(rows, "id long, x int, y int, z int, t int, val long, g int")
+    got = {r.id: (r.ord, r.new_val) for r in carve.carve(cells, ["g"], 4, test).collect()}
+    assert got == _carved_plainly([(r[0], r[1:5], r[5]) for r in rows], 4, test, OFFSETS_80)
+
+
 def test_strict_rule_equals_the_column_test(spark):
     masks = [random.Random(i).getrandbits(26) for i in range(300)] + [0, (1 << 26) - 1, 1, 1 << 4, 1 << 12]
     from fieldtopo.functions.masks import changes_topology

@@ -141,3 +141,11 @@ def test_extra_features(spark):
     rows += [(2, 0, -1, 0, 1, -3), (2, 1, 1, 1, 1, 3)]
     df = spark.createDataFrame(rows, "grid_id long, id long, side int, rank long, opened int, new_val long")
     assert {r.grid_id: r.extra for r in sides.extra_features(df, ["grid_id"], 2).collect()} == {1: 2, 2: 0}
+
+
+def test_cells_left_get_the_other_sign(spark):
+    rows = [(1, 0, -1, 0, 0, -4), (1, 1, 0, -1, 0, 5), (1, 2, 0, -1, 0, 6), (1, 3, 0, -1, 0, -7), (2, 0, 0, -1, 0, -7), (2, 1, 1, 0, 0, 3)]
+    df = spark.createDataFrame(rows, "grid_id long, id long, side int, rank long, opened int, new_val long")
+    got = {(r.grid_id, r.id): r.fixed for r in sides.fixed(df, ["grid_id"]).collect()}
+    assert got == {(1, 0): -4, (1, 1): 1, (1, 2): 1, (1, 3): 1, (2, 0): -1, (2, 1): 3}
+    assert {r.fixed for r in sides.fixed(df, ["grid_id"], -1).where("id = 3").collect()} == {1}
