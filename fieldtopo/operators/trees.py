@@ -111,3 +111,22 @@ def contracted(edges: DataFrame, keys: list[str]) -> DataFrame:
 
     schema = ", ".join([*(f"{k} {types[k]}" for k in keys), "node long", "upper long"])
     return edges.groupBy(*keys).cogroup(kept.groupBy(*[f"{k}_" for k in keys])).applyInPandas(kernel, schema)
+
+
+def indented(edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, line, depth, node) of trees (keys, node, upper): every tree from its root down, children in order of their ids, one line each."""
+    types = dict(edges.dtypes)
+
+    def kernel(pdf: pd.DataFrame) -> pd.DataFrame:
+        below: dict[int | None, list[int]] = {}
+        for n, u in zip(pdf["node"].tolist(), pdf["upper"].astype(object).where(pdf["upper"].notna(), None), strict=True):
+            below.setdefault(None if u is None else int(u), []).append(n)
+        rows, stack = [], [(0, n) for n in sorted(below.get(None, []), reverse=True)]
+        while stack:
+            depth, n = stack.pop()
+            rows.append((len(rows), depth, n))
+            stack += [(depth + 1, c) for c in sorted(below.get(n, []), reverse=True)]
+        out = pd.DataFrame(rows, columns=["line", "depth", "node"])
+        return pd.DataFrame({k: [pdf[k].iloc[0]] * len(out) for k in keys} | {c: out[c] for c in out})
+
+    return edges.groupBy(*keys).applyInPandas(kernel, "".join(f"{k} {types[k]}, " for k in keys) + "line long, depth long, node long")

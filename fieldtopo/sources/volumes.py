@@ -246,3 +246,48 @@ def tree_rows(edges: DataFrame) -> DataFrame:
     down = edges.where("upper is not null").groupBy(F.col("upper").alias("id")).agg(F.array_sort(F.collect_list("node")).alias("down"))
     up = edges.select(F.col("node").alias("id"), F.array_compact(F.array("upper")).alias("up"))
     return up.join(down, "id", "left").withColumn("down", F.coalesce("down", F.array().cast("array<bigint>")))
+
+
+def read_steps(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """(t, id, val) of the step files of a folder, stacked to a series: t is in a file's name, id is that of the whole series."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                sizes, values = decode(suffix, content)
+                t = int(path.rsplit("step-", 1)[1].split(".")[0])
+                yield pd.DataFrame({"t": t, "id": t * int(np.prod(sizes[:3])) + np.arange(len(values)), "val": values.astype(float)})
+
+    files = spark.read.format("binaryFile").option("pathGlobFilter", f"step-*{suffix}").load(root)
+    return files.select("path", "content").mapInPandas(work, "t int, id long, val double")
+
+
+def write_images(cells: DataFrame, dims: Dims, root: str) -> DataFrame:
+    """Write (z, y, x, grey 0 to 255) as a grey image file a slice (`P5`), and give (z, n) of what was written."""
+    fs, base = _store(root)
+    fs.create_dir(base, recursive=True)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf, z = pdf.sort_values(["y", "x"]), int(pdf["z"].iloc[0])
+        store, at = _store(root)
+        hidden = f"{at}/.slice-{z:06d}.pgm.{uuid.uuid4().hex}"
+        with store.open_output_stream(hidden) as f:
+            f.write(f"P5\n{dims.nx} {dims.ny}\n255\n".encode() + pdf["grey"].to_numpy(np.uint8).tobytes())
+        store.move(hidden, f"{at}/slice-{z:06d}.pgm")
+        return pd.DataFrame({"z": [z], "n": [len(pdf)]})
+
+    return cells.select("z", "y", "x", "grey").groupBy("z").applyInPandas(work, "z long, n long")
+
+
+def read_images(spark: SparkSession, root: str) -> DataFrame:
+    """(z, y, x, grey) of the image files of a folder."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                _, sizes, _, grey = content.split(b"\n", 3)
+                nx, ny = (int(w) for w in sizes.split())
+                at = np.arange(nx * ny)
+                yield pd.DataFrame({"z": int(path.rsplit("slice-", 1)[1].split(".")[0]), "y": at // nx, "x": at % nx, "grey": np.frombuffer(grey, np.uint8, nx * ny)})
+
+    return spark.read.format("binaryFile").option("pathGlobFilter", "slice-*.pgm").load(root).select("path", "content").mapInPandas(work, "z long, y long, x long, grey int")
