@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import OFFSETS_80, strict_4d_array
-from ..functions.masks import OFFSETS_3D, OFFSETS_8, OFFSETS_26, RING
+from ..functions.masks import _STEPS, ALL_27, EDGES, FACES, OFFSETS_8, OFFSETS_26, RING, VERTICES
 from .order import numbered
 
 
@@ -28,27 +28,31 @@ def flat_test(mask: int) -> bool:
     return sum(ring[i] != ring[i - 1] for i in range(8)) != 2
 
 
-_AROUND = [o for o in OFFSETS_3D if o != (0, 0, 0)]
+def _spread(m: int) -> int:
+    """Bits one face step away from marked ones."""
+    out = 0
+    for step, may in _STEPS:
+        out |= (m & may) << step | m >> step & may
+    return out
+
+
+def _one_part(m: int) -> bool:
+    part = m & -m
+    while part != m:
+        more = (part | _spread(part)) & m
+        if more == part:
+            return False
+        part = more
+    return m != 0
 
 
 @cache
 def strict_test(mask: int) -> bool:
     """The same for 26 neighbours: once faces have marked their edges and edges their vertices, either side must be one face-connected part."""
-    marked = {o for i, o in enumerate(OFFSETS_26) if mask >> i & 1}
-    under = {p for o in marked for p in _AROUND if all(a in (0, b) for a, b in zip(o, p, strict=True))}
-    for side in (under, set(_AROUND) - under):
-        if not side:
-            return True
-        stack, seen = [next(iter(side))], set()
-        while stack:
-            p = stack.pop()
-            if p in seen:
-                continue
-            seen.add(p)
-            stack += [q for q in side if sum(abs(a - b) for a, b in zip(p, q, strict=True)) == 1]
-        if seen != side:
-            return True
-    return False
+    m = mask & (1 << 13) - 1 | mask >> 13 << 14
+    m |= _spread(m & FACES) & EDGES
+    m |= _spread(m & EDGES) & VERTICES
+    return not (_one_part(m) and _one_part(ALL_27 ^ m))
 
 
 def combo_test(mask: int) -> bool:
