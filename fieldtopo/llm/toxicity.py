@@ -108,7 +108,9 @@ class Featuriser:
         if self.base**3 <= TABLE:
             self.table = np.full(self.base**3, -1, np.int32)
             self.table[self.keys] = self.at
-        self.phi32 = self.phi.astype(np.float32)
+        rows_at, self.columns = np.nonzero(self.phi)  # by subsequence: the landmarks that have it, and their weights
+        self.values = self.phi[rows_at, self.columns]
+        self.ends = np.searchsorted(rows_at, np.arange(len(self.index) + 1))
         self.near: dict[str, tuple[np.ndarray, np.ndarray]] = {}
         self.far: set[str] = set()
 
@@ -128,30 +130,62 @@ class Featuriser:
         place = np.minimum(np.searchsorted(self.keys, wanted), max(len(self.keys) - 1, 0))
         return np.where(self.keys[place] == wanted, self.at[place], -1) if len(self.keys) else np.full(len(wanted), -1)
 
-    def _candidates(self, words: list[str]) -> list[str]:
-        """Those that may reach FLOOR: kernel values of all words at once, over a norm that is never too large (it takes a
-        subsequence that occurs twice in a word for two)."""
-        out: list[str] = []
+    def _near(self, words: list[str]) -> Iterator[tuple[str, np.ndarray, np.ndarray]]:
+        """Words that reach FLOOR with a landmark, these landmarks and the kernel values: all words at once, first over a norm that is never
+        too large (it takes a subsequence that occurs twice in a word for two), what is left over the true one."""
         for lo in range(0, len(words), 4096):
             part = words[lo : lo + 4096]
             raw = np.frombuffer(("\x00" * 4).join(part).encode("utf-32-le", "surrogatepass") + b"\0" * 16, np.uint32)
             code = self.code[raw]
             real = raw != 0
             word = np.repeat(np.arange(len(part)), [len(w) + 4 for w in part])
-            value, energy = np.zeros((len(part), self.m), np.float32), np.zeros(len(part))
+            energy, hits = np.zeros(len(part)), []
             for a, b in SKIPS:
                 weight, n = DECAY ** (a + b - 2), len(raw) - a - b
                 inside = real[:n] & real[a : a + n] & real[a + b :]
                 energy += weight * weight * np.bincount(word[:n][inside], minlength=len(part))
                 found = self._lookup(code[:n], code[a : a + n], code[a + b :])
                 at = np.flatnonzero(inside & (found >= 0))
-                if len(at):
-                    w = word[at]
-                    starts = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-                    value[w[starts]] += np.float32(weight) * np.add.reduceat(self.phi32[found[at]], starts, axis=0)
-            near = value.max(1) >= (FLOOR - 1e-4) * np.sqrt(energy)
-            out += [w for w, ok in zip(part, near & (energy > 0), strict=True) if ok]
-        return out
+                hits.append((word[at], found[at], np.full(len(at), weight)))
+            value = self._products(*(np.concatenate(h) for h in zip(*hits, strict=True)), len(part))
+            chosen = np.flatnonzero((value.max(1) >= (FLOOR - 1e-4) * np.sqrt(energy)) & (energy > 0))
+            if not len(chosen):
+                continue
+            kernel = value[chosen] / np.sqrt(self._energy(raw, real, word, chosen, len(part)))[:, None]
+            rows, columns = np.nonzero(kernel >= FLOOR)
+            ends = np.searchsorted(rows, np.arange(len(chosen) + 1))
+            for j in np.flatnonzero(np.diff(ends)).tolist():
+                at = columns[ends[j] : ends[j + 1]]
+                yield part[chosen[j]], at, kernel[j, at]
+
+    def _products(self, word: np.ndarray, key: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+        """(n, landmarks): sums over the words' subsequences of their weights in the landmarks that have them, which are few."""
+        counts = self.ends[key + 1] - self.ends[key]
+        hit = np.repeat(np.arange(len(key)), counts)
+        place = np.arange(len(hit)) - np.repeat(np.cumsum(counts) - counts, counts) + self.ends[key][hit]
+        return np.bincount(word[hit] * self.m + self.columns[place], weight[hit] * self.values[place], minlength=n * self.m).reshape(n, self.m)
+
+    def _energy(self, raw: np.ndarray, real: np.ndarray, word: np.ndarray, chosen: np.ndarray, n_words: int) -> np.ndarray:
+        """The squared norms of the chosen words: weights of equal subsequences of a word are added up before they are squared."""
+        name = np.full(n_words, -1)
+        name[chosen] = np.arange(len(chosen))
+        own = name[word]
+        keep = np.flatnonzero(real & (own >= 0))
+        letters, small = np.unique(raw[keep], return_inverse=True)
+        code = np.zeros(len(raw), np.int64)
+        code[keep] = small
+        keys, weights = [], []
+        for a, b in SKIPS:
+            n = len(raw) - a - b
+            at = np.flatnonzero(real[:n] & real[a : a + n] & real[a + b :] & (own[:n] >= 0))
+            keys.append(((own[at] * len(letters) + code[at]) * len(letters) + code[at + a]) * len(letters) + code[at + a + b])
+            weights.append(np.full(len(at), DECAY ** (a + b - 2)))
+        key, weight = np.concatenate(keys), np.concatenate(weights)
+        order = np.argsort(key, kind="stable")
+        key, weight = key[order], weight[order]
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        total = np.add.reduceat(weight, starts)
+        return np.bincount(key[starts] // len(letters) ** 3, total * total, minlength=len(chosen))
 
     def learn_words(self, tokens: set[str]) -> None:
         if len(self.far) + len(self.near) > CACHE:
@@ -165,20 +199,16 @@ class Featuriser:
             for w in forms(t):
                 by.setdefault(w, []).append(t)
         self.far.update(fresh)
-        usable = [w for w in by if len(w) >= 3]
-        for w in self._candidates(usable) if usable else ():
-            k = self.kernel(w)
-            if k.max() < FLOOR:
-                continue
-            k = np.where(k >= FLOOR, k, 0.0)
+        for w, at, k in self._near([w for w in by if len(w) >= 3]):
             for t in by[w]:
                 self.far.discard(t)
-                both = k
                 if t in self.near:
-                    both = k.copy()
+                    both = np.zeros(self.m)
+                    both[at] = k
                     both[self.near[t][0]] = np.maximum(both[self.near[t][0]], self.near[t][1])
-                at = np.flatnonzero(both)
-                self.near[t] = at, both[at]
+                    self.near[t] = (some := np.flatnonzero(both)), both[some]
+                else:
+                    self.near[t] = at, k
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         out = np.zeros((len(texts), self.m))
@@ -187,9 +217,9 @@ class Featuriser:
             sets = [words_of(t) for t in texts[lo : lo + step]]
             self.learn_words(set().union(*sets))
             for i, words in enumerate(sets, lo):
-                for w in words & self.near.keys():
-                    at, k = self.near[w]
-                    out[i, at] = np.maximum(out[i, at], k)
+                found = [self.near[w] for w in words if w in self.near]
+                if found:
+                    np.maximum.at(out[i], np.concatenate([at for at, _ in found]), np.concatenate([k for _, k in found]))
         return out
 
 

@@ -77,13 +77,16 @@ def test_toxicity_reads_long_tokens_to_their_end(spark):
     assert x[0, 0] >= toxicity.FLOOR and not x[1:, 0].any()
 
 
-def test_candidates_are_a_superset():
+def test_words_at_once_equal_word_by_word():
     rng = np.random.default_rng(0)
     f = toxicity.Featuriser(["idiot", "loweischaft", "pathetic"])
     words = ["".join(rng.choice(list("abdeiothwclps"), rng.integers(3, 12))) for _ in range(2000)] + ["idiots", "pathetically", "loweient"]
     words = list(dict.fromkeys(words))
-    kept = set(f._candidates(words))
-    assert all(w in kept for w in words if f.kernel(w).max() >= toxicity.FLOOR)
+    near = {w: (at, k) for w, at, k in f._near(words)}
+    assert set(near) == {w for w in words if f.kernel(w).max() >= toxicity.FLOOR}
+    for w, (at, k) in near.items():
+        whole = f.kernel(w)
+        assert at.tolist() == np.flatnonzero(whole >= toxicity.FLOOR).tolist() and np.allclose(k, whole[at], atol=1e-12)
 
 
 def test_toxicity_awkward_rows(spark):
@@ -176,8 +179,8 @@ def test_landmarks_of_any_script(spark):
     f = toxicity.Featuriser(landmarks)
     assert f.table is None and toxicity.Featuriser(["oaf", "idiot"]).table is not None
     words = [w[:3] + str(rng.choice(signs)) + w[3:] for w in landmarks] + landmarks + ["🙂🙃🙂", "oafs", "zzz"]
-    kept = set(f._candidates(words))
-    assert all(w in kept for w in words if f.kernel(w).max() >= toxicity.FLOOR) and "zzz" not in kept
+    assert {w for w, _, _ in f._near(words)} == {w for w in words if f.kernel(w).max() >= toxicity.FLOOR}
+    assert not list(f._near(["zzz"]))
     for w in words:
         k = np.max([f.kernel(x) for x in toxicity.forms(w)], axis=0)  # also without what is neither letter nor digit
         assert np.allclose(f.features([f"so {w} there"])[0], np.where(k >= toxicity.FLOOR, k, 0.0))
