@@ -120,10 +120,10 @@ def weighted_map_report(spark, sf_dir):
 
 @job()
 def block_tree_classes(spark, sf_dir):
-    """Nodes of the join and split trees of every grid that grows with the tables, by degree; bricks of 8 cells a side."""
+    """Nodes of the join and split trees of every one of the grids whose number grows with the tables, by degree; a grid is one brick."""
     cells = grids.shipped_blocks(spark, sf_dir)
     cells = order.ranked_within(cells, ["grid_id"]).withColumn("rev", F.lit(BLOCK.n - 1) - F.col("ord"))
-    both = volume_trees(cells, BLOCK, ("grid_id",), 8)
+    both = volume_trees(cells, BLOCK, ("grid_id",), 16)
     count = lambda end, name: both.where(F.col(end).isNotNull()).groupBy("grid_id", F.col(end).alias("node")).agg(F.count("*").alias(name))
     deg = both.join(count("join_up", "down"), ["grid_id", "node"], "left").join(count("split_down", "up"), ["grid_id", "node"], "left").fillna(0, ["up", "down"])
     up, down = F.col("up"), F.col("down")
