@@ -28,6 +28,7 @@ from .common import written
 
 BAND, CHUNK, QUERY_BLOCK, SEED = 1.05, 4096, 512, 2048
 SCALE, K, COORDINATE_FROM, FOCUS = 256, 5, 0.8, 3
+TOGETHER = 128  # queries multiplied at once
 HITS = "q_row long, query_id long, vec_id long, score long"
 
 
@@ -40,88 +41,144 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedd
 
 
 def _matrix(lists: pa.Array) -> np.ndarray:
-    rows = [np.asarray(x, np.int64) for x in lists.to_pylist()]
-    out = np.zeros((len(rows), max(map(len, rows), default=0)), np.int64)
-    for i, r in enumerate(rows):
-        out[i, : len(r)] = r
+    """Rows of a list array, the shorter ones padded with zeros."""
+    lengths = np.diff(np.asarray(lists.offsets))
+    flat = np.asarray(lists.flatten(), np.int64)
+    wide = int(lengths.max(initial=0))
+    out = np.zeros((len(lengths), wide), np.int64)
+    out[np.arange(wide) < lengths[:, None]] = flat
     return out
 
 
-def _product(p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    """Exact integer products of rows of p with q; floats serve while every sum stays below 2**53."""
-    d = min(p.shape[-1], len(q))
-    p, q = p[..., :d], q[:d]
-    if p.size and d * float(np.abs(p).max()) * float(np.abs(q).max(initial=0)) < 2.0**53:
-        return np.rint(p.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
-    return p @ q
-
-
-class _Chunk:
-    """Vectors by falling length, with their directions and every coordinate's order."""
-
-    def __init__(self, ids: np.ndarray, rows: np.ndarray):
-        norm = np.sqrt((rows.astype(np.float64) ** 2).sum(1))
-        order = np.lexsort((ids, -norm))
-        self.ids, self.rows, self.norm = ids[order], rows[order], norm[order]
-        self.unit = self.rows / np.maximum(self.norm, 1e-300)[:, None]
-        self.order = np.argsort(self.unit, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.unit, self.order, 0)
-
-    def candidates(self, q: np.ndarray, q_norm: float, least: float) -> np.ndarray:
-        """Places of the vectors that may reach `least`."""
-        if least <= 0 or q_norm == 0 or not len(self.norm):
-            return np.arange(len(self.ids))
-        enough = np.searchsorted(-self.norm, -(least / q_norm) * (1 - 1e-9), side="right")  # the length prefix
-        local = least / (q_norm * self.norm[0]) if self.norm[0] else 2.0
-        if local > 1 + 1e-9 or not enough:
-            return np.zeros(0, np.int64)
-        if local < COORDINATE_FROM:
-            return np.arange(enough)
+class _Rows:
+    """Whole vectors and what goes with them, as packed by `_pack`."""
+
+    def __init__(self, row: dict):
+        self.ids, self.norm = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["norms"], np.float64)
+        n = len(self.ids)
+        self.rows = np.frombuffer(row["vectors"], f"i{row['width']}").reshape(n, -1)
+        self.most = float(np.abs(self.rows.astype(np.float64)).max(initial=0))
+        self.real = self.rows.astype(np.float64)
+        self.q_row, self.least = np.frombuffer(row["q_rows"], np.int64), np.frombuffer(row["leasts"], np.float64)
+
+
+def _products(p: _Rows, q: _Rows, at_p, at_q) -> np.ndarray:
+    """Exact integer products of rows of q (down) with rows of p; floats serve while every sum stays below 2**53."""
+    d = min(p.rows.shape[1], q.rows.shape[1])
+    if d * p.most * q.most < 2.0**53:
+        return q.real[at_q, :d] @ p.real[at_p, :d].T
+    return q.rows[at_q, :d].astype(np.int64) @ p.rows[at_p, :d].astype(np.int64).T
+
+
+class _Chunk(_Rows):
+    """Vectors by falling length; their directions and every coordinate's order are made where a query asks for them."""
+
+    _unit = None
+
+    def by_coordinate(self) -> tuple[np.ndarray, np.ndarray]:
+        if self._unit is None:
+            unit = self.real / np.maximum(self.norm, 1e-300)[:, None]
+            order = np.argsort(unit, axis=0, kind="stable")
+            self._unit = order, np.take_along_axis(unit, order, 0)
+        return self._unit
+
+    def reaches(self, q: _Rows) -> tuple[np.ndarray, np.ndarray]:
+        """For every query the least local cosine (-1: all vectors are candidates) and the number of vectors that are long enough."""
+        every = (q.least <= 0) | (q.norm == 0)
+        need = np.where(every, 0.0, q.least / np.where(q.norm == 0, 1.0, q.norm))
+        enough = np.searchsorted(-self.norm, -need * (1 - 1e-9), side="right")
+        local = need / self.norm[0] if self.norm[0] else np.full(len(need), 2.0)
+        return np.where(every, -1.0, local), np.where(every, len(self.ids), enough)
+
+    def candidates(self, q: np.ndarray, q_norm: float, local: float, enough: int) -> np.ndarray:
+        """Places of the vectors in the feasible range of the query's strongest coordinates."""
+        order, ranges = self.by_coordinate()
         theta, unit = min(local, 1.0) - 1e-9, q / q_norm
         best = None
         for f in np.argsort(-np.abs(unit))[:FOCUS]:
-            if f >= self.sorted.shape[1]:
+            if f >= ranges.shape[1]:
                 continue
             half = np.sqrt(max(0.0, (1 - theta * theta) * (1 - unit[f] ** 2)))
             low, high = unit[f] * theta - half, unit[f] * theta + half
             low, high = (-1.0 if unit[f] <= -theta else low), (1.0 if unit[f] >= theta else high)
-            a, b = np.searchsorted(self.sorted[:, f], low - 1e-9), np.searchsorted(self.sorted[:, f], high + 1e-9, side="right")
+            a, b = np.searchsorted(ranges[:, f], low - 1e-9), np.searchsorted(ranges[:, f], high + 1e-9, side="right")
             if best is None or b - a < len(best):
-                best = self.order[a:b, f]
+                best = order[a:b, f]
         if best is None:
             return np.arange(enough)
         return best[best < enough]
 
-    def top(self, q: np.ndarray, q_norm: float, own: int | None, least: float, k: int) -> tuple[np.ndarray, np.ndarray]:
-        at = self.candidates(q, q_norm, least)
-        if own is not None:
-            at = at[self.ids[at] != own]
-        score, ids = _product(self.rows[at], q), self.ids[at]
-        keep = np.lexsort((ids, -score))[:k]
-        return ids[keep], score[keep]
-
-
-def _pack(df: DataFrame, key: list[Column], k_alias: list[str]) -> DataFrame:
-    """Rows gathered per key (bounded by CHUNK or QUERY_BLOCK in expectation)."""
-    return df.groupBy(*[c.alias(a) for c, a in zip(key, k_alias, strict=True)]).agg(F.collect_list(F.struct("vec_id", "v", "norm", *[c for c in df.columns if c in ("q_row", "least")])).alias("rows"), F.max("norm").alias("longest"))
+    def top(self, q: _Rows, at: np.ndarray, at_q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query's place, vec_id, score) of the k best of the vectors `at` for each of the queries `at_q`, without those below its bound."""
+        score, ids = _products(self, q, at, at_q), self.ids[at]
+        own = ids == q.ids[at_q][:, None]
+        score[own] = np.iinfo(np.int64).min
+        keep = ~own
+        if score.dtype == np.float64:
+            keep &= score >= q.least[at_q][:, None]
+        if len(ids) > k and np.count_nonzero(keep) > 4 * k * len(at_q):
+            keep &= score >= np.partition(score, len(ids) - k, axis=1)[:, len(ids) - k, None]
+        i, j = np.nonzero(keep)
+        best = score[i, j].astype(np.int64)
+        by = np.lexsort((ids[j], -best, i))
+        i, j, best = i[by], j[by], best[by]
+        first = np.searchsorted(i, i)
+        few = np.arange(len(i)) - first < k
+        return at_q[i[few]], ids[j[few]], best[few]
+
+
+_PACKED = "width int, ids binary, norms binary, vectors binary, q_rows binary, leasts binary, longest double, need double"
+
+
+def _pack(df: DataFrame, key: list[Column], names: list[str]) -> DataFrame:
+    """One row for each key, its vectors by falling length in as few bytes as hold their components (groups are bounded by CHUNK or
+    QUERY_BLOCK in expectation)."""
+    kinds = {c: t for c, t in df.select(*[c.alias(a) for c, a in zip(key, names, strict=True)]).dtypes}
+    extra = [c for c in ("q_row", "least") if c in df.columns]
+
+    def work(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        column = lambda name: group.column(name).combine_chunks() if group.column(name).num_chunks != 1 else group.column(name).chunk(0)
+        ids, norm, rows = np.asarray(column("vec_id")), np.asarray(column("norm")), _matrix(column("v"))
+        by = np.lexsort((ids, -norm))
+        low, high = int(rows.min(initial=0)), int(rows.max(initial=0))
+        width = next(w for w in (2, 4, 8) if -(1 << 8 * w - 1) <= low and high < 1 << 8 * w - 1)
+        q_row = np.asarray(column("q_row"))[by] if "q_row" in extra else np.zeros(0, np.int64)
+        least = np.asarray(column("least").cast("double", safe=False).fill_null(float("-inf")))[by] if "least" in extra else np.zeros(0)
+        made = [width, ids[by].tobytes(), norm[by].tobytes(), rows[by].astype(f"i{width}").tobytes(), q_row.tobytes(), least.tobytes(), float(norm.max(initial=0)), float(least.min(initial=np.inf))]
+        return pa.table({a: group.column(a).slice(0, 1) for a in names} | {f.split()[0]: pa.array([x], {"int": pa.int32(), "binary": pa.binary(), "double": pa.float64()}[f.split()[1]]) for f, x in zip(_PACKED.split(", "), made, strict=True)})
+
+    rows = df.select(*[c.alias(a) for c, a in zip(key, names, strict=True)], "vec_id", "v", "norm", *extra)
+    return rows.groupBy(*names).applyInArrow(work, ", ".join(f"{a} {kinds[a]}" for a in names) + ", " + _PACKED)
 
 
 def _search(pairs: DataFrame, k: int) -> DataFrame:
-    """Best k of every (query, chunk) pair of packed rows: columns c (chunk) and q (query block)."""
+    """Best k of every (query, chunk) pair of packed rows: columns bucket, part, c (chunk) and q (query block)."""
+
+    def hits(chunk: _Chunk, q: _Rows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        local, enough = chunk.reaches(q)
+        some = np.flatnonzero((local <= 1 + 1e-9) & (enough > 0))
+        near = local[some] >= COORDINATE_FROM
+        for i in some[near].tolist():  # few vectors each
+            yield chunk.top(q, chunk.candidates(q.real[i], float(q.norm[i]), float(local[i]), int(enough[i])), np.array([i]), k)
+        rest = some[~near]
+        rest = rest[np.argsort(-enough[rest], kind="stable")]
+        for lo in range(0, len(rest), TOGETHER):  # as many vectors as the first of them takes
+            yield chunk.top(q, np.arange(enough[rest[lo]]), rest[lo : lo + TOGETHER], k)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, chunk = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                c, q = batch.column(0)[i].values, batch.column(1)[i].values
-                chunk = _Chunk(np.asarray(c.field("vec_id")), _matrix(c.field("v")))
-                vectors, norms = _matrix(q.field("v")), np.asarray(q.field("norm"))
-                out: list[tuple] = []
-                for row, qid, v, norm, least in zip(q.field("q_row").to_pylist(), q.field("vec_id").to_pylist(), vectors, norms, q.field("least").to_pylist(), strict=True):
-                    ids, score = chunk.top(v, float(norm), qid, float("-inf") if least is None else float(least), k)
-                    out += [(row, qid, int(a), int(b)) for a, b in zip(ids, score, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in out], pa.int64()) for j in range(4)], ["q_row", "query_id", "vec_id", "score"])
+                key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if key != last:
+                    last, chunk = key, _Chunk(batch.column(2)[i].as_py())
+                q = _Rows(batch.column(3)[i].as_py())
+                found = list(hits(chunk, q))
+                at, ids, score = (np.concatenate([f[j] for f in found] + [np.zeros(0, np.int64)]) for j in range(3))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q.q_row[at], q.ids[at], ids, score)], ["q_row", "query_id", "vec_id", "score"])
 
-    return pairs.mapInArrow(work, HITS)
+    return pairs.select("bucket", "part", "c", "q").mapInArrow(work, HITS)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
@@ -147,31 +204,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
             if seen < SEED:
                 seed.append((b, p))
                 seen += n / parts[b]
-    chunks = _pack(chunked, [F.col("bucket"), F.col("part")], ["bucket", "part"])
+    chunks, _ = written(_pack(chunked, [F.col("bucket"), F.col("part")], ["bucket", "part"]), "topk-chunks")  # read twice
     spark = vectors.sparkSession
     seed_keys = F.broadcast(spark.createDataFrame(seed, "bucket int, part long"))
-    packed = lambda q: _pack(q.withColumn("block", block), [F.col("block")], ["block"])
+    whole = F.struct("width", "ids", "norms", "vectors", "q_rows", "leasts")
+    packed = lambda q: _pack(q.withColumn("block", block), [F.col("block")], ["block"]).select(whole.alias("q"), "longest", "need")
+    chunks = chunks.select("bucket", "part", whole.alias("c"))
     first = packed(queries.withColumn("least", F.lit(None).cast("long")))
-    near = chunks.join(seed_keys, ["bucket", "part"])
-    deal = lambda q, keys: q.withColumn("to", F.explode(keys)).select("rows", F.col("to.bucket").alias("bucket"), F.col("to.part").alias("part"))
+    deal = lambda q, keys: q.withColumn("to", F.explode(keys)).select("q", F.col("to.bucket").alias("bucket"), F.col("to.part").alias("part"))
     literal = lambda pairs: F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(p).cast("long").alias("part")) for b, p in pairs])
-    pairs = near.select("bucket", "part", F.col("rows").alias("c")).join(deal(first, literal(seed)).withColumnRenamed("rows", "q"), ["bucket", "part"]).select("c", "q")
+    pairs = chunks.join(seed_keys, ["bucket", "part"]).join(deal(first, literal(seed)), ["bucket", "part"])
     per_query = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     best = lambda hits: hits.withColumn("rank", F.row_number().over(per_query)).where(F.col("rank") <= k)
     seeded, _ = written(best(_search(pairs, k)), "topk-seed")
     bound = seeded.groupBy("q_row").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k).select("q_row", "least")
 
     # The rest: a block goes to the chunks that it can still gain from.
-    later = packed(queries.join(bound, "q_row", "left")).withColumn("need", F.when(F.exists("rows", lambda r: r["least"].isNull()), F.lit(float("-inf"))).otherwise(F.array_min(F.transform("rows", lambda r: r["least"].cast("double")))))
+    later = packed(queries.join(bound, "q_row", "left"))
     if sum(parts.values()) == len(seed):
         found = seeded
     else:
         todo = F.flatten(F.transform(F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(p).cast("long").alias("n")) for b, p in parts.items()]), lambda s: F.transform(F.sequence(F.lit(0).cast("long"), s["n"] - 1), lambda i: F.struct(s["bucket"].alias("bucket"), i.alias("part")))))
         reach = F.lit(BAND) ** (F.col("to.bucket") + 1) * F.col("longest") * (1 + 1e-9)
-        sent = later.withColumn("to", F.explode(todo)).where((F.col("need") <= 0) | (reach >= F.col("need"))).select(F.col("to.bucket").alias("bucket"), F.col("to.part").alias("part"), F.col("rows").alias("q"))
+        sent = later.withColumn("to", F.explode(todo)).where((F.col("need") <= 0) | (reach >= F.col("need"))).select(F.col("to.bucket").alias("bucket"), F.col("to.part").alias("part"), "q")
         sent = sent.join(seed_keys, ["bucket", "part"], "left_anti")
-        rest = chunks.select("bucket", "part", F.col("rows").alias("c")).join(sent, ["bucket", "part"]).select("c", "q")
-        found = best(seeded.drop("rank").unionByName(_search(rest, k)))
+        found = best(seeded.drop("rank").unionByName(_search(chunks.join(sent, ["bucket", "part"]), k)))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -38,3 +38,23 @@ def test_small_and_empty_tables(spark):
     assert topk.top_k(df, F.col("vec_id") % 50 == 0).count() == 1
     assert topk.top_k(df.where("vec_id < 0"), F.col("vec_id") % 50 == 0).count() == 0
     assert topk.top_k(df.where("vec_id = 0"), F.col("vec_id") % 50 == 0).count() == 0
+
+
+def test_vectors_meet_in_few_bytes(spark):
+    """A chunk goes to Python as one value of as many bytes as its components need, not as lists of longs."""
+    df = spark.createDataFrame([(i, [i / 100.0] * 8) for i in range(100)], "vec_id long, embedding array<float>")
+    (row,) = topk._pack(topk.quantised(df), [F.lit(0)], ["part"]).collect()
+    assert (row.width, len(row.vectors), len(row.ids)) == (2, 1600, 800)
+    wide = spark.createDataFrame([(0, [3e38, 1.0]), (1, [-3e38]), (2, [1e6, 2.0])], "vec_id long, embedding array<float>")
+    assert [r.width for r in topk._pack(topk.quantised(wide), [F.lit(0)], ["part"]).collect()] == [8]
+
+
+def test_queries_of_one_chunk_have_their_own_bounds(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TOGETHER", 3)
+    monkeypatch.setattr(topk, "CHUNK", 200)
+    monkeypatch.setattr(topk, "SEED", 100)
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(c)) for c in r * (4.0 if i % 3 else 0.01)]) for i, r in enumerate(rng.normal(size=(900, 6)))]
+    rows += [(i, v) for i, v in rows if i % 100 == 0]  # repeated ids
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == plain(rows)
