@@ -56,6 +56,30 @@ def test_one_chunk_texts_are_encoded_by_pieces(monkeypatch):
     assert byte_bpe.CHUNK <= 4_096
 
 
+def test_chunks_meet_as_ids_and_not_as_texts(spark):
+    """What is sent to where a text's chunks meet holds no text, and the text is read off it, whatever the overlap cut apart."""
+    e, rng = byte_bpe._Encoder(BPE, P.PATTERN), random.Random(5)
+    for size, overlap in ((12, 4), (40, 10), (64, 1)):
+        for _ in range(100):
+            text = "".join(rng.choices(["wording", "  ", "\n", "'re ", "1", "é", "中", "🙂", "aaaa"], k=rng.randrange(1, 80)))
+            starts = list(range(0, len(text), size - overlap))
+            packed = [e.packed(text[s : s + size]) for s in starts]
+            again, ids = e.joined(starts, [p[0] for p in packed], [p[1] for p in packed])
+            assert (again, ids.tolist()) == (text, e.encoder.encode_ordinary(text))
+    made = byte_bpe.encode(frame(spark, [(1, "some words " * 900)]), BPE, P.PATTERN)
+    plan = made._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    exchanges = [line for line in plan if "RepartitionByExpression" in line or "Sort [" in line]
+    assert exchanges and not any("__ends" in line or "FlatMapGroupsInPandas" in line for line in plan)
+
+
+def test_texts_of_very_many_chunks_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(byte_bpe, "DEAL", 3)
+    encoder, _ = byte_bpe.load(BPE, P.PATTERN)
+    rows = [(i, "some wörds 🙂 " * n) for i, n in enumerate((1, 5, 20, 40, 90))]
+    got = byte_bpe.encode(frame(spark, rows), BPE, P.PATTERN, chunk=60, overlap=20).collect()
+    assert {r.doc_id: (r.text, list(r.ids)) for r in got} == {i: (t, encoder.encode_ordinary(t)) for i, t in rows} and len(got) == 5
+
+
 def test_encode_empty_table(spark):
     assert byte_bpe.encode(empty(spark), BPE, P.PATTERN).count() == 0
 
