@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import arrays
 from ..functions.masks import OFFSETS_6, OFFSETS_26
-from ..operators import bricks, contour_tree, order, query, trees
+from ..operators import bricks, contour_tree, order, query, trees, whole_grids
 from ..sources import grids
 from ..sources.grids import BLOCK, EVENTS, LI, LI_SMALL
 from .common import STRICT_TEST, VOLUME_MASK, job
@@ -120,14 +120,8 @@ def weighted_map_report(spark, sf_dir):
 
 @job()
 def block_tree_classes(spark, sf_dir):
-    """Nodes of the join and split trees of every one of the grids whose number grows with the tables, by degree; a grid is one brick."""
-    cells = grids.shipped_blocks(spark, sf_dir)
-    cells = order.ranked_within(cells, ["grid_id"]).withColumn("rev", F.lit(BLOCK.n - 1) - F.col("ord"))
-    both = volume_trees(cells, BLOCK, ("grid_id",), 16)
-    count = lambda end, name: both.where(F.col(end).isNotNull()).groupBy("grid_id", F.col(end).alias("node")).agg(F.count("*").alias(name))
-    deg = both.join(count("join_up", "down"), ["grid_id", "node"], "left").join(count("split_down", "up"), ["grid_id", "node"], "left").fillna(0, ["up", "down"])
-    up, down = F.col("up"), F.col("down")
-    return deg.groupBy("grid_id").agg(F.count_if(down == 0).alias("minima"), F.count_if(up == 0).alias("maxima"), F.count_if(down > 1).alias("merges"), F.count_if(up > 1).alias("splits"), F.count_if((up == 1) & (down == 1)).alias("regular"))
+    """Nodes of the join and split trees of every one of the grids whose number grows with the tables, by degree."""
+    return whole_grids.summarised(grids.sparse_blocks(spark, sf_dir), BLOCK, whole_grids.tree_classes)
 
 
 @job(f"{VOLUME_MASK},\n{STRICT_TEST.format(source='m3')}\n---\nSELECT m3.z, count(*) FILTER (critical) AS n_critical, count(*) AS n FROM m3 JOIN test3 USING (mask) GROUP BY m3.z", "li_small", "z n_critical n", recursive=True)

@@ -98,6 +98,17 @@ def shipped_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("grid_id", "id", *coordinates(BLOCK)).join(sparse, ["grid_id", "id"], "left").withColumn("val", F.coalesce("val", F.lit(0)).cast("long"))
 
 
+def sparse_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(grid_id, id, val) of the same grids without the cells that nothing falls into, dealt out by grid_id once for all that is asked by grid."""
+    li = _lineitem(spark, sf_dir)
+    grid_id = F.floor(F.col("l_orderkey") / ORDERS_A_GRID).alias("grid_id")
+    cell = address(BLOCK, (F.col("l_partkey") % 16).cast("int"), (F.col("l_suppkey") % 16).cast("int"), F.month("l_shipdate") - 1)
+    rows = li.select(grid_id, cell.alias("id"), F.col("l_quantity").cast("long").alias("val")).repartition("grid_id")
+    inside = F.when(F.col("id").between(0, BLOCK.n - 1), F.col("id"))  # others leave their grid as it is; lists drop nulls
+    cells = rows.groupBy("grid_id", inside.alias("id")).agg(F.coalesce(F.sum("val"), F.lit(0).cast("long")).alias("val"))
+    return cells.withColumn("val", F.when(F.col("id").isNotNull(), F.col("val")))
+
+
 def _sql(dims: Dims, source: str, name: str) -> str:
     t = f", CAST(i // {dims.slice * dims.nz} AS INT) AS t" if dims.nt > 1 else ""
     return f"""{name} AS (SELECT i AS id, CAST(i % {dims.nx} AS INT) AS x, CAST((i // {dims.nx}) % {dims.ny} AS INT) AS y, CAST((i // {dims.slice}) % {dims.nz} AS INT) AS z{t}, CAST(coalesce(v, 0) AS BIGINT) AS val
