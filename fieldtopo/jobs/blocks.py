@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions.masks import changes_topology_2d, closed, euler, wide
-from ..operators import order, stencil
+from ..operators import whole_grids
 from ..sources import grids
+from ..sources.grids import BLOCK
 from .common import NEIGHBOURS_26, RING_TEST, job
 
 LEVEL = 20
@@ -15,16 +15,11 @@ _ORDERED = "o AS (SELECT *, row_number() OVER (PARTITION BY grid_id ORDER BY val
 _AROUND = "FROM o a CROSS JOIN {off} off LEFT JOIN o b ON b.grid_id = a.grid_id AND b.x = a.x + off.dx AND b.y = a.y + off.dy AND b.z = a.z + {dz}"
 
 
-def _ordered(spark, sf_dir):
-    return order.ranked_within(grids.shipped_blocks(spark, sf_dir), ["grid_id"])
-
-
 @job(f"{_ORDERED}, {NEIGHBOURS_26}, m2 AS (SELECT a.grid_id, a.id, coalesce(bit_or(CASE WHEN b.ord < a.ord THEN CAST(1 << CAST(off.bit AS INT) AS BIGINT) ELSE 0 END), 0) AS mask "
      + _AROUND.format(off="(SELECT dx, dy, row_number() OVER (ORDER BY dy, dx) - 1 AS bit FROM off WHERE dz = 0)", dz="0") + f" GROUP BY a.grid_id, a.id), {RING_TEST}\n---\nSELECT grid_id, count(*) FILTER (transitions <> 2) AS n_critical, count(*) FILTER (m2.mask = 0) AS n_minima, count(*) AS n FROM m2 JOIN test2 USING (mask) GROUP BY grid_id", "blocks", "grid_id n_critical n_minima n")
 def block_criticals(spark, sf_dir):
     """Cells of every grid that are critical in their slice, and slice minima."""
-    cells = stencil.block(_ordered(spark, sf_dir), "ord", extra=("grid_id",), axes="xy").withColumn("mask", stencil.slice_mask("ord"))
-    return cells.groupBy("grid_id").agg(F.count_if(changes_topology_2d(F.col("mask"))).alias("n_critical"), F.count_if(F.col("mask") == 0).alias("n_minima"), F.count("*").alias("n"))
+    return whole_grids.summarised(grids.sparse_blocks(spark, sf_dir), BLOCK, whole_grids.slice_criticals)
 
 
 @job(f"{_ORDERED}, {NEIGHBOURS_26}, m3 AS (SELECT a.grid_id, a.id, coalesce(bit_or(CASE WHEN b.ord < a.ord THEN CAST(1 AS BIGINT) << CAST(off.bit AS INT) ELSE 0 END), 0) AS mask "
@@ -36,8 +31,7 @@ e AS (SELECT mask, sum(CASE WHEN abs(dx) + abs(dy) + abs(dz) = 2 THEN -1 ELSE 1
 SELECT grid_id, sum(1 - coalesce(chi, 0)) AS chi, count(*) FILTER (mask = 0) AS n_minima FROM m3 LEFT JOIN e USING (mask) GROUP BY grid_id""", "blocks", "grid_id chi n_minima")
 def block_euler(spark, sf_dir):
     """The Euler characteristic of every grid, summed from its cells' lower links, and its minima."""
-    cells = stencil.block(_ordered(spark, sf_dir), "ord", extra=("grid_id",)).withColumn("mask", stencil.lower_mask("ord"))
-    return cells.groupBy("grid_id").agg(F.sum(1 - euler(closed(wide(F.col("mask"))))).alias("chi"), F.count_if(F.col("mask") == 0).alias("n_minima"))
+    return whole_grids.summarised(grids.sparse_blocks(spark, sf_dir), BLOCK, whole_grids.link_euler)
 
 
 @job("\n---\nSELECT grid_id, x // 4 AS x, y // 4 AS y, z // 4 AS z, min(val) AS lo, max(val) AS hi, sum(val) AS total FROM g GROUP BY ALL", "blocks", "grid_id x y z lo hi total")
