@@ -15,6 +15,7 @@ An order of carving is sequential within a grid, so a grid of bounded size is a
 from __future__ import annotations
 
 import heapq
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -23,25 +24,32 @@ from pyspark.sql import DataFrame
 from ..functions.masks import OFFSETS_26
 from .carve import strict_test
 
-ALL = (1 << 26) - 1
+ALL, LAST = (1 << 26) - 1, 1 << 25
 CARVED = "id long, side int, rank long, opened int, new_val long"
 SPANS = "id long, rank long, parent long, life long"
 
 
+@lru_cache(maxsize=8)
+def _neighbours(x: bytes, y: bytes, z: bytes) -> tuple[list, list, list]:
+    """Of cells by row number: neighbours as (bit in the cell's mask, row), their rows, and the bits of those beyond the grid. Grids of one
+    extent share them."""
+    places = list(zip(*(np.frombuffer(a, np.int64).tolist() for a in (x, y, z)), strict=True))
+    at = {p: i for i, p in enumerate(places)}
+    steps = [(1 << b, o) for b, o in enumerate(OFFSETS_26)]
+    near = [[(bit, at.get((x + dx, y + dy, z + dz))) for bit, (dx, dy, dz) in steps] for x, y, z in places]
+    inside = [tuple((bit, j) for bit, j in row if j is not None) for row in near]
+    return inside, [tuple(j for _, j in row) for row in inside], [sum(bit for bit, j in row if j is None) for row in near]
+
+
 class _Grid:
-    """Cells of a group by row number, in order of id; neighbours in the bit order of masks, None beyond the grid."""
+    """Cells of a group by row number, in order of id; neighbours with their bits in masks, and the bits of those beyond the grid."""
 
     def __init__(self, pdf: pd.DataFrame):
         self.ids = pdf["id"].tolist()
-        places = list(zip(pdf["x"], pdf["y"], pdf["z"], strict=True))
-        at = {p: i for i, p in enumerate(places)}
-        self.near = [[at.get((x + dx, y + dy, z + dz)) for dx, dy, dz in OFFSETS_26] for x, y, z in places]
+        self.bits, self.near, self.beyond = _neighbours(*(pdf[a].to_numpy(np.int64).tobytes() for a in "xyz"))
         self.val = pdf["val"].tolist()
-        self.border = [None in row for row in self.near]
-        self.n = len(places)
-
-    def mask(self, i: int, marked, beyond: bool) -> int:
-        return sum(1 << b for b, j in enumerate(self.near[i]) if (beyond if j is None else marked(j)))
+        self.border = [m > 0 for m in self.beyond]
+        self.n = len(self.ids)
 
 
 def _two_sides(pdf: pd.DataFrame, sides: str, features: int) -> pd.DataFrame:
@@ -60,12 +68,15 @@ def _two_sides(pdf: pd.DataFrame, sides: str, features: int) -> pd.DataFrame:
         rank[i], side[i], opened[i], known[i], val[i] = taken, s, how, True, s * abs(val[i])
         taken += 1
         for j in g.near[i]:
-            if j is not None and rank[j] < 0 and not queued[j] and (val[j] * s > 0 or not known[j]):
+            if rank[j] < 0 and not queued[j] and (val[j] * s > 0 or not known[j]):
                 wait(j, s)
                 known[j], val[j] = True, s * abs(val[j])
 
     def changes(i: int, s: int) -> bool:
-        whole = g.mask(i, lambda j: rank[j] < 0 or (known[j] and val[j] * s < 0), s < 0)
+        whole = g.beyond[i] if s < 0 else 0
+        for bit, j in g.bits[i]:
+            if rank[j] < 0 or (known[j] and val[j] * s < 0):
+                whole |= bit
         return strict_test(ALL ^ whole if s < 0 else whole)
 
     if "o" in sides:
@@ -103,21 +114,23 @@ def _life_spans(pdf: pd.DataFrame, inside: bool, least: int | None) -> pd.DataFr
     first = np.argsort(np.asarray(val), kind="stable")
     order = np.empty(n, int)
     order[first] = np.arange(n)
-    once = [strict_test(g.mask(i, lambda j, i=i: order[j] > order[i], False)) for i in range(n)]
+    place = order.tolist()
+    once = [strict_test(sum([bit for bit, j in g.bits[i] if place[j] > place[i]])) for i in range(n)]
+    left = [ALL if inside else ALL ^ m for m in g.beyond]  # of every cell: its neighbours that are not carved
     rank, parent, queued, taken, endless = [-1] * n, list(range(n)), [False] * n, 0, False
     life = [0] * n if least is None else pdf["life"].tolist()
     queue: list[tuple[int, int]] = []
 
     def changes(i: int) -> bool:
-        left = g.mask(i, lambda j: rank[j] < 0, inside)
-        return strict_test(ALL ^ left if inside else left)
+        return strict_test(ALL ^ left[i] if inside else left[i])
 
     def carve(i: int) -> None:
         nonlocal taken
         rank[i] = taken
         taken += 1
-        for j in g.near[i]:
-            if j is None or rank[j] >= 0:
+        for bit, j in g.bits[i]:
+            left[j] ^= LAST // bit  # the cell's bit in the neighbour's mask: bits run the other way
+            if rank[j] >= 0:
                 continue
             if not queued[j]:
                 heapq.heappush(queue, (way * val[j], j))

@@ -149,3 +149,11 @@ def test_cells_left_get_the_other_sign(spark):
     got = {(r.grid_id, r.id): r.fixed for r in sides.fixed(df, ["grid_id"]).collect()}
     assert got == {(1, 0): -4, (1, 1): 1, (1, 2): 1, (1, 3): 1, (2, 0): -1, (2, 1): 3}
     assert {r.fixed for r in sides.fixed(df, ["grid_id"], -1).where("id = 3").collect()} == {1}
+
+
+def test_grids_of_one_extent_share_their_neighbours():
+    import pandas as pd
+
+    made = [sides._Grid(pd.DataFrame(grid(k), columns=["grid_id", "id", "x", "y", "z", "val", "known"]).sort_values("id")) for k in (3, 4)]
+    assert made[0].bits is made[1].bits and made[0].near is made[1].near
+    assert all(sides.LAST // bit in {b for b, back in made[0].bits[j] if back == i} for i in range(made[0].n) for bit, j in made[0].bits[i])
