@@ -31,7 +31,9 @@ Candidates pass parity sketches (256 bits in the rows themselves, then 2 bits an
 no fewer elements than the sketches do in bits) and are then verified on whole sets, which are built again from the texts of the candidates only.
 Components are found by spreading the least label over links.
 
-No step gathers a bucket: sizes, hubs and references are aggregates, and pairs come from joins that Spark can split.
+No step holds a bucket in memory: sizes come from windows, which spill, hubs and references are aggregates, and pairs come from joins
+that Spark can split. Which hub a bucket goes to is free, as pairs are only made within a bucket's group; so a hub's buckets follow it
+to the heaviest hub that it meets, and most sets have one row of prefixes. A group that its star holds whole has none.
 
 Edge cases: null text is an empty set; repeated rows and equal texts share one set; rows of one doc_id with different texts are
 sets of their own; rows without doc_id get the smallest doc_id of their component, or null. Extra columns are ignored.
@@ -296,15 +298,15 @@ def _prefixes(batches: Iterator[pa.RecordBatch], num: int, den: int) -> Iterator
     """Each set's rank for the star of its hub, and the first elements of what it and the core do not share."""
     for batch in batches:
         rank, first, out = [], [], []
-        for hub, n, a, b in zip(batch.column("hub").to_pylist(), batch.column("n").to_pylist(), batch.column("elements"), batch.column("core"), strict=True):
+        for hub, a, b in zip(batch.column("hub").to_pylist(), batch.column("elements"), batch.column("core"), strict=True):
             x, core, seed = _set(a), _set(b), mix(np.array([hub], np.int64).view(np.uint64))
             more, less = mix(x[~_inside(x, core)] ^ seed), mix(core[~_inside(core, x)] ^ seed)
-            apart = np.concatenate((np.sort(more), np.sort(less)))
+            apart, n = np.concatenate((np.sort(more), np.sort(less))), len(x)
             rank.append((den + num) * len(apart) - (den - num) * n)
             most = most_apart(n, n * den // num, num, den)
             out.append(apart[: most + 1].view(np.int64))
             first.append(len(apart) - max(1, len(apart) - most // 2) + 1)
-        yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("h"), batch.column("n"), pa.array(rank, pa.int64()), pa.array(first, pa.int64()), _lists(out)], ["hub", "h", "n", "rank", "first", "sigs"])
+        yield pa.RecordBatch.from_arrays([batch.column("hub"), batch.column("h"), pa.array(rank, pa.int64()), pa.array(first, pa.int64()), _lists(out)], ["hub", "h", "rank", "first", "sigs"])
 
 
 def components(links: DataFrame) -> tuple[DataFrame, str]:
@@ -326,28 +328,33 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
             return labels, at
 
 
-def _apart(buckets: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, str]:
-    """sig, h, n, short, the set's component c and the number k of short prefixes in the bucket, of the buckets that hold several components."""
-    c = buckets.withColumn("c", F.col("h")) if labels is None else buckets.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("label", "h")).drop("label")
-    several = c.groupBy("sig").agg(F.min("c").alias("c0"), F.max("c").alias("c1"), F.count_if("short").alias("k")).where("c0 <> c1 and k > 0").select("sig", "k")
-    return written(c.join(several, "sig"), "sets-apart")
+def _apart(buckets: DataFrame) -> tuple[DataFrame, str]:
+    """The rows (sig, h, short, c) of buckets that hold several components c, with the number k of short prefixes in the bucket. A window, so
+    that the rows are made and shuffled once."""
+    bucket = Window.partitionBy("sig")
+    told = buckets.withColumns({"c0": F.min("c").over(bucket), "c1": F.max("c").over(bucket), "k": F.count_if("short").over(bucket)})
+    return written(told.where("c0 <> c1 and k > 0").select("sig", "h", "short", "c", "k"), "sets-apart")
 
 
 def _pairs(apart: DataFrame, nodes: DataFrame, most: int, num: int, den: int) -> DataFrame:
     """Pairs within the small buckets: of different components, and of sizes and parities that can link."""
-    few = apart.where(F.col("k") <= most).join(nodes.select("h", "parity"), "h")
+    few = apart.where(F.col("k") <= most).join(nodes.select("h", "n", "parity"), "h")
+    # Both sides are the same but for names, so that Spark shuffles them once.
     side = lambda i: few.select(F.col("parity").alias(f"p{i}"), "sig", F.col("h").alias(f"h{i}"), F.col("n").alias(f"n{i}"), F.col("c").alias(f"c{i}"), F.col("short").alias(f"short{i}"))
-    fits = f"(h1 < h2 or not short2) and h1 <> h2 and c1 <> c2 and {den} * least(n1, n2) >= {num} * greatest(n1, n2)"
+    fits = f"short1 and (h1 < h2 or not short2) and h1 <> h2 and c1 <> c2 and {den} * least(n1, n2) >= {num} * greatest(n1, n2)"
     fits += " and " + " + ".join(f"bit_count(p1[{i}] ^ p2[{i}])" for i in range(4)) + f" <= (n1 + n2) * {den - num} div {den + num}"
-    return side(1).where("short1").join(side(2), "sig").where(fits).select(F.least("h1", "h2").alias("h1"), F.greatest("h1", "h2").alias("h2")).distinct()
+    return side(1).join(side(2), "sig").where(fits).select(F.least("h1", "h2").alias("h1"), F.greatest("h1", "h2").alias("h2")).distinct()
 
 
 def _groups(apart: DataFrame, most: int) -> DataFrame:
-    """hub, h, n: the large buckets by their hubs, the sets that are in most of them."""
-    large = apart.where(F.col("k") > most).select("sig", "h", "n")
+    """hub, h: the large buckets by their hubs, the sets that are in most of them. Where a hub is in buckets of a heavier one, all of its
+    own go there too: a set whose buckets have several hubs would else have prefixes for each."""
+    large = apart.where(F.col("k") > most).select("sig", "h")
     weight = large.groupBy("h").agg(F.count("*").alias("w"))
-    hubs = large.join(weight, "h").groupBy("sig").agg(F.max(F.struct("w", "h")).alias("m")).select("sig", F.col("m.h").alias("hub"))
-    return large.join(hubs, "sig").select("hub", "h", "n").distinct()
+    hubs = large.join(weight, "h").groupBy("sig").agg(F.max(F.struct("w", "h")).alias("m"))
+    placed = large.join(hubs, "sig").groupBy("m", "h").agg(F.lit(1).alias("one")).select("m", "h")
+    above = placed.groupBy("h").agg(F.max("m").alias("top")).select(F.col("h").alias("hub"), F.col("top.h").alias("top"))
+    return placed.select(F.col("m.h").alias("hub"), "h").join(above, "hub").select(F.col("top").alias("hub"), "h").distinct()
 
 
 class _Join:
@@ -385,15 +392,21 @@ class _Join:
         return self.keep(both.mapInArrow(partial(_compare, num=self.num, den=self.den), "u long, v long"), "sets-links")
 
     def centred(self, groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Star links (u, v) of each group, and the next buckets (sig, h, n, short)."""
+        """Star links (u, v) of each group, and the prefixes (h, first, sigs) of sets in groups that a star does not hold whole."""
         lots = groups.groupBy("hub").agg(*[F.min(F.struct(F.xxhash64("h", F.lit(i)), "h")).alias(f"m{i}") for i in range(REFERENCES)])
         references = lots.select("hub", F.explode(F.array_distinct(F.array(*[F.col(f"m{i}.h") for i in range(REFERENCES)]))).alias("h"))
         core = self.keep(references.join(self.sets, "h").select("hub", "elements").groupBy("hub").applyInPandas(_core, "hub long, core binary"), "sets-core")
-        placed = groups.join(self.sets, "h").join(core, "hub").select("hub", "h", "n", "elements", "core")
-        placed = self.keep(placed.mapInArrow(partial(_prefixes, num=self.num, den=self.den), "hub long, h long, n long, rank long, first long, sigs array<long>"), "sets-centred")
-        star = placed.groupBy("hub").agg(F.min(F.struct("rank", "h")).alias("m")).select("hub", F.col("m.rank").alias("least"), F.col("m.h").alias("v"))
+        placed = groups.join(self.sets, "h").join(core, "hub").select("hub", "h", "elements", "core")
+        placed = self.keep(placed.mapInArrow(partial(_prefixes, num=self.num, den=self.den), "hub long, h long, rank long, first long, sigs array<long>"), "sets-centred")
+        star = placed.groupBy("hub").agg(F.min(F.struct("rank", "h")).alias("m"), F.max("rank").alias("most")).select("hub", F.col("m.rank").alias("least"), F.col("m.h").alias("v"), "most")
         stars = self.keep(placed.select("hub", "rank", "h").join(star, "hub").where("rank + least <= 0 and h <> v").select(F.col("h").alias("u"), "v").distinct(), "sets-links")
-        return stars, placed.select("h", "n", "first", F.posexplode("sigs").alias("at", "sig")).select("sig", "h", "n", (F.col("at") < F.col("first")).alias("short"))
+        return stars, placed.join(star.where("most + least > 0"), "hub", "left_semi").select("h", "first", "sigs")
+
+
+def _prefix_buckets(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """The buckets (sig, h, short, c) that the prefixes of sets make. Components are looked up before the prefixes become rows."""
+    named = placed.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("c", F.coalesce("label", "h"))
+    return named.select("h", "c", "first", F.posexplode("sigs").alias("at", "sig")).select("sig", "h", (F.col("at") < F.col("first")).alias("short"), "c")
 
 
 def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -406,15 +419,16 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     join = _Join(docs, nodes, k, num, den)
 
     rows = some.select("h", F.explode("sigs").alias("sig"))
-    several = rows.groupBy("sig").agg(F.min("h").alias("h0"), F.max("h").alias("h1"), F.count("*").alias("met")).where("h0 <> h1").select("sig", "met")
-    shared = rows.join(several, "sig").distinct().withColumn("tier", F.col("sig").bitwiseAND((1 << TIER_BITS) - 1))
+    bucket = Window.partitionBy("sig")
+    met = rows.withColumns({"h0": F.min("h").over(bucket), "h1": F.max("h").over(bucket), "met": F.count("*").over(bucket)}).where("h0 <> h1")
+    shared = met.select("sig", "h", "met").distinct().withColumn("tier", F.col("sig").bitwiseAND((1 << TIER_BITS) - 1))
     free = some.select("h", F.explode("free").alias("f")).distinct().select("h", F.shiftright("f", 16).alias("tier"), F.col("f").bitwiseAND(0xFFFF).alias("free"))
     crowded = Window.partitionBy("h", "tier").orderBy(F.desc("met"), "sig")  # a set's signatures of one tier
     taken = shared.join(free, ["h", "tier"], "left").withColumn("r", F.row_number().over(crowded)).where(F.col("r") > F.coalesce("free", F.lit(0)))
-    buckets = taken.select("sig", "h").join(nodes.select("h", "n"), "h").withColumn("short", F.lit(True))
+    buckets = taken.select("sig", "h", F.lit(True).alias("short"), F.col("h").alias("c"))
     labels, labels_at, links, most = None, None, None, PAIRS
     while True:
-        apart, at = _apart(buckets, labels)
+        apart, at = _apart(buckets)
         join.used.append(at)
         pairs, groups = join.near(_pairs(apart, nodes, most, num, den)), join.keep(_groups(apart, most), "sets-groups")
         if labels is None:  # later levels hold no other sets than these
@@ -422,7 +436,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         found = join.verified(pairs)
         large = groups.limit(1).count()
         if large:
-            stars, buckets = join.centred(groups)
+            stars, placed = join.centred(groups)
             found = found.unionByName(stars)
         links = found if links is None else links.unionByName(found)
         if labels_at:
@@ -430,6 +444,7 @@ def _classes(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         labels, labels_at = components(links)
         if not large:
             break
+        buckets = _prefix_buckets(placed, labels)
         most *= STEP
 
     # Only sets with copies or links need their component looked up.

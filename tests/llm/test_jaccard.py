@@ -233,3 +233,23 @@ def test_allowances_lose_no_linked_pair():
             both = sorted(x & y)
             x2, y2 = left(x, fx, both), left(y, fy, both[::-1])
             assert x2 & y2, (n, k)
+
+
+def test_buckets_of_one_hub_follow_it_to_a_heavier_one(spark):
+    buckets = {1: (1, 2, 3), 2: (1, 2, 3), 3: (3, 4, 5), 4: (4, 5, 6), 5: (7, 8, 9)}
+    rows = [(sig, h, 30, True, h, len(hs)) for sig, hs in buckets.items() for h in hs]
+    found = j._groups(spark.createDataFrame(rows, "sig long, h long, n long, short boolean, c long, k long"), 2).collect()
+    assert sorted(r.h for r in found) == list(range(1, 10))  # sets 4 and 5 had a row for each of two hubs
+    hub = {r.h: r.hub for r in found}
+    assert all(len({hub[h] for h in hs}) == 1 for hs in buckets.values())
+
+
+def test_groups_that_a_star_holds_have_no_prefixes(spark):
+    base = set(range(1, 201))
+    sets = {1: base, 2: base - {5}, 3: base - {9} | {301}, 4: base | {302}, 11: base, 12: set(range(401, 601)), 13: base - {7}}
+    join = j._Join(None, None, 4, 85, 100)
+    join.sets = spark.createDataFrame([(h, bytearray(np.array(sorted(s), np.uint64).tobytes())) for h, s in sets.items()], "h long, elements binary")
+    groups = spark.createDataFrame([(h // 10, h, len(s)) for h, s in sets.items()], "hub long, h long, n long")
+    stars, rest = join.centred(groups)
+    assert {frozenset(r) for r in stars.where("u < 10").collect()} == {frozenset((h, v)) for h in (1, 2, 3, 4) for v in {r.v for r in stars.where("u < 10").collect()} if h != v}
+    assert {r.h for r in rest.collect()} == {11, 12, 13}  # one of them is not in its star
