@@ -39,7 +39,10 @@ _OTHER = r"(?<!\S)(?!<\*>(?!\S))\S"  # a token that is not the field mark
 def _masked(text: Column) -> Column:
     """The text with masked tokens, one space between the tokens of a line and none at its ends."""
     masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, _NUMBERED, "$1<*>")).otherwise(text)
-    single = F.when(masked.rlike(r"[\t\r\f\x0B]|  "), F.regexp_replace(masked, r"[ \t\r\f\x0B]+", " ")).otherwise(masked)
+    # Classes and fixed strings are found quickly, a choice of both is tried at every place. Masking leaves blanks as they are.
+    two = F.contains(text, F.lit("  "))
+    single = F.when(text.rlike(r"[\t\r\f\x0B]") | two, F.regexp_replace(masked, r"[ \t\r\f\x0B]+", " ")).otherwise(masked)
+    single = F.when(text.rlike(r"[0-9\t\r\f\x0B]") | two, single).otherwise(text)  # most texts have nothing to replace
     inner = F.replace(F.replace(single, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
     return F.btrim(inner, F.lit(" "))
 

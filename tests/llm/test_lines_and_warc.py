@@ -1,5 +1,7 @@
 import hashlib
 
+from pyspark.sql import functions as F
+
 from fieldtopo.llm import line_dedup, warc
 
 from .helpers import AWKWARD, empty, frame
@@ -133,3 +135,12 @@ def test_source_heads_are_kept_and_records_read_back(spark):
     for r in made.collect():
         back = got[r.record_id]
         assert back.block == r.block and back.headers["WARC-Refers-To"] == r.refers_to and back.headers["WARC-Date"] == r.date
+
+
+def test_blanks_are_looked_for_without_a_choice(spark, capsys):
+    texts = [" a\tb ", "a\rb", "a\fb", "a\x0bb", "a  b", "a b", " a \n b", "x1\t 2y\n\n z", "", None, "é ü  ß"]
+    made = frame(spark, list(enumerate(texts))).select("doc_id", line_dedup._masked(F.col("text")).alias("m"))
+    got = {r.doc_id: r.m for r in made.collect()}
+    assert [got[i] for i in range(len(texts))] == ["a b"] * 6 + ["a\nb", "<*> <*>\n\nz", "", None, "é ü ß"]
+    made.explain()
+    assert "\\x0B]|" not in capsys.readouterr().out  # tried at every place of every text before
