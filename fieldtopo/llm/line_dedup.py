@@ -38,13 +38,14 @@ _OTHER = r"(?<!\S)(?!<\*>(?!\S))\S"  # a token that is not the field mark
 
 def _masked(text: Column) -> Column:
     """The text with masked tokens, one space between the tokens of a line and none at its ends."""
-    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, _NUMBERED, "$1<*>")).otherwise(text)
-    # Classes and fixed strings are found quickly, a choice of both is tried at every place. Masking leaves blanks as they are.
+    # Each search reads every text: digits and odd blanks are one class (of single characters, which is one table), fixed strings go without
+    # patterns. Only what has one is masked. Masking leaves blanks as they are.
     two = F.contains(text, F.lit("  "))
+    masked = F.when(text.rlike("[0-9]"), F.regexp_replace(text, _NUMBERED, "$1<*>")).otherwise(text)
     single = F.when(text.rlike(r"[\t\r\f\x0B]") | two, F.regexp_replace(masked, r"[ \t\r\f\x0B]+", " ")).otherwise(masked)
-    single = F.when(text.rlike(r"[0-9\t\r\f\x0B]") | two, single).otherwise(text)  # most texts have nothing to replace
+    single = F.when(text.rlike(r"[0123456789\t\r\f\x0B]") | two, single).otherwise(text)
     inner = F.replace(F.replace(single, F.lit(" \n"), F.lit("\n")), F.lit("\n "), F.lit("\n"))
-    return F.btrim(inner, F.lit(" "))
+    return F.trim(inner)  # of spaces only; a given set of characters would be looked up for each character of the text
 
 
 def _lines(docs: DataFrame) -> DataFrame:
@@ -62,29 +63,39 @@ def _rare() -> Column:
     return F.when(F.col("n_tokens") >= LONG, 2).otherwise(MIN_DOCS)
 
 
+def _cell() -> Column:
+    """A token at its place in a leaf, as a hash whose last bit tells a word from the field mark."""
+    return F.xxhash64("leaf", "pos", "token").bitwiseAND(-2).bitwiseOR((F.col("token") != "<*>").cast("long")).alias("h")
+
+
 def _judged(lines: DataFrame, counts: DataFrame) -> tuple[DataFrame, list[str]]:
     """The lines that share a leaf with others, with what the leaf's votes say of them; and the written tables.
 
     leaf, line, n_tokens, n_docs, first; lead: leading tokens that are no fields; sig, same, words, parts: the signature, its fixed
-    tokens, how many of these are no field marks, and their hashes; agree: places where the line has the leaf's most common token."""
+    tokens, how many of these are no field marks, and their cells; agree: places where the line has the leaf's most common token."""
     leaves = counts.where(F.col("n_tokens") >= MIN_TOKENS).groupBy("leaf", "n_tokens").agg(F.count("*").alias("k"), F.sum("n_docs").alias("w")).where((F.col("k") > 1) & (F.col("w") >= _rare())).select("leaf")
     leaves, leaves_at = written(leaves, "lines-leaves")
-    bare = lines.select("leaf", "line", "bare").join(broadcast_if(leaves, leaves.count(), BROADCAST_ROWS), "leaf", "left_semi").groupBy("leaf", "line").agg(F.min("bare").alias("bare"))
-    some = bare.join(counts.select("leaf", "line", "n_tokens", "n_docs", "first"), ["leaf", "line"]).withColumn("tokens", F.split("bare", " ", -1))
+    bare = lines.select("leaf", "line", "bare").join(broadcast_if(leaves, leaves.count(), BROADCAST_ROWS), "leaf", "left_semi").groupBy("line", "leaf").agg(F.min("bare").alias("bare"))
+    some = bare.join(counts.select("leaf", "line", "n_tokens", "n_docs", "first"), ["line", "leaf"]).withColumn("tokens", F.split("bare", " ", -1))
     lead = F.size(F.filter(F.slice("tokens", 1, DEPTH), lambda t: t != "<*>"))
     some, some_at = written(some.select("leaf", "line", lead.alias("lead"), "n_tokens", "n_docs", "first", "tokens"), "lines-several")
     cells = some.select("leaf", "line", "n_tokens", "n_docs", F.posexplode_outer("tokens").alias("pos", "token")).where(F.col("pos") >= DEPTH)
     votes, votes_at = written(cells.groupBy("leaf", "n_tokens", "pos", "token").agg(F.sum("n_docs").alias("w")), "lines-votes")
-    top, top_at = written(votes.where(F.col("n_tokens") >= GENERAL).groupBy("leaf", "pos").agg(F.max(F.struct("w", "token")).alias("m")).select("leaf", "pos", F.col("m.token").alias("top")), "lines-top")
-    marks = votes.join(broadcast_if(top, top.count(), BROADCAST_ROWS), ["leaf", "pos"], "left")
-    modal = F.coalesce(F.col("token") == F.col("top"), F.lit(False))
-    marks = marks.select("leaf", F.xxhash64("pos", "token").alias("h"), (F.col("token") != "<*>").alias("word"), (F.col("w") >= _rare()).alias("fixed"), modal.alias("modal")).where("fixed or modal")
-    told = cells.select("leaf", "line", F.xxhash64("pos", "token").alias("h")).join(marks, ["leaf", "h"]).groupBy("leaf", "line").agg(
-        F.expr("bit_xor(if(fixed, h, null))").alias("sig"), F.count_if("fixed").alias("same"), F.count_if(F.col("fixed") & F.col("word")).alias("words"),
-        F.collect_list(F.when(F.col("fixed"), F.struct("h", "word"))).alias("parts"), F.count_if("modal").alias("agree"),
+    # Keys that differ from row to row come first: sorting compares the others only where these are equal.
+    place = votes.where(F.col("n_tokens") >= GENERAL).groupBy(F.xxhash64("leaf", "pos").alias("at"), "leaf", "pos")
+    top = place.agg(F.max(F.struct("w", "token")).alias("m")).select("leaf", "pos", "m.token")
+    fixed = votes.where(F.col("w") >= _rare()).select(_cell(), "leaf", F.lit(1).alias("fixed"), F.lit(0).alias("modal"))
+    marks = fixed.unionByName(top.select(_cell(), "leaf", F.lit(0).alias("fixed"), F.lit(1).alias("modal"))).groupBy("h", "leaf").agg(F.max("fixed").alias("fixed"), F.max("modal").alias("modal"))
+    # A line's tokens come from all over, so adding them up before the shuffle would save nothing.
+    met = cells.select(_cell(), "leaf", "line").join(marks.hint("shuffle_hash"), ["h", "leaf"]).repartition("line", "leaf")
+    told = met.groupBy("line", "leaf").agg(
+        F.expr("bit_xor(if(fixed = 1, h, null))").alias("sig"), F.sum("fixed").alias("same"), F.sum(F.col("fixed") * F.col("h").bitwiseAND(1)).alias("words"),
+        F.collect_list(F.when(F.col("fixed") == 1, F.col("h"))).alias("parts"), F.sum("modal").alias("agree"),
     )
-    out, out_at = written(some.drop("tokens").join(told, ["leaf", "line"], "left"), "lines-judged")
-    forget(lines.sparkSession, leaves_at, some_at, votes_at, top_at)
+    zero = [F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("sig", "same", "words", "agree")]
+    kept = some.drop("tokens").join(told, ["line", "leaf"], "left").select("leaf", "line", "lead", "n_tokens", "n_docs", "first", *zero, "parts")
+    out, out_at = written(kept, "lines-judged")
+    forget(lines.sparkSession, leaves_at, some_at, votes_at)
     return out, [out_at]
 
 
@@ -104,29 +115,35 @@ def _modal(judged: DataFrame, held_by: DataFrame) -> tuple[DataFrame, list[str]]
 
 
 def _signatures(judged: DataFrame, held_by: DataFrame) -> tuple[DataFrame, list[str]]:
-    """(leaf, line, first) of the lines that belong to a recurring template with word fields; and the written tables."""
-    of = ["leaf", "line", "lead", "n_tokens", "n_docs", "first"]
-    own = judged.where("same > 0").select(*of, "sig", "same", "words")
-    # A field's value may be common too: the signature with each one of its fixed tokens as a field as well.
-    less = judged.where("same > 0").select(*of, "sig", "same", "words", F.explode("parts").alias("p"))
-    less = less.select(*of, F.col("sig").bitwiseXOR(F.col("p.h")).alias("sig"), (F.col("same") - 1).alias("same"), (F.col("words") - F.col("p.word").cast("int")).alias("words"))
-    # Lines of few tokens may have fields only behind the leading ones.
-    none = F.lit(0).cast("long")
-    bare = judged.where((F.col("n_tokens") < GENERAL) & (F.coalesce("same", F.lit(0)) == 0)).select(*of, none.alias("sig"), none.alias("same"), none.alias("words"))
+    """(leaf, line, first) of the lines that belong to a recurring template with word fields; and the written tables.
+
+    Lines of one signature have the same templates, so these are made once for all of them. A template that leaves one more token open
+    is looked at only where several signatures meet in it: with one alone it holds the lines that the signature holds, and needs no
+    fewer documents."""
     held = F.col("words") + F.col("lead")
     alike = F.when(F.col("n_tokens") >= GENERAL, F.col("same") >= SIMILAR * (F.col("n_tokens") - DEPTH)).otherwise(held >= SIMILAR * F.col("n_tokens"))
-    need = F.when(F.col("n_tokens") >= GENERAL, _rare()).otherwise(F.greatest(F.lit(MIN_DOCS), MIN_DOCS + FEW_WORDS - held.cast("int")))
-    every = own.unionByName(less).unionByName(bare)
-    members, members_at = written(every.where(alike).select("leaf", "line", "n_docs", "first", "sig", need.cast("int").alias("need")), "lines-signed")
-    kinds = members.groupBy("leaf", "sig").agg(F.count("*").alias("k"), F.sum("n_docs").alias("w"), F.max("n_docs").alias("most"), F.min("first").alias("first"), F.max("need").alias("need"))
-    kinds, kinds_at = written(kinds.where("k > 1 and w >= need").drop("k", "w"), "lines-kinds")
+    need = F.when(F.col("n_tokens") >= GENERAL, _rare()).otherwise(F.greatest(F.lit(MIN_DOCS), MIN_DOCS + FEW_WORDS - held.cast("int"))).cast("int").alias("need")
+    # Lines of few tokens may have fields only behind the leading ones: nothing fixed, and 0 for a signature.
+    signed = judged.where((F.col("same") > 0) | (F.col("n_tokens") < GENERAL)).where(alike)
+    size = [F.count("*").alias("k"), F.sum("n_docs").alias("w"), F.max("n_docs").alias("most"), F.min("first").alias("first")]
+    own, own_at = written(signed.groupBy("sig", "leaf", "lead", "n_tokens", "same", "words").agg(*size, F.first("parts").alias("parts")), "lines-signed")
+    # A field's value may be common too: the signature with each one of its fixed tokens as a field as well.
+    less = own.select("*", F.explode("parts").alias("p")).withColumns({"kind": F.col("sig").bitwiseXOR(F.col("p")), "same": F.col("same") - 1, "words": F.col("words") - F.col("p").bitwiseAND(1)})
+    of = ["kind", "leaf", "sig", "k", "w", "most", "first"]
+    every = own.withColumn("kind", F.col("sig")).select(*of, need).unionByName(less.where(alike).select(*of, need))
+    kinds = every.groupBy("kind", "leaf").agg(
+        F.count("*").alias("sigs"), F.count_if(F.col("kind") == F.col("sig")).alias("own"), F.sum("k").alias("k"), F.sum("w").alias("w"),
+        F.max("most").alias("most"), F.min("first").alias("first"), F.max("need").alias("need"),
+    ).where("k > 1 and w >= need and (sigs > 1 or own > 0)")
+    kinds, kinds_at = written(kinds.select("kind", "leaf", "most", "first", "need"), "lines-kinds")
+    held_in, held_at = written(every.select("kind", "leaf", "sig").join(broadcast_if(kinds, kinds.count(), BROADCAST_ROWS), ["kind", "leaf"]), "lines-of-kinds")
     # Where no line of a template has enough documents alone, few have each of its lines, and they are counted together.
-    sure, open_ = kinds.where("most >= need"), kinds.where("most < need")
-    few = members.drop("need").join(open_.select("leaf", "sig"), ["leaf", "sig"], "left_semi")
-    counted = _documents(few, held_by, ["leaf", "sig"]).groupBy("leaf", "sig").agg(F.count("*").alias("n_in"))
-    enough = open_.join(counted, ["leaf", "sig"]).where("n_in >= need")
-    found = sure.select("leaf", "sig", "first").unionByName(enough.select("leaf", "sig", "first"))
-    return members.select("leaf", "sig", "line").join(found, ["leaf", "sig"]).select("leaf", "line", "first"), [members_at, kinds_at]
+    sure, open_ = held_in.where("most >= need"), held_in.where("most < need")
+    few = signed.select("leaf", "line", "n_docs", "first", "sig").join(open_.select("kind", "leaf", "sig"), ["sig", "leaf"]).drop("sig")
+    counted = _documents(few, held_by, ["leaf", "kind"]).groupBy("kind", "leaf").agg(F.count("*").alias("n_in"))
+    enough = open_.join(counted, ["kind", "leaf"]).where("n_in >= need")
+    found = sure.select("sig", "leaf", "first").unionByName(enough.select("sig", "leaf", "first")).groupBy("sig", "leaf").agg(F.min("first").alias("first"))
+    return signed.select("sig", "leaf", "line").join(found, ["sig", "leaf"]).select("leaf", "line", "first"), [own_at, kinds_at, held_at]
 
 
 def _counts(lines: DataFrame) -> tuple[DataFrame, DataFrame, list[str]]:
@@ -195,8 +212,9 @@ def dedup_lines(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_dropped
     dropped, _ = written(dropped.withColumnsRenamed({"did": "__did", "text_key": "__key"}), "lines-dropped")
     forget(docs.sparkSession, passages_at, *used)  # what is left to do reads the texts and the dropped lines only
     docs = docs.drop(*names)
+    # The dropped lines are few beside the texts: these are not sorted for the join.
     own = (F.coalesce(docs["doc_id"], F.lit(NO_ID)) == dropped["__did"]) & (F.xxhash64(docs["text"]) == dropped["__key"])
-    joined = docs.join(dropped, own, "left").withColumn("__parts", F.when(F.col("__drop").isNotNull(), F.split(docs["text"], "\n", -1)))
+    joined = docs.join(dropped.hint("shuffle_hash"), own, "left").withColumn("__parts", F.when(F.col("__drop").isNotNull(), F.split(docs["text"], "\n", -1)))
     # A mask of all lines first, so that each line is looked up in it and not in the dropped ones' list.
     mask = F.when(F.col("__drop").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size("__parts") - 1), "__drop"))
     kept = F.transform(F.col("__kept"), lambda i: F.get(F.col("__parts"), i))

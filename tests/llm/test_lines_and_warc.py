@@ -144,3 +144,42 @@ def test_blanks_are_looked_for_without_a_choice(spark, capsys):
     assert [got[i] for i in range(len(texts))] == ["a b"] * 6 + ["a\nb", "<*> <*>\n\nz", "", None, "é ü ß"]
     made.explain()
     assert "\\x0B]|" not in capsys.readouterr().out  # tried at every place of every text before
+
+
+def test_lines_of_one_signature_make_their_templates_once(spark):
+    """Before, every fixed token of a signature made a template of its own, though it held the same lines."""
+    words = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(44)]
+    rows = [(i, f"{'abc'[i]} own\n" + " ".join([*words[:-1], f"end{'xyz'[i]}"])) for i in range(3)]
+    lines, _ = line_dedup.written(line_dedup._lines(frame(spark, rows)), "lines")
+    counts, held_by, _ = line_dedup._counts(lines)
+    judged, _ = line_dedup._judged(lines, counts)
+    found, used = line_dedup._signatures(judged, held_by)
+    assert sorted(r.first for r in found.collect()) == [0, 0, 0]
+    assert spark.read.parquet(next(p for p in used if "lines-kinds" in p)).count() == 1
+    assert [n for _, (_, n) in sorted(lines_of(spark, rows).items())] == [0, 1, 1]
+
+
+def test_mixed_leaves_equal_their_sql(spark):
+    """Few words at each place, so that signatures meet in templates that leave one more token open."""
+    import random
+
+    import duckdb
+    import pandas as pd
+
+    from fieldtopo.llm.oracles import OP10
+
+    r = random.Random(5)
+    rows = []
+    for i in range(150):
+        lines = []
+        for n in r.choices([4, 5, 6, 7, 8, 9, 12, 41], k=4):
+            w = ["the", r.choice(["page", "7"]), "of"] + [f"{'abcdefghijkl'[k % 12]}{r.choice('aaaaaabc' if n < 20 else 'aaaaaaaaaaaaaaab')}" if r.random() > 0.1 else r.choice(["12", f"u{chr(97 + i % 26)}{chr(97 + i // 26)}"]) for k in range(n - 3)]
+            lines.append("  ".join(w) if r.random() < 0.1 else " ".join(w))
+        rows.append((None if i % 50 == 49 else i // 2 * 2, "\n".join(lines)))
+    documents = pd.DataFrame(rows, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    want = sorted(map(str, con.execute(OP10).fetchall()))
+    got = line_dedup.dedup_lines(frame(spark, rows)).select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256))
+    assert sorted(str(tuple(x)) for x in got.collect()) == want
+    assert sum(x.n_dropped for x in got.collect()) > 100
