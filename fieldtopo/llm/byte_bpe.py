@@ -15,10 +15,11 @@ Edge cases: null text counts as empty (no ids, empty bytes). Repeated rows are e
 from __future__ import annotations
 
 import base64
+from array import array
 from bisect import bisect_right
 from collections.abc import Iterator
 from functools import cache
-from itertools import chain, groupby
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,8 @@ from pyspark.sql import types as T
 
 CHUNK, OVERLAP, MARGIN = 4_096, 256, 4
 DEAL = 64  # chunks of one text that a task takes on
-_PIECES = 200_000
+ROWS = 256  # that a worker holds results of; a batch can be a whole split of the input
+_PIECES = 50_000
 
 
 @cache
@@ -83,15 +85,18 @@ def stitch(pattern, chunks: list[tuple[int, str, list[int]]]) -> list[int]:
 
 
 class _Known(dict):
-    """Ids of pre-tokens; those not seen yet are encoded."""
+    """Packed ids of pre-tokens; those not seen yet are encoded. Of those seen, the last _PIECES to twice as many are kept."""
 
     def __init__(self, owner: _Encoder):
         super().__init__()
-        self.owner = owner
-
-    def __missing__(self, piece: str) -> list[int]:
-        ids = self.owner.encoder.encode_ordinary(piece)
-        if len(self) > _PIECES:
+        self.owner, self.before, self.code = owner, {}, np.dtype(owner.kind).char
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.before.get(piece)
+        if ids is None:
+            ids = array(self.code, self.owner.encoder.encode_ordinary(piece)).tobytes()
+        if len(self) >= _PIECES:
+            self.before = dict(self)
             self.clear()
         self[piece] = ids
         return ids
@@ -101,6 +106,7 @@ class _Encoder:
     def __init__(self, path: str, pattern: str):
         self.encoder, self.pattern = load(path, pattern)
         self.widths = id_widths(path, pattern)
+        self.kind = np.uint16 if self.encoder.n_vocab <= 1 << 16 else np.int32
         self.known = _Known(self)
 
     def split(self, text: str) -> list[str]:
@@ -112,16 +118,12 @@ class _Encoder:
         return out
 
     def whole(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, self.split(text))))
-
-    @property
-    def kind(self) -> type:
-        return np.uint16 if self.encoder.n_vocab <= 1 << 16 else np.int32
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.split(text))), self.kind).tolist()
 
     def packed(self, text: str) -> tuple[bytes, bytes]:
         """Ids of a chunk, and how many each of its pre-tokens has."""
         found = list(map(self.known.__getitem__, self.split(text)))
-        return np.fromiter(chain.from_iterable(found), self.kind).tobytes(), np.fromiter(map(len, found), np.int32).tobytes()
+        return b"".join(found), (np.fromiter(map(len, found), np.int32) // np.dtype(self.kind).itemsize).tobytes()
 
     def joined(self, starts: list[int], ids: list[bytes], counts: list[bytes]) -> tuple[str, np.ndarray]:
         """The text and the ids of overlapping chunks, each given by its start, its ids and the numbers of ids of its pre-tokens."""
@@ -146,7 +148,7 @@ class _Encoder:
         by = np.argsort(known, kind="stable")
         at = by[np.minimum(np.searchsorted(known[by], key(begins, ends)), len(by) - 1)]
         found = known[at] == key(begins, ends)
-        made = [np.array(self.known[text[a:b]], np.int32) for a, b in zip(begins[~found].tolist(), ends[~found].tolist(), strict=True)]
+        made = [np.frombuffer(self.known[text[a:b]], self.kind) for a, b in zip(begins[~found].tolist(), ends[~found].tolist(), strict=True)]
         flat = np.concatenate([*ids_of, *made]).astype(np.int32)
         more = np.concatenate(([0], np.cumsum([len(m) for m in made]))).astype(np.int64) + first[-1]
         lo, hi = first[at], first[at + 1]
@@ -155,6 +157,11 @@ class _Encoder:
         return text, flat[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(n.sum())]
 
 
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of ROWS rows."""
+    return (batch.slice(lo, ROWS) for batch in batches for lo in range(0, batch.num_rows, ROWS))
+
+
 def _lists(rows: list[list[int]]) -> pa.Array:
     offsets = np.concatenate(([0], np.cumsum([len(r) for r in rows]))).astype(np.int32)
     flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
@@ -173,12 +180,10 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _Encoder(path, pattern)
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                ids = [e.whole(t.as_py() or "") for t in part.column(at)]
-                more = [pa.array([e.encoder.decode_bytes(x) for x in ids], pa.binary())] if decode else []
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), *more], [f.name for f in schema])
+        for part in _parts(batches):
+            ids = [e.whole(t.as_py() or "") for t in part.column(at)]
+            more = [pa.array([e.encoder.decode_bytes(x) for x in ids], pa.binary())] if decode else []
+            yield pa.RecordBatch.from_arrays([*part.columns, _lists(ids), *more], [f.name for f in schema])
 
     text = F.col(text_col)
     short = df.where(text.isNull() | (F.length(text) <= chunk)).mapInArrow(whole, schema)
@@ -200,15 +205,15 @@ def encode(df: DataFrame, path: str, pattern: str, text_col: str = "text", chunk
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = _Encoder(path, pattern)
-        for batch in batches:
-            made = [e.packed(t.as_py()) for t in batch.column(n_others + 2)]
-            columns = [*batch.columns[: n_others + 2], pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())]
+        for part in _parts(batches):
+            made = [e.packed(t.as_py()) for t in part.column(n_others + 2)]
+            columns = [*part.columns[: n_others + 2], pa.array([m[0] for m in made], pa.binary()), pa.array([m[1] for m in made], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, [*others, "__row", "__at", "__ids", "__counts"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come sorted, so a text's chunks follow each other, here or in the next batch."""
+        """Rows come sorted, so a text's chunks follow each other, here or in the next part."""
         e = _Encoder(path, pattern)
-        rows = ((b, i, r) for b in batches for i, r in enumerate(zip(*(b.column(n_others + j).to_pylist() for j in range(4)), strict=True)))
+        rows = ((b, i, r) for b in _parts(batches) for i, r in enumerate(zip(*(b.column(n_others + j).to_pylist() for j in range(4)), strict=True)))
         for _, of in groupby(rows, key=lambda x: x[2][0]):
             parts = list(of)
             batch, i, _ = parts[0]

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 PROFILE, MAX_TRAIN, UNKNOWN = 300, 20_000, "und"
+HELD = 1 << 19  # n-grams of texts that a worker holds before it adds them up
+ROWS = 256  # that a worker returns at a time; a batch can be a whole split of the input
 _MASK = (1 << 21) - 1
 _letters: list[np.ndarray] = []
 
@@ -54,14 +56,26 @@ def ranking(text: str | None, size: int = PROFILE) -> np.ndarray:
     return grams[np.argsort(-counts, kind="stable")[:size]]
 
 
+def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of all parts, and their counts."""
+    grams, where = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
+    return grams, np.bincount(where, np.concatenate([c for _, c in parts]), len(grams)).astype(np.int64)
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         by: dict[str, list] = {}
+        held: dict[str, int] = {}
         for text, lang in zip(batch.column(0), batch.column(1), strict=True):
-            by.setdefault(lang.as_py(), []).append(ngrams(text.as_py()))
+            lang = lang.as_py()
+            parts = by.setdefault(lang, [])
+            parts.append(ngrams(text.as_py()))
+            held[lang] = held.get(lang, 0) + len(parts[-1][0])
+            if sum(held.values()) > HELD:  # the language that holds most is added up
+                lang = max(held, key=held.__getitem__)
+                by[lang], held[lang] = [_summed(by[lang])], 0
         for lang, parts in by.items():
-            grams, where = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
-            n = np.bincount(where, np.concatenate([c for _, c in parts]), len(grams)).astype(np.int64)
+            grams, n = _summed(parts)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(grams), pa.string()), pa.array(grams, pa.int64()), pa.array(n)], ["lang", "gram", "n"])
 
 
@@ -124,9 +138,9 @@ def identify(df: DataFrame, profiles: dict[str, np.ndarray], text_col: str = "te
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = _Model(profiles)
-        for batch in batches:
-            out = [model.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [f.name for f in schema])
+        for part in (batch.slice(lo, ROWS) for batch in batches for lo in range(0, batch.num_rows, ROWS)):
+            out = [model.predict(t.as_py()) for t in part.column(at)]
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], [f.name for f in schema])
 
     return df.mapInArrow(work, schema)
 

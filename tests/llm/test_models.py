@@ -141,6 +141,30 @@ def test_labels_are_drawn_before_texts_are_read(spark):
     assert toxicity.draw(labels, 10_000).count() == 4000 and toxicity.draw(labels.where("toxic = 0"), 10_000).count() == 3600
 
 
+def test_counting_holds_few_ngrams_at_once(monkeypatch):
+    """A batch's n-grams are added up as they come: the same counts, and arrays no longer than what may be held and one text's n-grams."""
+    rng, longest, plain = np.random.default_rng(8), [], np.concatenate
+    texts = ["".join(rng.choice(list("abcde "), 200)) for _ in range(400)] + [None, "", "123"]
+    batch = language.pa.RecordBatch.from_pydict({"text": texts, "lang": ["en" if i % 3 else "de" for i in range(len(texts))]})
+    want: dict = {}
+    for text, lang in zip(texts, batch.column(1).to_pylist(), strict=True):
+        for g, n in zip(*language.ngrams(text), strict=True):
+            want[lang, int(g)] = want.get((lang, int(g)), 0) + int(n)
+    monkeypatch.setattr(language, "HELD", 2_000, raising=False)
+    monkeypatch.setattr(np, "concatenate", lambda x, *a, **k: longest.append(len(out := plain(x, *a, **k))) or out)
+    got = [r for b in language._count(iter([batch])) for r in b.to_pylist()]
+    assert len(got) == len(want) and {(r["lang"], r["gram"]): r["n"] for r in got} == want
+    assert max(longest) < 3_000
+
+
+def test_languages_are_returned_a_few_rows_at_a_time(spark, monkeypatch):
+    monkeypatch.setattr(language, "ROWS", 7, raising=False)
+    profiles = {"en": language.ranking("the quick brown fox and the dog"), "de": language.ranking("der schnelle braune fuchs und der hund")}
+    rows = [(i, "the fox" if i % 2 else "der hund und") for i in range(30)]
+    got = language.identify(spark.createDataFrame(rows, "doc_id long, text string"), profiles).collect()
+    assert sorted((r.doc_id, r.text) for r in got) == rows and all(r.lang_pred == ("en" if r.doc_id % 2 else "de") for r in got)
+
+
 def test_out_of_place_distance_equals_a_plain_version(spark, sf_dir):
     texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").limit(40).collect()]
 

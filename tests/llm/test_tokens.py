@@ -72,6 +72,21 @@ def test_chunks_meet_as_ids_and_not_as_texts(spark):
     assert exchanges and not any("__ends" in line or "FlatMapGroupsInPandas" in line for line in plan)
 
 
+def test_workers_hold_results_of_few_rows(spark, monkeypatch):
+    """Of a batch as long as a split, results are made and returned in parts, and pre-tokens are kept packed, twice _PIECES at most."""
+    sizes, of = [], byte_bpe.pa.RecordBatch
+    source = of.from_pydict({"doc_id": list(range(700))})
+    assert [p.num_rows for p in byte_bpe._parts(iter([source, source.slice(0, 3)]))] == [256, 256, 188, 3]
+    monkeypatch.setattr(byte_bpe, "_PIECES", 50)
+    e = byte_bpe._Encoder(BPE, P.PATTERN)
+    for i in range(40):
+        text = " ".join(f"word{chr(97 + (i * k) % 26)}{chr(97 + k % 26)}x" for k in range(30)) + " héllo 🙂"
+        assert e.whole(text) == e.encoder.encode_ordinary(text)
+        sizes.append((len(e.known), len(e.known.before)))
+    assert all(a <= 50 and b <= 50 for a, b in sizes) and any(b for _, b in sizes)
+    assert all(isinstance(x, bytes) for x in e.known.values())
+
+
 def test_texts_of_very_many_chunks_are_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(byte_bpe, "DEAL", 3)
     encoder, _ = byte_bpe.load(BPE, P.PATTERN)
