@@ -1,8 +1,10 @@
 """Exact top-k by inner product: vectors are grouped by length, each group is pruned by what is left to beat, products are verified.
 
 Candidates fall into buckets of similar length (a power of BAND each), large buckets into chunks by a hash of the id; queries
-into blocks. Every query first meets the chunks of the longest vectors (about SEED rows), which gives it a k-th best score to beat. A chunk is sent to
-a block of queries only if the block's largest |q| times the chunk's longest vector can reach the least of these scores. Within
+into blocks. Every query first meets the chunks of the longest vectors (about SEED rows), which gives it a k-th best score to beat. A block of
+queries is sent to a chunk only if the block's largest |q| times the chunk's longest vector can reach the least of these scores. They meet by a
+shuffle in which each chunk goes ahead of its blocks: a join would guess the blocks' size from their columns, and gather all copies in the driver. There
+are about PARTS chunks, of CHUNK vectors at least and WIDE components at most, so that copies grow with the table and not with its square. Within
 a chunk a query needs a local cosine of at least score / (|q| |p|): above 1 the chunk is passed over, at high values only
 candidates whose coordinate lies in the feasible range of the query's strongest coordinates are tried (coordinate pruning),
 otherwise the prefix of vectors that are long enough (length pruning). What is left gets its exact integer product.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 BAND, CHUNK, QUERY_BLOCK, SEED = 1.05, 4096, 512, 2048
+PARTS, WIDE = 64, 1 << 21
+SEED_COPIES = 16  # of the first chunks, each for a share of the blocks
 SCALE, K, COORDINATE_FROM, FOCUS = 256, 5, 0.8, 3
 TOGETHER = 128  # queries multiplied at once
 HITS = "q_row long, query_id long, vec_id long, score long"
@@ -152,8 +156,11 @@ def _pack(df: DataFrame, key: list[Column], names: list[str]) -> DataFrame:
     return rows.groupBy(*names).applyInArrow(work, ", ".join(f"{a} {kinds[a]}" for a in names) + ", " + _PACKED)
 
 
-def _search(pairs: DataFrame, k: int) -> DataFrame:
-    """Best k of every (query, chunk) pair of packed rows: columns bucket, part, c (chunk) and q (query block)."""
+_KEY = ["bucket", "part", "copy"]
+
+
+def _search(chunks: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
+    """Best k of every query in each chunk that its block is sent to: packed rows x by bucket, part and copy of a chunk."""
 
     def hits(chunk: _Chunk, q: _Rows) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         local, enough = chunk.reaches(q)
@@ -170,15 +177,18 @@ def _search(pairs: DataFrame, k: int) -> DataFrame:
         last, chunk = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                key = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
-                if key != last:
-                    last, chunk = key, _Chunk(batch.column(2)[i].as_py())
-                q = _Rows(batch.column(3)[i].as_py())
+                *key, kind, row = (batch.column(j)[i].as_py() for j in range(5))
+                if kind == 0:
+                    last, chunk = key, _Chunk(row)
+                if kind == 0 or key != last:  # no vector has come to a chunk that is missing
+                    continue
+                q = _Rows(row)
                 found = list(hits(chunk, q))
                 at, ids, score = (np.concatenate([f[j] for f in found] + [np.zeros(0, np.int64)]) for j in range(3))
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (q.q_row[at], q.ids[at], ids, score)], ["q_row", "query_id", "vec_id", "score"])
 
-    return pairs.select("bucket", "part", "c", "q").mapInArrow(work, HITS)
+    both = chunks.select(*_KEY, F.lit(0).alias("kind"), "x").unionByName(blocks.select(*_KEY, F.lit(1).alias("kind"), "x"))
+    return both.repartition(*_KEY).sortWithinPartitions(*_KEY, "kind").mapInArrow(work, HITS)
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
@@ -186,11 +196,14 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     rows = quantised(vectors)
     bucket = F.floor(F.log(F.greatest("norm", F.lit(1e-9))) / F.log(F.lit(BAND))).cast("int")
     rows = rows.withColumn("bucket", bucket)
-    sizes = sorted(((r["bucket"], r["n"]) for r in rows.groupBy("bucket").agg(F.count("*").alias("n")).collect()), reverse=True)  # one row per band of length
+    bands = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.max(F.size("v")).alias("d")).collect()  # one row per band of length
+    sizes = sorted(((r["bucket"], r["n"]) for r in bands), reverse=True)
     queries, _ = written(rows.where(is_query).withColumn("q_row", F.monotonically_increasing_id()), "topk-queries")  # written: the row numbers have to stay
     if not sizes:
         return queries.select(F.col("vec_id").alias("query_id"), F.lit(1).alias("rank"), "vec_id", F.lit(0).cast("long").alias("score"))
-    parts = {b: max(1, -(-n // CHUNK)) for b, n in sizes}
+    total, widest = sum(n for _, n in sizes), max(r["d"] for r in bands)
+    per_chunk = max(CHUNK, min(total // PARTS, WIDE // max(1, widest)))
+    parts = {b: max(1, -(-n // per_chunk)) for b, n in sizes}
     n_queries = queries.count()
     blocks = max(1, -(-n_queries // QUERY_BLOCK))
     count_of = F.create_map(*[F.lit(x) for b, p in parts.items() for x in (b, p)])
@@ -208,27 +221,28 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K) -> DataFrame:
     spark = vectors.sparkSession
     seed_keys = F.broadcast(spark.createDataFrame(seed, "bucket int, part long"))
     whole = F.struct("width", "ids", "norms", "vectors", "q_rows", "leasts")
-    packed = lambda q: _pack(q.withColumn("block", block), [F.col("block")], ["block"]).select(whole.alias("q"), "longest", "need")
-    chunks = chunks.select("bucket", "part", whole.alias("c"))
+    packed = lambda q: _pack(q.withColumn("block", block), [F.col("block")], ["block"]).select("block", whole.alias("x"), "longest", "need")
+    chunks = chunks.select("bucket", "part", whole.alias("x"))
     first = packed(queries.withColumn("least", F.lit(None).cast("long")))
-    deal = lambda q, keys: q.withColumn("to", F.explode(keys)).select("q", F.col("to.bucket").alias("bucket"), F.col("to.part").alias("part"))
-    literal = lambda pairs: F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(p).cast("long").alias("part")) for b, p in pairs])
-    pairs = chunks.join(seed_keys, ["bucket", "part"]).join(deal(first, literal(seed)), ["bucket", "part"])
+    places = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(p).cast("long").alias("part")) for b, p in seed])
+    copies = F.lit(min(blocks, SEED_COPIES))
+    dealt = first.select("x", F.pmod("block", copies).cast("int").alias("copy"), F.explode(places).alias("to")).select("x", "copy", "to.bucket", "to.part")
+    ahead = chunks.join(seed_keys, ["bucket", "part"]).withColumn("copy", F.explode(F.sequence(F.lit(0), copies - 1)))
     per_query = Window.partitionBy("q_row").orderBy(F.desc("score"), "vec_id")
     best = lambda hits: hits.withColumn("rank", F.row_number().over(per_query)).where(F.col("rank") <= k)
-    seeded, _ = written(best(_search(pairs, k)), "topk-seed")
+    seeded, _ = written(best(_search(ahead, dealt, k)), "topk-seed")
     bound = seeded.groupBy("q_row").agg(F.min("score").alias("least"), F.count("*").alias("n")).where(F.col("n") == k).select("q_row", "least")
 
     # The rest: a block goes to the chunks that it can still gain from.
-    later = packed(queries.join(bound, "q_row", "left"))
+    later = packed(queries.join(bound.hint("merge"), "q_row", "left"))
     if sum(parts.values()) == len(seed):
         found = seeded
     else:
         todo = F.flatten(F.transform(F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(p).cast("long").alias("n")) for b, p in parts.items()]), lambda s: F.transform(F.sequence(F.lit(0).cast("long"), s["n"] - 1), lambda i: F.struct(s["bucket"].alias("bucket"), i.alias("part")))))
         reach = F.lit(BAND) ** (F.col("to.bucket") + 1) * F.col("longest") * (1 + 1e-9)
-        sent = later.withColumn("to", F.explode(todo)).where((F.col("need") <= 0) | (reach >= F.col("need"))).select(F.col("to.bucket").alias("bucket"), F.col("to.part").alias("part"), "q")
-        sent = sent.join(seed_keys, ["bucket", "part"], "left_anti")
-        found = best(seeded.drop("rank").unionByName(_search(chunks.join(sent, ["bucket", "part"]), k)))
+        sent = later.withColumn("to", F.explode(todo)).where((F.col("need") <= 0) | (reach >= F.col("need"))).select(F.col("to.bucket").alias("bucket"), F.col("to.part").alias("part"), "x")
+        sent, rest = (d.join(seed_keys, ["bucket", "part"], "left_anti").withColumn("copy", F.lit(0)) for d in (sent, chunks))
+        found = best(seeded.drop("rank").unionByName(_search(rest, sent, k)))
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +60,28 @@ def test_queries_of_one_chunk_have_their_own_bounds(spark, monkeypatch):
     rows += [(i, v) for i, v in rows if i % 100 == 0]  # repeated ids
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect())) == plain(rows)
+
+
+def test_blocks_are_never_gathered_in_the_driver(spark, monkeypatch):
+    """Spark guesses packed rows at a few bytes a column, so a join by its guess broadcasts a copy of each block for each chunk."""
+    monkeypatch.setattr(topk, "CHUNK", 40)
+    monkeypatch.setattr(topk, "SEED", 60)
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(400)], "vec_id long, embedding array<float>")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        plan = topk.top_k(df, F.col("vec_id") % 50 == 0)._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sent = re.findall(r"\) BroadcastExchange\nInput \[\d+\]: \[(.*)\]", plan)
+    assert sent and all(re.fullmatch(r"bucket#\d+, part#\d+L", x) for x in sent)
+
+
+def test_chunks_without_vectors(spark, monkeypatch):
+    """Blocks that are sent to a chunk into which no id fell find nothing there, nor in the chunk before it."""
+    monkeypatch.setattr(topk, "CHUNK", 1)
+    monkeypatch.setattr(topk, "PARTS", 1000)
+    monkeypatch.setattr(topk, "SEED", 6)
+    rows = [(i, [1.0 + i % 3 / 100, float(i % 2)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    assert sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).coalesce(1).collect())) == plain(rows)
