@@ -108,9 +108,14 @@ def _table(application: str) -> object:
     return spark.sparkContext.broadcast(b"".join(bytes(r.bits) for r in rows.orderBy("chunk").collect()))
 
 
+def mask_table(spark: SparkSession) -> object:
+    """The broadcast table, one bit a mask, lowest first; made at the first use in a session."""
+    return _table(spark.sparkContext.applicationId)
+
+
 def strict_by_table(spark: SparkSession, mask26: Column) -> Column:
-    """The same by one bit of the table, which is made at the first use in a session."""
-    table = _table(spark.sparkContext.applicationId)
+    """The same by one bit of the table."""
+    table = mask_table(spark)
 
     @F.pandas_udf("boolean")
     def changes(m: pd.Series) -> pd.Series:

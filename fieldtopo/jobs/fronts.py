@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from ..functions import arrays
-from ..operators import order, sides, stencil
+from ..operators import sides, whole_fronts
 from ..sources import grids
+from ..sources.grids import BLOCK
 from .blocks import LEVEL
 from .common import job
 
@@ -19,6 +20,12 @@ def _cells(spark, sf_dir):
     return cells.select("grid_id", "id", "x", "y", "z", (2 * F.col("val") - (2 * LEVEL - 1)).alias("val"), (F.col("val") > 0).alias("known"))
 
 
+def _by_grid(spark, sf_dir, work, schema):
+    """The work on (values, known, table of masks) of whole grids, below a level inside; cells without any shipment are unknown."""
+    sparse = grids.sparse_blocks(spark, sf_dir).withColumn("id", F.when(F.col("grid_id").isNotNull(), F.col("id"))).withColumn("val", F.when(F.col("id").isNotNull(), F.col("val")))
+    return whole_fronts.by_grid(spark, sparse, BLOCK, lambda val, table: work(2 * val - (2 * LEVEL - 1), val > 0, table), schema)
+
+
 @job()
 def two_sided_carving(spark, sf_dir):
     """Cells of every grid that the inner and the outer front carve, features opened, cells left, and the features that the outside seems to have beyond."""
@@ -39,18 +46,22 @@ def one_sided_carving(spark, sf_dir):
 @job()
 def life_span_listing(spark, sf_dir):
     """Cells whose life span from inside is LONG or more, with the cell that they were queued by."""
-    return sides.life_spans(_cells(spark, sf_dir), ["grid_id"]).where(F.col("life") >= LONG).select("grid_id", "id", "life", "parent")
+
+    def work(val, known, table):
+        made = whole_fronts.life_spans(val, known, BLOCK, table)
+        grid, cell = np.nonzero(made["life"] >= LONG)
+        return grid, {"id": cell, "life": made["life"][grid, cell], "parent": made["parent"][grid, cell]}
+
+    return _by_grid(spark, sf_dir, work, "id long, life long, parent long")
 
 
 @job()
 def carving_by_side(spark, sf_dir):
     """Critical cells of every grid by the outside rule: in the order of the values, and in the order of carving from outside with long-lived cells kept."""
-    cells = _cells(spark, sf_dir)
-    spans = sides.life_spans(cells, ["grid_id"], False).select("grid_id", "id", "life")
-    carved = sides.carve_by_life(cells.join(spans, ["grid_id", "id"]), ["grid_id"], LONG, False).select("grid_id", "id", F.col("rank").alias("carve"))
-    both = order.ranked_within(cells.withColumn("back", -F.col("val")), ["grid_id"], "back").join(carved, ["grid_id", "id"])
-    around = stencil.block(stencil.block(both, "ord", extra=("grid_id",)), "carve", extra=("grid_id",), name="around2")
-    all_bits = F.lit(sides.ALL)
-    later = lambda o, name: all_bits.bitwiseXOR(stencil.lower_mask(o, name=name, outside=True))
-    tested = around.select("grid_id", arrays.strict(later("ord", "around")).alias("b"), arrays.strict(later("carve", "around2")).alias("a"))
-    return tested.groupBy("grid_id").agg(F.count_if("b").alias("before"), F.count_if("a").alias("after"))
+
+    def work(val, known, table):
+        spans = whole_fronts.life_spans(val, known, BLOCK, table, False, parents=False)
+        carved = whole_fronts.life_spans(val, known, BLOCK, table, False, LONG, spans["life"], parents=False)
+        return np.arange(len(val)), {"before": whole_fronts.criticals(whole_fronts.ranked(-val), BLOCK, table), "after": whole_fronts.criticals(carved["rank"], BLOCK, table)}
+
+    return _by_grid(spark, sf_dir, work, "before long, after long")

@@ -22,6 +22,15 @@ from .carve import flat_test
 TOGETHER = 64  # grids in one array
 
 
+def dense_values(part: pa.RecordBatch, dims: Dims) -> np.ndarray:
+    """Values (grid, id) from rows of lists (grid_id, ids, vals)."""
+    ids, vals = part.column(1), part.column(2)
+    grid = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(ids.offsets)))
+    val = np.zeros((part.num_rows, dims.n), np.int64)
+    val[grid, np.asarray(ids.flatten())] = np.asarray(vals.flatten())
+    return val
+
+
 def summarised(sparse: DataFrame, dims: Dims, kernel: Callable[[np.ndarray], dict[str, np.ndarray]]) -> DataFrame:
     """(grid_id, the kernel's longs) from cells (grid_id, id, val) dealt out by grid_id. The kernel gets ranks and gives one number a grid."""
     lists = sparse.groupBy("grid_id").agg(F.collect_list("id").alias("ids"), F.collect_list("val").alias("vals"))
@@ -31,10 +40,7 @@ def summarised(sparse: DataFrame, dims: Dims, kernel: Callable[[np.ndarray], dic
         for batch in batches:
             for lo in range(0, batch.num_rows, TOGETHER):
                 part = batch.slice(lo, TOGETHER)
-                ids, vals = part.column(1), part.column(2)
-                grid = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(ids.offsets)))
-                val = np.zeros((part.num_rows, dims.n), np.int64)
-                val[grid, np.asarray(ids.flatten())] = np.asarray(vals.flatten())
+                val = dense_values(part, dims)
                 ranks = np.empty(val.shape, np.int32)
                 np.put_along_axis(ranks, np.argsort(val, axis=1, kind="stable"), np.arange(dims.n, dtype=np.int32)[None], 1)
                 made = kernel(ranks.reshape(-1, dims.nz, dims.ny, dims.nx))
