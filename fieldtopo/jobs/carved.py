@@ -3,14 +3,15 @@ by their fronts. Carving has no SQL; what is made of it is compared with plain v
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ..functions import arrays
-from ..operators import carve, order, sides, stencil
+from ..operators import carve, order, stencil, whole_fronts
 from ..sources import grids, volumes
-from ..sources.grids import LI
+from ..sources.grids import BLOCK, LI
 from .common import job
-from .fronts import FEATURES, _cells
+from .fronts import FEATURES, by_grid
 from .shapes import _at
 
 FEATURE = 10
@@ -75,7 +76,10 @@ def carve_series(spark, sf_dir):
 @job()
 def fixed_by_fronts(spark, sf_dir):
     """Every grid carved from both sides, the cells left turned to the other side: how many changed sign, and the cells inside before and after."""
-    cells = _cells(spark, sf_dir)
-    fixed = sides.fixed(sides.carve_sides(cells, ["grid_id"], FEATURES), ["grid_id"])
-    both = fixed.join(cells.select("grid_id", "id", "val"), ["grid_id", "id"])
-    return both.groupBy("grid_id").agg(F.count_if(F.signum("val") != F.signum("fixed")).alias("turned"), F.count_if(F.col("val") < 0).alias("inside_before"), F.count_if(F.col("fixed") < 0).alias("inside_after"))
+
+    def work(val, known, table):
+        fixed = whole_fronts.fixed(whole_fronts.two_sides(val, known, BLOCK, table, "io", FEATURES))
+        counts = {"turned": np.sign(val) != np.sign(fixed), "inside_before": val < 0, "inside_after": fixed < 0}
+        return np.arange(len(val)), {k: v.sum(axis=1) for k, v in counts.items()}
+
+    return by_grid(spark, sf_dir, work, "turned long, inside_before long, inside_after long")

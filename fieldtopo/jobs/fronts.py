@@ -14,13 +14,7 @@ from .common import job
 FEATURES, LONG = 2, 5
 
 
-def _cells(spark, sf_dir):
-    """The first slices of every grid, below a level inside; cells without any shipment are unknown."""
-    cells = grids.shipped_blocks(spark, sf_dir).where("x < 8 AND y < 8 AND z < 6")
-    return cells.select("grid_id", "id", "x", "y", "z", (2 * F.col("val") - (2 * LEVEL - 1)).alias("val"), (F.col("val") > 0).alias("known"))
-
-
-def _by_grid(spark, sf_dir, work, schema):
+def by_grid(spark, sf_dir, work, schema):
     """The work on (values, known, table of masks) of whole grids, below a level inside; cells without any shipment are unknown."""
     sparse = grids.sparse_blocks(spark, sf_dir).withColumn("id", F.when(F.col("grid_id").isNotNull(), F.col("id"))).withColumn("val", F.when(F.col("id").isNotNull(), F.col("val")))
     return whole_fronts.by_grid(spark, sparse, BLOCK, lambda val, table: work(2 * val - (2 * LEVEL - 1), val > 0, table), schema)
@@ -29,18 +23,34 @@ def _by_grid(spark, sf_dir, work, schema):
 @job()
 def two_sided_carving(spark, sf_dir):
     """Cells of every grid that the inner and the outer front carve, features opened, cells left, and the features that the outside seems to have beyond."""
-    carved = sides.carve_sides(_cells(spark, sf_dir), ["grid_id"], FEATURES + 2)
-    counts = carved.groupBy("grid_id").agg(F.count_if(F.col("side") == -1).alias("inner"), F.count_if(F.col("side") == 1).alias("outer"), F.count_if(F.col("opened") > 0).alias("opened"), F.count_if(F.col("rank") < 0).alias("left"))
-    return counts.join(sides.extra_features(carved, ["grid_id"], FEATURES), "grid_id")
+
+    def work(val, known, table):
+        made = whole_fronts.two_sides(val, known, BLOCK, table, "io", FEATURES + 2)
+        opened = [_opened(made, s) for s in (-1, 1)]
+        counts = {"inner": made["side"] == -1, "outer": made["side"] == 1, "opened": made["opened"] > 0, "left": made["rank"] < 0}
+        return np.arange(len(val)), {k: v.sum(axis=1) for k, v in counts.items()} | dict(zip(("inner_sizes", "outer_sizes"), opened, strict=True))
+
+    counts = by_grid(spark, sf_dir, work, "inner long, outer long, opened long, left long, inner_sizes array<long>, outer_sizes array<long>")
+    return counts.select("grid_id", "inner", "outer", "opened", "left", sides.extra(F.col("inner_sizes"), F.col("outer_sizes"), FEATURES).alias("extra"))
+
+
+def _opened(made, side):
+    """Magnitudes of the features that a front opened in each grid, in their order."""
+    rows = ((made["opened"] > 0) & (made["side"] == side)).nonzero()
+    size, turn = np.abs(made["new_val"][rows]), made["opened"][rows]
+    return [size[rows[0] == g][np.argsort(turn[rows[0] == g])].tolist() for g in range(len(made["side"]))]
 
 
 @job()
 def one_sided_carving(spark, sf_dir):
     """Cells that a front carves on its own, from inside and from outside, and those that got another sign."""
-    cells = _cells(spark, sf_dir)
-    both = [sides.carve_sides(cells, ["grid_id"], 0, s).withColumn("side", F.lit(v)) for s, v in (("i", -1), ("o", 1))]
-    rows = both[0].unionByName(both[1]).join(cells.select("grid_id", "id", "val"), ["grid_id", "id"])
-    return rows.groupBy("grid_id", "side").agg(F.count_if(F.col("rank") >= 0).alias("carved"), F.count_if(F.signum("val") != F.signum("new_val")).alias("turned"))
+
+    def work(val, known, table):
+        made = [whole_fronts.two_sides(val, known, BLOCK, table, s) for s in ("i", "o")]
+        counts = {"carved": [(m["rank"] >= 0).sum(axis=1) for m in made], "turned": [(np.sign(val) != np.sign(m["new_val"])).sum(axis=1) for m in made]}
+        return np.tile(np.arange(len(val)), 2), {"side": np.repeat([-1, 1], len(val))} | {k: np.concatenate(v) for k, v in counts.items()}
+
+    return by_grid(spark, sf_dir, work, "side long, carved long, turned long")
 
 
 @job()
@@ -52,7 +62,7 @@ def life_span_listing(spark, sf_dir):
         grid, cell = np.nonzero(made["life"] >= LONG)
         return grid, {"id": cell, "life": made["life"][grid, cell], "parent": made["parent"][grid, cell]}
 
-    return _by_grid(spark, sf_dir, work, "id long, life long, parent long")
+    return by_grid(spark, sf_dir, work, "id long, life long, parent long")
 
 
 @job()
@@ -64,4 +74,4 @@ def carving_by_side(spark, sf_dir):
         carved = whole_fronts.life_spans(val, known, BLOCK, table, False, LONG, spans["life"], parents=False)
         return np.arange(len(val)), {"before": whole_fronts.criticals(whole_fronts.ranked(-val), BLOCK, table), "after": whole_fronts.criticals(carved["rank"], BLOCK, table)}
 
-    return _by_grid(spark, sf_dir, work, "before long, after long")
+    return by_grid(spark, sf_dir, work, "before long, after long")

@@ -19,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from ..functions.masks import OFFSETS_26
 from .carve import strict_test
@@ -186,11 +186,18 @@ def extra_features(carved: DataFrame, keys: list[str], features: int) -> DataFra
 
     size = lambda s: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == s, F.when(F.col("opened") > 0, F.struct("opened", F.abs("new_val").alias("m")))))), lambda e: e["m"])
     lists = carved.groupBy(*keys).agg(size(-1).alias("inner"), size(1).alias("outer"))  # at most as many as were opened
-    bar = F.get("inner", F.lit(features))
-    beyond = F.slice("outer", features + 1, F.greatest(F.size("outer") - features, F.lit(0)))
+    return lists.select(*keys, extra(F.col("inner"), F.col("outer"), features).alias("extra"))
+
+
+def extra(inner: Column, outer: Column, features: int) -> Column:
+    """The same of the magnitudes of the features that each side opened, in their order."""
+    from pyspark.sql import functions as F
+
+    bar = F.get(inner, F.lit(features))
+    beyond = F.slice(outer, features + 1, F.greatest(F.size(outer) - features, F.lit(0)))
     run = F.aggregate(beyond, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, m: F.struct((a["n"] + F.when(a["on"] & (m > bar), 1).otherwise(0)).alias("n"), (a["on"] & (m > bar)).alias("on")))
-    enough = (F.size("inner") > features) & (F.size("outer") >= features)
-    return lists.select(*keys, F.when(enough, run["n"]).otherwise(0).alias("extra"))
+    enough = (F.size(inner) > features) & (F.size(outer) >= features)
+    return F.when(enough, run["n"]).otherwise(0)
 
 
 def fixed(carved: DataFrame, keys: list[str], side: int = 0) -> DataFrame:

@@ -87,6 +87,86 @@ def by_table(table: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return (table[mask >> 3] >> (mask & 7).astype(np.uint8) & 1).astype(bool)
 
 
+def two_sides(val: np.ndarray, known: np.ndarray, dims: Dims, table: np.ndarray, sides: str = "io", features: int = 0) -> dict[str, np.ndarray]:
+    """side, rank, opened and new_val of cells (grid, id), as `sides.carve_sides` has them."""
+    f, grids = _frame(dims), len(val)
+    first, cell = np.arange(grids) * f.size, np.arange(f.size)
+    size = np.abs(val)
+    largest_first = np.unique(-size, return_inverse=True)[1].reshape(val.shape)
+    key = f.spread(largest_first << (f.bits + 1), 0, np.int64) | np.tile(cell, grids)  # the inner front's keys have one bit more
+    inner = 1 << f.bits
+    # which fronts a cell may wait for (1 inner, 2 outer); none while it waits, once it is carved, and in the frame
+    may = f.spread(np.where(known, np.where(val < 0, 1, 2), 3), 0, np.int8)
+    refused = may.copy()  # what it may wait for once it is refused
+    own = f.spread(np.where(val < 0, -1, 1), 0, np.int8)
+    rank, side, opened = (np.full(grids * f.size, x, t) for x, t in ((-1, np.int32), (0, np.int8), (0, np.int8)))
+    whole = np.concatenate((np.full(grids * f.size, ALL), np.tile(f.inside, grids)))  # by front: neighbours that are not carved, or the other's
+    taken, openings = np.zeros(grids, np.int32), np.zeros(grids, np.int32)
+    queues = _Queues(grids * f.size, f.size)
+
+    def carve(at: np.ndarray, outer: np.ndarray, how) -> None:
+        """Cells of one grid each; outer: 1 for the outer front, else 0."""
+        g = at // f.size
+        rank[at], side[at], own[at], opened[at], may[at] = taken[g], 2 * outer - 1, 2 * outer - 1, how, 0
+        taken[g] += 1
+        near = at[:, None] + f.steps
+        whole[near + (outer * (grids * f.size))[:, None]] ^= BACK
+        row, col = np.nonzero(may[near] >> outer.astype(np.int8)[:, None] & 1)
+        to, outer = near[row, col], outer[row]
+        may[to], refused[to], own[to] = 0, 1 + outer, 2 * outer - 1
+        queues.push(to, key[to] + (1 - outer) * inner)
+
+    if "o" in sides:
+        to = (first[:, None] + f.at)[f.border & ((val > 0) | ~known)]
+        may[to] = 0
+        queues.push(to, key[to])
+    if "i" in sides and val.size:
+        at = first + f.at[np.argmin(val, axis=1)]
+        queues.drop(at)
+        carve(at, np.zeros(grids, np.int64), 0)
+    done = np.zeros(grids, bool)
+    while True:
+        top = queues.next()
+        some = top != NONE
+        rests = np.flatnonzero(~some & ~done)
+        if len(rests):  # both fronts rest: each side that can opens a feature
+            done[rests[openings[rests] >= features]] = True
+            rests = rests[openings[rests] < features]
+            openings[rests] += 1
+            more = np.zeros(len(rests), bool)
+            for outer in (o for o, k in ((0, "i"), (1, "o")) if k in sides):
+                left = (own.reshape(grids, -1)[rests] == 2 * outer - 1) & (rank.reshape(grids, -1)[rests] < 0)
+                best = np.where(left, key.reshape(grids, -1)[rests], NONE).argmin(axis=1)
+                has = left[np.arange(len(rests)), best]
+                at = (first[rests] + best)[has]
+                if len(at):
+                    carve(at, np.full(len(at), outer), openings[rests[has]])
+                more |= has
+            done[rests[~more]] = True
+            top = queues.next()
+            some = top != NONE
+        if not some.any():
+            if done.all():
+                break
+            continue
+        g = np.flatnonzero(some)
+        top = top[g]
+        at, outer = first[g] + (top & (inner - 1)), 1 - (top >> f.bits & 1)
+        queues.drop(at)
+        mask = whole[at + outer * (grids * f.size)]
+        keeps = ~by_table(table, np.where(outer == 1, mask, ALL ^ mask))
+        may[at[~keeps]] = refused[at[~keeps]]
+        carve(at[keeps], outer[keeps], 0)
+    return {"side": f.cells(side), "rank": f.cells(rank), "opened": f.cells(opened), "new_val": f.cells(own) * size}
+
+
+def fixed(made: dict[str, np.ndarray]) -> np.ndarray:
+    """New values of cells (grid, id), as `sides.fixed` has them: those that no front took go to the side opposite to most of them."""
+    new, left = made["new_val"], made["rank"] < 0
+    more = (left & (new > 0)).sum(axis=1) > (left & (new < 0)).sum(axis=1)
+    return np.where(left, np.where(more, 1, -1)[:, None], new)
+
+
 def ranked(val: np.ndarray) -> np.ndarray:
     """Places of cells (grid, id) by value, then id."""
     out = np.empty(val.shape, np.int32)

@@ -51,6 +51,14 @@ def test_life_spans_equal_single_grids(table, dims, most, endless):
     assert (max(lives) >= dims.n) >= endless
 
 
+@pytest.mark.parametrize("which,features", [("io", 0), ("io", 3), ("i", 2), ("o", 0), ("o", 2), ("io", 40)])
+@pytest.mark.parametrize("dims,most", [(Dims(5, 4, 4), 9), (Dims(6, 1, 5), 300), (Dims(8, 7, 6), 40), (Dims(1, 1, 1), 3)])
+def test_fronts_equal_single_grids(table, dims, most, which, features):
+    val, known = made(most + features, dims, 6, most)
+    got = whole_fronts.two_sides(val, known, dims, table, which, features)
+    assert all(equal(got, g, sides._two_sides(pdf, which, features)) for g, pdf in enumerate(frames(dims, val, known)))
+
+
 @pytest.fixture(scope="module")
 def odd_dir(spark, sf_dir, tmp_path_factory):
     """A few grids of shipments, among them rows without keys, dates or quantities."""
@@ -96,3 +104,26 @@ def test_life_span_listing_takes_every_cell(spark, odd_dir):
         want |= {(k, *map(int, r)) for r in spans.loc[spans["life"] >= fronts.LONG, ["id", "life", "parent"]].to_numpy()}
     got = [tuple(r) for r in registry.QUERIES["life_span_listing"](spark, odd_dir).collect()]
     assert len(got) == len(want) and set(got) == want
+
+
+def test_jobs_of_fronts_take_every_cell(spark, odd_dir):
+    two, one, turned = {}, {}, {}
+    for k, pdf in whole(spark, odd_dir).items():
+        val = pdf["val"].to_numpy()
+        out = sides._two_sides(pdf, "io", fronts.FEATURES + 2)
+        inner, outer = ([abs(v) for _, v in sorted(zip(out["opened"][at], out["new_val"][at], strict=True))] for at in ((out["opened"] > 0) & (out["side"] == s) for s in (-1, 1)))
+        extra, n = 0, fronts.FEATURES
+        while len(inner) > n and len(outer) > n + extra and outer[n + extra] > inner[n]:
+            extra += 1
+        two[k] = (sum(out["side"] == -1), sum(out["side"] == 1), sum(out["opened"] > 0), sum(out["rank"] < 0), extra)
+        for s, which in ((-1, "i"), (1, "o")):
+            alone = sides._two_sides(pdf, which, 0)
+            one[k, s] = (sum(alone["rank"] >= 0), sum(np.sign(alone["new_val"]) != np.sign(val)))
+        out = sides._two_sides(pdf, "io", fronts.FEATURES)
+        left = out["rank"] < 0
+        new = np.where(left, 1 if sum(left & (out["new_val"] > 0)) > sum(left & (out["new_val"] < 0)) else -1, out["new_val"])
+        turned[k] = (sum(np.sign(new) != np.sign(val)), sum(val < 0), sum(new < 0))
+    collected = lambda name: [tuple(r) for r in registry.QUERIES[name](spark, odd_dir).collect()]
+    assert {r[0]: r[1:] for r in collected("two_sided_carving")} == two
+    assert {r[:2]: r[2:] for r in collected("one_sided_carving")} == one
+    assert {r[0]: r[1:] for r in collected("fixed_by_fronts")} == turned
